@@ -7,7 +7,6 @@ checks render the same text independently.
 
 from __future__ import annotations
 
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,7 +80,7 @@ PIPELINE_QUERY = render(
     t="c_custkey % 7", n="c_nationkey",
 )
 PIPELINE_TEXT = render(
-    """import os
+    '''import os
 import pandas as pd
 from pyspark.sql import functions as F
 {helpers}src = 'data/in_{n}.csv'
@@ -103,8 +102,12 @@ q = '{query}'
 spark.sql(q)
 spark.sql('SELECT x, y FROM t_{m}')
 dq.validate_rows(agg, {r})
-""",
+view = """
+SELECT id FROM stage_{t}
+"""
+''',
     n="c_nationkey",
+    t="c_custkey % 7",
     helpers=when("c_custkey % 3 = 0", "from . import helpers\n"),
     again=when("c_custkey % 6 = 0", "raw = raw.apply(str)\n"),
     method=PIPELINE_METHOD,
@@ -267,17 +270,18 @@ def written_nodes(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def land_on_disk(files: DataFrame, folder: str) -> None:
-    """Write each (path, content BINARY) row as a file below a mounted folder.
+    """Write each (path, content BINARY) row as a file below a shared folder.
 
-    A retried task writes the same bytes again, under a temporary name first.
+    A retried task writes the same bytes under the same name again.
     """
     def write_rows(rows):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
         for row in rows:
-            target = os.path.join(folder, row.path)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            part = f"{target}.{os.getpid()}.part"
-            with open(part, "wb") as out:
-                out.write(row.content)
-            os.replace(part, target)
+            target = f"{base}/{row.path}"
+            store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(target) as out:
+                out.write(bytes(row.content))
 
     files.select("path", "content").foreachPartition(write_rows)
