@@ -39,19 +39,19 @@ def vertices(frames: DataFrame, query_edge_rows: DataFrame) -> DataFrame:
     same input path, say) does not gather its rows in one task.
     """
     none = F.lit(None).cast("string")
-    rank = lambda *parts: F.struct(*[F.lit(p) if isinstance(p, (int, str)) else p for p in parts])
+    order = lambda section, file, seq, end: F.struct(
+        F.lit(section).alias("section"), F.col(file).alias("file"), F.col(seq).alias("seq"), F.lit(end).alias("end"))
     known = frames.select(
         _key("path", "name").alias("id"), F.lit("dataframe").alias("type"), "df_type",
-        rank(0, F.col("path"), F.col("seq"), 0).alias("rank"))
-    edges = dataframe_edges(frames).withColumn("rank", rank(1, F.col("filename"), F.col("seq"), 0)).unionByName(
-        query_edge_rows.withColumn("seq", F.lit(0)).withColumn("rank", rank(2, F.col("source"), F.lit(0), 0)))
-    ends = edges.select(F.explode(F.array(
-        F.struct(F.col("source").alias("id"), F.col("source_type").alias("type"), F.struct("rank", F.lit(0)).alias("rank")),
-        F.struct(F.col("target").alias("id"), F.col("target_type").alias("type"), F.struct("rank", F.lit(1)).alias("rank")),
-    )).alias("e")).select("e.id", "e.type", none.alias("df_type"), "e.rank")
+        order(0, "path", "seq", 0).alias("order"))
+    ends = lambda edges, section: edges.select(F.explode(F.array(*[
+        F.struct(F.col(side).alias("id"), F.col(f"{side}_type").alias("type"), order(section, "filename", "seq", end).alias("order"))
+        for end, side in enumerate(("source", "target"))
+    ])).alias("e")).select("e.id", "e.type", none.alias("df_type"), "e.order")
     return (
-        known.withColumn("rank", F.struct("rank", F.lit(0))).unionByName(ends)
-        .groupBy("id").agg(F.min_by(F.struct("type", "df_type"), "rank").alias("first"))
+        known.unionByName(ends(dataframe_edges(frames), 1))
+        .unionByName(ends(query_edge_rows.withColumn("seq", F.lit(0)), 2))
+        .groupBy("id").agg(F.min_by(F.struct("type", "df_type"), "order").alias("first"))
         .select("id", "first.type", "first.df_type")
     )
 

@@ -1,0 +1,421 @@
+"""Entities, SQL lineage, data-flow graph and explanations on pipelines rendered
+from `customer`.
+
+The checks are closed forms over the customer key (k) and nation key (n) that
+shaped each pipeline.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpuslens import fixed_values as fv
+from corpuslens.functions.text import sorted_join
+from corpuslens.operators import entities, lineage, prompts, sqltext
+from corpuslens.plans import reports
+from corpuslens.plans.catalog import query
+from corpuslens.sources import corpora
+from corpuslens.sources.workspace import run_folder
+
+
+def _nodes(spark, sf):
+    return corpora.written_nodes(spark, sf, "pipelines")
+
+
+def _files(spark, sf):
+    return corpora.written_files(spark, sf, "pipelines")
+
+
+def _queries(spark, sf):
+    return sqltext.distinct_queries(entities.sql_entries(_nodes(spark, sf)))
+
+
+def _tokens(spark, sf):
+    return sqltext.sql_tokens(_queries(spark, sf))
+
+
+Q, B = "chr(39)", "chr(92)"          # quote, backslash
+CU = f"""WITH cu AS (SELECT c_custkey AS k, c_nationkey AS n, {corpora.PIPELINE_PATH} AS path, {corpora.PIPELINE_METHOD} AS method,
+ {corpora.PIPELINE_QUERY} AS q, concat('SELECT x, y FROM t_', c_custkey % 5) AS inl,
+ concat(chr(10), 'SELECT id FROM stage_', c_custkey % 7, chr(10)) AS view_q,
+ concat('data/in_', c_nationkey, '.csv') AS csv, concat('TABLE_', c_nationkey) AS cfg FROM customer)
+"""
+VARS = "['src', 'cfg', 'raw', 'agg', 'y', 'opts', 'total', 'q', 'view']"
+VARIABLE_ROWS = f"""SELECT path, unnest({VARS}) AS name FROM cu UNION ALL SELECT path, 'w' FROM cu WHERE k % 7 = 0"""
+FUNCTION_ROWS = "SELECT path, 'run' AS name FROM cu UNION ALL SELECT path, unnest(['outer', 'inner']) FROM cu WHERE k % 7 = 0"
+MOVES = f"""SELECT path, 'raw' AS target, 'raw' AS source, 'apply' AS operation, 'raw.apply(str)' AS details, NULL AS in_function FROM cu WHERE k % 6 = 0
+ UNION ALL SELECT path, 'agg', 'raw', method, concat('raw.', method, '(cfg)'), NULL FROM cu
+ UNION ALL SELECT path, 'y', 'x', 'join', 'x.join(raw)', NULL FROM cu
+ UNION ALL SELECT path, 'w', 'z', 'sort_values', concat('z.sort_values(', {Q}, 'a', {Q}, ')'), NULL FROM cu WHERE k % 7 = 0"""
+FUNCTION_MOVES = f"""SELECT path, 'y' AS target, 'x' AS source, 'join' AS operation, 'x.join(raw)' AS details, 'run' AS in_function FROM cu
+ UNION ALL SELECT path, 'w', 'z', 'sort_values', concat('z.sort_values(', {Q}, 'a', {Q}, ')'), unnest(['outer', 'inner']) FROM cu WHERE k % 7 = 0"""
+FRAMES = """SELECT path, 'raw' AS name, CASE WHEN k % 6 = 0 THEN 'transformation' ELSE 'source' END AS df_type,
+   CASE WHEN k % 6 = 0 THEN 'apply' ELSE 'read_csv' END AS method, CASE WHEN k % 6 = 0 THEN 'raw' ELSE 'src' END AS source FROM cu
+ UNION ALL SELECT path, 'agg', 'transformation', method, 'raw' FROM cu
+ UNION ALL SELECT path, 'y', 'transformation', 'join', 'x' FROM cu
+ UNION ALL SELECT path, 'w', 'transformation', 'sort_values', 'z' FROM cu WHERE k % 7 = 0"""
+ENTRIES = """SELECT path, 'q' AS key, q AS sql_text, 'call_name' AS origin FROM cu
+ UNION ALL SELECT path, 'inline_sql_1', inl, 'call_inline' FROM cu UNION ALL SELECT path, 'view', view_q, 'literal' FROM cu"""
+
+
+# --- entities --------------------------------------------------------------------
+@query("e1_function_names", CU + FUNCTION_ROWS)
+def e1(spark, sf):
+    return entities.function_names(_nodes(spark, sf))
+
+
+@query("e1_script_functions", "SELECT DISTINCT concat('jobs/job_', l_orderkey, '.py') AS path, concat('f', l_linenumber) AS name"
+       " FROM lineitem WHERE l_orderkey % 97 <> 0")
+def e1_scripts(spark, sf):
+    return entities.function_names(corpora.written_nodes(spark, sf, "scripts"))
+
+
+@query("e2_variable_names", CU + VARIABLE_ROWS)
+def e2(spark, sf):
+    return entities.variable_names(_nodes(spark, sf))
+
+
+@query("e3_last_assignment", CU + f"""SELECT path, 'src' AS target, concat({Q}, csv, {Q}) AS src FROM cu
+ UNION ALL SELECT path, 'cfg', concat({Q}, cfg, {Q}) FROM cu
+ UNION ALL SELECT path, 'raw', CASE WHEN k % 6 = 0 THEN 'raw.apply(str)' ELSE 'pd.read_csv(src)' END FROM cu
+ UNION ALL SELECT path, 'agg', concat('raw.', method, '(cfg)') FROM cu UNION ALL SELECT path, 'y', 'x.join(raw)' FROM cu
+ UNION ALL SELECT path, 'opts', concat('conf[', {Q}, 'key', {Q}, ']') FROM cu UNION ALL SELECT path, 'total', '2' FROM cu
+ UNION ALL SELECT path, 'q', concat({Q}, q, {Q}) FROM cu
+ UNION ALL SELECT path, 'view', concat({Q}, {B}, 'nSELECT id FROM stage_', k % 7, {B}, 'n', {Q}) FROM cu
+ UNION ALL SELECT path, 'w', concat('z.sort_values(', {Q}, 'a', {Q}, ')') FROM cu WHERE k % 7 = 0""")
+def e3(spark, sf):
+    return entities.last_assignment(_nodes(spark, sf)).select("path", "target", "src")
+
+
+@query("e4_source_dataframes", CU + """SELECT path, 'raw' AS target, 'src' AS source, 'read_csv' AS operation,
+ 'pd.read_csv(src)' AS details FROM cu""")
+def e4(spark, sf):
+    return entities.source_dataframes(_nodes(spark, sf)).select("path", "target", "source", "operation", "details")
+
+
+@query("e5_dataframe_transformations", CU + f"SELECT path, target, source, operation, details FROM ({MOVES}) m")
+def e5(spark, sf):
+    return entities.dataframe_transformations(_nodes(spark, sf)).select("path", "target", "source", "operation", "details")
+
+
+@query("e6_function_transformations", CU + FUNCTION_MOVES)
+def e6(spark, sf):
+    return entities.function_transformations(_nodes(spark, sf)).select(*entities.TRANSFORMATION_COLUMNS)
+
+
+@query("e7_dataframes", CU + FRAMES)
+def e7(spark, sf):
+    return entities.dataframes(_nodes(spark, sf)).select("path", "name", "df_type", "method", "source")
+
+
+@query("e8_file_paths", CU + "SELECT path, csv AS value FROM cu")
+def e8(spark, sf):
+    return entities.file_paths(_nodes(spark, sf))
+
+
+@query("e9_configs", CU + "SELECT path, cfg AS value FROM cu")
+def e9(spark, sf):
+    return entities.configs(_nodes(spark, sf))
+
+
+@query("e10_older_configs", CU + f"SELECT path, cfg AS value FROM cu UNION ALL SELECT path, concat('conf[', {Q}, 'key', {Q}, ']') FROM cu")
+def e10(spark, sf):
+    return entities.older_configs(_nodes(spark, sf))
+
+
+@query("e11_is_sql", f"SELECT doc_id, regexp_matches(upper(text), '{'|'.join(fv.SQL_WORDS)}') AS is_sql FROM documents")
+def e11(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", entities.is_sql(F.col("text")).alias("is_sql"))
+
+
+@query("e12_sql_variables", CU + """SELECT path, 'q' AS key, q AS sql_text, 'literal' AS origin FROM cu
+ UNION ALL SELECT path, 'view', view_q, 'literal' FROM cu""")
+def e12(spark, sf):
+    return entities.sql_variables(_nodes(spark, sf))
+
+
+@query("e13_sql_entries", CU + ENTRIES)
+def e13(spark, sf):
+    return entities.sql_entries(_nodes(spark, sf))
+
+
+@query("e13_older_sql_entries", CU + f"SELECT path, 'q' AS key, concat({Q}, q, {Q}) AS sql_text FROM cu")
+def e13_older(spark, sf):
+    return entities.older_sql_entries(_nodes(spark, sf))
+
+
+LINES = f"""SELECT path, 19 + CAST(k % 3 = 0 AS INT) + CAST(k % 6 = 0 AS INT) + 5 * CAST(k % 7 = 0 AS INT) + d AS line_no,
+ CASE d WHEN 0 THEN concat('q = ', {Q}, q, {Q}) WHEN 2 THEN concat('spark.sql(', {Q}, inl, {Q}, ')') ELSE trim(view_q, chr(10)) END AS line
+ FROM cu, (SELECT unnest([0, 2, 5]) AS d) o"""
+
+
+@query("e14_inline_sql_lines", CU + LINES)
+def e14(spark, sf):
+    return entities.inline_sql_lines(_files(spark, sf), "path", "content")
+
+
+@query("e14_document_lines", """SELECT doc_id, CAST(i AS INT) AS line_no, trim(line) AS line FROM (SELECT doc_id,
+ unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) l
+ WHERE contains(upper(line), 'SELECT') OR contains(lower(line), 'create table')""")
+def e14_documents(spark, sf):
+    return entities.inline_sql_lines(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text")
+
+
+@query("e15_condition_rules", CU + """SELECT path, concat('agg > ', n) AS condition, 'total = 1|log(total)' AS actions FROM cu
+ UNION ALL SELECT path, 'total', 'stop()' FROM cu""")
+def e15(spark, sf):
+    return entities.condition_rules(_nodes(spark, sf)).select("path", "condition", F.array_join("actions", "|").alias("actions"))
+
+
+@query("e16_call_rules", CU + """SELECT path, 'dq.validate_rows' AS "function", concat('agg|', k % 3) AS arguments,
+ concat('dq.validate_rows(agg, ', k % 3, ')') AS full_call FROM cu""")
+def e16(spark, sf):
+    return entities.call_rules(_nodes(spark, sf)).select(
+        "path", "function", F.array_join("arguments", "|").alias("arguments"), "full_call")
+
+
+@query("e17_file_entities", CU + f"""SELECT path, CASE WHEN k % 7 = 0 THEN 'inner|outer|run' ELSE 'run' END AS functions,
+ (SELECT string_agg(name, '|' ORDER BY name) FROM ({VARIABLE_ROWS}) v WHERE v.path = cu.path) AS variables,
+ csv AS file_paths, cfg AS configs, 'inline_sql_1|q|view' AS sql_keys,
+ CAST(3 + CAST(k % 6 = 0 AS INT) + 3 * CAST(k % 7 = 0 AS INT) AS INT) AS n_transformations,
+ CAST(3 + CAST(k % 7 = 0 AS INT) AS INT) AS n_dataframes, CAST(3 AS INT) AS n_rules FROM cu""")
+def e17(spark, sf):
+    rows = entities.file_entities(_nodes(spark, sf))
+    joined = [sorted_join(F.col(c)).alias(c) for c in ("functions", "variables", "file_paths", "configs")]
+    return rows.select(
+        "path", *joined, sorted_join(F.map_keys("sql_vars")).alias("sql_keys"),
+        F.size("df_transformations").alias("n_transformations"), F.size("dataframes").alias("n_dataframes"),
+        F.size("business_rules").alias("n_rules"))
+
+
+OVERVIEW = f"""SELECT 'Files' AS metric, count(*) AS count FROM cu
+ UNION ALL SELECT 'Functions', count(DISTINCT name) FROM ({FUNCTION_ROWS}) f
+ UNION ALL SELECT 'Variables', count(DISTINCT name) FROM ({VARIABLE_ROWS}) v
+ UNION ALL SELECT 'File Paths', count(DISTINCT csv) FROM cu
+ UNION ALL SELECT 'SQL Queries', count(DISTINCT sql_text) FROM ({ENTRIES}) e
+ UNION ALL SELECT 'Transformations', (SELECT count(*) FROM ({MOVES}) m) + (SELECT count(*) FROM ({FUNCTION_MOVES}) g)"""
+
+
+@query("e18_overview", CU + OVERVIEW)
+def e18(spark, sf):
+    return entities.overview(_nodes(spark, sf))
+
+
+@query("e19_variable_report", CU + f"""SELECT path AS filename, name AS variable, CASE WHEN name IN ('raw', 'agg', 'y', 'w') THEN 'DataFrame'
+ ELSE 'Regular' END AS type FROM ({VARIABLE_ROWS}) v""")
+def e19(spark, sf):
+    return entities.variable_report(_nodes(spark, sf))
+
+
+@query("e20_dataframe_report", CU + f"""SELECT path AS filename, name AS dataframe, df_type AS type,
+ concat(source, ' / ', method) AS source_method FROM ({FRAMES}) f""")
+def e20(spark, sf):
+    return entities.dataframe_report(_nodes(spark, sf))
+
+
+ENTITY_ROWS = f"""SELECT path, 'Table' AS entity_type, concat('stage_', k % 7) AS name, concat('SELECT id FROM stage_', k % 7) AS used_in_query FROM cu
+ UNION ALL SELECT path, 'File', csv, '' FROM cu UNION ALL SELECT path, 'Config', cfg, '' FROM cu
+ UNION ALL SELECT path, 'Config', concat('conf[', {Q}, 'key', {Q}, ']'), '' FROM cu"""
+
+
+@query("e21_entity_report", CU + ENTITY_ROWS)
+def e21(spark, sf):
+    return entities.entity_report(_nodes(spark, sf), _files(spark, sf))
+
+
+# --- SQL text ---------------------------------------------------------------------
+DQ = CU + f""", dq AS (SELECT DISTINCT sha256(sql_text) AS query_id, sql_text AS sql, key,
+ CASE key WHEN 'q' THEN regexp_extract(sql_text, 'orders_[0-9]+') WHEN 'view' THEN regexp_extract(sql_text, 'stage_[0-9]+')
+ ELSE regexp_extract(sql_text, 't_[0-9]+') END AS t1, regexp_extract(sql_text, 'nation_[0-9]+') AS t2 FROM ({ENTRIES}) e),
+ tb AS (SELECT query_id, CASE key WHEN 'q' THEN 10 WHEN 'view' THEN 3 ELSE 5 END AS pos, t1 AS table_name,
+   CASE WHEN key = 'q' THEN concat('db.', t1) ELSE t1 END AS qualified FROM dq
+   UNION ALL SELECT query_id, 14, t2, t2 FROM dq WHERE key = 'q')
+"""
+
+
+@query("q1_sql_tokens", DQ + """SELECT query_id, CAST(i AS INT) AS pos, tok, CAST(CASE WHEN key = 'q' AND i IN (6, 7) THEN 1 ELSE 0 END AS INT) AS depth,
+ CASE WHEN key = 'q' THEN CASE WHEN i < 9 THEN 'SELECT' WHEN i < 13 THEN 'FROM' WHEN i < 15 + 1 THEN 'JOIN' WHEN i < 20 THEN 'ON' ELSE 'GROUP' END
+   WHEN key = 'view' THEN CASE WHEN i < 2 THEN 'SELECT' ELSE 'FROM' END ELSE CASE WHEN i < 4 THEN 'SELECT' ELSE 'FROM' END END AS clause
+ FROM (SELECT query_id, key, unnest(toks) AS tok, unnest(range(0, len(toks))) AS i FROM (SELECT query_id, key, string_split(CASE key
+   WHEN 'q' THEN concat('SELECT a.id AS k , SUM ( v ) FROM db.', t1, ' a LEFT JOIN ', t2, ' n ON a.id = n.id GROUP BY a.id')
+   WHEN 'view' THEN concat('SELECT id FROM ', t1) ELSE concat('SELECT x , y FROM ', t1) END, ' ') AS toks FROM dq) s) u""")
+def q1(spark, sf):
+    return _tokens(spark, sf).select("query_id", "pos", "tok", "depth", "clause")
+
+
+@query("q2_sql_tables", DQ + "SELECT query_id, CAST(pos AS INT) AS pos, table_name, qualified FROM tb")
+def q2(spark, sf):
+    return sqltext.query_tables(_tokens(spark, sf))
+
+
+SELECTED = """SELECT query_id, 0 AS col_idx, 'id' AS column_name, 'a.id AS k' AS expression FROM dq WHERE key = 'q'
+ UNION ALL SELECT query_id, 1, 'SUM', 'SUM(v)' FROM dq WHERE key = 'q' UNION ALL SELECT query_id, 0, 'id', 'id' FROM dq WHERE key = 'view'
+ UNION ALL SELECT query_id, unnest([0, 1]), unnest(['x', 'y']), unnest(['x', 'y']) FROM dq WHERE key NOT IN ('q', 'view')"""
+
+
+@query("q3_select_columns", DQ + SELECTED)
+def q3(spark, sf):
+    return sqltext.select_items(_tokens(spark, sf))
+
+
+@query("q4_column_transformations", DQ + """SELECT query_id, 'column_transformation' AS type,
+ unnest(['a.id AS k', 'SUM(v)']) AS expression FROM dq WHERE key = 'q'""")
+def q4(spark, sf):
+    return sqltext.column_transformations(_tokens(spark, sf))
+
+
+@query("q5_clause_markers", DQ + "SELECT query_id, 'GROUP BY' AS type, sql AS expression FROM dq WHERE key = 'q'")
+def q5(spark, sf):
+    queries = _queries(spark, sf)
+    return sqltext.clause_markers(sqltext.sql_tokens(queries), queries)
+
+
+EDGES = """SELECT 'table' AS source_type, table_name AS source, 'query_result' AS target_type,
+ concat('result_of_', table_name, '_query') AS target, 'SQL_SELECT' AS operation, 'sql_query' AS filename FROM tb"""
+
+
+def _query_edges(spark, sf):
+    queries = _queries(spark, sf)
+    return sqltext.query_edges(queries, sqltext.query_tables(sqltext.sql_tokens(queries)))
+
+
+@query("q6_query_edges", DQ + EDGES)
+def q6(spark, sf):
+    return _query_edges(spark, sf)
+
+
+def _answers(prompt_rows):
+    """Stand-in answers for the prompts whose length is even; the others stay open."""
+    return prompt_rows.filter(F.length("prompt") % 2 == 0).select(
+        "prompt_hash", F.concat(F.lit("answer to "), "prompt_hash").alias("answer"))
+
+
+def _subjects(spark, sf):
+    nodes = _nodes(spark, sf)
+    return prompts.subjects(_queries(spark, sf), entities.all_transformations(nodes), entities.business_rules(nodes))
+
+
+HEAD = {kind: f"'{text}'" for kind, text in fv.EXPLAIN_PROMPTS.items()}
+
+
+def _answer_sql(kind, text):
+    prompt = f"concat({HEAD[kind]}, {text})"
+    return f"CASE WHEN length({prompt}) % 2 = 0 THEN concat('answer to ', sha256({prompt})) END"
+
+
+@query("q7_query_report", DQ + f"""SELECT query_id, sql, CASE WHEN key = 'q' THEN concat(t1, ', ', t2) ELSE t1 END AS tables,
+ {_answer_sql('sql', 'sql')} AS explanation FROM dq""")
+def q7(spark, sf):
+    queries = _queries(spark, sf)
+    tables = sqltext.query_tables(sqltext.sql_tokens(queries))
+    asked = _answers(prompts.explain_prompts(_subjects(spark, sf)))
+    explained = prompts.attach_explanations(queries, "sql", "sql", asked).select("query_id", "explanation")
+    return sqltext.query_report(queries, tables, explained)
+
+
+@query("q8_query_analysis", DQ + f"""SELECT query_id, CASE WHEN key = 'q' THEN concat(t1, '|', t2) ELSE t1 END AS tables,
+ CASE key WHEN 'q' THEN 'id|SUM' WHEN 'view' THEN 'id' ELSE 'x|y' END AS columns, CAST(CASE WHEN key = 'q' THEN 3 ELSE 0 END AS INT) AS n_transformations,
+ CAST(NULL AS VARCHAR) AS error FROM dq
+ UNION ALL SELECT DISTINCT sha256(repeat(' ', CAST(k % 4 AS INT))), '', '', CAST(0 AS INT), 'empty query' FROM cu""")
+def q8(spark, sf):
+    blank = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("repeat(' ', cast(c_custkey % 4 as int)) AS sql_text")
+    texts = entities.sql_entries(_nodes(spark, sf)).select("sql_text").unionByName(blank)
+    return sqltext.query_analysis(sqltext.distinct_queries(texts)).select(
+        "query_id", F.array_join("tables", "|").alias("tables"), F.array_join("columns", "|").alias("columns"),
+        F.size("transformations").alias("n_transformations"), "error")
+
+
+# --- data-flow graph ----------------------------------------------------------------
+MAPPING = f"""SELECT CASE WHEN df_type = 'source' THEN 'file' ELSE 'dataframe' END AS source_type,
+ CASE WHEN df_type = 'source' THEN source ELSE concat(path, ':', source) END AS source, 'dataframe' AS target_type,
+ concat(path, ':', name) AS target, method AS operation, path AS filename FROM ({FRAMES}) f UNION ALL {EDGES}"""
+
+
+@query("g1_source_target_mapping", DQ + MAPPING)
+def g1(spark, sf):
+    return lineage.mapping(entities.dataframes(_nodes(spark, sf)), _query_edges(spark, sf))
+
+
+VERTICES = f"""SELECT concat(path, ':', name) AS id, 'dataframe' AS type, df_type FROM ({FRAMES}) f
+ UNION ALL SELECT DISTINCT 'src', 'file', NULL FROM cu WHERE k % 6 <> 0
+ UNION ALL SELECT concat(path, ':x'), 'dataframe', NULL FROM cu UNION ALL SELECT concat(path, ':z'), 'dataframe', NULL FROM cu WHERE k % 7 = 0
+ UNION ALL SELECT DISTINCT table_name, 'table', NULL FROM tb
+ UNION ALL SELECT DISTINCT concat('result_of_', table_name, '_query'), 'query_result', NULL FROM tb"""
+
+
+@query("g2_vertices", DQ + VERTICES)
+def g2(spark, sf):
+    return lineage.vertices(entities.dataframes(_nodes(spark, sf)), _query_edges(spark, sf))
+
+
+@query("g3_unique_edges", DQ + f"SELECT DISTINCT source, target, operation, filename FROM ({MAPPING}) m")
+def g3(spark, sf):
+    return lineage.unique_edges(entities.dataframes(_nodes(spark, sf)), _query_edges(spark, sf))
+
+
+SHORT = "CASE WHEN length(id) > 20 THEN concat(id[:17], '...') ELSE id END AS label"
+
+
+@query("g4_vertex_labels", DQ + f"SELECT id, {SHORT} FROM ({VERTICES}) v")
+def g4(spark, sf):
+    return lineage.vertex_labels(lineage.vertices(entities.dataframes(_nodes(spark, sf)), _query_edges(spark, sf)))
+
+
+@query("g4_page_labels", f"SELECT url AS id, {SHORT.replace('id', 'url')} FROM pages")
+def g4_pages(spark, sf):
+    return lineage.vertex_labels(spark.read.parquet(f"{sf}/pages.parquet").select(F.col("url").alias("id")))
+
+
+# --- prompts and explanations --------------------------------------------------------
+PROMPTS = f"""SELECT DISTINCT content_type, prompt FROM (SELECT 'sql' AS content_type, concat({HEAD['sql']}, sql) AS prompt FROM dq
+ UNION ALL SELECT 'transformation', concat({HEAD['transformation']}, details) FROM ({MOVES}) m
+ UNION ALL SELECT 'business_rule', concat({HEAD['business_rule']}, unnest([concat('agg > ', n), 'total', concat('dq.validate_rows(agg, ', k % 3, ')')])) FROM cu) p"""
+
+
+@query("r1_explain_prompts", DQ + f"SELECT content_type, sha256(prompt) AS prompt_hash, CAST(length(prompt) AS INT) AS n_chars FROM ({PROMPTS}) p")
+def r1(spark, sf):
+    return prompts.explain_prompts(_subjects(spark, sf)).select("content_type", "prompt_hash", F.length("prompt").alias("n_chars"))
+
+
+@query("r2_file_prompts", f"""SELECT 'python' AS content_type, sha256(prompt) AS prompt_hash, CAST(length(prompt) AS INT) AS n_chars FROM (
+ SELECT concat(chr(10), 'Please analyze the following python code from file ', chr(39), 'job_', l_orderkey, '.py', chr(39), ':', chr(10), chr(10),
+  '```python', chr(10), string_agg({corpora.SCRIPT_PIECE}, '' ORDER BY {', '.join(corpora.SCRIPT_ORDER)}), {corpora.SCRIPT_TAIL}, chr(10), '```', chr(10),
+  {corpora.render(fv.FILE_PROMPT_TAIL)}) AS prompt FROM lineitem GROUP BY l_orderkey) f""")
+def r2(spark, sf):
+    files = corpora.written_files(spark, sf, "scripts")
+    return prompts.file_prompts(files).select("content_type", "prompt_hash", F.length("prompt").alias("n_chars"))
+
+
+@query("r12_explanations", DQ + f"""SELECT path, 'transformation' AS content_type, details AS text, {_answer_sql('transformation', 'details')} AS explanation
+ FROM (SELECT path, details FROM ({MOVES}) a UNION ALL SELECT path, details FROM ({FUNCTION_MOVES}) b) m
+ UNION ALL SELECT path, 'business_rule', text, {_answer_sql('business_rule', 'text')} FROM (SELECT path,
+   unnest([concat('agg > ', n), 'total', concat('dq.validate_rows(agg, ', k % 3, ')')]) AS text FROM cu) r""")
+def r12(spark, sf):
+    nodes = _nodes(spark, sf)
+    asked = _answers(prompts.explain_prompts(_subjects(spark, sf)))
+    moves = entities.all_transformations(nodes).select("path", F.col("details").alias("text"))
+    rules = entities.business_rules(nodes).select("path", F.coalesce("condition", "full_call").alias("text"))
+    pick = lambda rows, kind: prompts.attach_explanations(rows, kind, "text", asked).select(
+        "path", F.lit(kind).alias("content_type"), "text", "explanation")
+    return pick(moves, "transformation").unionByName(pick(rules, "business_rule"))
+
+
+# --- exports ----------------------------------------------------------------------------
+@query("s6_scanner_sheets", DQ + f"""SELECT 'Overview' AS sheet, count(*) AS rows FROM ({OVERVIEW}) o
+ UNION ALL SELECT 'Variables', count(*) FROM ({VARIABLE_ROWS}) v UNION ALL SELECT 'DataFrames', count(*) FROM ({FRAMES}) f
+ UNION ALL SELECT 'Transformations', (SELECT count(*) FROM ({MOVES}) m) + (SELECT count(*) FROM ({FUNCTION_MOVES}) g)
+ UNION ALL SELECT 'Source_Target', count(*) FROM ({MAPPING}) t UNION ALL SELECT 'SQL_Analysis', count(*) FROM dq""")
+def s6(spark, sf):
+    sheets = reports.scanner_sheets(_nodes(spark, sf))
+    folder = run_folder(spark, "scanner_sheets", sf)
+    reports.write_sheets(sheets, folder)
+    return reports.read_sheets(spark, folder, list(sheets))
+
+
+@query("s7_older_sheets", DQ + f"""SELECT 'Entities' AS sheet, count(*) AS rows FROM ({ENTITY_ROWS}) e
+ UNION ALL SELECT 'Transformations', count(*) FROM (SELECT DISTINCT line FROM ({LINES}) l UNION ALL SELECT DISTINCT concat({Q}, q, {Q}) FROM cu) t""")
+def s7(spark, sf):
+    sheets = reports.older_sheets(_nodes(spark, sf), _files(spark, sf))
+    folder = run_folder(spark, "older_sheets", sf)
+    reports.write_sheets(sheets, folder)
+    return reports.read_sheets(spark, folder, list(sheets))
