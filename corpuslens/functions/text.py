@@ -21,6 +21,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
 
 
+def strip_sql(text: str) -> str:
+    """`strip` as SQL text, for use inside larger SQL expressions."""
+    return rf"regexp_replace({text}, r'(?U)\A{_SPACE}+|{_SPACE}+\z', '')"
+
+
 def is_blank(text: Column) -> Column:
     """True when nothing but white space is left."""
     return ~text.rlike(r"(?U)[^\s\x1c-\x1f]")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fv
-from corpuslens.functions.text import first_hit, strip
+from corpuslens.functions.text import first_hit, strip, strip_sql
 
 # --- fixed values: shape of a file answer ------------------------------------
 FILE_ANSWER = """struct<
@@ -44,27 +44,37 @@ def parse_json(answers: DataFrame) -> DataFrame:
 
 
 # --- text tools ---------------------------------------------------------------
-def section(text: Column, name: str) -> Column:
-    """Text from the first occurrence of `name` to the nearest later header,
-    stripped, without its first line; empty when there is none."""
-    lowered = F.lower(text)
-    start = F.locate(name, lowered)
-    headers = F.array(*[F.lit(h) for h in fv.SECTION_HEADERS if h != name])
-    ends = F.filter(
-        F.transform(headers, lambda h: F.call_function("locate", h, lowered, start + len(name))), lambda at: at > 0)
-    end = F.coalesce(F.array_min(ends), F.length(text) + 1)
-    body = strip(text.substr(start, end - start))
-    later_lines = F.when(F.contains(body, F.lit("\n")), strip(F.regexp_replace(body, r"\A[^\n]*\n", ""))).otherwise("")
-    return F.when(start > 0, later_lines).otherwise("")
+def sections(rows: DataFrame, text: str, names: list[str]) -> DataFrame:
+    """Adds `section_<name>`: the text from the first occurrence of the name to the
+    nearest later header, stripped, without its first line; empty when there is none.
+
+    The lowered text and the starts are columns of their own, so that they are
+    computed once per row and not once per header.
+    """
+    lowered = rows.select("*", F.lower(text).alias("lowered"))
+    started = lowered.select("*", *[F.locate(n, F.col("lowered")).alias(f"start_{n}") for n in names])
+    cut = started.select("*", *[F.expr(_section_sql(text, n)).alias(f"body_{n}") for n in names])
+    later_lines = lambda body: (
+        rf"CASE WHEN contains({body}, '\n') THEN {strip_sql(f"regexp_replace({body}, r'\A[^\n]*\n', '')")} ELSE '' END")
+    return cut.select(*rows.columns, *[F.expr(later_lines(f"`body_{n}`")).alias(f"section_{n}") for n in names])
+
+
+def _section_sql(text: str, name: str) -> str:
+    headers = ", ".join(f"'{h}'" for h in fv.SECTION_HEADERS if h != name)
+    start = f"`start_{name}`"
+    later = f"filter(transform(array({headers}), h -> locate(h, lowered, {start} + {len(name)})), at -> at > 0)"
+    end = f"coalesce(array_min({later}), length({text}) + 1)"
+    return f"CASE WHEN {start} > 0 THEN {strip_sql(f'substring({text}, {start}, {end} - {start})')} ELSE '' END"
 
 
-def list_items(text: Column) -> Column:
-    """Bulleted and numbered lines, marks removed.
+def list_items(text: str) -> Column:
+    """Bulleted and numbered lines of a text column, marks removed.
 
     A bare mark does not count: stripping a line removes the blank after it.
     """
-    lines = F.transform(F.split(text, "\n"), strip)
-    return F.transform(F.filter(lines, lambda l: l.rlike(_ITEM)), lambda l: strip(F.regexp_replace(l, _ITEM, "")))
+    lines = rf"transform(split({text}, '\n'), l -> {strip_sql('l')})"
+    marked = f"filter({lines}, l -> l rlike r'{_ITEM}')"
+    return F.expr(f"transform({marked}, l -> {strip_sql(f"regexp_replace(l, r'{_ITEM}', '')")})")
 
 
 def quoted_name(item: Column) -> Column:
@@ -81,10 +91,6 @@ def _has(text: Column, *words: str) -> Column:
     return out
 
 
-def section_items(text: Column, name: str) -> Column:
-    return list_items(section(text, name))
-
-
 # --- figures and lists of a plain-text answer ---------------------------------
 def quality_score(text: Column) -> Column:
     """All digits of the last line on code quality that stay within 0..100."""
@@ -94,21 +100,21 @@ def quality_score(text: Column) -> Column:
     return F.coalesce(F.try_element_at(valid, F.lit(-1)), F.lit(0))
 
 
-def mentioned_count(text: Column, name: str, pattern: str) -> Column:
-    found = F.regexp_extract(F.lower(section(text, name)), pattern, 1)
+def mentioned_count(part: Column, pattern: str) -> Column:
+    found = F.regexp_extract(F.lower(part), pattern, 1)
     return F.coalesce(found.try_cast("int"), F.lit(0))
 
 
-def severity(text: Column) -> Column:
-    part = section(text, "security")
+def severity(part: Column) -> Column:
     return (
         F.when(_has(part, "high") & _has(part, "severity"), "high")
         .when(_has(part, "medium") & _has(part, "severity"), "medium").otherwise("low")
     )
 
 
-def summary(text: Column) -> Column:
-    first = strip(F.substring_index(section(text, "summary"), "\n\n", 1))
+def summary(part: Column) -> Column:
+    """First paragraph of the section."""
+    first = strip(F.substring_index(part, "\n\n", 1))
     return F.when(first == "", fv.NO_SUMMARY).otherwise(first)
 
 
@@ -116,51 +122,72 @@ def transformation_kind(description: Column) -> Column:
     return first_hit(F.lower(description), fv.TRANSFORMATION_KINDS, default="other")
 
 
-def text_answer(text: Column) -> Column:
-    """The answer struct of a plain text, with defaults where a section is missing."""
-    named = lambda name, *rest: F.transform(
-        section_items(text, name), lambda i: F.struct(quoted_name(i).alias("name"), *rest_fields(i, rest)))
-    rest_fields = lambda item, rest: [(item if v is None else v).alias(n) for n, v in rest]
-    blank, none = F.lit(""), F.array().cast("array<string>")
-    has_api = _has(text, "api", "external")
-    return F.struct(
-        F.struct(quality_score(text).alias("score"), section_items(text, "strength").alias("strengths"),
-                 section_items(text, "weakness").alias("weaknesses")).alias("code_quality"),
-        F.struct(named("variable", ("type", F.lit("unknown")), ("purpose", None), ("transformations", none))
-                 .alias("important_variables")).alias("variables"),
-        F.struct(mentioned_count(text, "function", r"(?U)(\d+)\s+functions?").alias("count"),
-                 named("function", ("purpose", None), ("parameters", none), ("return_value", blank))
-                 .alias("important_functions")).alias("functions"),
-        F.struct(mentioned_count(text, "class", r"(?U)(\d+)\s+classes?").alias("count"),
-                 named("class", ("purpose", None), ("properties", none), ("methods", none))
-                 .alias("important_classes")).alias("classes"),
-        F.struct(
-            F.when(has_api, named("api", ("purpose", None), ("method", blank))).otherwise(
-                F.array().cast("array<struct<name:string,purpose:string,method:string>>")).alias("apis"),
-            F.array().cast("array<struct<type:string,operations:array<string>>>").alias("databases"),
-            none.alias("file_operations")).alias("external_communications"),
-        F.transform(section_items(text, "transformation"), lambda i: F.struct(
-            i.alias("description"), blank.alias("input"), blank.alias("output"),
-            F.lit(None).cast("string").alias("type"))).alias("data_transformations"),
-        F.struct(none.alias("patterns"), none.alias("anti_patterns"), none.alias("suggestions")).alias("architecture"),
-        F.struct(section_items(text, "security").alias("vulnerabilities"), severity(text).alias("severity"),
-                 none.alias("mitigations")).alias("security"),
-        summary(text).alias("summary"),
-    )
+ANSWER_COLUMNS = ["code_quality", "variables", "functions", "classes", "external_communications",
+                  "data_transformations", "architecture", "security", "summary"]
+
+
+_LISTED_SECTIONS = ["strength", "weakness", "variable", "function", "class", "api", "transformation", "security"]
+
+
+def _with_sections(parsed: DataFrame) -> DataFrame:
+    """Adds the sections of plain texts and their list items, each computed once."""
+    texts = parsed.select("*", F.when(F.col("parsed_from") == "text", F.col("raw")).alias("text"))
+    cut = sections(texts, "text", [*_LISTED_SECTIONS, "summary"])
+    return cut.select("*", *[list_items(f"section_{n}").alias(f"items_{n}") for n in _LISTED_SECTIONS])
+
+
+def _text_parts() -> dict[str, Column]:
+    """The answer's columns for a plain text, with defaults where a section is missing."""
+    text, blank, none = F.col("text"), F.lit(""), F.array().cast("array<string>")
+
+    def named(name: str, **rest: Column | None) -> Column:
+        return F.transform(f"items_{name}", lambda item: F.struct(
+            quoted_name(item).alias("name"), *[(item if v is None else v).alias(n) for n, v in rest.items()]))
+
+    apis = named("api", purpose=None, method=blank)
+    return {
+        "code_quality": F.struct(
+            quality_score(text).alias("score"), F.col("items_strength").alias("strengths"),
+            F.col("items_weakness").alias("weaknesses")),
+        "variables": F.struct(named(
+            "variable", type=F.lit("unknown"), purpose=None, transformations=none).alias("important_variables")),
+        "functions": F.struct(
+            mentioned_count(F.col("section_function"), r"(?U)(\d+)\s+functions?").alias("count"),
+            named("function", purpose=None, parameters=none, return_value=blank).alias("important_functions")),
+        "classes": F.struct(
+            mentioned_count(F.col("section_class"), r"(?U)(\d+)\s+classes?").alias("count"),
+            named("class", purpose=None, properties=none, methods=none).alias("important_classes")),
+        "external_communications": F.struct(
+            apis.alias("apis"), F.array().cast("array<struct<type:string,operations:array<string>>>").alias("databases"),
+            none.alias("file_operations")),
+        "data_transformations": F.transform("items_transformation", lambda item: F.struct(
+            item.alias("description"), blank.alias("input"), blank.alias("output"),
+            F.lit(None).cast("string").alias("type"))),
+        "architecture": F.struct(none.alias("patterns"), none.alias("anti_patterns"), none.alias("suggestions")),
+        "security": F.struct(
+            F.col("items_security").alias("vulnerabilities"), severity(F.col("section_security")).alias("severity"),
+            none.alias("mitigations")),
+        "summary": summary(F.col("section_summary")),
+    }
 
 
 def structured(answers: DataFrame) -> DataFrame:
-    """file answers -> parsed_from and one answer struct, whatever the form.
+    """file answers -> parsed_from and one column per part, whatever the form.
 
+    Parts stay separate columns: a reader of one part computes only that part.
     Missing transformation kinds are inferred from the descriptions.
     """
-    kind = lambda t: F.coalesce(t["type"], transformation_kind(F.coalesce(t["description"], F.lit(""))))
     parsed = parse_json(answers)
-    both = parsed.withColumn("answer", F.when(
-        F.col("parsed_from") == "json", F.col("answer")).otherwise(text_answer(F.col("raw")).cast(FILE_ANSWER.replace("\n", " "))))
-    return both.withColumn("answer", F.col("answer").withField(
-        "data_transformations",
-        F.transform("answer.data_transformations", lambda t: t.withField("type", kind(t)))))
+    texts = _text_parts()
+    shape = parsed.schema["answer"].dataType
+    whole = lambda n: F.when(F.col("parsed_from") == "json", F.col("answer")[n]).otherwise(texts[n].cast(shape[n].dataType))
+    with_kind = F.transform(whole("data_transformations"), lambda t: F.struct(
+        t["description"].alias("description"), t["input"].alias("input"), t["output"].alias("output"),
+        F.coalesce(t["type"], transformation_kind(F.coalesce(t["description"], F.lit("")))).alias("type")))
+    return _with_sections(parsed).select(
+        *answers.columns, "parsed_from",
+        *[(with_kind if n == "data_transformations" else whole(n)).alias(n) for n in ANSWER_COLUMNS],
+    )
 
 
 def enhanced(structured_answers: DataFrame, files: DataFrame) -> DataFrame:

@@ -228,16 +228,16 @@ def graph_metadata(answers: DataFrame) -> DataFrame:
 # --- export --------------------------------------------------------------------------
 def lineage_entries(analyses: DataFrame) -> DataFrame:
     """One entry per analysed file, defaults filled in."""
-    a = F.col("answer")
-    return analyses.filter(a.isNotNull()).select(
+    or_empty = lambda c: F.coalesce(c, F.array())
+    return analyses.select(
         "project", "file",
         F.struct(
             F.col("file").alias("file_path"), F.coalesce("language", F.lit("unknown")).alias("language"),
-            F.coalesce(a["summary"], F.lit(fv.NO_SUMMARY_EXPORT)).alias("summary"),
-            F.coalesce(a["functions"]["important_functions"], F.array()).alias("functions"),
-            F.coalesce(a["classes"]["important_classes"], F.array()).alias("classes"),
-            F.coalesce(a["data_transformations"], F.array()).alias("data_transformations"),
-            a["external_communications"].alias("external_communications"),
+            F.coalesce("summary", F.lit(fv.NO_SUMMARY_EXPORT)).alias("summary"),
+            or_empty("functions.important_functions").alias("functions"),
+            or_empty("classes.important_classes").alias("classes"),
+            or_empty("data_transformations").alias("data_transformations"),
+            "external_communications",
         ).alias("entry"))
 
 

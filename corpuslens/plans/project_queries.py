@@ -162,7 +162,7 @@ def l15(spark, sf):
 
 
 @query("l15_document_frameworks", f"""SELECT doc_id, array_to_string(f, '|') AS frameworks FROM (SELECT doc_id,
- list_filter({fv.FRAMEWORKS['python']}, x -> contains(lower(text), x)) AS f FROM documents) d WHERE len(f) > 0""")
+ list_filter({fv.FRAMEWORKS['python']}, lambda x: contains(lower(text), x)) AS f FROM documents) d WHERE len(f) > 0""")
 def l15_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(
         F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.col("text").alias("content"))
@@ -254,10 +254,10 @@ KIND = "['filter', 'map', 'reduce', 'sort', 'join', 'group', 'other'][k % 7 + 1]
 
 
 @query("r4_parse_json", AN + """SELECT file, CASE WHEN a = 0 THEN 'json' ELSE 'text' END AS parsed_from,
- CASE WHEN a = 0 THEN CAST(s AS INT) END AS score, CASE WHEN a = 0 THEN concat('f', k) END AS function_name, CASE WHEN a = 0 THEN concat('Loads ', k, '.') END AS summary FROM an""")
+ CAST(CASE WHEN a = 0 THEN s ELSE -1 END AS INT) AS score, CASE WHEN a = 0 THEN concat('f', k) END AS function_name, CASE WHEN a = 0 THEN concat('Loads ', k, '.') END AS summary FROM an""")
 def r4(spark, sf):
     return answers.parse_json(_answers(spark, sf)).select(
-        "file", "parsed_from", F.col("answer.code_quality.score").alias("score"),
+        "file", "parsed_from", F.coalesce("answer.code_quality.score", F.lit(-1)).alias("score"),
         F.get(F.col("answer.functions.important_functions"), F.lit(0))["name"].alias("function_name"), "answer.summary")
 
 
@@ -265,23 +265,22 @@ HEADERS = "['" + "', '".join(fv.SECTION_HEADERS) + "']"
 R5_NAMES = ["strength", "weakness", "function", "class", "variable", "api", "security", "summary"]
 R5_ORACLE = " UNION ALL ".join(f"""SELECT file, '{n}' AS section, CASE WHEN st = 0 OR strpos(body, chr(10)) = 0 THEN ''
  ELSE trim(substr(body, strpos(body, chr(10)) + 1), concat(' ', chr(10))) END AS text FROM (SELECT file, st,
- trim(substr(raw, st, coalesce(list_min(list_filter(list_transform({HEADERS}, h -> CASE WHEN h = '{n}' OR strpos(substr(lower(raw), st + {len(n)}), h) = 0 THEN NULL
-   ELSE strpos(substr(lower(raw), st + {len(n)}), h) + {len(n)} - 1 END), e -> e IS NOT NULL)), length(raw) + 1)), concat(' ', chr(10))) AS body
+ trim(substr(raw, st, coalesce(list_min(list_filter(list_transform({HEADERS}, lambda h: CASE WHEN h = '{n}' OR strpos(substr(lower(raw), st + {len(n)}), h) = 0 THEN NULL
+   ELSE strpos(substr(lower(raw), st + {len(n)}), h) + {len(n)} - 1 END), lambda e: e IS NOT NULL)), length(raw) + 1)), concat(' ', chr(10))) AS body
  FROM (SELECT file, raw, strpos(lower(raw), '{n}') AS st FROM an) x) y""" for n in R5_NAMES)
 
 
 @query("r5_sections", AN + R5_ORACLE)
 def r5(spark, sf):
-    raw = F.col("raw")
-    pairs = F.array(*[F.struct(F.lit(n).alias("section"), answers.section(raw, n).alias("text")) for n in R5_NAMES])
-    return _answers(spark, sf).select("file", F.explode(pairs).alias("p")).select("file", "p.section", "p.text")
+    pairs = F.array(*[F.struct(F.lit(n).alias("section"), F.col(f"section_{n}").alias("text")) for n in R5_NAMES])
+    return answers.sections(_answers(spark, sf), "raw", R5_NAMES).select("file", F.explode(pairs).alias("p")).select("file", "p.section", "p.text")
 
 
 @query("r6_list_items", AN + """SELECT file, CASE a WHEN 1 THEN concat('clear ', k, '|short|no tests|`load_', k, '` reads|severity high: key')
  WHEN 2 THEN concat('`run_', k, '` runs|"second" helps|`v_', k, '` holds size|no name here|', chr(39), 'Loader', chr(39), ' does it|"/v1/items" GET|', word, '|plain ', k, '|old hash')
  ELSE '' END AS items FROM an""")
 def r6(spark, sf):
-    return _answers(spark, sf).select("file", F.array_join(answers.list_items(F.col("raw")), "|").alias("items"))
+    return _answers(spark, sf).select("file", F.array_join(answers.list_items("raw"), "|").alias("items"))
 
 
 @query("r7_quality_score", AN + "SELECT file, CAST(CASE WHEN a = 1 THEN s ELSE 0 END AS INT) AS score FROM an WHERE a <> 0")
@@ -298,22 +297,22 @@ def _structured(spark, sf):
  CASE a WHEN 1 THEN 'no tests' ELSE '' END AS weaknesses FROM an""")
 def r8(spark, sf):
     return _structured(spark, sf).select(
-        "file", F.array_join("answer.code_quality.strengths", "|").alias("strengths"),
-        F.array_join("answer.code_quality.weaknesses", "|").alias("weaknesses"))
+        "file", F.array_join("code_quality.strengths", "|").alias("strengths"),
+        F.array_join("code_quality.weaknesses", "|").alias("weaknesses"))
 
 
-@query("r9_named_items", AN + """SELECT file, CASE a WHEN 2 THEN concat('v_', k, '|unknown') ELSE '' END AS variables,
- CASE a WHEN 0 THEN concat('f', k) WHEN 2 THEN concat('run_', k, '|second') ELSE '' END AS functions,
+@query("r9_named_items", AN + """SELECT file, CASE a WHEN 2 THEN concat('v_', k, '|unknown|Loader') ELSE '' END AS variables,
+ CASE a WHEN 0 THEN concat('f', k) WHEN 2 THEN concat('run_', k, '|second|v_', k, '|unknown|Loader') ELSE '' END AS functions,
  CAST(CASE a WHEN 0 THEN s WHEN 2 THEN s ELSE 0 END AS INT) AS function_count,
- CASE a WHEN 2 THEN 'Loader' ELSE '' END AS classes, CAST(CASE a WHEN 0 THEN NULL WHEN 2 THEN 3 ELSE 0 END AS INT) AS class_count,
- CASE a WHEN 2 THEN '/v1/items' ELSE '' END AS apis FROM an""")
+ CASE a WHEN 2 THEN 'Loader' ELSE '' END AS classes, CAST(CASE a WHEN 2 THEN 3 ELSE 0 END AS INT) AS class_count,
+ CASE a WHEN 2 THEN '/v1/items|unknown|unknown' ELSE '' END AS apis FROM an""")
 def r9(spark, sf):
     names = lambda c: F.coalesce(F.array_join(F.transform(c, lambda v: v["name"]), "|"), F.lit(""))
     return _structured(spark, sf).select(
-        "file", names("answer.variables.important_variables").alias("variables"),
-        names("answer.functions.important_functions").alias("functions"), F.col("answer.functions.count").alias("function_count"),
-        names("answer.classes.important_classes").alias("classes"), F.col("answer.classes.count").alias("class_count"),
-        names("answer.external_communications.apis").alias("apis"))
+        "file", names("variables.important_variables").alias("variables"),
+        names("functions.important_functions").alias("functions"), F.col("functions.count").alias("function_count"),
+        names("classes.important_classes").alias("classes"), F.coalesce("classes.count", F.lit(0)).alias("class_count"),
+        names("external_communications.apis").alias("apis"))
 
 
 @query("r10_security_summary", AN + f"""SELECT file, CASE a WHEN 0 THEN concat('Filter rows:filter|', word, ':', {KIND}) WHEN 2 THEN concat(word, ':', {KIND}, '|plain ', k, ':other') ELSE '' END AS steps,
@@ -322,8 +321,8 @@ def r9(spark, sf):
  CASE a WHEN 0 THEN concat('Loads ', k, '.') WHEN 1 THEN concat('Loads ', k, '.') WHEN 2 THEN concat('All fine ', k, '.') ELSE 'No summary available.' END AS summary FROM an""")
 def r10(spark, sf):
     return _structured(spark, sf).select(
-        "file", F.array_join(F.transform("answer.data_transformations", lambda t: F.concat_ws(":", t["description"], t["type"])), "|").alias("steps"),
-        F.array_join("answer.security.vulnerabilities", "|").alias("vulnerabilities"), "answer.security.severity", "answer.summary")
+        "file", F.array_join(F.transform("data_transformations", lambda t: F.concat_ws(":", t["description"], t["type"])), "|").alias("steps"),
+        F.array_join("security.vulnerabilities", "|").alias("vulnerabilities"), "security.severity", "summary")
 
 
 R11_ORACLE = "SELECT doc_id, CASE " + " ".join(
@@ -418,7 +417,7 @@ def g11(spark, sf):
 EXPORT = f"""SELECT s.project, s.project_type AS type, coalesce(s.architecture, 'Unknown') AS architecture, s.n_components, f.total_files,
  coalesce(n, 0) AS total_files_analyzed, coalesce(n, 0) AS n_entries, coalesce(fns, 0) AS n_functions FROM ({STRUCTURE}) s
  JOIN (SELECT project, count(*) AS total_files FROM pf GROUP BY project) f ON f.project = s.project
- LEFT JOIN (SELECT project, count(*) AS n, CAST(sum(CASE k % 4 WHEN 0 THEN 1 WHEN 2 THEN 2 ELSE 0 END) AS BIGINT) AS fns FROM pf WHERE has GROUP BY project) a ON a.project = s.project"""
+ LEFT JOIN (SELECT project, count(*) AS n, CAST(sum(CASE k % 4 WHEN 0 THEN 1 WHEN 2 THEN 5 ELSE 0 END) AS BIGINT) AS fns FROM pf WHERE has GROUP BY project) a ON a.project = s.project"""
 
 
 def _export(spark, sf):

@@ -7,6 +7,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -37,7 +38,7 @@ def difference(spark_df, con, sql: str) -> str | None:
 
 
 def _plain(value) -> str:
-    if value is None or value != value:
+    if pd.isna(value):
         return "\x00null"
     if isinstance(value, float):
         return f"{value:.6f}"
