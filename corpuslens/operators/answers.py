@@ -54,8 +54,8 @@ def sections(rows: DataFrame, text: str, names: list[str]) -> DataFrame:
     lowered = rows.select("*", F.lower(text).alias("lowered"))
     started = lowered.select("*", *[F.locate(n, F.col("lowered")).alias(f"start_{n}") for n in names])
     cut = started.select("*", *[F.expr(_section_sql(text, n)).alias(f"body_{n}") for n in names])
-    later_lines = lambda body: (
-        rf"CASE WHEN contains({body}, '\n') THEN {strip_sql(f"regexp_replace({body}, r'\A[^\n]*\n', '')")} ELSE '' END")
+    after_first_line = lambda body: strip_sql(f"substring({body}, locate(chr(10), {body}) + 1)")
+    later_lines = lambda body: f"CASE WHEN contains({body}, chr(10)) THEN {after_first_line(body)} ELSE '' END"
     return cut.select(*rows.columns, *[F.expr(later_lines(f"`body_{n}`")).alias(f"section_{n}") for n in names])
 
 
@@ -72,7 +72,7 @@ def list_items(text: str) -> Column:
 
     A bare mark does not count: stripping a line removes the blank after it.
     """
-    lines = rf"transform(split({text}, '\n'), l -> {strip_sql('l')})"
+    lines = f"transform(split({text}, chr(10)), l -> {strip_sql('l')})"
     marked = f"filter({lines}, l -> l rlike r'{_ITEM}')"
     return F.expr(f"transform({marked}, l -> {strip_sql(f"regexp_replace(l, r'{_ITEM}', '')")})")
 

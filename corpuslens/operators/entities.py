@@ -84,12 +84,12 @@ def function_transformations(nodes: DataFrame) -> DataFrame:
     function's number, linear in nesting depth, and never a range join.
     """
     calls = _method_calls(nodes, fv.FUNCTION_DATAFRAME_METHODS).select(
-        "path", "target", "owner", "method", "src", "bfs", F.explode("functions").alias("function_pre")
+        "path", "target", "owner", "method", "src", "bfs", F.explode("functions").alias("function_bfs")
     )
     functions = nodes.filter("kind = 'FunctionDef'").select(
-        "path", F.col("pre").alias("function_pre"), F.col("name").alias("in_function")
+        "path", F.col("bfs").alias("function_bfs"), F.col("name").alias("in_function")
     )
-    return calls.join(functions, ["path", "function_pre"]).select(
+    return calls.join(functions, ["path", "function_bfs"]).select(
         "path", "target", F.col("owner").alias("source"), F.col("method").alias("operation"),
         F.col("src").alias("details"), "in_function", "bfs",
     )
@@ -270,13 +270,13 @@ def condition_rules(nodes: DataFrame) -> DataFrame:
     is_if = F.col("kind") == "If"
     rows = nodes.filter(is_if | ((F.col("parent_kind") == "If") & (F.col("field") == "body")))
     return (
-        rows.withColumn("pre", F.when(is_if, F.col("pre")).otherwise(F.col("parent")))
-        .groupBy("path", "pre")
+        rows.withColumn("rule", F.when(is_if, F.col("bfs")).otherwise(F.col("parent")))
+        .groupBy("path", "rule")
         .agg(
             F.max(F.when(is_if, F.col("src"))).alias("condition"),
             F.array_sort(F.collect_list(F.when(~is_if, F.struct("pos", "src")))).alias("body"),
         )
-        .select("path", "pre", "condition", F.transform("body", lambda s: s.src).alias("actions"))
+        .select("path", "rule", "condition", F.transform("body", lambda s: s.src).alias("actions"))
     )
 
 
@@ -285,7 +285,7 @@ def call_rules(nodes: DataFrame) -> DataFrame:
     return nodes.filter(
         (F.col("kind") == "Call") & contains_any(F.lower("name"), fv.RULE_CALL_WORDS)
     ).select(
-        "path", "pre", F.col("callee").alias("function"), F.col("args").alias("arguments"),
+        "path", F.col("bfs").alias("rule"), F.col("callee").alias("function"), F.col("args").alias("arguments"),
         F.col("src").alias("full_call"),
     )
 
@@ -302,7 +302,7 @@ def business_rules(nodes: DataFrame) -> DataFrame:
 def file_entities(nodes: DataFrame) -> DataFrame:
     """One nested row per parsed file; a file without entities has empty arrays."""
     rules = business_rules(nodes).select(
-        "path", F.struct("pre", "type", "condition", "actions", "function", "arguments", "full_call").alias("v")
+        "path", F.struct("rule", "type", "condition", "actions", "function", "arguments", "full_call").alias("v")
     )
     frames = dataframes(nodes).select("path", F.struct("name", "df_type", "method", "source").alias("v"))
     moves = all_transformations(nodes).select("path", F.struct(*TRANSFORMATION_COLUMNS[1:]).alias("v"))

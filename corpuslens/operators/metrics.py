@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpuslens import fixed_values as fv
-from corpuslens.functions.text import basename, is_blank, split_lines
+from corpuslens.functions.text import basename, split_lines, without_indent
 
 _CONTROL = ("If", "For", "While", "Try")
 _DEFINITIONS = ("FunctionDef", "ClassDef")
@@ -25,14 +25,20 @@ def parsed(nodes: DataFrame) -> DataFrame:
 
 # --- lines ------------------------------------------------------------------
 def line_counts(files: DataFrame, id_column: str = "path", text_column: str = "content") -> DataFrame:
-    """Lines per file: total, blank, comment, code.  Row-local, so no shuffle."""
-    rows = files.select(F.col(id_column), F.when(F.col(text_column) != "", split_lines(F.col(text_column))).alias("lines"))
-    count = lambda test: F.coalesce(F.size(F.filter("lines", test)), F.lit(0))
-    counted = rows.select(
-        id_column,
-        F.coalesce(F.size("lines"), F.lit(0)).alias("lines_total"),
-        count(is_blank).alias("lines_blank"),
-        count(lambda l: l.rlike(r"(?U)^[\s\x1c-\x1f]*#")).alias("lines_comment"),
+    """Lines per file: total, blank, comment, code.
+
+    The lines of a file follow each other in one task, so the partial aggregate
+    leaves about one row per file for the shuffle, and none at all is needed when
+    the files are bucketed by their id.
+    """
+    text, line = F.col(text_column), F.col("line")
+    lines = files.select(
+        id_column, F.explode_outer(F.when(text != "", split_lines(text))).alias("line")
+    ).select(id_column, without_indent(line).alias("line"))
+    counted = lines.groupBy(id_column).agg(
+        F.count("line").cast("int").alias("lines_total"),
+        F.count_if(line == "").cast("int").alias("lines_blank"),
+        F.count_if(F.startswith(line, F.lit("#"))).cast("int").alias("lines_comment"),
     )
     return counted.withColumn("lines_code", F.expr("lines_total - lines_blank - lines_comment"))
 
@@ -59,11 +65,17 @@ def definition_counts(nodes: DataFrame) -> DataFrame:
 
 def imports(nodes: DataFrame) -> DataFrame:
     """Imported names in order of appearance, repeats kept."""
+    return parsed(nodes).filter("kind = 'Module'").select("path").join(_import_names(nodes), "path", "left").select(
+        "path", F.coalesce(F.size("import_names"), F.lit(0)).alias("imports"),
+        F.coalesce("import_names", F.array().cast("array<string>")).alias("import_names"))
+
+
+def _import_names(nodes: DataFrame) -> DataFrame:
     name = F.when(F.col("owner").isNull(), F.col("name")).otherwise(F.concat_ws(".", "owner", "name"))
     return (
-        parsed(nodes).groupBy("path")
-        .agg(F.array_sort(F.collect_list(F.when(F.col("kind") == "alias", F.struct(F.col("bfs"), name.alias("name"))))).alias("a"))
-        .select("path", F.size("a").alias("imports"), F.transform("a", lambda s: s["name"]).alias("import_names"))
+        nodes.filter("kind = 'alias'").groupBy("path")
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("bfs"), name.alias("name")))).alias("a"))
+        .select("path", F.transform("a", lambda s: s["name"]).alias("import_names"))
     )
 
 
@@ -110,11 +122,10 @@ def docstring_coverage(nodes: DataFrame) -> DataFrame:
 
 # --- maintainability --------------------------------------------------------
 def node_facts(nodes: DataFrame) -> DataFrame:
-    """Everything countable about a file, in one aggregate over its nodes."""
+    """Everything countable about a file, in one hash aggregate over its nodes."""
     is_definition = F.col("kind").isin(*_DEFINITIONS)
     is_long = (F.col("kind") == "FunctionDef") & (
         F.col("end_lineno") - F.col("lineno") > fv.DEBT_LONG_FUNCTION_LINES)
-    import_name = F.when(F.col("owner").isNull(), F.col("name")).otherwise(F.concat_ws(".", "owner", "name"))
     facts = nodes.groupBy("path").agg(
         F.min("parse_ok").alias("parse_ok"),
         _kinds("FunctionDef").alias("functions"), _kinds("ClassDef").alias("classes"),
@@ -122,14 +133,12 @@ def node_facts(nodes: DataFrame) -> DataFrame:
         _kinds("For", "While").alias("loops"),
         F.count_if(is_definition & has_docstring()).alias("with_doc"),
         F.count_if(is_long).alias("long_functions"),
-        F.array_sort(F.collect_list(
-            F.when(F.col("kind") == "alias", F.struct(F.col("bfs"), import_name.alias("name"))))).alias("aliases"),
     )
     definitions = F.col("functions") + F.col("classes")
     return facts.withColumn(
         "docstring_coverage",
         F.when(definitions == 0, 100.0).otherwise(F.try_divide(F.col("with_doc"), definitions) * 100),
-    ).withColumn("import_names", F.transform("aliases", lambda s: s["name"])).drop("aliases")
+    )
 
 
 def maintainability_score() -> Column:
@@ -158,15 +167,18 @@ def maintainability(nodes: DataFrame, files: DataFrame) -> DataFrame:
 def flat_metrics(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """The full metric row, one column per figure; a file that does not parse has
     zeros, the largest debt and an error text."""
-    facts = node_facts(nodes).join(line_counts(files), "path").join(cognitive(nodes), "path", "left")
+    facts = (
+        node_facts(nodes).join(line_counts(files), "path").join(cognitive(nodes), "path", "left")
+        .join(_import_names(nodes), "path", "left")
+    )
     ok = F.col("parse_ok")
+    names = F.coalesce("import_names", F.array().cast("array<string>"))
     zero_unless_ok = lambda c: F.when(ok, c).otherwise(F.lit(0)).alias
     return facts.select(
         "path", basename(F.col("path")).alias("name"), F.lit(".py").alias("extension"), F.lit("Python").alias("language"),
         *[zero_unless_ok(F.col(c))(c) for c in ("lines_total", "lines_code", "lines_comment", "lines_blank",
                                                 "functions", "classes")],
-        zero_unless_ok(F.size("import_names"))("imports"),
-        F.when(ok, F.col("import_names")).otherwise(F.array().cast("array<string>")).alias("import_names"),
+        F.size(names).alias("imports"), names.alias("import_names"),
         zero_unless_ok(F.col("cyclomatic"))("cyclomatic"),
         F.coalesce("cognitive", F.lit(0.0)).alias("cognitive"),
         zero_unless_ok(F.col("if_statements"))("if_statements"),

@@ -243,18 +243,15 @@ def dependencies(files: DataFrame, key: DataFrame | None = None) -> DataFrame:
 def frameworks(files: DataFrame) -> DataFrame:
     """Framework names occurring in the content, in dictionary order.
 
-    Row-local: the two fixed lists are literals of the expression; no join.
+    Map-only: the two fixed lists are one literal of the expression.  The content
+    is lowered once per file and files without a hit leave no row.
     """
-    text = F.lower("content")
-    found = None
-    for language, names in fv.FRAMEWORKS.items():
-        hits = F.filter(F.lit(names), lambda n: F.contains(F.col("lowered"), n))
-        found = (F.when if found is None else found.when)(F.col("language") == language, hits)
-    return (
-        detect_language(read_files(files)).withColumn("lowered", text)
-        .withColumn("frameworks", found).filter(F.size("frameworks") > 0)
-        .select("path", "language", "frameworks")
-    )
+    names = F.create_map(*[
+        c for language, words in fv.FRAMEWORKS.items() for c in (F.lit(language), F.lit(words))])
+    hits = F.transform(F.array(F.lower("content")), lambda text: F.filter(
+        F.try_element_at(names, F.col("language")), lambda n: F.contains(text, n)))
+    return detect_language(read_files(files)).filter(F.col("language").isin(list(fv.FRAMEWORKS))).select(
+        "path", "language", F.explode(F.filter(hits, lambda found: F.size(found) > 0)).alias("frameworks"))
 
 
 def file_facts(files: DataFrame) -> DataFrame:

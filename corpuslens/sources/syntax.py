@@ -6,12 +6,11 @@ the output of a large file leaves in pieces.  Every analysis after it is a
 DataFrame job on the node rows.
 
 Columns
-    pre, last   pre-order number, and that of the last descendant (nested sets)
-    bfs         position in breadth-first order
-    parent      `pre` of the parent; argument lists count as part of the function
+    bfs         number of the node, increasing in breadth-first order
+    parent      number of the parent; argument lists count as part of the function
     parent_kind kind of that parent
     field, pos  place in the parent
-    functions   `pre` of the enclosing functions, outermost first
+    functions   numbers of the enclosing functions, outermost first
     name        defined, assigned or imported name; called attribute
     owner       text before the called attribute; module of a from-import
     targets     plain names assigned by this value, on the value of an assignment
@@ -40,8 +39,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
-    T.StructField("pre", T.IntegerType()),
-    T.StructField("last", T.IntegerType()),
     T.StructField("bfs", T.IntegerType()),
     T.StructField("parent", T.IntegerType()),
     T.StructField("parent_kind", T.StringType()),
@@ -62,8 +59,7 @@ SCHEMA = T.StructType([
 ])
 
 _ARROW = pa.schema([
-    ("path", pa.string()), ("pre", pa.int32()), ("last", pa.int32()), ("bfs", pa.int32()),
-    ("parent", pa.int32()), ("parent_kind", pa.string()), ("field", pa.string()),
+    ("path", pa.string()), ("bfs", pa.int32()), ("parent", pa.int32()), ("parent_kind", pa.string()), ("field", pa.string()),
     ("pos", pa.int32()), ("kind", pa.string()), ("functions", pa.list_(pa.int32())),
     ("name", pa.string()), ("owner", pa.string()),
     ("targets", pa.list_(pa.string())), ("args", pa.list_(pa.string())), ("callee", pa.string()),
@@ -71,9 +67,14 @@ _ARROW = pa.schema([
     ("src", pa.string()), ("parse_ok", pa.bool_()),
 ])
 
-DEFINITIONS = ("FunctionDef", "ClassDef")
-CONTROL = ("If", "For", "While", "Try")
-_STRUCTURE = frozenset(DEFINITIONS + CONTROL + ("BoolOp", "ExceptHandler", "alias"))
+_DEFINITIONS = (ast.FunctionDef, ast.ClassDef)
+_STRUCTURE = frozenset((
+    ast.FunctionDef, ast.ClassDef, ast.If, ast.For, ast.While, ast.Try, ast.BoolOp, ast.ExceptHandler, ast.alias,
+    ast.Module,  # one row per file, so that files without definitions stay visible
+))
+# contexts and operators are shared singletons that nothing reports
+_SKIPPED_FIELDS = frozenset(("ctx", "op", "ops", "type_ignores"))
+_LEAVES = frozenset((ast.Name, ast.Constant, ast.Pass, ast.Break, ast.Continue, ast.Global, ast.Nonlocal))
 _FLUSH_ROWS = 20_000
 
 
@@ -121,105 +122,89 @@ def file_rows(path, content, entities, sql_methods, frame_methods, rule_words) -
         # rendering a deep tree may fail too: decide before the first row leaves
         rows = list(_tree_rows(path, tree, entities, sql_methods, frame_methods, rule_words))
     except (SyntaxError, ValueError, TypeError, RecursionError, MemoryError):
-        rows = [(path, 0, 0, 0, -1, None, "", -1, "ParseError", [], None, None, None, None, None, None, 1, 1, None, False)]
+        rows = [(path, 0, -1, None, "", -1, "ParseError", [], None, None, None, None, None, None, 1, 1, None, False)]
     return iter(rows)
 
 
-def _children(node: ast.AST) -> Iterator[tuple[str, int, ast.AST]]:
-    """Child nodes in field order; contexts and operators are shared singletons, never reported."""
-    skipped = (ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop)
-    for field in node._fields:
-        value = getattr(node, field, None)
-        if isinstance(value, list):
-            for pos, item in enumerate(value):
-                if isinstance(item, ast.AST) and not isinstance(item, skipped):
-                    yield field, pos, item
-        elif isinstance(value, ast.AST) and not isinstance(value, skipped):
-            yield field, 0, value
-
-
 def _tree_rows(path, tree, entities, sql_methods, frame_methods, rule_words) -> Iterator[tuple]:
-    nodes, up, place = [tree], [-1], [("", -1)]
-    leaves = (ast.Name, ast.Constant, ast.Pass, ast.alias)
-    for at, node in enumerate(nodes):        # grows while it is read: breadth-first
-        if isinstance(node, leaves):
+    """Walk breadth-first and yield the rows of kept nodes.
+
+    Leaves are visited only below parents whose direct children can be kept.
+    """
+    kept = _STRUCTURE | {ast.Call} if entities else _STRUCTURE
+    mothers = frozenset((ast.ExceptHandler, ast.arguments) + ((ast.If, ast.Assign) if entities else ()))
+    fields: dict[type, list[str]] = {}
+    queue = [(tree, -1, "", -1, ())]         # node, number of the parent, field, pos, enclosing functions
+    for at, (node, up, field, pos, inside) in enumerate(queue):   # grows while it is read
+        kind = type(node)
+        mother = queue[up] if up >= 0 else (None,) * 5
+        if kind in kept or type(mother[0]) in mothers:
+            in_arguments = type(mother[0]) is ast.arguments
+            parent_at = mother[1] if in_arguments else up
+            parent = queue[parent_at][0] if parent_at >= 0 else None
+            row = _node_row(
+                node, parent, field, in_arguments, entities, sql_methods, frame_methods, rule_words)
+            if row is not None:
+                yield (path, at, parent_at, type(parent).__name__ if parent else None, field, pos, kind.__name__,
+                       inside, *row[:6], getattr(node, "lineno", None), getattr(node, "end_lineno", None), row[6], True)
+        if kind in _LEAVES:
             continue
-        for field, pos, child in _children(node):
-            nodes.append(child)
-            up.append(at)
-            place.append((field, pos))
-
-    size = [1] * len(nodes)
-    for at in range(len(nodes) - 1, 0, -1):
-        size[up[at]] += size[at]
-    pre, free, inside = [0] * len(nodes), [1] * len(nodes), [()] * len(nodes)
-
-    for at, node in enumerate(nodes):
-        mother = up[at]
-        field, pos = place[at]
-        kind = type(node).__name__
-        if mother >= 0:
-            pre[at] = free[mother]
-            free[mother] += size[at]
-            inside[at] = inside[mother]
-            if isinstance(nodes[mother], ast.FunctionDef):
-                inside[at] += (pre[mother],)
-        free[at] = pre[at] + 1
-        in_arguments = mother >= 0 and isinstance(nodes[mother], ast.arguments)
-        parent_at = up[mother] if in_arguments else mother
-        parent_kind = type(nodes[parent_at]).__name__ if parent_at >= 0 else None
-
-        # the Module row keeps files without definitions visible
-        keep = kind in _STRUCTURE or at == 0
-        if in_arguments:
-            keep = parent_kind == "FunctionDef" and field in ("args", "defaults")
-        elif field == "body" and parent_kind == "ExceptHandler":
-            keep = True
-        name = owner = targets = args = callee = text = src = None
-        if kind in DEFINITIONS:
-            name, text = node.name, _raw_docstring(node)
-        elif kind == "alias":
-            name = node.name
-            if parent_kind == "ImportFrom":
-                owner = nodes[parent_at].module or ""
-        elif kind == "arg":
-            name = node.arg
-
-        if entities:
-            assigned = parent_kind == "Assign" and field == "value"
-            if assigned:
-                keep, src = True, ast.unparse(node)
-                targets = [t.id for t in nodes[parent_at].targets if isinstance(t, ast.Name)]
-            if kind == "Constant" and isinstance(node.value, str):
-                text = node.value
-            elif kind == "If":
-                src = ast.unparse(node.test)
-            elif kind == "Call" and isinstance(node.func, ast.Attribute):
-                name = node.func.attr
-                ruled = any(w in name.lower() for w in rule_words)
-                queried = parent_kind == "Expr" and name in sql_methods
-                if ruled:
-                    callee, src = ast.unparse(node.func), src or ast.unparse(node)
-                if assigned and (name in frame_methods or name.startswith("read_")):
-                    owner = ast.unparse(node.func.value)
-                if ruled or queried or (assigned and name.startswith("read_")):
-                    keep, args = True, [ast.unparse(a) for a in node.args]
-                    text = _literal(node.args[0]) if node.args else None
-            if parent_kind == "If" and field == "body" and kind != "If":
-                keep, src = True, ast.unparse(node)
-
-        if keep:
-            yield (
-                path, pre[at], pre[at] + size[at] - 1, at, pre[parent_at] if parent_at >= 0 else -1,
-                parent_kind, field, pos, kind, list(inside[at]), name, owner, targets, args, callee, text,
-                getattr(node, "lineno", None), getattr(node, "end_lineno", None), src, True,
-            )
+        if kind is ast.FunctionDef:
+            inside = inside + (at,)
+        if kind not in fields:
+            fields[kind] = [f for f in kind._fields if f not in _SKIPPED_FIELDS]
+        leaves_too = kind in mothers
+        for name in fields[kind]:
+            value = getattr(node, name, None)
+            if isinstance(value, list):
+                for i, item in enumerate(value):
+                    if isinstance(item, ast.AST) and (leaves_too or type(item) not in _LEAVES):
+                        queue.append((item, at, name, i, inside))
+            elif isinstance(value, ast.AST) and (leaves_too or type(value) not in _LEAVES):
+                queue.append((value, at, name, 0, inside))
+
+
+def _node_row(node, parent, field, in_arguments, entities, sql_methods, frame_methods, rule_words) -> tuple | None:
+    """(name, owner, targets, args, callee, str_value, src) of a node, None when it is not kept."""
+    name = owner = targets = args = callee = text = src = None
+    keep = type(node) in _STRUCTURE
+    if in_arguments:
+        keep = isinstance(parent, ast.FunctionDef) and field in ("args", "defaults")
+    elif field == "body" and isinstance(parent, ast.ExceptHandler):
+        keep = True
+    if isinstance(node, _DEFINITIONS):
+        name = node.name
+        first = node.body[0] if node.body else None
+        text = _literal(first.value) if isinstance(first, ast.Expr) else None
+    elif isinstance(node, ast.alias):
+        name = node.name
+        owner = (parent.module or "") if isinstance(parent, ast.ImportFrom) else None
+    elif isinstance(node, ast.arg):
+        name = node.arg
+
+    if entities:
+        assigned = field == "value" and isinstance(parent, ast.Assign)
+        if assigned:
+            keep, src, text = True, ast.unparse(node), _literal(node)
+            targets = [t.id for t in parent.targets if isinstance(t, ast.Name)]
+        if isinstance(node, ast.If):
+            src = ast.unparse(node.test)
+        elif isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute):
+            name = node.func.attr
+            ruled = any(w in name.lower() for w in rule_words)
+            queried = name in sql_methods and field == "value" and isinstance(parent, ast.Expr)
+            reads = assigned and name.startswith("read_")
+            if ruled:
+                callee, src = ast.unparse(node.func), src or ast.unparse(node)
+            if reads or (assigned and name in frame_methods):
+                owner = ast.unparse(node.func.value)
+            if ruled or queried or reads:
+                keep, args = True, [ast.unparse(a) for a in node.args]
+                text = _literal(node.args[0]) if node.args else None
+        if field == "body" and isinstance(parent, ast.If) and not isinstance(node, ast.If):
+            keep, src = True, ast.unparse(node)
+    return (name, owner, targets, args, callee, text, src) if keep else None
 
 
 def _literal(node: ast.AST) -> str | None:
     return node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else None
-
-
-def _raw_docstring(node) -> str | None:
-    first = node.body[0] if node.body else None
-    return _literal(first.value) if isinstance(first, ast.Expr) else None
