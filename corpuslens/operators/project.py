@@ -180,63 +180,83 @@ def _all_matches(pattern: str) -> Column:
     return F.regexp_extract_all("content", F.lit(pattern), F.lit(1))
 
 
+def _is_python() -> Column:
+    return F.lower(extension(F.col("path"))) == ".py"
+
+
+def _python_modules(*matches: Column) -> Column:
+    """Top-level modules, the standard ones of a fixed list left out."""
+    top = F.transform(F.concat(*matches), lambda m: F.substring_index(m, ".", 1))
+    return F.filter(F.array_distinct(top), lambda m: ~m.isin(fv.PYTHON_STD_MODULES))
+
+
+def _is_javascript() -> Column:
+    return F.lower(extension(F.col("path"))).isin(fv.JS_EXTENSIONS)
+
+
+def _javascript_packages() -> Column:
+    return F.array_union(_all_matches(fv.JS_IMPORT_PATTERN), _all_matches(fv.JS_REQUIRE_PATTERN))
+
+
+def _is_named(name: str) -> Column:
+    return basename(F.col("path")) == name
+
+
+def _manifest_keys() -> Column:
+    """Keys of dependencies and devDependencies; none when the manifest is broken."""
+    manifest = F.from_json("content", "dependencies map<string,string>, devDependencies map<string,string>")
+    keys = lambda part: F.coalesce(F.map_keys(manifest[part]), F.array().cast("array<string>"))
+    return F.when(
+        F.try_parse_json("content").isNotNull(), F.array_union(keys("dependencies"), keys("devDependencies")))
+
+
+def _required_packages() -> Column:
+    """Names of a requirements file, version marks cut off."""
+    lines = F.filter(F.split("content", "\n"), lambda l: ~F.startswith(strip(l), F.lit("#")))
+    names = F.transform(lines, lambda l: strip(F.get(F.split(strip(l), "[=<>~]"), F.lit(0))))
+    return F.filter(F.array_distinct(names), lambda n: n != "")
+
+
+def _exploded(contents: DataFrame, names: Column) -> DataFrame:
+    return contents.select("project", "path", F.explode(names).alias("dependency"))
+
+
 def python_dependencies(contents: DataFrame) -> DataFrame:
     """Imported top-level modules.  `import X` also matches the tail of a
-    from-import; such a name is kept and flagged."""
-    found = contents.filter(F.lower(extension(F.col("path"))) == ".py").select(
-        "project", "path", "content",
-        F.explode(F.concat(
-            F.transform(_all_matches(fv.PYTHON_IMPORT_PATTERN), lambda m: F.struct(m.alias("module"), F.lit("import").alias("by"))),
-            F.transform(_all_matches(fv.PYTHON_FROM_PATTERN), lambda m: F.struct(m.alias("module"), F.lit("from").alias("by"))),
-        )).alias("m"),
-    )
-    tails = F.regexp_extract_all(
-        "content", F.lit(rf"{fv.PYTHON_FROM_PATTERN}(?U:\s+)([a-zA-Z0-9_.]+)"), F.lit(2))
-    dependency = F.substring_index("m.module", ".", 1)
-    return (
-        found.select("project", "path", dependency.alias("dependency"),
-                     ((F.col("m.by") == "import") & F.array_contains(tails, F.col("m.module"))).alias("is_import_tail"))
-        .filter(~F.col("dependency").isin(fv.PYTHON_STD_MODULES))
-        .groupBy("project", "path", "dependency").agg(F.min("is_import_tail").alias("is_import_tail"))
-    )
+    from-import; a name found in no other way is kept and flagged."""
+    tail = rf"{fv.PYTHON_FROM_PATTERN}(?U:\s+)([a-zA-Z0-9_.]+)"
+    tails = F.regexp_extract_all("content", F.lit(tail), F.lit(2))
+    imported, named = _all_matches(fv.PYTHON_IMPORT_PATTERN), _all_matches(fv.PYTHON_FROM_PATTERN)
+    certain = _python_modules(F.array_except(imported, tails), named)
+    return contents.filter(_is_python()).select(
+        "project", "path", certain.alias("certain"), F.explode(_python_modules(imported, named)).alias("dependency")
+    ).select("project", "path", "dependency", (~F.array_contains("certain", F.col("dependency"))).alias("is_import_tail"))
 
 
 def javascript_dependencies(contents: DataFrame) -> DataFrame:
     """Packages imported or required, relative ones left out."""
-    return contents.filter(F.lower(extension(F.col("path"))).isin(fv.JS_EXTENSIONS)).select(
-        "project", "path",
-        F.explode(F.array_union(_all_matches(fv.JS_IMPORT_PATTERN), _all_matches(fv.JS_REQUIRE_PATTERN))).alias("dependency"),
-    )
+    return _exploded(contents.filter(_is_javascript()), _javascript_packages())
 
 
 def package_json_dependencies(contents: DataFrame) -> DataFrame:
-    """Keys of dependencies and devDependencies; a broken manifest gives nothing."""
-    manifest = F.from_json("content", "dependencies map<string,string>, devDependencies map<string,string>")
-    keys = lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>"))
-    valid = contents.filter((basename(F.col("path")) == "package.json") & F.try_parse_json("content").isNotNull())
-    return valid.select("project", "path", manifest.alias("m")).select(
-        "project", "path",
-        F.explode(F.array_union(keys(F.col("m.dependencies")), keys(F.col("m.devDependencies")))).alias("dependency"))
+    return _exploded(contents.filter(_is_named("package.json")), _manifest_keys())
 
 
 def requirements_dependencies(contents: DataFrame) -> DataFrame:
-    """Package names of a requirements file, version marks cut off."""
-    line = strip(F.col("line"))
-    name = strip(F.get(F.split(line, "[=<>~]"), F.lit(0)))
-    return (
-        contents.filter(basename(F.col("path")) == "requirements.txt")
-        .select("project", "path", F.explode(F.split("content", "\n")).alias("line"))
-        .filter(~F.startswith(line, F.lit("#")))
-        .select("project", "path", name.alias("dependency")).filter("dependency <> ''").distinct()
-    )
+    return _exploded(contents.filter(_is_named("requirements.txt")), _required_packages())
 
 
 def dependencies(files: DataFrame, key: DataFrame | None = None) -> DataFrame:
-    """Distinct (project, dependency) over the key files."""
+    """Distinct (project, dependency) over the key files, in one pass over their contents."""
     contents = _key_contents(files, key_files(files) if key is None else key)
-    parts = [python_dependencies(contents), javascript_dependencies(contents),
-             package_json_dependencies(contents), requirements_dependencies(contents)]
-    return reduce(DataFrame.unionByName, [p.select("project", "dependency") for p in parts]).distinct()
+    names = (
+        F.when(_is_python(), _python_modules(
+            _all_matches(fv.PYTHON_IMPORT_PATTERN), _all_matches(fv.PYTHON_FROM_PATTERN)))
+        .when(_is_javascript(), _javascript_packages())
+        .when(_is_named("package.json"), _manifest_keys())
+        .when(_is_named("requirements.txt"), _required_packages())
+    )
+    return _exploded(contents, names).select("project", "dependency").distinct()
 
 
 # --- frameworks and file facts ----------------------------------------------

@@ -62,3 +62,13 @@ def written(
             .bucketBy(buckets, bucket_by).saveAsTable(table)
         )
     return spark.table(table)
+
+
+def release(spark: SparkSession) -> None:
+    """Drop the tables of this application and delete their files."""
+    for table in spark.catalog.listTables():
+        if table.name.startswith("corpuslens_") and not table.isTemporary:
+            spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/corpuslens/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
