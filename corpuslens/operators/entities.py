@@ -44,10 +44,11 @@ def variable_names(nodes: DataFrame) -> DataFrame:
 
 def last_assignment(nodes: DataFrame) -> DataFrame:
     """Text last assigned to each name, in breadth-first order."""
+    literal = F.when(F.col("kind") == "Constant", F.col("str_value")).alias("literal")
     return (
         assignments(nodes).groupBy("path", "target")
-        .agg(F.max_by(F.struct("src", "str_value", "bfs"), "bfs").alias("w"))
-        .select("path", "target", "w.src", "w.bfs", "w.str_value")
+        .agg(F.max_by(F.struct(F.col("src"), literal, F.col("bfs")), "bfs").alias("w"))
+        .select("path", "target", "w.src", "w.bfs", "w.literal")
     )
 
 
@@ -204,7 +205,7 @@ def sql_entries(nodes: DataFrame) -> DataFrame:
     """
     calls = _sql_calls(nodes, fv.SQL_CALL_METHODS)
     values = last_assignment(nodes).select(
-        "path", F.col("target").alias("arg"), F.coalesce("str_value", "src").alias("assigned"),
+        "path", F.col("target").alias("arg"), F.coalesce("literal", "src").alias("assigned"),
     )
     # a name argument has the text of an assigned name; a literal never does
     resolved = calls.filter("str_value IS NULL").join(values, ["path", "arg"]).select(
@@ -363,19 +364,21 @@ def transformation_report(nodes: DataFrame) -> DataFrame:
     return all_transformations(nodes).select(*TRANSFORMATION_COLUMNS)
 
 
-def entity_report(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """Tables, files and configurations in one list, by the older rules.
+def used_queries(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, sql) by the older rules: SQL-looking lines and arguments of `.sql(name)`."""
+    lines = inline_sql_lines(files, "path", "content").select("path", F.col("line").alias("sql"))
+    called = older_sql_entries(nodes).select("path", F.col("sql_text").alias("sql"))
+    return lines.unionByName(called).filter(strip(F.col("sql")) != "")
 
-    A query is a SQL-looking line of the text or the argument of `.sql(name)`;
-    its tables name the query that used them.
-    """
+
+def entity_report(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """Tables, files and configurations in one list, by the older rules; a table
+    names the query that used it."""
     from corpuslens.operators.sqltext import query_tables, sql_tokens
 
-    lines = inline_sql_lines(files, "path", "content").select("path", F.col("line").alias("sql"))
-    called = older_sql_entries(nodes).select("path", F.col("sql_text").alias("sql"))
-    used = lines.unionByName(called).withColumn("query_id", F.sha2("sql", 256))
+    used = used_queries(nodes, files).withColumn("query_id", F.sha2("sql", 256))
     # parse each distinct text once, then give the tables back to its users
-    texts = used.filter(strip(F.col("sql")) != "").groupBy("query_id").agg(F.min("sql").alias("sql"))
+    texts = used.groupBy("query_id").agg(F.min("sql").alias("sql"))
     tables = query_tables(sql_tokens(texts)).select("query_id", F.col("table_name").alias("name"))
     table_rows = used.join(tables, "query_id").select(
         "path", F.lit("Table").alias("entity_type"), "name", F.col("sql").alias("used_in_query")

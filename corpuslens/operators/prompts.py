@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpuslens import fixed_values as fv
-from corpuslens.functions.text import basename, fill
+from corpuslens.functions.text import basename, fill, is_blank
 from corpuslens.operators import project
 
 
@@ -43,7 +43,7 @@ def subjects(queries: DataFrame, transformations: DataFrame, rules: DataFrame) -
     """Everything that gets explained: queries, transformations, business rules."""
     pick = lambda df, kind, text: df.select(F.lit(kind).alias("content_type"), text.alias("text"))
     return (
-        pick(queries.filter("trim(sql) <> ''"), "sql", F.col("sql"))
+        pick(queries.filter(~is_blank(F.col("sql"))), "sql", F.col("sql"))
         .unionByName(pick(transformations, "transformation", F.coalesce("details", F.lit(""))))
         .unionByName(pick(rules, "business_rule", F.coalesce("condition", "full_call", F.lit(""))))
     )

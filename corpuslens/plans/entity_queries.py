@@ -1,8 +1,8 @@
-"""Entities, SQL lineage, data-flow graph and explanations on pipelines rendered
+"""Entities, SQL lineage, data-flow graph and explanations on loaders rendered
 from `customer`.
 
 The checks are closed forms over the customer key (k) and nation key (n) that
-shaped each pipeline.
+shaped each loader.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from corpuslens.sources.workspace import run_folder
 
 
 def _nodes(spark, sf):
-    return corpora.written_nodes(spark, sf, "pipelines")
+    return corpora.written_nodes(spark, sf, "loaders")
 
 
 def _files(spark, sf):
-    return corpora.written_files(spark, sf, "pipelines")
+    return corpora.written_files(spark, sf, "loaders")
 
 
 def _queries(spark, sf):
@@ -35,8 +35,8 @@ def _tokens(spark, sf):
 
 
 Q, B = "chr(39)", "chr(92)"          # quote, backslash
-CU = f"""WITH cu AS (SELECT c_custkey AS k, c_nationkey AS n, {corpora.PIPELINE_PATH} AS path, {corpora.PIPELINE_METHOD} AS method,
- {corpora.PIPELINE_QUERY} AS q, concat('SELECT x, y FROM t_', c_custkey % 5) AS inl,
+CU = f"""WITH cu AS (SELECT c_custkey AS k, c_nationkey AS n, {corpora.LOADER_PATH} AS path, {corpora.LOADER_METHOD} AS method,
+ {corpora.LOADER_QUERY} AS q, concat('SELECT x, y FROM t_', c_custkey % 5) AS inl,
  concat(chr(10), 'SELECT id FROM stage_', c_custkey % 7, chr(10)) AS view_q,
  concat('data/in_', c_nationkey, '.csv') AS csv, concat('TABLE_', c_nationkey) AS cfg FROM customer)
 """
@@ -413,7 +413,7 @@ def s6(spark, sf):
 
 
 @query("s7_older_sheets", DQ + f"""SELECT 'Entities' AS sheet, count(*) AS rows FROM ({ENTITY_ROWS}) e
- UNION ALL SELECT 'Transformations', count(*) FROM (SELECT DISTINCT line FROM ({LINES}) l UNION ALL SELECT DISTINCT concat({Q}, q, {Q}) FROM cu) t""")
+ UNION ALL SELECT 'Transformations', (SELECT count(*) FROM ({LINES}) l) + (SELECT count(*) FROM cu)""")
 def s7(spark, sf):
     sheets = reports.older_sheets(_nodes(spark, sf), _files(spark, sf))
     folder = run_folder(spark, "older_sheets", sf)

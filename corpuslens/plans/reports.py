@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.operators import entities, lineage, sqltext
+from corpuslens.operators import entities, lineage, prompts, sqltext
 
 
 def scanner_sheets(nodes: DataFrame, explanations: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -26,15 +26,13 @@ def scanner_sheets(nodes: DataFrame, explanations: DataFrame | None = None) -> d
 
 
 def older_sheets(nodes: DataFrame, files: DataFrame, answers: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Entities, and Transformations: each query with its explanation."""
-    lines = entities.inline_sql_lines(files, "path", "content").select(F.col("line").alias("sql_text"))
-    called = entities.older_sql_entries(nodes).select("sql_text")
-    queries = sqltext.distinct_queries(lines.unionByName(called).filter("trim(sql_text) <> ''"))
-    explained = queries.withColumn("explanation", F.lit(None).cast("string")) if answers is None else (
-        queries.join(answers, "query_id", "left"))
+    """Entities, and Transformations: each query of each file with its explanation."""
+    used = entities.used_queries(nodes, files)
+    explained = used.withColumn("explanation", F.lit(None).cast("string")) if answers is None else (
+        prompts.attach_explanations(used, "sql", "sql", answers))
     return {
         "Entities": entities.entity_report(nodes, files),
-        "Transformations": explained.select("sql", "explanation"),
+        "Transformations": explained.select("path", "sql", "explanation"),
     }
 
 

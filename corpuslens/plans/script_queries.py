@@ -76,14 +76,14 @@ def _short(rows):
 
 # --- sources ------------------------------------------------------------------
 def _landed(spark, sf):
-    """Pipelines as real files below the shared folder; returns (folder, rows)."""
-    folder = run_folder(spark, "pipelines_on_disk", sf)
-    rows = corpora.written_files(spark, sf, "pipelines").withColumn("content", F.col("content").cast("binary"))
+    """Loaders as real files below the shared folder; returns (folder, rows)."""
+    folder = run_folder(spark, "loaders_on_disk", sf)
+    rows = corpora.written_files(spark, sf, "loaders").withColumn("content", F.col("content").cast("binary"))
     corpora.land_on_disk(rows, folder)
     return folder, rows
 
 
-LANDED = f"SELECT {corpora.PIPELINE_PATH} AS path, {corpora.PIPELINE_TEXT} AS content FROM customer"
+LANDED = f"SELECT {corpora.LOADER_PATH} AS path, {corpora.LOADER_TEXT} AS content FROM customer"
 
 
 @query("s1_read_script", f"SELECT path, 'utf-8' AS encoding, CAST(strlen(content) AS BIGINT) AS size, md5(content) AS digest, true AS read_ok FROM ({LANDED}) f")
@@ -159,10 +159,10 @@ def m2_documents(spark, sf):
     return metrics.line_counts(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text")
 
 
-@query("m3_imports", f"""SELECT {corpora.PIPELINE_PATH} AS path, CAST(3 + CAST(c_custkey % 3 = 0 AS INT) AS INT) AS imports,
+@query("m3_imports", f"""SELECT {corpora.LOADER_PATH} AS path, CAST(3 + CAST(c_custkey % 3 = 0 AS INT) AS INT) AS imports,
  concat('os|pandas|pyspark.sql.functions', CASE WHEN c_custkey % 3 = 0 THEN '|.helpers' ELSE '' END) AS import_names FROM customer""")
 def m3(spark, sf):
-    return metrics.imports(corpora.written_nodes(spark, sf, "pipelines")).withColumn(
+    return metrics.imports(corpora.written_nodes(spark, sf, "loaders")).withColumn(
         "import_names", F.array_join("import_names", "|"))
 
 

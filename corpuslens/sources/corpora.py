@@ -70,16 +70,16 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# --- pipelines: one per customer -------------------------------------------
-PIPELINE_PATH = "concat('etl/', lower(c_mktsegment), '/load_', c_custkey, '.py')"
-PIPELINE_METHOD = (
+# --- loaders: one per customer -------------------------------------------
+LOADER_PATH = "concat('etl/', lower(c_mktsegment), '/load_', c_custkey, '.py')"
+LOADER_METHOD = (
     "CASE c_custkey % 4 WHEN 0 THEN 'groupby' WHEN 1 THEN 'merge' WHEN 2 THEN 'pivot' ELSE 'filter' END"
 )
-PIPELINE_QUERY = render(
+LOADER_QUERY = render(
     "SELECT a.id AS k, SUM(v) FROM db.orders_{t} a LEFT JOIN nation_{n} n ON a.id = n.id GROUP BY a.id",
     t="c_custkey % 7", n="c_nationkey",
 )
-PIPELINE_TEXT = render(
+LOADER_TEXT = render(
     '''import os
 import pandas as pd
 from pyspark.sql import functions as F
@@ -110,22 +110,22 @@ SELECT id FROM stage_{t}
     t="c_custkey % 7",
     helpers=when("c_custkey % 3 = 0", "from . import helpers\n"),
     again=when("c_custkey % 6 = 0", "raw = raw.apply(str)\n"),
-    method=PIPELINE_METHOD,
+    method=LOADER_METHOD,
     outer=when("c_custkey % 7 = 0", """def outer(df):
     def inner(z):
         w = z.sort_values('a')
         return w
     return inner(df)
 """),
-    query=PIPELINE_QUERY,
+    query=LOADER_QUERY,
     m="c_custkey % 5",
     r="c_custkey % 3",
 )
 
 
-def pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def loaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(
-        f"{PIPELINE_PATH} AS path", f"{PIPELINE_TEXT} AS content"
+        f"{LOADER_PATH} AS path", f"{LOADER_TEXT} AS content"
     )
 
 
@@ -254,7 +254,7 @@ def project_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- written corpora -------------------------------------------------------
 def written_files(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A corpus landed as a table bucketed by path."""
-    build = {"scripts": scripts, "pipelines": pipelines}[name]
+    build = {"scripts": scripts, "loaders": loaders}[name]
     return written(spark, (f"files_{name}", sf_dir), lambda: build(spark, sf_dir), "path", redistribute=True)
 
 
@@ -264,7 +264,7 @@ def written_nodes(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     return written(
         spark, (f"nodes_{name}", sf_dir),
-        lambda: syntax_nodes(written_files(spark, sf_dir, name), entities=name == "pipelines"),
+        lambda: syntax_nodes(written_files(spark, sf_dir, name), entities=name == "loaders"),
         "path", redistribute=False,
     )
 

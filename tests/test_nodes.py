@@ -202,3 +202,9 @@ def test_one_file_holding_most_rows(spark):
     assert issues.too_many_args(issues.function_facts(nodes)).count() == 30_000
     assert entities.function_transformations(nodes).count() == 30_000
     assert metrics.cognitive(nodes).filter("path = 'big.py'").first().cognitive == 30_000.0
+
+
+def test_a_call_passed_by_name_keeps_its_text(spark):
+    text = "q = pd.read_sql('SELECT 1')\nspark.sql(q)\nr = 'SELECT 2'\nspark.sql(r)\n"
+    rows = entities.sql_entries(syntax_nodes(spark.createDataFrame([("a.py", text)], "path string, content string")))
+    assert {r.key: r.sql_text for r in rows.collect()} == {"q": "pd.read_sql('SELECT 1')", "r": "SELECT 2"}
