@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fv
-from corpuslens.functions.text import first_hit, strip, strip_sql
+from corpuslens.functions.text import basename, extension, first_hit, strip, strip_sql
 
 # --- fixed values: shape of a file answer ------------------------------------
 FILE_ANSWER = """struct<
@@ -191,12 +191,15 @@ def structured(answers: DataFrame) -> DataFrame:
 
 
 def enhanced(structured_answers: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds path facts, language and frameworks of the file that was asked about."""
+    """Adds path facts, language and frameworks of the file that was asked about.
+
+    One pass over the files gathers all of them, so contents never reach the join.
+    """
     from corpuslens.operators import project
 
-    facts = project.file_facts(files).withColumnRenamed("path", "file")
-    known = project.detect_language(project.read_files(files)).select(F.col("path").alias("file"), "language")
-    names = project.frameworks(files).select(F.col("path").alias("file"), "frameworks")
-    return (
-        structured_answers.join(known, "file", "left").join(facts, "file", "left").join(names, "file", "left")
-    )
+    read = F.col("content").isNotNull()
+    facts = project.detect_language(files).select(
+        F.col("path").alias("file"), basename(F.col("path")).alias("file_name"),
+        extension(F.col("path")).alias("file_extension"), F.when(read, F.col("language")).alias("language"),
+        F.get(project.framework_names(), F.lit(0)).alias("frameworks"))
+    return structured_answers.join(facts, "file", "left")

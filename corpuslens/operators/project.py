@@ -166,7 +166,7 @@ def key_files(files: DataFrame) -> DataFrame:
         F.col("rank") <= fv.KEY_FILE_LIMIT).select("project", "path", "tier", "rank")
 
 
-def _key_contents(files: DataFrame, key: DataFrame) -> DataFrame:
+def key_contents(files: DataFrame, key: DataFrame) -> DataFrame:
     """Contents of key files that can declare dependencies; the cheap test on the
     name runs before the join, so other contents never move."""
     ext, name = F.lower(extension(F.col("path"))), basename(F.col("path"))
@@ -248,7 +248,7 @@ def requirements_dependencies(contents: DataFrame) -> DataFrame:
 
 def dependencies(files: DataFrame, key: DataFrame | None = None) -> DataFrame:
     """Distinct (project, dependency) over the key files, in one pass over their contents."""
-    contents = _key_contents(files, key_files(files) if key is None else key)
+    contents = key_contents(files, key_files(files) if key is None else key)
     names = (
         F.when(_is_python(), _python_modules(
             _all_matches(fv.PYTHON_IMPORT_PATTERN), _all_matches(fv.PYTHON_FROM_PATTERN)))
@@ -260,18 +260,20 @@ def dependencies(files: DataFrame, key: DataFrame | None = None) -> DataFrame:
 
 
 # --- frameworks and file facts ----------------------------------------------
-def frameworks(files: DataFrame) -> DataFrame:
-    """Framework names occurring in the content, in dictionary order.
-
-    Map-only: the two fixed lists are one literal of the expression.  The content
-    is lowered once per file and files without a hit leave no row.
-    """
+def framework_names() -> Column:
+    """Framework names occurring in the content, in dictionary order; null for
+    languages without a list.  The content is lowered once per file."""
     names = F.create_map(*[
         c for language, words in fv.FRAMEWORKS.items() for c in (F.lit(language), F.lit(words))])
-    hits = F.transform(F.array(F.lower("content")), lambda text: F.filter(
+    found = F.transform(F.array(F.lower("content")), lambda text: F.filter(
         F.try_element_at(names, F.col("language")), lambda n: F.contains(text, n)))
+    return F.filter(found, lambda hits: F.size(hits) > 0)
+
+
+def frameworks(files: DataFrame) -> DataFrame:
+    """One row per file with a hit.  Map-only: the fixed lists are one literal."""
     return detect_language(read_files(files)).filter(F.col("language").isin(list(fv.FRAMEWORKS))).select(
-        "path", "language", F.explode(F.filter(hits, lambda found: F.size(found) > 0)).alias("frameworks"))
+        "path", "language", F.explode(framework_names()).alias("frameworks"))
 
 
 def file_facts(files: DataFrame) -> DataFrame:

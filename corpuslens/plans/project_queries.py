@@ -128,7 +128,7 @@ def l9(spark, sf):
 
 def _key_contents(spark, sf):
     files = _files(spark, sf)
-    return project._key_contents(files, project.key_files(files))
+    return project.key_contents(files, project.key_files(files))
 
 
 @query("l10_python_dependencies", PF + "SELECT project, path, dependency, is_import_tail FROM dp WHERE src = 'py'")
