@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from corpuslens.plans import catalog
 from tests.compare import difference, duck
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +20,8 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    catalog.load()
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
 def test_flagship(spark):
