@@ -17,7 +17,7 @@ import codecs
 import re
 import sys
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import chain
 
 import ahocorasick
@@ -29,7 +29,34 @@ from pyspark.sql import DataFrame
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPACE = "▁"
-CACHED_UNITS, CACHED_PAIRS, LONGEST_CACHED = 250_000, 500_000, 64
+CACHED_UNITS, CACHED_PAIRS, LONGEST_CACHED = 200_000, 200_000, 64
+
+# a text may be cut where no piece reaches across; the first of these that cuts no piece is used
+_CUTS = [
+    f"{SPACE}*[^\\W\\d_²³¹]+|{SPACE}*(?:[^\\w{SPACE}]|[\\d_²³¹])+|{SPACE}+",  # runs of letters and of other characters
+    f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+",                                # words
+    "(?s:.+)",
+]
+
+
+class Recent(dict):
+    """A cache of two generations: a full one becomes the old one, from which what is used again returns."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
 
 
 @dataclass(frozen=True)
@@ -71,57 +98,65 @@ def merge(text: str, score: dict[str, float]) -> list[str]:
         parts[i:i + 2] = [parts[i] + parts[i + 1]]
 
 
-@dataclass
 class Codec:
-    vocabulary: Vocabulary
-    _pairs: dict = field(default_factory=dict)
-    _units: dict = field(default_factory=dict)
-
-    def __post_init__(self):
-        self.score = {p: s for p, (_, s) in self.vocabulary.pieces.items()}
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.score = {p: s for p, (_, s) in vocabulary.pieces.items()}
         # a piece that merging never makes cannot occur
-        made = [p for p in self.score if len(p) == 1 or merge(p, self.score) == [p]]
-        self.id = {p: self.vocabulary.pieces[p][0] for p in made}
+        self.id = {p: i for p, (i, s) in vocabulary.pieces.items() if len(p) == 1 or merge(p, self.score) == [p]}
+        self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.id), None) for p in self.id}
+        cut = next(c for c in _CUTS if all(re.findall(c, p) == [p] for p in self.id))
+        self.cut = re.compile(cut).findall
+        self.letters = frozenset(p for p in self.id if len(p) == 1)
+        self.bytes_of = [b""] * vocabulary.size
+        for p, (i, _) in vocabulary.pieces.items():
+            self.bytes_of[i] = p.replace(SPACE, " ").encode()
+        for b, i in enumerate(vocabulary.byte_ids):
+            if i >= 0:
+                self.bytes_of[i] = bytes([b])
+        self.bytes_of[vocabulary.unknown_id] = " ⁇ ".encode()
+        self.spaced = {i for p, (i, _) in vocabulary.pieces.items() if p.startswith(SPACE)}
+        self.start()
+
+    def start(self) -> None:
+        """The parts that each process builds for itself."""
         self.found = ahocorasick.Automaton()
-        for p in made:
+        for p in self.id:
             self.found.add_word(p, len(p))
         self.found.make_automaton()
-        self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.id), None) for p in made}
-        # pieces hold a space only at their start, so text may be cut before every run of spaces
-        self.cut = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall if not any(
-            SPACE in p.lstrip(SPACE) for p in self.id) else lambda text: [text]
-        self.bytes_of = [b""] * self.vocabulary.size
-        for p, (i, _) in self.vocabulary.pieces.items():
-            self.bytes_of[i] = p.replace(SPACE, " ").encode()
-        for b, i in enumerate(self.vocabulary.byte_ids):
-            self.bytes_of[i] = bytes([b])
-        self.bytes_of[self.vocabulary.unknown_id] = " ⁇ ".encode()
-        self.spaced = {i for p, (i, _) in self.vocabulary.pieces.items() if p.startswith(SPACE)}
+        self._units, self._pairs = Recent(CACHED_UNITS), Recent(CACHED_PAIRS)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("found", "cut", "_units", "_pairs")} | {"cut": self.cut.__self__.pattern}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.cut = re.compile(state["cut"]).findall
+        self.start()
 
     # --- encoding -------------------------------------------------------------
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text with the end id; null is the empty text."""
         if not text:
             return [self.vocabulary.end_id]
-        units, known = self.cut(SPACE + text.replace(" ", SPACE)), self._units
-        if len(known) > CACHED_UNITS:
-            known.clear()
-        out = []
-        for unit in units:
-            ids = known.get(unit)
+        known, out = self._units, []
+        for unit in self.cut(SPACE + text.replace(" ", SPACE)):
+            ids = known[unit]
             if ids is None:
-                ids = tuple(self._unit_ids(unit))
+                ids = self._unit_ids(unit)
                 if len(unit) <= LONGEST_CACHED:
-                    known[unit] = ids
+                    known.put(unit, ids)
             out.append(ids)
         ids = list(chain.from_iterable(out))
         ids.append(self.vocabulary.end_id)
         return ids
 
-    def _unit_ids(self, unit: str) -> Iterator[int]:
-        if unit in self.id and len(unit) <= LONGEST_CACHED:
-            return iter((self.id[unit],))
-        return chain.from_iterable(self._segment_ids(s) for s in self._segments(unit))
+    def _unit_ids(self, unit: str) -> tuple[int, ...]:
+        if unit in self.id:
+            return (self.id[unit],)
+        if self.letters.issuperset(unit):
+            return tuple(map(self.id.__getitem__, self._backtrack(unit)))
+        return tuple(chain.from_iterable(map(self._segment_ids, self._segments(unit))))
 
     def _segments(self, unit: str) -> Iterator[str]:
         """Runs of characters that are pieces, and single other characters."""
@@ -145,35 +180,32 @@ class Codec:
         n = len(text)
         longest = [0] * n
         for last, length in self.found.iter(text):
-            start = last - length + 1
-            if length > longest[start]:
-                longest[start] = length
-        failed = bytearray(n // 8 + 1)
+            if length > longest[last - length + 1]:
+                longest[last - length + 1] = length
+        pairs, shorter = self._pairs, self.shorter
+        failed = bytearray(n // 8 + 1)  # bit i: what was tried before position i cannot be followed
         out: list[str] = []
-        at, piece = 0, text[:longest[0]]
-        while piece:
+        before, at, piece = None, 0, text[:longest[0]]
+        while True:
             end = at + len(piece)
-            if not failed[end >> 3] >> (end & 7) & 1 and (not out or self._together(out[-1], piece)):
-                out.append(piece)
-                at = end
-                piece = text[at:at + longest[at]] if at < n else None
-            elif self.shorter[piece]:
-                piece = self.shorter[piece]
+            if not failed[end >> 3] >> (end & 7) & 1:
+                fits = before is None or pairs[before, piece]
+                if fits is None:
+                    fits = merge(before + piece, self.score) == [before, piece]
+                    pairs.put((before, piece), fits)
+                if fits:
+                    out.append(piece)
+                    if end == n:
+                        return out
+                    before, at, piece = piece, end, text[end:end + longest[end]]
+                    continue
+            if shorter[piece]:
+                piece = shorter[piece]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
-                piece = out.pop()
+                piece = out.pop()  # it ends at the failed position, so it is cut next
                 at -= len(piece)
-                end = at + len(piece)  # now marked, so the piece is cut next
-        return out
-
-    def _together(self, left: str, right: str) -> bool:
-        key = (left, right)
-        known = self._pairs.get(key)
-        if known is None:
-            if len(self._pairs) > CACHED_PAIRS:
-                self._pairs.clear()
-            known = self._pairs[key] = merge(left + right, self.score) == [left, right]
-        return known
+                before = out[-1] if out else None
 
     # --- decoding -------------------------------------------------------------
     def decode(self, ids: Iterable[int]) -> str:
@@ -233,9 +265,9 @@ _ROWS = 256  # documents whose ids are held at a time
 
 def _map(documents: DataFrame, vocabulary: Vocabulary, shape: str, columns) -> DataFrame:
     id_type = documents.schema["doc_id"].dataType.simpleString()
+    codec = Codec(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(vocabulary)
         for batch in batches:
             for i in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(i, _ROWS)
