@@ -68,7 +68,7 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         self.find = ahocorasick.Automaton()
         for i, p in enumerate(pieces, 1):
-            self.find.add_word(p, (i, len(p)))
+            self.find.add_word(p, i << 8 | len(p))
         self.find.make_automaton()
         self.single = {p for p in pieces if len(p) == 1}
 
@@ -80,15 +80,19 @@ class Lattice:
         text = SPACE + SPACE.join(words)
         length = np.fromiter(map(len, words), int, len(words)) + 1
         at = np.concatenate([[0], np.cumsum(length)])  # place of each word's mark in the text
-        found = [(last, i, n) for last, (i, n) in self.find.iter(text)]
-        found += [(k, 0, 1) for k, c in enumerate(text) if c not in self.single]
-        m = np.array(found, int).reshape(-1, 3)
-        word = np.searchsorted(at, m[:, 0], "right") - 1
+        # (last letter, piece, length) in one number
+        found = [last << 32 | piece for last, piece in self.find.iter(text)]
+        if not self.single.issuperset(text):
+            found += [k << 32 | 1 for k, c in enumerate(text) if c not in self.single]
+        m = np.array(found, np.int64)
+        last, piece, n = m >> 32, m >> 8 & 0xFFFFFF, m & 0xFF
+        word = np.searchsorted(at, last, "right") - 1
         # a node is a place in the text plus the number of words before it
-        end = m[:, 0] + 1 + word
-        order = np.argsort(end - at[word], kind="stable")
-        end, word, piece, n = end[order], word[order], m[order, 1], m[order, 2]
-        return at[:-1] + np.arange(len(words)), length, end - n, end, end - at[word] - word, piece, word
+        offset = last + 1 - at[word]
+        order = np.argsort(offset, kind="stable")
+        word, piece, n, offset = word[order], piece[order], n[order], offset[order]
+        end = at[word] + word + offset
+        return at[:-1] + np.arange(len(words)), length, end - n, end, offset, piece, word
 
     def forward(self, words: list[str], p: np.ndarray):
         first, length, start, end, offset, piece, word = found = self.matches(words)
@@ -114,8 +118,8 @@ class Lattice:
         """The same for one word of any length: the last few nodes are kept, scaled to the largest."""
         text = SPACE + word
         ends: dict[int, list[tuple[int, int]]] = {}
-        for last, (i, n) in self.find.iter(text):
-            ends.setdefault(last + 1, []).append((i, n))
+        for last, piece in self.find.iter(text):
+            ends.setdefault(last + 1, []).append((piece >> 8, piece & 0xFF))
         for k, c in enumerate(text):
             if c not in self.single:
                 ends.setdefault(k + 1, []).append((0, 1))
@@ -201,29 +205,39 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.lattice = model, Lattice(model.pieces)
         self.row: dict[str, int] = {}
-        self.logs = self.empty = np.zeros((0, model.probability.shape[1]))
+        self.logs, self.uses = np.zeros((0, model.probability.shape[1])), np.zeros(0, int)
 
     def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text: the best posterior under equal priors."""
         words = [words_of(t) for t in texts]
         new = sorted({w for x in words for w in x if w not in self.row})
         if len(self.row) + len(new) > CACHED_WORDS:
-            new = sorted({w for x in words for w in x})
-            self.row, self.logs = {}, self.empty
+            self._forget()
+            new = sorted({w for x in words for w in x if w not in self.row})
         for i in range(0, len(new), 20_000):
             part = new[i:i + 20_000]
             self.row.update(zip(part, range(len(self.row), len(self.row) + len(part))))
             self.logs = np.concatenate([self.logs, self.lattice.log_words(part, self.model.probability)])
+            self.uses = np.concatenate([self.uses, np.zeros(len(part), int)])
         out = []
         for x in words:
             if not x or not self.model.languages:
                 out.append(("und", 0.0))
                 continue
-            total = self.logs[np.fromiter(map(self.row.__getitem__, x), int, len(x))].sum(0)
+            rows = np.fromiter(map(self.row.__getitem__, x), int, len(x))
+            self.uses[rows] += 1
+            total = self.logs[rows].sum(0)
             best = int(total.argmax())
             out.append((self.model.languages[best], float(1 / np.exp(total - total[best]).sum())))
         return out
 
+    def _forget(self) -> None:
+        """Keep the half of the cache that most texts used."""
+        kept = np.argsort(-self.uses, kind="stable")[:CACHED_WORDS // 2]
+        words = list(self.row)
+        self.row = {words[i]: k for k, i in enumerate(kept)}
+        self.logs, self.uses = self.logs[kept], np.zeros(len(kept), int)
+
 
 def languages(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every document.
