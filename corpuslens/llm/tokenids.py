@@ -43,7 +43,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 END_ID = 0
 BLOCK_IDS = 1_000_000       # a block is closed by the document that reaches this many ids
 CHUNK_BYTES = 1 << 20       # texts are cut into pre-tokens about so many bytes at a time
-TABLE_BITS = 20             # slots of the table of known pre-tokens; at most half are used
+TABLE_BITS = 21             # slots of the table of known pre-tokens; at most half are used
 
 BLOCKS = ("shard int, block int, n_ids long, ranks binary, control binary, data binary, doc_ids array<{id}>, lengths array<long>")
 
