@@ -9,8 +9,8 @@ own class.  A text scores the sum of the logarithms over its words.
 Piece probabilities come from expectation maximisation: the forward and a
 backward pass give the expected count of each piece over all segmentations of
 the training words, weighted by the words' counts in each language.  The words
-are counted by Spark over at most `TRAIN_DOCS` documents for each language (those
-with the smallest hash of their id); the expected counts are partial sums per
+are counted by Spark over about `TRAIN_DOCS` documents for each language at most
+(a share of them by the hash of their id); the expected counts are partial sums per
 batch, so that only pieces x languages numbers reach the driver.
 """
 
@@ -28,7 +28,6 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from corpuslens.llm.staging import held_out, written
 
@@ -170,10 +169,10 @@ def fit(spark: SparkSession, documents: DataFrame, pieces: list[str], most: int
     """Model of the documents that are not held out and have a language and a text."""
     known = documents.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").filter(
         "lang IS NOT NULL AND text IS NOT NULL").filter(~held_out(F.col("doc_id")))
-    # the ids are ranked without their texts, and each task keeps at most `most` of a language
-    by_hash = W.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn(
-        "rank", F.row_number().over(by_hash)).filter(F.col("rank") <= most).select("lang", "doc_id")
+    # a share of each language by the hash of the id: no language is gathered or sorted in one task
+    ids = known.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"))
+    shares = ids.groupBy("lang").agg(F.least(F.lit(most) / F.count("*"), F.lit(1.0)).alias("share"))
+    chosen = ids.join(shares, "lang").filter(F.col("h") < F.col("share") * (1 << 30)).select("lang", "doc_id")
     # written first, so that Spark knows its size and broadcasts it only if it is small
     chosen = written(spark, chosen, "language-sample")
     sample = known.join(chosen, ["lang", "doc_id"], "left_semi").select("lang", "text")
