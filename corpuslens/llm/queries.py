@@ -33,4 +33,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Import every module that registers queries."""
-    from corpuslens.llm import decontamination_queries, html_queries, language_queries, piece_queries, quality_queries, secret_queries, tokenid_queries, toxicity_queries, url_queries  # noqa: F401
+    from corpuslens.llm import decontamination_queries, html_queries, language_queries, neardup_queries, piece_queries, quality_queries, secret_queries, tokenid_queries, toxicity_queries, url_queries  # noqa: F401
