@@ -33,4 +33,20 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Import every module that registers queries."""
-    from corpuslens.llm import decontamination_queries, html_queries, language_queries, neardup_queries, piece_queries, quality_queries, secret_queries, tokenid_queries, toxicity_queries, url_queries  # noqa: F401
+    import corpus_pipeline
+    from corpuslens.llm import (  # noqa: F401
+        decontamination_queries,
+        html_queries,
+        language_queries,
+        neardup_queries,
+        piece_queries,
+        quality_queries,
+        secret_queries,
+        tokenid_queries,
+        toxicity_queries,
+        url_queries,
+    )
+
+    QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL is not None:
+        ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

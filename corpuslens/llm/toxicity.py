@@ -187,3 +187,15 @@ def toxicity_scores(documents: DataFrame, model: Model) -> DataFrame:
                 [batch.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return documents.select("doc_id", "text").mapInArrow(scored, f"doc_id {id_type}, score double, predicted int")
+
+
+def without_toxic(documents: DataFrame, model: Model) -> DataFrame:
+    """The rows, with all their columns, that the model does not predict as toxic: a map, nothing is moved."""
+    at = documents.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
+
+    return documents.mapInArrow(kept, documents.schema)
