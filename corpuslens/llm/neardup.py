@@ -9,12 +9,12 @@ texts are near duplicates if their probability Jaccard similarity
 is at least 0.8; without repeated shingles this is the Jaccard similarity.
 
 1. Sketch (a map).  Every shingle is a Poisson process of arrivals, with its
-   weight as rate, seeded by its hash; each arrival falls on one of 160 registers,
+   weight as rate, seeded by its hash; each arrival falls on one of 320 registers,
    which keep the earliest shingle.  Rounds of arrivals stop for a shingle as soon
    as its next one is later than all registers of its text.  Two texts agree in a
    register with probability J.  Texts with equal words get one 64-bit content id,
    so exact copies are one node from here on.
-2. Bands.  32 bands of 5 registers: a pair at 0.8 misses all with probability
+2. Bands.  32 bands of 5 of the registers: a pair at 0.8 misses all with probability
    3e-6.  In each band bucket every text is compared with two texts of it, those
    with the smallest and the largest id: a star, not all pairs.
 3. Links are verified by J of the whole texts, and give components.
@@ -45,8 +45,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE = 5
 SIMILARITY = 0.8
-REGISTERS, BANDS = 160, 32
-AGREEING = 105   # registers: 4.5 standard deviations below those expected at 0.8
+REGISTERS, BANDS, ROWS = 320, 32, 5
+AGREEING = 224   # registers: 4.5 standard deviations below those expected at 0.8
 BLOCK = 512
 
 _u = np.uint64
@@ -179,10 +179,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = Texts(texts)
             who = signatures([t.shingles(k) for k in range(len(texts))])
             keys = np.repeat(band[None, :], len(texts), 0)
-            rows = who.reshape(len(texts), BANDS, -1)
-            for r in range(rows.shape[2]):
+            rows = who[:, :BANDS * ROWS].reshape(len(texts), BANDS, ROWS)
+            for r in range(ROWS):
                 keys = mixed(keys * _u(0x9E3779B97F4A7C15) ^ rows[:, :, r])
-            low = (mixed(who) >> _u(48)).astype("<u2")
+            low = (mixed(who) >> _u(56)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(t.content_ids(), _LONG), pa.array(list(keys.view(np.int64)), _LONGS),
                  pa.array([s.tobytes() for s in low], pa.binary())], ["doc_id", "id", "bands", "registers"])
@@ -218,7 +218,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that agree in enough registers."""
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("registers_a", "registers_b"))
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("registers_a", "registers_b"))
         yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= AGREEING))
 
 
@@ -241,13 +241,13 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right = [r for r in group if r[3] == j] if i != j else left
         ids = np.array([r[4] for r in right], np.int64)
         component = np.array([r[5] for r in right], np.int64)
-        registers = np.frombuffer(b"".join(r[6] for r in right), "<u2").reshape(-1, REGISTERS)
+        registers = np.frombuffer(b"".join(r[6] for r in right), np.uint8).reshape(-1, REGISTERS)
         for k, r in enumerate(left):
             other = np.flatnonzero(component != r[5])
             if i == j:
                 other = other[other > k]
             if len(other):
-                agree = (registers[other] == np.frombuffer(r[6], "<u2")).sum(1)
+                agree = (registers[other] == np.frombuffer(r[6], np.uint8)).sum(1)
                 for x in ids[other[agree >= AGREEING]].tolist():
                     out_a.append(min(r[4], x))
                     out_b.append(max(r[4], x))
