@@ -296,7 +296,8 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     held = sketch.join(nodes, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     registers = written(spark, sketch.join(nodes, "id", "left_semi").groupBy("id").agg(F.first("registers").alias("registers")), "registers")
     wanted = written(spark, held.select("id", F.col("doc_id").alias("at")), "wanted")
-    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("at"))).select("id", "text").mapInArrow(_own_text, "id long, text string")
+    # always a merge join: the ids grow with the documents, so a broadcast on small tables would not show what large ones need
+    found = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("at"))).select("id", "text").mapInArrow(_own_text, "id long, text string")
     bodies = written(spark, found.groupBy("id").agg(F.first("text").alias("text")), "texts")
 
     def of(rows: DataFrame, side: str) -> DataFrame:
