@@ -19,10 +19,6 @@ def has_docstring() -> Column:
     return F.col("str_value").isNotNull() & ~F.col("str_value").rlike(_EMPTY_DOC)
 
 
-def parsed(nodes: DataFrame) -> DataFrame:
-    return nodes.filter("parse_ok")
-
-
 # --- lines ------------------------------------------------------------------
 def line_counts(files: DataFrame, id_column: str = "path", text_column: str = "content") -> DataFrame:
     """Lines per file: total, blank, comment, code.
@@ -58,14 +54,15 @@ def _kinds(*kinds: str) -> Column:
 
 
 def definition_counts(nodes: DataFrame) -> DataFrame:
-    return parsed(nodes).groupBy("path").agg(
+    """A row for every file; one that does not parse has none of anything."""
+    return nodes.groupBy("path").agg(
         _kinds("FunctionDef").alias("functions"), _kinds("ClassDef").alias("classes")
     )
 
 
 def imports(nodes: DataFrame) -> DataFrame:
     """Imported names in order of appearance, repeats kept."""
-    return parsed(nodes).filter("kind = 'Module'").select("path").join(_import_names(nodes), "path", "left").select(
+    return nodes.filter("kind IN ('Module', 'ParseError')").select("path").join(_import_names(nodes), "path", "left").select(
         "path", F.coalesce(F.size("import_names"), F.lit(0)).alias("imports"),
         F.coalesce("import_names", F.array().cast("array<string>")).alias("import_names"))
 
@@ -81,7 +78,7 @@ def _import_names(nodes: DataFrame) -> DataFrame:
 
 def cyclomatic(nodes: DataFrame) -> DataFrame:
     """Branches, loops, tries and boolean operators; no constant one is added."""
-    return parsed(nodes).groupBy("path").agg(
+    return nodes.groupBy("path").agg(
         _kinds(*_CONTROL, "BoolOp").alias("cyclomatic"),
         _kinds("If").alias("if_statements"),
         _kinds("For", "While").alias("loops"),
@@ -97,7 +94,7 @@ def cognitive(nodes: DataFrame) -> DataFrame:
     the segments one aggregate per segment is enough.
     """
     is_definition = F.col("kind").isin(*_DEFINITIONS)
-    rows = parsed(nodes).filter(F.col("kind").isin(*_DEFINITIONS, *_CONTROL, "Module"))
+    rows = nodes.filter(F.col("kind").isin(*_DEFINITIONS, *_CONTROL, "Module", "ParseError"))
     so_far = W.partitionBy("path").orderBy("bfs").rowsBetween(W.unboundedPreceding, 0)
     segments = (
         rows.withColumn("segment", F.sum(F.when(is_definition, 1).otherwise(0)).over(so_far))
@@ -110,12 +107,13 @@ def cognitive(nodes: DataFrame) -> DataFrame:
 
 
 def docstring_coverage(nodes: DataFrame) -> DataFrame:
-    """Percent of functions and classes with a docstring; 100 when there are none."""
+    """Percent of functions and classes with a docstring; 100 when there are none, 0 for a file that does not parse."""
     is_definition = F.col("kind").isin(*_DEFINITIONS)
     return (
-        parsed(nodes).groupBy("path")
-        .agg(F.count_if(is_definition).alias("n"), F.count_if(is_definition & has_docstring()).alias("with_doc"))
-        .select("path", F.when(F.col("n") == 0, 100.0).otherwise(
+        nodes.groupBy("path")
+        .agg(F.count_if(is_definition).alias("n"), F.count_if(is_definition & has_docstring()).alias("with_doc"),
+             F.min("parse_ok").alias("parse_ok"))
+        .select("path", F.when(~F.col("parse_ok"), 0.0).when(F.col("n") == 0, 100.0).otherwise(
             F.try_divide(F.col("with_doc"), F.col("n")) * 100).alias("docstring_coverage"))
     )
 
@@ -160,8 +158,11 @@ def debt_ratio() -> Column:
 
 
 def maintainability(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    facts = node_facts(parsed(nodes)).join(line_counts(files), "path")
-    return facts.select("path", maintainability_score().alias("score"), debt_ratio().alias("debt_ratio"))
+    """Score and debt of every file; 0 and 100 for one that does not parse."""
+    facts = node_facts(nodes).join(line_counts(files), "path")
+    ok = F.col("parse_ok")
+    return facts.select(
+        "path", F.when(ok, maintainability_score()).otherwise(0.0).alias("score"), F.when(ok, debt_ratio()).otherwise(100.0).alias("debt_ratio"))
 
 
 def flat_metrics(nodes: DataFrame, files: DataFrame) -> DataFrame:

@@ -135,8 +135,36 @@ def s5(spark, sf):
     return syntax_nodes(_files(spark, sf), entities=False).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+DEEP = f"""WITH f AS (SELECT {corpora.DEEP_PATH} AS path, {corpora.DEEP_TERMS} AS terms FROM supplier)
+"""
+
+
+@query("s5_deep_files", DEEP + """SELECT path, CAST(1 AS BIGINT) AS functions, CAST(1 AS BIGINT) AS assigned, true AS parse_ok,
+ CAST(4 * terms - 3 AS INT) AS rendered, md5(concat('x', repeat(' + x', CAST(terms - 1 AS INT)))) AS digest FROM f""")
+def s5_deep(spark, sf):
+    value = F.col("field") == "value"
+    return syntax_nodes(corpora.deep_files(spark, sf)).groupBy("path").agg(
+        F.count_if(F.col("kind") == "FunctionDef").alias("functions"), F.count_if(value).alias("assigned"), F.min("parse_ok").alias("parse_ok"),
+        F.max(F.when(value, F.length("src"))).alias("rendered"), F.md5(F.max(F.when(value, F.col("src")))).alias("digest"))
+
+
+@query("m10_deep_files", DEEP + """SELECT path, e AS entities, CAST(1 AS BIGINT) AS functions, CAST(4 AS INT) AS lines_code, CAST(100 AS DOUBLE) AS docstring_coverage,
+ CAST(1 AS DOUBLE) AS cognitive, CAST(0 AS BIGINT) AS issues FROM f CROSS JOIN (SELECT unnest([true, false]) AS e)""")
+def m10_deep(spark, sf):
+    files = corpora.deep_files(spark, sf)
+
+    def figures(entities: bool):
+        nodes = syntax_nodes(files, entities=entities)
+        found = issues.issues(nodes).groupBy("path").agg(F.count("*").alias("issues"))
+        return metrics.flat_metrics(nodes, files).join(found, "path", "left").select(
+            "path", F.lit(entities).alias("entities"), "functions", "lines_code", "docstring_coverage", "cognitive",
+            F.coalesce("issues", F.lit(0)).cast("bigint").alias("issues"))
+
+    return figures(True).unionByName(figures(False))
+
+
 # --- metrics ------------------------------------------------------------------
-@query("m1_definitions", FN + "SELECT path, functions, classes FROM mt WHERE NOT broken")
+@query("m1_definitions", FN + "SELECT path, CASE WHEN broken THEN 0 ELSE functions END AS functions, CASE WHEN broken THEN 0 ELSE classes END AS classes FROM mt")
 def m1(spark, sf):
     return metrics.definition_counts(_nodes(spark, sf))
 
@@ -166,27 +194,28 @@ def m3(spark, sf):
         "import_names", F.array_join("import_names", "|"))
 
 
-@query("m4_cyclomatic", FN + "SELECT path, cyc AS cyclomatic, ifs AS if_statements, loops FROM mt WHERE NOT broken")
+@query("m4_cyclomatic", FN + """SELECT path, CASE WHEN broken THEN 0 ELSE cyc END AS cyclomatic,
+ CASE WHEN broken THEN 0 ELSE ifs END AS if_statements, CASE WHEN broken THEN 0 ELSE loops END AS loops FROM mt""")
 def m4(spark, sf):
     return metrics.cyclomatic(_nodes(spark, sf))
 
 
-@query("m5_cognitive", FN + "SELECT path, CAST(defs + ctl * (ctl + 1) // 2 AS DOUBLE) AS cognitive FROM mt WHERE NOT broken")
+@query("m5_cognitive", FN + "SELECT path, CAST(CASE WHEN broken THEN 0 ELSE defs + ctl * (ctl + 1) // 2 END AS DOUBLE) AS cognitive FROM mt")
 def m5(spark, sf):
     return metrics.cognitive(_nodes(spark, sf))
 
 
-@query("m6_docstring_coverage", FN + "SELECT path, round(CAST(cov AS DOUBLE), 6) AS docstring_coverage FROM mt WHERE NOT broken")
+@query("m6_docstring_coverage", FN + "SELECT path, round(CAST(CASE WHEN broken THEN 0 ELSE cov END AS DOUBLE), 6) AS docstring_coverage FROM mt")
 def m6(spark, sf):
     return metrics.docstring_coverage(_nodes(spark, sf)).withColumn("docstring_coverage", F.round("docstring_coverage", 6))
 
 
-@query("m7_maintainability", FN + "SELECT path, round(CAST(score AS DOUBLE), 6) AS score FROM mm WHERE NOT broken")
+@query("m7_maintainability", FN + "SELECT path, round(CAST(CASE WHEN broken THEN 0 ELSE score END AS DOUBLE), 6) AS score FROM mm")
 def m7(spark, sf):
     return metrics.maintainability(_nodes(spark, sf), _files(spark, sf)).select("path", F.round("score", 6).alias("score"))
 
 
-@query("m8_debt_ratio", FN + "SELECT path, round(CAST(debt AS DOUBLE), 6) AS debt_ratio FROM mm WHERE NOT broken")
+@query("m8_debt_ratio", FN + "SELECT path, round(CAST(CASE WHEN broken THEN 100 ELSE debt END AS DOUBLE), 6) AS debt_ratio FROM mm")
 def m8(spark, sf):
     return metrics.maintainability(_nodes(spark, sf), _files(spark, sf)).select("path", F.round("debt_ratio", 6).alias("debt_ratio"))
 
@@ -199,6 +228,9 @@ def m9(spark, sf):
 FLAT = """path, regexp_extract(path, '[^/]*$') AS name,
  CASE WHEN broken THEN 0 ELSE total END AS lines_total, CASE WHEN broken THEN 0 ELSE code END AS lines_code,
  CASE WHEN broken THEN 0 ELSE functions END AS functions, CASE WHEN broken THEN 0 ELSE classes END AS classes,
+ CASE WHEN broken THEN 0 ELSE comments END AS lines_comment, CASE WHEN broken THEN 0 ELSE blank END AS lines_blank,
+ CAST(0 AS BIGINT) AS imports, CASE WHEN broken THEN 0 ELSE ifs END AS if_statements, CASE WHEN broken THEN 0 ELSE loops END AS loops,
+ round(CASE WHEN broken THEN 0 ELSE 100.0 * comments / greatest(code, 1) END, 6) AS comment_ratio,
  CASE WHEN broken THEN 0 ELSE cyc END AS cyclomatic,
  CAST(CASE WHEN broken THEN 0 ELSE defs + ctl * (ctl + 1) // 2 END AS DOUBLE) AS cognitive,
  round(CAST(CASE WHEN broken THEN 0 ELSE cov END AS DOUBLE), 6) AS docstring_coverage,
@@ -214,6 +246,9 @@ def m10(spark, sf):
     return nested.select(
         "path", "file_info.name", big("size.lines_total", "lines_total"), big("size.lines_code", "lines_code"),
         big("structure.functions", "functions"), big("structure.classes", "classes"),
+        big("size.lines_comment", "lines_comment"), big("size.lines_blank", "lines_blank"), big("structure.imports", "imports"),
+        big("complexity.if_statements", "if_statements"), big("complexity.loops", "loops"),
+        F.round("documentation.comment_ratio", 6).alias("comment_ratio"),
         big("complexity.cyclomatic", "cyclomatic"), "complexity.cognitive",
         F.round("documentation.docstring_coverage", 6).alias("docstring_coverage"),
         F.round("maintainability.score", 6).alias("score"), F.round("maintainability.debt_ratio", 6).alias("debt_ratio"),

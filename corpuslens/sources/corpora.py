@@ -251,6 +251,18 @@ def project_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.selectExpr("project", f"{PROJECT_ANSWER} AS raw")
 
 
+# --- scripts with deep expressions, one per supplier -----------------------
+DEEP_PATH = "concat('deep/sum_', s_suppkey, '.py')"
+DEEP_TERMS = "500 + 450 * (s_suppkey % 11)"
+DEEP_CONTENT = f"""concat('def f(a):', chr(10), '    \"\"\"Doc.\"\"\"', chr(10), '    return a', chr(10),
+ 'q = x', repeat(' + x', CAST({DEEP_TERMS} - 1 AS INT)), chr(10))"""
+
+
+def deep_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files(path, content): sums of 500 to 5,000 terms."""
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(f"{DEEP_PATH} AS path", f"{DEEP_CONTENT} AS content")
+
+
 # --- written corpora -------------------------------------------------------
 def written_files(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A corpus landed as a table bucketed by path."""

@@ -25,6 +25,7 @@ from __future__ import annotations
 import ast
 import gc
 import sys
+import threading
 import warnings
 from collections.abc import Callable, Iterator
 
@@ -76,7 +77,8 @@ _STRUCTURE = frozenset((
 # contexts and operators are shared singletons that nothing reports
 _SKIPPED_FIELDS = frozenset(("ctx", "op", "ops", "type_ignores"))
 _LEAVES = frozenset((ast.Name, ast.Constant, ast.Pass, ast.Break, ast.Continue, ast.Global, ast.Nonlocal))
-_FLUSH_ROWS = 20_000
+_FLUSH_ROWS, _FLUSH_CHARS = 20_000, 1 << 26
+_DEEP_STACK, _DEEP_CALLS = 512 << 20, 1_000_000
 
 
 def syntax_nodes(files: DataFrame, entities: bool = True) -> DataFrame:
@@ -100,15 +102,17 @@ def _emitter(entities: bool, call_words: tuple) -> Callable[[Iterator[pa.RecordB
         gc.disable()
         try:
             rows: list[tuple] = []
+            chars = 0
             for batch in batches:
                 for path, content in zip(batch.column(0), batch.column(1)):
                     for row in file_rows(
                         path.as_py(), content.as_py(), entities, sql_methods, frame_methods, rule_words
                     ):
                         rows.append(row)
-                        if len(rows) >= _FLUSH_ROWS:
+                        chars += _row_chars(row)
+                        if len(rows) >= _FLUSH_ROWS or chars >= _FLUSH_CHARS:
                             yield _to_batch(rows)
-                            rows = []
+                            rows, chars = [], 0
             if rows:
                 yield _to_batch(rows)
         finally:
@@ -124,14 +128,56 @@ def _to_batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def _row_chars(row: tuple) -> int:
+    """Characters of the texts that a row holds."""
+    path, args, callee, text, src = row[0], row[11], row[12], row[13], row[16]
+    return len(path or "") + len(callee or "") + len(text or "") + len(src or "") + sum(map(len, args or ()))
+
+
 def file_rows(path, content, entities, sql_methods, frame_methods, rule_words) -> Iterator[tuple]:
+    """Rows of a file.  Only what Python itself cannot parse is a ParseError: a lack
+    of memory fails the task, and a text that cannot be rendered is null."""
     try:
         tree = ast.parse(content)
-        # rendering a deep tree may fail too: decide before the first row leaves
-        rows = list(_tree_rows(path, tree, entities, sql_methods, frame_methods, rule_words))
-    except (SyntaxError, ValueError, TypeError, RecursionError, MemoryError):
-        rows = [(path, 0, -1, None, "", -1, "ParseError", [], None, None, None, None, None, None, 1, 1, None, False)]
-    return iter(rows)
+    except (SyntaxError, ValueError, TypeError, RecursionError):
+        tree = None
+    except MemoryError as error:
+        if "too complex" not in str(error):  # the parser's own limit says so; anything else is the worker's memory
+            raise
+        tree = None
+    if tree is None:
+        yield path, 0, -1, None, "", -1, "ParseError", [], None, None, None, None, None, None, 1, 1, None, False
+    else:
+        yield from _tree_rows(path, tree, entities, sql_methods, frame_methods, rule_words)
+
+
+def _source(node: ast.AST) -> str | None:
+    """Source text of a node; a deep expression is rendered on a stack of its own size."""
+    try:
+        return ast.unparse(node)
+    except RecursionError:
+        return _deep_source(node)
+
+
+def _deep_source(node: ast.AST) -> str | None:
+    found: list[str] = []
+
+    def render() -> None:
+        try:
+            found.append(ast.unparse(node))
+        except RecursionError:  # deeper than any limit: the row stays, without its text
+            pass
+
+    calls, stack = sys.getrecursionlimit(), threading.stack_size(_DEEP_STACK)
+    sys.setrecursionlimit(_DEEP_CALLS)
+    try:
+        thread = threading.Thread(target=render)
+        thread.start()
+        thread.join()
+    finally:
+        sys.setrecursionlimit(calls)
+        threading.stack_size(stack)
+    return found[0] if found else None
 
 
 def _tree_rows(path, tree, entities, sql_methods, frame_methods, rule_words) -> Iterator[tuple]:
@@ -193,24 +239,24 @@ def _node_row(node, parent, field, in_arguments, entities, sql_methods, frame_me
     if entities:
         assigned = field == "value" and isinstance(parent, ast.Assign)
         if assigned:
-            keep, src, text = True, ast.unparse(node), _literal(node)
+            keep, src, text = True, _source(node), _literal(node)
             targets = [t.id for t in parent.targets if isinstance(t, ast.Name)]
         if isinstance(node, ast.If):
-            src = ast.unparse(node.test)
+            src = _source(node.test)
         elif isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute):
             name = node.func.attr
             ruled = any(w in name.lower() for w in rule_words)
             queried = name in sql_methods and field == "value" and isinstance(parent, ast.Expr)
             reads = assigned and name.startswith("read_")
             if ruled:
-                callee, src = ast.unparse(node.func), src or ast.unparse(node)
+                callee, src = _source(node.func), src or _source(node)
             if reads or (assigned and name in frame_methods):
-                owner = ast.unparse(node.func.value)
+                owner = _source(node.func.value)
             if ruled or queried or reads:
-                keep, args = True, [ast.unparse(a) for a in node.args]
+                keep, args = True, [_source(a) for a in node.args]
                 text = _literal(node.args[0]) if node.args else None
         if field == "body" and isinstance(parent, ast.If) and not isinstance(node, ast.If):
-            keep, src = True, ast.unparse(node)
+            keep, src = True, _source(node)
     return (name, owner, targets, args, callee, text, src) if keep else None
 
 
