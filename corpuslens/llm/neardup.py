@@ -19,9 +19,10 @@ is at least 0.8; without repeated shingles this is the Jaccard similarity.
    with the smallest and the largest id: a star, not all pairs.
 3. Links are verified by J of the whole texts, and give components.
 4. The rest.  Buckets that still hold several components are searched for pairs
-   between components in blocks of at most `BLOCK` texts, by numpy inside the
+   between components in blocks of about `BLOCK` texts, by numpy inside the
    tasks; only pairs that agree in so many registers as all but 4e-6 of the pairs
-   at 0.8 do leave the task, are verified, and join the links.  No bucket is cut.
+   at 0.8 do leave the task.  They are verified where their block's texts are sent
+   once, not once for each pair, and join the links.  No bucket is cut.
 5. Components are labels that spread along the links, written every round.
 """
 
@@ -47,7 +48,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 REGISTERS, BANDS, ROWS = 320, 32, 5
 AGREEING = 224   # registers: 4.5 standard deviations below those expected at 0.8
-BLOCK = 512
+BLOCK, BLOCK_WORDS = 512, 2_000_000   # texts, and their words together, in a block
 
 _u = np.uint64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _u)
@@ -184,8 +185,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = mixed(keys * _u(0x9E3779B97F4A7C15) ^ rows[:, :, r])
             low = (mixed(who) >> _u(56)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(t.content_ids(), _LONG), pa.array(list(keys.view(np.int64)), _LONGS),
-                 pa.array([s.tobytes() for s in low], pa.binary())], ["doc_id", "id", "bands", "registers"])
+                [part.column("doc_id"), pa.array(t.content_ids(), _LONG), pa.array(t.n, _LONG), pa.array(list(keys.view(np.int64)), _LONGS),
+                 pa.array([s.tobytes() for s in low], pa.binary())], ["doc_id", "id", "n_words", "bands", "registers"])
 
 
 def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,13 +230,14 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = [batch.column(c).to_pylist() for c in ("band", "i", "j", "own", "id", "component", "registers")]
             yield from zip(*columns)
 
-    out_a: list[int] = []
-    out_b: list[int] = []
+    out: list[tuple] = []
 
     def full() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(out_a, _LONG), pa.array(out_b, _LONG)], ["a", "b"])
+        columns = zip(*out) if out else [()] * 5
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, kind) for c, kind in zip(columns, (_LONG, _LONG, _LONG, pa.int32(), pa.int32()))], ["a", "b", "band", "i", "j"])
 
-    for (_, i, j), group in groupby(rows(), key=lambda r: r[:3]):
+    for (band, i, j), group in groupby(rows(), key=lambda r: r[:3]):
         group = list(group)
         left = [r for r in group if r[3] == i]
         right = [r for r in group if r[3] == j] if i != j else left
@@ -248,15 +250,38 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 other = other[other > k]
             if len(other):
                 agree = (registers[other] == np.frombuffer(r[6], np.uint8)).sum(1)
-                for x in ids[other[agree >= AGREEING]].tolist():
-                    out_a.append(min(r[4], x))
-                    out_b.append(max(r[4], x))
-        if len(out_a) >= 10_000:
+                out += [(min(r[4], x), max(r[4], x), band, i, j) for x in ids[other[agree >= AGREEING]].tolist()]
+        if len(out) >= 10_000:
             yield full()
-            out_a, out_b = [], []
+            out = []
     yield full()
 
 
+def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of pairs, which follow the texts of their (band, i, j) cell."""
+    cell, texts, sets, held = None, {}, {}, 0
+    for batch in batches:
+        good: list[tuple[int, int]] = []
+        columns = [batch.column(c).to_pylist() for c in ("band", "i", "j", "a", "b")]
+        for k, (band, i, j, a, b) in enumerate(zip(*columns)):
+            if cell != (band, i, j):
+                cell, texts, sets, held = (band, i, j), {}, {}, 0
+            if b is None:
+                texts[a] = batch.column("text")[k].as_py()
+                continue
+            for x in (a, b):
+                if x not in sets:
+                    if held > BLOCK_WORDS:
+                        sets, held = {}, 0
+                    sets[x] = Texts([texts[x]]).shingles(0)
+                    held += len(sets[x][0])
+            if a not in sets:  # forgotten for the other
+                sets[a] = Texts([texts[a]]).shingles(0)
+            if similarity(sets[a], sets[b]) >= SIMILARITY - 1e-9:
+                good.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in good], _LONG), pa.array([b for _, b in good], _LONG)], ["a", "b"])
+
+
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """id, component (its smallest id) of every node of links(a, b), by labels that spread and jump."""
     ways = written(spark, links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
@@ -286,11 +311,11 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """
     id_type = documents.schema["doc_id"].dataType.simpleString()
     texts = documents.select("doc_id", "text")
-    sketch = written(spark, texts.mapInArrow(_sketch, f"doc_id {id_type}, id long, bands array<long>, registers binary"), "sketch")
+    sketch = written(spark, texts.mapInArrow(_sketch, f"doc_id {id_type}, id long, n_words long, bands array<long>, registers binary"), "sketch")
     # band buckets with several texts
-    cells = sketch.filter("id IS NOT NULL").select("id", F.explode("bands").alias("band"))
+    cells = sketch.filter("id IS NOT NULL").select("id", "n_words", F.explode("bands").alias("band"))
     buckets = cells.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
-    members = written(spark, cells.join(buckets, "band").select("band", "id", "low", "high").distinct(), "members")
+    members = written(spark, cells.join(buckets, "band").select("band", "id", "n_words", "low", "high").distinct(), "members")
     # what is known of the texts in them: the registers and the text, one row each
     nodes = members.select("id").distinct()
     held = sketch.join(nodes, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
@@ -315,18 +340,26 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     links = written(spark, verified(stars), "star-links")
     first = components(spark, links)
     # buckets that still hold several components
-    placed = written(spark, members.select("band", "id").join(first, "id", "left").select(
-        "band", "id", F.coalesce("component", "id").alias("component")), "placed")
-    open_ = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter(
-        "low <> high").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = written(spark, members.select("band", "id", "n_words").join(first, "id", "left").select(
+        "band", "id", "n_words", F.coalesce("component", "id").alias("component")), "placed")
+    open_ = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.greatest(
+        F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_words") / BLOCK_WORDS)).cast("int").alias("blocks")).filter("low <> high").select("band", "blocks")
     own = placed.join(open_, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # each text meets every block once, as the smaller or the larger one
     meets = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
     dealt = meets.join(registers, "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    rest = dealt.select("band", "i", "j", "own", "id", "component", "registers").mapInArrow(_between, "a long, b long").distinct()
-    rest = written(spark, rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    more = written(spark, verified(rest), "rest-links")
+    pairs = dealt.select("band", "i", "j", "own", "id", "component", "registers").mapInArrow(
+        _between, "a long, b long, band long, i int, j int")
+    # a pair of several bands is verified in one of them
+    pairs = pairs.groupBy("a", "b").agg(F.min(F.struct("band", "i", "j")).alias("cell")).select("a", "b", "cell.*")
+    rest = written(spark, pairs.join(stars, ["a", "b"], "left_anti"), "rest")
+    sent = rest.select("band", "i", "j", F.explode(F.array("a", "b")).alias("id")).distinct().join(bodies, "id").select(
+        "band", "i", "j", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    asked = rest.select("band", "i", "j", "a", "b", F.lit(None).cast("string").alias("text"))
+    by_cell = sent.unionByName(asked).repartition("band", "i", "j").sortWithinPartitions(
+        "band", "i", "j", F.col("b").isNotNull(), "a", "b")
+    more = written(spark, by_cell.mapInArrow(_verify_cells, "a long, b long"), "rest-links")
     final = components(spark, links.unionByName(more))
     rows = sketch.select("doc_id", "id").join(final, "id", "left").select(
         "doc_id", "id", F.coalesce("component", "id").alias("component"))

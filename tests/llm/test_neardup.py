@@ -99,6 +99,7 @@ def check(spark, texts, partitions=6):
 
 def test_a_large_near_group_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK", 50)  # several blocks in a bucket
+    monkeypatch.setattr(nd, "BLOCK_WORDS", 4000)  # and sets that are forgotten
     want = check(spark, group(1))
     assert 5 < len(set(want)) < len(want)
 
