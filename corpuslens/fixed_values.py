@@ -181,7 +181,7 @@ ISSUE_RULES = {
         "Empty except blocks hide errors. Either handle the exception properly or log it.",
     ),
     "mutable_default": (
-        7, "MEDIUM", "Bug Risk", None, "Mutable default argument in function '%s'",
+        6, "MEDIUM", "Bug Risk", None, "Mutable default argument in function '%s'",
         "Using mutable objects as default arguments can lead to unexpected behavior. Use None instead.",
     ),
 }
@@ -195,6 +195,7 @@ SECTION_HEADERS = [
 ]
 NO_SUMMARY = "No summary available."
 NO_SUMMARY_EXPORT = "No summary available"
+UNKNOWN_FILE = "Unknown"
 
 # --- fixed values: transformation kind by words of its description ---------
 TRANSFORMATION_KINDS = [

@@ -241,7 +241,9 @@ def older_sql_entries(nodes: DataFrame) -> DataFrame:
     firsts = assignments(nodes).filter("target_pos = 0").select(
         "path", F.col("target").alias("key"), "bfs", F.col("src").alias("assigned"), F.lit(False).alias("is_call")
     )
-    calls = _sql_calls(nodes, fv.OLDER_SQL_CALL_METHODS).filter(F.col("arg").rlike(r"(?U)^[^\W\d]\w*$")).select(
+    # the three constants that look like names are none
+    named = F.col("arg").rlike(r"(?U)^[^\W\d]\w*$") & ~F.col("arg").isin("None", "True", "False")
+    calls = _sql_calls(nodes, fv.OLDER_SQL_CALL_METHODS).filter(named).select(
         "path", F.col("arg").alias("key"), "bfs", F.lit(None).cast("string").alias("assigned"),
         F.lit(True).alias("is_call"),
     )

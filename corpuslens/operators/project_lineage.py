@@ -30,7 +30,6 @@ PROJECT_ANSWER = """struct<project_type: string, main_languages: array<string>,
 _SHAPE = PROJECT_ANSWER.replace("\n", " ")
 _DEPENDENCY = "array<struct<name: string, purpose: string, type: string>>"
 _NODE = ["node_id", "label", "type", "size", "purpose", "description", "language", "dep_type"]
-EXPORT_PART_FILES = 1000
 
 _strings = lambda c: F.coalesce(c, F.array().cast("array<string>"))
 
@@ -130,20 +129,20 @@ def _elements(parsed: DataFrame, column: str) -> DataFrame:
     return parsed.select("project", F.posexplode(column).alias("i", "e")).withColumn("j", F.lit(-1))
 
 
-def graph_nodes(answers: DataFrame, analyses: DataFrame) -> DataFrame:
-    """Numbered vertices: the root, each component followed by its analysed files,
-    sources, transformations, sinks, dependencies.
+def graph_nodes(structures: DataFrame, analyses: DataFrame) -> DataFrame:
+    """Numbered vertices of every project's structure: the root, each component
+    followed by its analysed files, sources, transformations, sinks, dependencies.
 
-    All vertices of a project come out of one answer row, so the numbering
-    window is as small as that answer.
+    All vertices of a project come out of one structure row, so the numbering
+    window is as small as that row.
     """
-    parsed = parse_projects(answers).filter("a IS NOT NULL")
+    parsed = structures
     i = F.col("i")
     number = lambda word: F.concat(F.lit(f"{word}_"), i.cast("string"))
     root = _part(
         parsed.withColumn("i", F.lit(-1)).withColumn("j", F.lit(-1)), 0, "project", 30, F.lit("project_root"),
-        F.coalesce("a.project_type", F.lit("Unknown Project")))
-    components = _elements(parsed, "a.key_components")
+        F.coalesce("project_type", F.lit("Unknown Project")))
+    components = _elements(parsed, "key_components")
     component = _part(
         components, 1, "component", 20, number("component"),
         F.coalesce("e.name", F.concat(F.lit("Component "), i.cast("string"))), purpose=F.coalesce("e.purpose", F.lit("")))
@@ -154,14 +153,13 @@ def graph_nodes(answers: DataFrame, analyses: DataFrame) -> DataFrame:
     file_rows = _part(files, 1, "file", 10, F.lit(None).cast("string"), basename(F.col("file")),
                       language=F.coalesce("language", F.lit("unknown")))
     e = F.col("e")
-    source = _part(_elements(parsed, "a.data_flow.sources"), 2, "data_source", 15, number("source"), _label(e, "Source", i))
-    step = _part(_elements(parsed, "a.data_flow.transformations"), 3, "data_transformation", 12, number("transform"),
+    source = _part(_elements(parsed, "data_flow.sources"), 2, "data_source", 15, number("source"), _label(e, "Source", i))
+    step = _part(_elements(parsed, "data_flow.transformations"), 3, "data_transformation", 12, number("transform"),
                  _label(e, "Transform", i), description=F.coalesce(_member(e, "description", F.lit("")), F.lit("")))
-    sink = _part(_elements(parsed, "a.data_flow.sinks"), 4, "data_sink", 15, number("sink"), _label(e, "Sink", i))
+    sink = _part(_elements(parsed, "data_flow.sinks"), 4, "data_sink", 15, number("sink"), _label(e, "Sink", i))
     dependency = _part(
-        _elements(parsed, "a.dependencies"), 5, "dependency", 8, number("dependency"), _label(e, "Dependency", i),
-        purpose=F.coalesce(_member(e, "purpose", F.lit("")), F.lit("")),
-        dep_type=F.coalesce(_member(e, "type", F.lit("library")), F.lit("library")))
+        _elements(parsed, "dependencies"), 5, "dependency", 8, number("dependency"), F.col("e.name"),
+        purpose=F.col("e.purpose"), dep_type=F.col("e.type"))
     rows = reduce(DataFrame.unionByName, [root, component, file_rows, source, step, sink, dependency])
     in_order = W.partitionBy("project").orderBy("section", "i", "j")
     return (
@@ -217,22 +215,27 @@ def sink_edges(nodes: DataFrame) -> DataFrame:
     return graph_edges(nodes).filter("target_type = 'data_sink'").drop("target_type")
 
 
-def graph_metadata(answers: DataFrame) -> DataFrame:
-    return parse_projects(answers).filter("a IS NOT NULL").select(
-        "project", F.coalesce("a.project_type", F.lit("Unknown Project")).alias("project_type"),
-        _strings(F.col("a.main_languages")).alias("main_languages"),
-        F.coalesce("a.architecture", F.lit("Unknown")).alias("architecture"),
-        F.coalesce("a.summary", F.lit("")).alias("summary"))
+def graph_metadata(structures: DataFrame) -> DataFrame:
+    return structures.select(
+        "project", F.coalesce("project_type", F.lit("Unknown Project")).alias("project_type"),
+        _strings(F.col("main_languages")).alias("main_languages"),
+        F.coalesce("architecture", F.lit("Unknown")).alias("architecture"),
+        F.coalesce("summary", F.lit("")).alias("summary"))
 
 
 # --- export --------------------------------------------------------------------------
+def succeeded(analyses: DataFrame) -> DataFrame:
+    """Analyses without an error; a table without the column `error` holds no failed ones."""
+    return analyses.filter("error IS NULL") if "error" in analyses.columns else analyses
+
+
 def lineage_entries(analyses: DataFrame) -> DataFrame:
-    """One entry per analysed file, defaults filled in."""
+    """One entry for each file whose analysis succeeded, defaults filled in."""
     or_empty = lambda c: F.coalesce(c, F.array())
-    return analyses.select(
+    return succeeded(analyses).select(
         "project", "file",
         F.struct(
-            F.col("file").alias("file_path"), F.coalesce("language", F.lit("unknown")).alias("language"),
+            F.coalesce("file", F.lit(fv.UNKNOWN_FILE)).alias("file_path"), F.coalesce("language", F.lit("unknown")).alias("language"),
             F.coalesce("summary", F.lit(fv.NO_SUMMARY_EXPORT)).alias("summary"),
             or_empty("functions.important_functions").alias("functions"),
             or_empty("classes.important_classes").alias("classes"),
@@ -241,26 +244,14 @@ def lineage_entries(analyses: DataFrame) -> DataFrame:
         ).alias("entry"))
 
 
-def lineage_export(structures: DataFrame, analyses: DataFrame) -> DataFrame:
-    """project, part, parts, lineage: the nested export document.
+def lineage_headers(structures: DataFrame, analyses: DataFrame) -> DataFrame:
+    """project and header: the nested document of a project but for its files.
 
-    A project of up to 1000 files is one document.  A larger one is split into
-    parts by a hash of the file, each a complete document with its share of
-    `file_analyses`; no part gathers more than its share, none is left out.
+    The number of analysed files counts failed analyses too.
     """
-    totals = analyses.groupBy("project").agg(F.count("*").alias("total_files_analyzed"))
-    sized = structures.join(totals, "project", "left").withColumn(
-        "total_files_analyzed", F.coalesce("total_files_analyzed", F.lit(0))
-    ).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("total_files_analyzed") / EXPORT_PART_FILES)).cast("int"))
-    entries = (
-        lineage_entries(analyses).join(sized.select("project", "parts"), "project")
-        .withColumn("part", F.pmod(F.xxhash64("file"), F.col("parts")).cast("int"))
-        .groupBy("project", "part").agg(F.array_sort(F.collect_list("entry")).alias("file_analyses"))
-    )
-    headers = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    joined = headers.join(entries, ["project", "part"], "left")
-    return joined.select(
-        "project", "part", "parts",
+    totals = analyses.groupBy("project").agg(F.count("*").alias("n"))
+    return structures.join(totals, "project", "left").select(
+        "project",
         F.struct(
             F.struct(
                 F.coalesce("project_type", F.lit("Unknown")).alias("type"),
@@ -271,10 +262,25 @@ def lineage_export(structures: DataFrame, analyses: DataFrame) -> DataFrame:
             ).alias("project"),
             "code_lineage", "technical_stack", "dependencies", "data_flow", F.col("key_components").alias("components"),
             "legacy_aspects", "modernization_opportunities",
-            F.coalesce("file_analyses", F.array()).alias("file_analyses"),
             F.struct(
                 F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("generated_at"),
-                "total_files_analyzed", F.struct("total_files", "languages").alias("file_stats"),
+                F.coalesce("n", F.lit(0)).alias("total_files_analyzed"), F.struct("total_files", "languages").alias("file_stats"),
             ).alias("metadata"),
-        ).alias("lineage"),
+        ).alias("header"),
     )
+
+
+def lineage_export(structures: DataFrame, analyses: DataFrame) -> DataFrame:
+    """project, record, file, document (JSON): the nested export as records.
+
+    One `header` record for each project and one `file` record for each entry of
+    its `file_analyses`, the same at every size: nothing is gathered by project,
+    so a project that holds a third of all files is spread over all tasks.
+    Records of a project without a structure are left out, as it has no document.
+    """
+    headers = lineage_headers(structures, analyses).select(
+        "project", F.lit("header").alias("record"), F.lit(None).cast("string").alias("file"), F.to_json("header").alias("document"))
+    # the right side is unique by project, so a hot project is split by adaptive execution
+    files = lineage_entries(analyses).join(structures.select("project"), "project", "left_semi").select(
+        "project", F.lit("file").alias("record"), "file", F.to_json("entry").alias("document"))
+    return headers.unionByName(files)

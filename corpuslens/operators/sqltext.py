@@ -7,7 +7,7 @@ distinct first, so a text used in a third of all files is read once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -19,6 +19,8 @@ _TOKEN = (
     r"(?U)\s*+(?:--[^\n]*+|/\*(?s:.*?)\*/|'(?:[^']++|'')*+'"
     rf"|{_NAME}(?:\.(?:{_NAME}|\*))*+|\d+(?:\.\d+)?|<>|!=|<=|>=|\|\||\S)"
 )
+# literals, quoted names and comments that end; a doubled quote is two literals side by side
+_CLOSED = r"'[^']*+'|\"[^\"]*+\"|`[^`]*+`|--[^\n]*+|/\*(?s:.*?)\*/"
 _IDENTIFIER = rf"(?U)^{_NAME}(?:\.(?:{_NAME}|\*))*$"
 _CLAUSES = ["SELECT", "FROM", "JOIN", "WHERE", "ON", "USING", "GROUP", "ORDER", "HAVING", "LIMIT", "UNION",
             "INTERSECT", "EXCEPT", "SET", "VALUES", "INTO", "WINDOW", "QUALIFY"]
@@ -152,8 +154,19 @@ def query_edges(queries: DataFrame, tables: DataFrame) -> DataFrame:
     )
 
 
+def reading_error() -> Column:
+    """What is wrong with a text that cannot be read whole, else null; a blank text is no error."""
+    bare = F.regexp_replace("sql", _CLOSED, " ")
+    count = lambda c: F.length(bare) - F.length(F.replace(bare, F.lit(c), F.lit("")))
+    return (
+        F.when(F.contains(bare, F.lit("'")) | F.contains(bare, F.lit('"')) | F.contains(bare, F.lit("`")), "a quote is not closed")
+        .when(F.contains(bare, F.lit("/*")), "a comment is not closed")
+        .when(count("(") > count(")"), "a bracket is not closed").when(count("(") < count(")"), "a bracket is not open")
+    )
+
+
 def query_analysis(queries: DataFrame) -> DataFrame:
-    """Per query: tables, columns, transformations; empty arrays and an error when there is nothing to read."""
+    """Per query: tables, columns, transformations (empty arrays for a blank text), and what keeps it from being read whole."""
     tokens = sql_tokens(queries)
     tables = query_tables(tokens).groupBy("query_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "table_name"))), lambda s: s.table_name).alias("tables"))
@@ -170,7 +183,7 @@ def query_analysis(queries: DataFrame) -> DataFrame:
             "query_id",
             F.coalesce("tables", empty).alias("tables"), F.coalesce("columns", empty).alias("columns"),
             F.coalesce("transformations", F.array()).alias("transformations"),
-            F.when(is_blank(F.col("sql")), F.lit("empty query")).alias("error"),
+            reading_error().alias("error"),
         )
     )
 

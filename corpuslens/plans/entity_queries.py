@@ -316,10 +316,12 @@ def q7(spark, sf):
 @query("q8_query_analysis", DQ + f"""SELECT query_id, CASE WHEN key = 'q' THEN concat(t1, '|', t2) ELSE t1 END AS tables,
  CASE key WHEN 'q' THEN 'id|SUM' WHEN 'view' THEN 'id' ELSE 'x|y' END AS columns, CAST(CASE WHEN key = 'q' THEN 3 ELSE 0 END AS INT) AS n_transformations,
  CAST(NULL AS VARCHAR) AS error FROM dq
- UNION ALL SELECT DISTINCT sha256(repeat(' ', CAST(k % 4 AS INT))), '', '', CAST(0 AS INT), 'empty query' FROM cu""")
+ UNION ALL SELECT DISTINCT sha256(repeat(' ', CAST(k % 4 AS INT))), '', '', CAST(0 AS INT), NULL FROM cu
+ UNION ALL SELECT DISTINCT sha256(concat('SELECT a FROM (t', k % 5)), '', 'a', CAST(0 AS INT), 'a bracket is not closed' FROM cu""")
 def q8(spark, sf):
     blank = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("repeat(' ', cast(c_custkey % 4 as int)) AS sql_text")
-    texts = entities.sql_entries(_nodes(spark, sf)).select("sql_text").unionByName(blank)
+    open_ = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("concat('SELECT a FROM (t', c_custkey % 5) AS sql_text")
+    texts = entities.sql_entries(_nodes(spark, sf)).select("sql_text").unionByName(blank).unionByName(open_)
     return sqltext.query_analysis(sqltext.distinct_queries(texts)).select(
         "query_id", F.array_join("tables", "|").alias("tables"), F.array_join("columns", "|").alias("columns"),
         F.size("transformations").alias("n_transformations"), "error")
@@ -361,6 +363,11 @@ def g4(spark, sf):
     return lineage.vertex_labels(lineage.vertices(entities.dataframes(_nodes(spark, sf)), _query_edges(spark, sf)))
 
 
+@query("g4_edge_labels", DQ + f"SELECT DISTINCT source, target, operation AS label FROM ({MAPPING}) m")
+def g4_edges(spark, sf):
+    return lineage.edge_labels(lineage.unique_edges(entities.dataframes(_nodes(spark, sf)), _query_edges(spark, sf)))
+
+
 @query("g4_page_labels", f"SELECT url AS id, {SHORT.replace('id', 'url')} FROM pages")
 def g4_pages(spark, sf):
     return lineage.vertex_labels(spark.read.parquet(f"{sf}/pages.parquet").select(F.col("url").alias("id")))

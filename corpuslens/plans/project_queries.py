@@ -349,13 +349,19 @@ def _analyses(spark, sf):
     return _structured(spark, sf).join(known, "file")
 
 
+def _project_structures(spark, sf):
+    return project_lineage.project_structures(corpora.project_answers(spark, sf), _files(spark, sf))
+
+
 def _graph(spark, sf):
-    return project_lineage.graph_nodes(corpora.project_answers(spark, sf), _analyses(spark, sf))
+    return project_lineage.graph_nodes(_project_structures(spark, sf), _analyses(spark, sf))
 
 
 GN = PA + """, fl AS (SELECT path AS file, language, name FROM lg WHERE has), js AS (SELECT * FROM pa WHERE is_json),
  raw_nodes AS (
- SELECT project, 0 AS sec, 0 AS i, -1 AS j, 'project_root' AS id, concat('web ', k) AS label, 'project' AS type, 30 AS size, NULL AS purpose, NULL AS description, NULL AS language, NULL AS dep_type FROM js
+ SELECT project, 0 AS sec, 0 AS i, -1 AS j, 'project_root' AS id, CASE WHEN is_json THEN concat('web ', k) ELSE 'Unknown' END AS label, 'project' AS type, 30 AS size, NULL AS purpose, NULL AS description, NULL AS language, NULL AS dep_type FROM pa
+ UNION ALL SELECT pa.project, 5, rank - 1, -1, concat('dependency_', rank - 1), dependency, 'dependency', 8, 'Unknown', NULL, NULL, CASE WHEN is_json THEN 'library' ELSE 'Unknown' END
+   FROM pa JOIN dr ON dr.project = pa.project WHERE rank <= CASE WHEN NOT is_json THEN 10 WHEN x % 2 = 1 THEN 0 ELSE 20 END
  UNION ALL SELECT project, 1, 0, -1, 'component_0', 'core', 'component', 20, 'main', NULL, NULL, NULL FROM js
  UNION ALL SELECT project, 1, 0, 0, NULL, name, 'file', 10, NULL, NULL, language, NULL FROM js JOIN fl ON file = first_file
  UNION ALL SELECT project, 1, 1, -1, 'component_1', 'Component 1', 'component', 20, '', NULL, NULL, NULL FROM js
@@ -407,43 +413,64 @@ def g10(spark, sf):
     return project_lineage.node_table(_graph(spark, sf)).select("project", "node_index", "id", "label")
 
 
-@query("g11_graph_metadata", PA + """SELECT project, concat('web ', k) AS project_type, 'python|sql' AS main_languages,
- CASE WHEN x % 2 = 0 THEN 'mvc' ELSE 'Unknown' END AS architecture, concat('fine ', k) AS summary FROM pa WHERE is_json""")
+@query("g11_graph_metadata", PA + f"""SELECT project, project_type, main_languages, coalesce(architecture, 'Unknown') AS architecture, summary FROM ({STRUCTURE}) s""")
 def g11(spark, sf):
-    return project_lineage.graph_metadata(corpora.project_answers(spark, sf)).withColumn(
+    return project_lineage.graph_metadata(_project_structures(spark, sf)).withColumn(
         "main_languages", F.array_join("main_languages", "|"))
 
 
-EXPORT = f"""SELECT s.project, s.project_type AS type, coalesce(s.architecture, 'Unknown') AS architecture, s.n_components, f.total_files,
- coalesce(n, 0) AS total_files_analyzed, coalesce(n, 0) AS n_entries, coalesce(fns, 0) AS n_functions FROM ({STRUCTURE}) s
+# every eleventh analysis failed: it is counted, but has no record
+EXPORT = f"""SELECT s.project, 'header' AS record, NULL AS file, s.project_type AS type, coalesce(s.architecture, 'Unknown') AS architecture, CAST(s.n_components AS BIGINT) AS n_components, f.total_files,
+ coalesce(n, 0) AS total_files_analyzed, dependencies, NULL AS language, s.summary, NULL AS functions FROM ({STRUCTURE}) s
  JOIN (SELECT project, count(*) AS total_files FROM pf GROUP BY project) f ON f.project = s.project
- LEFT JOIN (SELECT project, count(*) AS n, CAST(sum(CASE k % 4 WHEN 0 THEN 1 WHEN 2 THEN 5 ELSE 0 END) AS BIGINT) AS fns FROM pf WHERE has GROUP BY project) a ON a.project = s.project"""
+ LEFT JOIN (SELECT project, count(*) AS n FROM pf WHERE has GROUP BY project) a ON a.project = s.project
+ UNION ALL SELECT project, 'file', path, NULL, NULL, 0, 0, 0, NULL, language,
+ CASE k % 4 WHEN 0 THEN concat('Loads ', k, '.') WHEN 1 THEN concat('Loads ', k, '.') WHEN 2 THEN concat('All fine ', k, '.') ELSE 'No summary available.' END,
+ CASE k % 4 WHEN 0 THEN concat('f', k) WHEN 2 THEN concat('run_', k, '|second|v_', k, '|unknown|Loader') ELSE '' END FROM lg WHERE has AND k % 11 <> 3"""
 
 
 def _export(spark, sf):
-    structures = project_lineage.project_structures(corpora.project_answers(spark, sf), _files(spark, sf))
-    return project_lineage.lineage_export(structures, _analyses(spark, sf))
+    failed = F.when(F.col("seq") % 11 == 3, F.lit("Error during LLM analysis: timeout"))
+    errors = _answers(spark, sf).select("file", failed.alias("error"))
+    return project_lineage.lineage_export(_project_structures(spark, sf), _analyses(spark, sf).join(errors, "file"))
+
+
+HEADER_SHAPE = """struct<project: struct<type: string, architecture: string, summary: string>, components: array<struct<name: string>>,
+ dependencies: array<struct<name: string, purpose: string, type: string>>,
+ metadata: struct<total_files_analyzed: bigint, file_stats: struct<total_files: bigint>>>""".replace("\n", " ")
+FILE_SHAPE = "struct<file_path: string, language: string, summary: string, functions: array<struct<name: string>>>"
+
+
+def _records(export):
+    h, f = F.col("h"), F.col("f")
+    joined = lambda array, part: F.array_join(F.transform(array, part), "|")
+    count = lambda c: F.when(F.col("record") == "header", c).otherwise(0).cast("bigint")
+    return export.select(
+        "project", "record", "file", F.when(F.col("record") == "header", F.from_json("document", HEADER_SHAPE)).alias("h"),
+        F.when(F.col("record") == "file", F.from_json("document", FILE_SHAPE)).alias("f")).select(
+        "project", "record", F.coalesce(f["file_path"], "file").alias("file"), h["project"]["type"].alias("type"),
+        h["project"]["architecture"].alias("architecture"), count(F.size(h["components"])).alias("n_components"),
+        count(h["metadata"]["file_stats"]["total_files"]).alias("total_files"),
+        count(h["metadata"]["total_files_analyzed"]).alias("total_files_analyzed"),
+        joined(h["dependencies"], lambda d: F.concat_ws("/", d["name"], d["purpose"], d["type"])).alias("dependencies"),
+        f["language"].alias("language"), F.coalesce(f["summary"], h["project"]["summary"]).alias("summary"),
+        joined(f["functions"], lambda x: x["name"]).alias("functions"))
 
 
 @query("r14_lineage_export", PA + EXPORT)
 def r14(spark, sf):
-    """Parts of a large project are added up again."""
-    rows = _export(spark, sf)
-    functions = F.aggregate("lineage.file_analyses", F.lit(0).cast("bigint"), lambda acc, f: acc + F.size(f["functions"]))
-    return rows.groupBy("project").agg(
-        F.first("lineage.project.type").alias("type"), F.first("lineage.project.architecture").alias("architecture"),
-        F.first(F.size("lineage.components")).alias("n_components"),
-        F.first("lineage.metadata.file_stats.total_files").alias("total_files"),
-        F.first("lineage.metadata.total_files_analyzed").alias("total_files_analyzed"),
-        F.sum(F.size("lineage.file_analyses").cast("bigint")).alias("n_entries"), F.sum(functions).alias("n_functions"))
+    return _records(_export(spark, sf))
 
 
-@query("s8_lineage_documents", PF + """SELECT project, count(*) AS n_entries, CAST(sum(length(path)) AS BIGINT) AS path_chars FROM pf WHERE has GROUP BY project""")
+@query("s8_lineage_documents", PA + f"""SELECT project, CAST(count(*) FILTER (WHERE record = 'header') AS BIGINT) AS headers,
+ CAST(count(*) FILTER (WHERE record = 'file') AS BIGINT) AS files, md5(string_agg(concat(coalesce(file, ''), ':', coalesce(functions, ''), ':', summary), chr(10)
+ ORDER BY coalesce(file, ''))) AS digest FROM ({EXPORT}) e GROUP BY project""")
 def s8(spark, sf):
     folder = run_folder(spark, "lineage_documents", sf)
     reports.write_lineage(_export(spark, sf), folder)
-    written = spark.read.schema("project string, part int, parts int, document string").json(folder)
-    paths = F.from_json("document", "file_analyses array<struct<file_path: string>>")["file_analyses"]
-    chars = F.aggregate("paths", F.lit(0).cast("bigint"), lambda acc, f: acc + F.length(f["file_path"]))
-    return written.withColumn("paths", paths).groupBy("project").agg(
-        F.sum(F.size("paths").cast("bigint")).alias("n_entries"), F.sum(chars).alias("path_chars")).filter("n_entries > 0")
+    rows = _records(spark.read.schema("project string, record string, file string, document string").json(folder))
+    line = F.concat_ws(":", F.coalesce("file", F.lit("")), F.coalesce("functions", F.lit("")), "summary")
+    return rows.groupBy("project").agg(
+        F.count_if(F.col("record") == "header").alias("headers"), F.count_if(F.col("record") == "file").alias("files"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("file", F.lit("")).alias("file"), line.alias("line")))),
+                                       lambda x: x["line"]), "\n")).alias("digest"))

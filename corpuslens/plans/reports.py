@@ -52,5 +52,5 @@ def read_sheets(spark: SparkSession, folder: str, names: list[str], format: str
 
 
 def write_lineage(export: DataFrame, folder: str) -> None:
-    """The nested export as JSON lines, one document per project part."""
-    export.select("project", "part", "parts", F.to_json("lineage").alias("document")).write.mode("overwrite").json(folder)
+    """The nested export as JSON lines, one for each record."""
+    export.write.mode("overwrite").json(folder)

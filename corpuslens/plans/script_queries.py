@@ -304,7 +304,12 @@ ADVICE = " ".join(
     f"WHEN '{category}' THEN '{advice}'" for _, _, category, _, _, advice in fv.ISSUE_RULES.values() if "%s" not in advice)
 
 
-@query("i8_issue_report", I_ALL + f"""SELECT path, CAST(line AS INT) AS line, message, severity, category, CASE category {ADVICE}
+# the last two rules share a walk, in which functions come before the handlers inside them
+ISSUE_ORDER = """CASE category WHEN 'Syntax' THEN 1 WHEN 'Maintainability' THEN 2 WHEN 'Design' THEN 3 WHEN 'Documentation' THEN 4
+ WHEN 'Complexity' THEN 5 WHEN 'Bug Risk' THEN 6 ELSE 7 END, line"""
+
+
+@query("i8_issue_report", I_ALL + f"""SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY {ISSUE_ORDER}) AS INT) AS issue_no, CAST(line AS INT) AS line, message, severity, category, CASE category {ADVICE}
  ELSE concat('Add a docstring to describe what this ', CASE WHEN contains(message, 'in class') THEN 'class' ELSE 'function' END, ' does.')
  END AS recommendation FROM every_issue""")
 def i8(spark, sf):

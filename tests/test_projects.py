@@ -90,7 +90,7 @@ def test_sections_and_items(spark):
         assert r["items"] == [l.split(" ", 1)[1].strip() for l in lines if l.split(" ")[0] in ("-", "*", ".", "12.") and " " in l]
 
 
-def test_export_splits_large_projects_without_loss(spark):
+def test_export_has_a_record_for_every_analysed_file(spark):
     raw = F.when(F.col("id") % 2 == 0, '{"summary": "s"}').otherwise("Summary\nfine\n")
     asked = spark.range(2500).select(
         F.lit("p").alias("project"), F.col("id").alias("seq"), F.concat(F.lit("f"), "id").alias("file"), raw.alias("raw"),
@@ -98,12 +98,12 @@ def test_export_splits_large_projects_without_loss(spark):
     structure = project_lineage.project_structures(
         spark.createDataFrame([("p", '{"project_type": "x"}')], "project string, raw string"),
         asked.select("project", "seq", F.col("file").alias("path"), F.lit("a").alias("content")))
-    parts = project_lineage.lineage_export(structure, answers.structured(asked)).select(
-        "part", "parts", F.size("lineage.file_analyses").alias("n"), "lineage.metadata.total_files_analyzed",
-        F.explode("lineage.file_analyses").alias("e")).select("part", "parts", "total_files_analyzed", "e.file_path", "e.summary").collect()
-    assert {r.parts for r in parts} == {3} and {r.part for r in parts} == {0, 1, 2}
-    assert len({r.file_path for r in parts}) == len(parts) == 2500
-    assert {r.summary for r in parts} == {"s", "fine"}
+    failed = F.when(F.col("seq") < 100, F.lit("timeout"))
+    records = project_lineage.lineage_export(structure, answers.structured(asked).withColumn("error", failed))
+    files = records.filter("record = 'file'").select("file", F.get_json_object("document", "$.summary").alias("summary")).collect()
+    assert len({r.file for r in files}) == len(files) == 2400 and {r.summary for r in files} == {"s", "fine"}
+    headers = records.filter("record = 'header'").collect()
+    assert len(headers) == 1 and '"total_files_analyzed":2500' in headers[0].document
 
 
 def test_sources(spark, tmp_path):

@@ -5,7 +5,7 @@ import pytest
 from corpuslens.operators import sqltext
 
 CASES = [
-    ("SELECT a FROM t", ["t"], ["a"]),
+    ("SELECT a FROM t", ["t"], ["a"]), ("SELECT a FROM (t", [], ["a"]),
     ("select x, y from db.t1 a, t2 b", ["t1", "t2"], ["x", "y"]),
     ("SELECT * FROM a LEFT OUTER JOIN b ON a.id = b.id CROSS JOIN c", ["a", "b", "c"], [None]),
     ("SELECT a FROM t WHERE x IN (SELECT y FROM u, v)", ["t"], ["a"]),
@@ -16,7 +16,7 @@ CASES = [
     ("SELECT f(a, g(b)), t.* FROM /* from z */ t GROUP BY a HAVING count(*) > 1 ORDER BY a", ["t"], ["f", "*"]),
     ("DELETE FROM t WHERE a = 'it''s'", ["t"], []),
     ("SELECT extract(year FROM d) FROM t", ["t"], ["extract"]),
-    ("   ", [], []), ("not sql at all", [], []), ("SELECT 'open FROM t", ["t"], [None]),
+    ("   ", [], []), ("not sql at all", [], []), ("SELECT 'open FROM t", ["t"], ["open"]),  # an unclosed quote is a token of its own
 ]
 
 
@@ -27,7 +27,7 @@ def analysed(spark):
     return {r.sql: r for r in rows}
 
 
-@pytest.mark.parametrize("sql, tables, columns", CASES[:-1])
+@pytest.mark.parametrize("sql, tables, columns", CASES)
 def test_tables_and_columns(analysed, sql, tables, columns):
     row = analysed[sql]
     assert row.tables == tables
@@ -36,9 +36,12 @@ def test_tables_and_columns(analysed, sql, tables, columns):
 
 
 def test_clauses_and_errors(analysed):
-    found = sorted(t.type for t in analysed[CASES[8][0]].transformations)
+    found = sorted(t.type for t in analysed[CASES[9][0]].transformations)
     assert found == ["GROUP BY", "HAVING", "ORDER BY", "column_transformation"]
-    assert analysed["   "].error == "empty query" and analysed[CASES[0][0]].error is None
+    assert analysed["   "].error is None and analysed[CASES[0][0]].error is None
+    assert analysed["DELETE FROM t WHERE a = 'it''s'"].error is None
+    assert analysed["SELECT 'open FROM t"].error == "a quote is not closed"
+    assert analysed["SELECT a FROM (t"].error == "a bracket is not closed"
 
 
 def test_long_string_literal(spark):
