@@ -157,13 +157,17 @@ def certified_cutoffs(holdout: DataFrame, risk: float = RISK, delta: float = DEL
     step = F.least(F.floor(F.col("badness") / BIN), F.lit(BINS)).cast("int")
     bins = holdout.groupBy("stratum", step.alias("step")).agg(
         F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
-    strata = bins.groupBy("stratum").agg(F.sum("good").alias("n"), F.sum("bad").alias("n_bad"))
-    grid = strata.select("stratum", "n", "n_bad", F.explode(F.sequence(F.lit(-1), F.lit(BINS - 1))).alias("cutoff"))
+    # every step of the grid, also those without a document; a union, as a null stratum joins with nothing
+    zeros = bins.select("stratum").distinct().select(
+        "stratum", F.explode(F.sequence(F.lit(-1), F.lit(BINS - 1))).alias("cutoff"), F.lit(0).alias("good"), F.lit(0).alias("bad"))
+    grid = bins.select("stratum", (F.col("step") - 1).alias("cutoff"), "good", "bad").unionByName(zeros).groupBy("stratum", "cutoff").agg(
+        F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     # one row for each stratum and step: at most BINS + 1 rows in a window
-    above = W.partitionBy("stratum").orderBy(F.col("cutoff").desc())
-    counts = grid.join(bins.select("stratum", (F.col("step") - 1).alias("cutoff"), "good", "bad"), ["stratum", "cutoff"], "left").select(
-        "stratum", "cutoff", "n", "n_bad", F.sum(F.coalesce("good", F.lit(0))).over(above).alias("k"),
-        F.sum(F.coalesce("bad", F.lit(0))).over(above).alias("k_bad"))
+    above, whole = W.partitionBy("stratum").orderBy(F.col("cutoff").desc()), W.partitionBy("stratum")
+    counts = grid.select(
+        "stratum", "cutoff", F.sum("good").over(whole).alias("n"), F.sum("bad").over(whole).alias("n_bad"),
+        F.sum("good").over(above).alias("k"), F.sum("bad").over(above).alias("k_bad"))
+    strata = bins.select("stratum").distinct()
     n_strata = F.greatest(strata.agg(F.count("*").alias("n_strata")).scalar(), F.lit(1))
     passed = counts.filter("cutoff >= 0").withColumn("p_value", binomial_tail(F.col("n"), F.col("k"), risk)).filter(
         F.col("p_value") <= delta / n_strata)
