@@ -30,9 +30,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of docs whose key is not in gone(key)."""
+def _without(docs: DataFrame, gone: DataFrame, many: bool = False) -> DataFrame:
+    """Rows of docs whose key is not in gone(key).
+
+    `many` is for keys that grow with the documents: always a merge join then,
+    so that small tables take the plan that large ones need.
+    """
     keys = gone.select(F.col("key.doc_id").alias("gone_id"), F.col("key.h").alias("gone_hash"))
+    keys = keys.hint("merge") if many else keys
     return docs.join(keys, docs["doc_id"].eqNullSafe(keys["gone_id"]) & (F.xxhash64(docs["text"]) == keys["gone_hash"]), "left_anti")
 
 
@@ -42,7 +47,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = written(spark, neardup.near_duplicates(spark, _keyed(docs)).withColumnRenamed("doc_id", "key"), "classes")
-    kept = _without(docs, written(spark, classes.filter("key <> class_id").select("key").distinct(), "copies"))
+    kept = _without(docs, written(spark, classes.filter("key <> class_id").select("key").distinct(), "copies"), many=True)
     # equal rows are one key; they are few or none, and only they are made distinct
     again = classes.filter("key = class_id AND class_size > 1").groupBy("key").count().filter("count > 1").select("key")
     again = written(spark, again, "repeated")
@@ -62,7 +67,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     _, entries = secrets.scan_versions(spark, docs, path="doc_id")
     blobs = entries.filter("size(findings) > 0").select(F.col("blob").alias("_secret_blob"), F.col("findings").alias("_secret_findings"))
     blobs = written(spark, blobs, "found")
-    joined = docs.withColumn("_secret_id", secrets.blob_id(F.col("text"))).join(blobs, F.col("_secret_id") == F.col("_secret_blob"), "left")
+    joined = docs.withColumn("_secret_id", secrets.blob_id(F.col("text"))).join(blobs.hint("merge"), F.col("_secret_id") == F.col("_secret_blob"), "left")
     found = F.col("_secret_findings")
     # under a name of its own first: inside a lambda, Spark would take an alias `text` of the same select for the column
     marked = joined.withColumn("_secret_text", F.when(found.isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), found)))
