@@ -18,6 +18,7 @@ import re
 import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 from itertools import chain
 
 import ahocorasick
@@ -116,6 +117,7 @@ class Codec:
                 self.bytes_of[i] = bytes([b])
         self.bytes_of[vocabulary.unknown_id] = " ⁇ ".encode()
         self.spaced = {i for p, (i, _) in vocabulary.pieces.items() if p.startswith(SPACE)}
+        self.key = sha256(repr((sorted(vocabulary.pieces.items()), vocabulary.byte_ids, vocabulary.end_id)).encode()).hexdigest()
         self.start()
 
     def start(self) -> None:
@@ -132,7 +134,6 @@ class Codec:
     def __setstate__(self, state):
         self.__dict__.update(state)
         self.cut = re.compile(state["cut"]).findall
-        self.start()
 
     # --- encoding -------------------------------------------------------------
     def encode(self, text: str | None) -> list[int]:
@@ -235,6 +236,16 @@ def _by_byte(raw: bytes) -> str:
     return "".join(out)
 
 
+def _kept_codec(codec: Codec) -> Codec:
+    """The codec of this worker process: its caches outlive a task."""
+    kept = sys.__dict__.setdefault("_corpuslens_codecs", {})
+    if codec.key not in kept:
+        kept.clear()
+        codec.start()
+        kept[codec.key] = codec
+    return kept[codec.key]
+
+
 def encode_documents(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, ids (array), decoded of every document.
 
@@ -248,8 +259,6 @@ def encode_documents(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def encode_digests(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of what `encode_documents` gives."""
-    from hashlib import sha256
-
     names = [str(i) for i in range(vocabulary.size)]
 
     def digest(ids, decoded):
@@ -265,9 +274,10 @@ _ROWS = 256  # documents whose ids are held at a time
 
 def _map(documents: DataFrame, vocabulary: Vocabulary, shape: str, columns) -> DataFrame:
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    codec = Codec(vocabulary)
+    sent = Codec(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _kept_codec(sent)
         for batch in batches:
             for i in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(i, _ROWS)
