@@ -78,6 +78,13 @@ def first_hit(text: Column, rules: list[tuple[str, list[str]]], default: str | N
     return out.otherwise(F.lit(default)) if default is not None else out
 
 
+def readable_json(text: Column) -> Column:
+    """True for what usual JSON readers take: also objects with a repeated key (the last one counts) or with NaN."""
+    read = F.from_json(text, "_none string, _corrupt_record string",
+                       {"columnNameOfCorruptRecord": "_corrupt_record", "allowSingleQuotes": "false"})
+    return F.try_parse_json(text).isNotNull() | F.coalesce(read.isNotNull() & read["_corrupt_record"].isNull(), F.lit(False))
+
+
 def sorted_join(array: Column, sep: str = "|") -> Column:
     """One string for an array whose order carries no meaning."""
     return F.array_join(F.array_sort(array), sep)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fv
-from corpuslens.functions.text import basename, extension, first_hit, strip, strip_sql
+from corpuslens.functions.text import basename, extension, first_hit, readable_json, strip, strip_sql
 
 # --- fixed values: shape of a file answer ------------------------------------
 FILE_ANSWER = """struct<
@@ -33,7 +33,7 @@ _ITEM = r"^(?:[-*.] |\p{Nd}{1,2}\. )"
 
 
 def is_json(raw: Column) -> Column:
-    return F.try_parse_json(raw).isNotNull()
+    return readable_json(raw)
 
 
 def parse_json(answers: DataFrame) -> DataFrame:

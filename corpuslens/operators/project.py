@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpuslens import fixed_values as fv
-from corpuslens.functions.text import basename, contains_any, extension, first_hit, strip
+from corpuslens.functions.text import basename, contains_any, extension, first_hit, readable_json, strip
 
 
 def attach_contents(paths: DataFrame, contents: DataFrame) -> DataFrame:
@@ -166,13 +166,12 @@ def key_files(files: DataFrame) -> DataFrame:
         F.col("rank") <= fv.KEY_FILE_LIMIT).select("project", "path", "tier", "rank")
 
 
-def key_contents(files: DataFrame, key: DataFrame) -> DataFrame:
-    """Contents of key files that can declare dependencies; the cheap test on the
-    name runs before the join, so other contents never move."""
-    ext, name = F.lower(extension(F.col("path"))), basename(F.col("path"))
-    declaring = read_files(files).filter(
-        ext.isin([".py", *fv.JS_EXTENSIONS]) | name.isin("package.json", "requirements.txt"))
-    return declaring.select("project", "path", "content").join(key.select("project", "path"), ["project", "path"], "left_semi")
+def of_key_files(rows: DataFrame, key: DataFrame | None) -> DataFrame:
+    """Rows (project, path, ...) of key files only; all rows without `key`.
+
+    Called on names that were found, never on contents: only small arrays move.
+    """
+    return rows if key is None else rows.join(key.select("project", "path"), ["project", "path"], "left_semi")
 
 
 # --- dependencies: arrays of names found in one content ----------------------
@@ -203,11 +202,13 @@ def _is_named(name: str) -> Column:
 
 
 def _manifest_keys() -> Column:
-    """Keys of dependencies and devDependencies; none when the manifest is broken."""
+    """Keys of dependencies and devDependencies; none when the manifest is broken.
+
+    A repeated key is no error, as for most JSON readers.
+    """
     manifest = F.from_json("content", "dependencies map<string,string>, devDependencies map<string,string>")
     keys = lambda part: F.coalesce(F.map_keys(manifest[part]), F.array().cast("array<string>"))
-    return F.when(
-        F.try_parse_json("content").isNotNull(), F.array_union(keys("dependencies"), keys("devDependencies")))
+    return F.when(readable_json(F.col("content")), F.array_union(keys("dependencies"), keys("devDependencies")))
 
 
 def _required_packages() -> Column:
@@ -217,38 +218,47 @@ def _required_packages() -> Column:
     return F.filter(F.array_distinct(names), lambda n: n != "")
 
 
-def _exploded(contents: DataFrame, names: Column) -> DataFrame:
-    return contents.select("project", "path", F.explode(names).alias("dependency"))
+def _found(files: DataFrame, declares: Column, key: DataFrame | None, **names: Column) -> DataFrame:
+    """Arrays of names in the contents of declaring files, then those of key files."""
+    found = read_files(files).filter(declares).select("project", "path", *[c.alias(n) for n, c in names.items()])
+    return of_key_files(found, key)
 
 
-def python_dependencies(contents: DataFrame) -> DataFrame:
+def _exploded(found: DataFrame) -> DataFrame:
+    return found.select("project", "path", F.explode("names").alias("dependency"))
+
+
+def python_dependencies(files: DataFrame, key: DataFrame | None = None) -> DataFrame:
     """Imported top-level modules.  `import X` also matches the tail of a
     from-import; a name found in no other way is kept and flagged."""
     tail = rf"{fv.PYTHON_FROM_PATTERN}(?U:\s+)([a-zA-Z0-9_.]+)"
     tails = F.regexp_extract_all("content", F.lit(tail), F.lit(2))
     imported, named = _all_matches(fv.PYTHON_IMPORT_PATTERN), _all_matches(fv.PYTHON_FROM_PATTERN)
-    certain = _python_modules(F.array_except(imported, tails), named)
-    return contents.filter(_is_python()).select(
-        "project", "path", certain.alias("certain"), F.explode(_python_modules(imported, named)).alias("dependency")
-    ).select("project", "path", "dependency", (~F.array_contains("certain", F.col("dependency"))).alias("is_import_tail"))
+    found = _found(files, _is_python(), key, certain=_python_modules(F.array_except(imported, tails), named),
+                   names=_python_modules(imported, named))
+    return found.select("project", "path", "certain", F.explode("names").alias("dependency")).select(
+        "project", "path", "dependency", (~F.array_contains("certain", F.col("dependency"))).alias("is_import_tail"))
 
 
-def javascript_dependencies(contents: DataFrame) -> DataFrame:
+def javascript_dependencies(files: DataFrame, key: DataFrame | None = None) -> DataFrame:
     """Packages imported or required, relative ones left out."""
-    return _exploded(contents.filter(_is_javascript()), _javascript_packages())
+    return _exploded(_found(files, _is_javascript(), key, names=_javascript_packages()))
 
 
-def package_json_dependencies(contents: DataFrame) -> DataFrame:
-    return _exploded(contents.filter(_is_named("package.json")), _manifest_keys())
+def package_json_dependencies(files: DataFrame, key: DataFrame | None = None) -> DataFrame:
+    return _exploded(_found(files, _is_named("package.json"), key, names=_manifest_keys()))
 
 
-def requirements_dependencies(contents: DataFrame) -> DataFrame:
-    return _exploded(contents.filter(_is_named("requirements.txt")), _required_packages())
+def requirements_dependencies(files: DataFrame, key: DataFrame | None = None) -> DataFrame:
+    return _exploded(_found(files, _is_named("requirements.txt"), key, names=_required_packages()))
 
 
 def dependencies(files: DataFrame, key: DataFrame | None = None) -> DataFrame:
-    """Distinct (project, dependency) over the key files, in one pass over their contents."""
-    contents = key_contents(files, key_files(files) if key is None else key)
+    """Distinct (project, dependency) over the key files.
+
+    Names are found where the contents lie; the join with the key files and the
+    distinct move names only.
+    """
     names = (
         F.when(_is_python(), _python_modules(
             _all_matches(fv.PYTHON_IMPORT_PATTERN), _all_matches(fv.PYTHON_FROM_PATTERN)))
@@ -256,7 +266,9 @@ def dependencies(files: DataFrame, key: DataFrame | None = None) -> DataFrame:
         .when(_is_named("package.json"), _manifest_keys())
         .when(_is_named("requirements.txt"), _required_packages())
     )
-    return _exploded(contents, names).select("project", "dependency").distinct()
+    declares = _is_python() | _is_javascript() | _is_named("package.json") | _is_named("requirements.txt")
+    found = _found(files, declares, key_files(files) if key is None else key, names=names)
+    return _exploded(found).select("project", "dependency").distinct()
 
 
 # --- frameworks and file facts ----------------------------------------------

@@ -126,29 +126,29 @@ def l9(spark, sf):
     return project.key_files(_files(spark, sf))
 
 
-def _key_contents(spark, sf):
+def _keyed(spark, sf):
     files = _files(spark, sf)
-    return project.key_contents(files, project.key_files(files))
+    return files, project.key_files(files)
 
 
 @query("l10_python_dependencies", PF + "SELECT project, path, dependency, is_import_tail FROM dp WHERE src = 'py'")
 def l10(spark, sf):
-    return project.python_dependencies(_key_contents(spark, sf))
+    return project.python_dependencies(*_keyed(spark, sf))
 
 
 @query("l11_javascript_dependencies", PF + "SELECT project, path, dependency FROM dp WHERE src = 'js'")
 def l11(spark, sf):
-    return project.javascript_dependencies(_key_contents(spark, sf))
+    return project.javascript_dependencies(*_keyed(spark, sf))
 
 
 @query("l12_package_json", PF + "SELECT project, path, dependency FROM dp WHERE src = 'json'")
 def l12(spark, sf):
-    return project.package_json_dependencies(_key_contents(spark, sf))
+    return project.package_json_dependencies(*_keyed(spark, sf))
 
 
 @query("l13_requirements", PF + "SELECT project, path, dependency FROM dp WHERE src = 'req'")
 def l13(spark, sf):
-    return project.requirements_dependencies(_key_contents(spark, sf))
+    return project.requirements_dependencies(*_keyed(spark, sf))
 
 
 @query("l14_dependencies", PF + "SELECT project, dependency FROM ds")
@@ -342,6 +342,19 @@ def r4_enhanced(spark, sf):
         "file", "language", "file_name", F.array_join("frameworks", "|").alias("frameworks"))
 
 
+# repeated keys and NaN are read, single quotes and a missing brace are not
+LENIENT = """CASE p_partkey % 4 WHEN 0 THEN concat(chr(123), '"summary": "old", "summary": "new ', p_partkey, '"', chr(125))
+ WHEN 1 THEN concat(chr(123), '"loss": NaN, "summary": "nan ', p_partkey, '"', chr(125))
+ WHEN 2 THEN concat(chr(123), chr(39), 'summary', chr(39), ': 1', chr(125)) ELSE concat(chr(123), '"summary": "cut"') END"""
+
+
+@query("r4_lenient_json", """SELECT p_partkey AS k, CASE WHEN p_partkey % 4 < 2 THEN 'json' ELSE 'text' END AS parsed_from,
+ CASE p_partkey % 4 WHEN 0 THEN concat('new ', p_partkey) WHEN 1 THEN concat('nan ', p_partkey) END AS summary FROM part""")
+def r4_lenient(spark, sf):
+    raw = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS k", f"{LENIENT} AS raw")
+    return answers.parse_json(raw).select("k", "parsed_from", "answer.summary")
+
+
 # --- lineage graph and export -----------------------------------------------------------------
 def _analyses(spark, sf):
     """Answers about files that were read, with the file's language."""

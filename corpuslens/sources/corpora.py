@@ -271,12 +271,13 @@ def written_files(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written_nodes(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Its syntax nodes, parsed bucket by bucket without a shuffle."""
+    """Its syntax nodes, as many tasks parsing as there are buckets."""
     from corpuslens.sources.syntax import syntax_nodes
 
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return written(
         spark, (f"nodes_{name}", sf_dir),
-        lambda: syntax_nodes(written_files(spark, sf_dir, name), entities=name == "loaders"),
+        lambda: syntax_nodes(written_files(spark, sf_dir, name).repartition(buckets, "path"), entities=name == "loaders"),
         "path", redistribute=False,
     )
 

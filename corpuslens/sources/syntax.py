@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from corpuslens import fixed_values as fv
@@ -93,6 +93,23 @@ def syntax_nodes(files: DataFrame, entities: bool = True) -> DataFrame:
     return files.select("path", "content").mapInArrow(_emitter(entities, wanted_call), SCHEMA)
 
 
+def write_nodes(
+    spark: SparkSession, files: DataFrame, table: str, buckets: int | None = None, entities: bool = True, path: str | None = None,
+) -> DataFrame:
+    """Parse files(path, content) once into `table`, bucketed by path, and return it.
+
+    The files are dealt out by path first, so that as many tasks parse as there
+    are buckets (by default the number of shuffle partitions), whatever the
+    compressed size of the input.  Analyses of the table that group or window by
+    path need no exchange.  `path` places the table's files.
+    """
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nodes = syntax_nodes(files.select("path", "content").repartition(buckets, "path"), entities)
+    writer = nodes.write.mode("overwrite").format("parquet").bucketBy(buckets, "path")
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
+    return spark.table(table)
+
+
 def _emitter(entities: bool, call_words: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     sql_methods, frame_methods, rule_words = call_words
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.operators import entities, issues, metrics
-from corpuslens.sources.syntax import syntax_nodes
+from corpuslens.sources.syntax import syntax_nodes, write_nodes
 
 SHAPES = [
     "if a and b:\n{body}", "for i in x:\n{body}", "while a:\n{body}", "try:\n{body}\nexcept ValueError:\n    pass",
@@ -59,13 +59,18 @@ def trees():
             pass
 
 
+def every_file(value):
+    """A value for each file, kept for those that do not parse."""
+    return dict.fromkeys(SCRIPTS, value)
+
+
 def test_unparsable_files_are_rows(nodes):
     bad = {r.path for r in nodes.filter("NOT parse_ok").collect()}
     assert bad == set(SCRIPTS) - {p for p, _ in trees()} and bad
 
 
 def test_cognitive_equals_a_walk(nodes):
-    expected = {}
+    expected = every_file(0.0)
     for path, tree in trees():
         total = level = 0
         for n in ast.walk(tree):
@@ -80,8 +85,9 @@ def test_cognitive_equals_a_walk(nodes):
 def test_counts_and_docstrings(nodes):
     count = lambda t, *k: sum(type(n).__name__ in k for n in ast.walk(t))
     got = {r.path: (r.cyclomatic, r.loops) for r in metrics.cyclomatic(nodes).collect()}
-    assert got == {p: (count(t, "If", "For", "While", "Try", "BoolOp"), count(t, "For", "While")) for p, t in trees()}
-    coverage = {}
+    assert got == every_file((0, 0)) | {
+        p: (count(t, "If", "For", "While", "Try", "BoolOp"), count(t, "For", "While")) for p, t in trees()}
+    coverage = every_file(0.0)
     for path, tree in trees():
         defs = [n for n in ast.walk(tree) if type(n).__name__ in ("FunctionDef", "ClassDef")]
         coverage[path] = 100.0 * sum(bool(ast.get_docstring(d)) for d in defs) / len(defs) if defs else 100.0
@@ -90,9 +96,9 @@ def test_counts_and_docstrings(nodes):
 
 
 def test_imports_keep_order(nodes):
-    expected = {}
+    expected = {path: [] for path in SCRIPTS}
     for path, tree in trees():
-        names = expected.setdefault(path, [])
+        names = expected[path]
         for n in ast.walk(tree):
             if isinstance(n, (ast.Import, ast.ImportFrom)):
                 prefix = f"{n.module or ''}." if isinstance(n, ast.ImportFrom) else ""
@@ -208,3 +214,28 @@ def test_a_call_passed_by_name_keeps_its_text(spark):
     text = "q = pd.read_sql('SELECT 1')\nspark.sql(q)\nr = 'SELECT 2'\nspark.sql(r)\n"
     rows = entities.sql_entries(syntax_nodes(spark.createDataFrame([("a.py", text)], "path string, content string")))
     assert {r.key: r.sql_text for r in rows.collect()} == {"q": "pd.read_sql('SELECT 1')", "r": "SELECT 2"}
+
+
+def test_deep_expressions_lose_nothing(spark):
+    """Metrics and issues do not depend on whether source text is rendered."""
+    deep = "def f(a):\n    return a\nq = x" + " + x" * 3000 + "\nspark.sql(" + "(" * 60 + "1" + ")" * 60 + ")\n"
+    files = spark.createDataFrame([("deep.py", deep), ("plain.py", "def g():\n    pass\n")], "path string, content string")
+    both = [syntax_nodes(files, entities=e).cache() for e in (True, False)]
+    flat = [sorted(map(tuple, metrics.flat_metrics(n, files).collect())) for n in both]
+    found = [sorted(map(tuple, issues.report(issues.issues(n)).collect())) for n in both]
+    assert flat[0] == flat[1] and found[0] == found[1]
+    assert all(n.filter("NOT parse_ok").count() == 0 for n in both)
+    source = both[0].filter("path = 'deep.py' AND field = 'value' AND array_contains(targets, 'q')").first().src
+    assert source == "x" + " + x" * 3000
+
+
+def test_written_nodes_are_parsed_once_and_grouped_without_exchange(spark):
+    files = spark.createDataFrame([(f"f{i}.py", f"def g{i}(a):\n    return a\n") for i in range(40)], "path string, content string")
+    nodes = write_nodes(spark, files, "nodes_of_test", buckets=4)
+    try:
+        counts = metrics.definition_counts(nodes)
+        assert counts.count() == 40 and counts.agg(F.sum("functions")).first()[0] == 40
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "MapInArrow" not in plan
+    finally:
+        spark.sql("DROP TABLE nodes_of_test")

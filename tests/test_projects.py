@@ -56,12 +56,14 @@ def test_dependencies(spark):
     contents = {
         "a.py": "import os, sys\nimport numpy.linalg\nfrom flask.views import View\nfrom __future__ import x\n",
         "b.ts": "import A from 'react'\nconst b = require(\"./local\")\nconst c = require('@scope/pkg')\n",
-        "package.json": '{"dependencies": {"a": "1", "b": {"v": 2}}}',
+        "package.json": '{"dependencies": {"a": "1", "b": {"v": 2}, "a": "2"}}',  # a repeated key is read
         "requirements.txt": "# c\n pandas==1\n\nreq!=1\nx[extra]~=2\n==\n",
     }
     files = spark.createDataFrame([("p", n, c) for n, c in contents.items()], "project string, path string, content string")
     names = lambda df: sorted(r.dependency for r in df.collect())
     assert names(project.python_dependencies(files)) == ["View", "flask", "numpy", "x"]
+    plan = project.dependencies(files.withColumn("seq", F.lit(1)))._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("Exchange")[1:] if "content" in x.split("[plan_id")[0]]
     assert names(project.javascript_dependencies(files)) == ["@scope/pkg", "react"]
     assert names(project.package_json_dependencies(files)) == ["a", "b"]
     assert names(project.requirements_dependencies(files)) == ["pandas", "req!", "x[extra]"]
