@@ -224,10 +224,13 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of different components inside (band, i, j) groups, which arrive one after the other."""
+    """Likely pairs of different components inside (band, i, j) groups, which arrive one after the other.
+
+    A pair of several common bands leaves in one of them, which its ids pick.
+    """
     def rows():
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("band", "i", "j", "own", "id", "component", "registers")]
+            columns = [batch.column(c).to_pylist() for c in ("band", "i", "j", "own", "id", "component", "registers", "bands")]
             yield from zip(*columns)
 
     out: list[tuple] = []
@@ -244,13 +247,19 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.array([r[4] for r in right], np.int64)
         component = np.array([r[5] for r in right], np.int64)
         registers = np.frombuffer(b"".join(r[6] for r in right), np.uint8).reshape(-1, REGISTERS)
+        bands = np.array([r[7] for r in right], np.int64)
+        here = int(np.flatnonzero(bands[0] == band)[0])
         for k, r in enumerate(left):
             other = np.flatnonzero(component != r[5])
             if i == j:
                 other = other[other > k]
             if len(other):
                 agree = (registers[other] == np.frombuffer(r[6], np.uint8)).sum(1)
-                out += [(min(r[4], x), max(r[4], x), band, i, j) for x in ids[other[agree >= AGREEING]].tolist()]
+                other = other[agree >= AGREEING]
+                common = bands[other] == np.array(r[7], np.int64)
+                turn = (mixed((ids[other] ^ np.int64(r[4])).view(_u)) % common.sum(1).astype(_u)).astype(np.int64)
+                picked = common[:, here] & (common[:, :here].sum(1) == turn)
+                out += [(min(r[4], x), max(r[4], x), band, i, j) for x in ids[other[picked]].tolist()]
         if len(out) >= 10_000:
             yield full()
             out = []
@@ -319,7 +328,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     # what is known of the texts in them: the registers and the text, one row each
     nodes = members.select("id").distinct()
     held = sketch.join(nodes, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    registers = written(spark, sketch.join(nodes, "id", "left_semi").groupBy("id").agg(F.first("registers").alias("registers")), "registers")
+    registers = written(spark, sketch.join(nodes, "id", "left_semi").groupBy("id").agg(F.first("registers").alias("registers"), F.first("bands").alias("bands")), "registers")
     wanted = written(spark, held.select("id", F.col("doc_id").alias("at")), "wanted")
     # always a merge join: the ids grow with the documents, so a broadcast on small tables would not show what large ones need
     found = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("at"))).select("id", "text").mapInArrow(_own_text, "id long, text string")
@@ -334,7 +343,8 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
 
     ends = members.select("id", F.explode(F.array("low", "high")).alias("end")).filter("id <> end")
     stars = ends.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct()
-    stars = stars.join(of(registers, "a"), "a").join(of(registers, "b"), "b").select("a", "b", "registers_a", "registers_b").mapInArrow(
+    signs = registers.select("id", "registers")
+    stars = stars.join(of(signs, "a"), "a").join(of(signs, "b"), "b").select("a", "b", "registers_a", "registers_b").mapInArrow(
         _likely, "a long, b long")
     stars = written(spark, stars, "stars")
     links = written(spark, verified(stars), "star-links")
@@ -349,10 +359,8 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     meets = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
     dealt = meets.join(registers, "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    pairs = dealt.select("band", "i", "j", "own", "id", "component", "registers").mapInArrow(
+    pairs = dealt.select("band", "i", "j", "own", "id", "component", "registers", "bands").mapInArrow(
         _between, "a long, b long, band long, i int, j int")
-    # a pair of several bands is verified in one of them
-    pairs = pairs.groupBy("a", "b").agg(F.min(F.struct("band", "i", "j")).alias("cell")).select("a", "b", "cell.*")
     rest = written(spark, pairs.join(stars, ["a", "b"], "left_anti"), "rest")
     sent = rest.select("band", "i", "j", F.explode(F.array("a", "b")).alias("id")).distinct().join(bodies, "id").select(
         "band", "i", "j", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
