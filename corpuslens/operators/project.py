@@ -50,8 +50,9 @@ def language_by_shebang() -> Column:
     return F.when(F.startswith(first_line, F.lit("#!")), language)
 
 
-def language_by_content() -> Column:
-    head = F.left(F.col("content"), F.lit(fv.CONTENT_PROBE_CHARS))
+def language_by_content(probe: int | None = fv.CONTENT_PROBE_CHARS) -> Column:
+    """Language by telling words in the first `probe` characters, or in the whole content (None)."""
+    head = F.col("content") if probe is None else F.left(F.col("content"), F.lit(probe))
     has = lambda word: F.contains(head, F.lit(word))
     return (
         F.when(has("<?php"), "php")
@@ -62,11 +63,16 @@ def language_by_content() -> Column:
     )
 
 
-def detect_language(files: DataFrame) -> DataFrame:
-    """Adds language and decided_by: extension, name, shebang, content or default."""
+def detect_language(files: DataFrame, given: str | None = None, probe: int | None = fv.CONTENT_PROBE_CHARS) -> DataFrame:
+    """Adds language and decided_by: given, extension, name, shebang, content or default.
+
+    `given` names a column with the caller's language; empty and `unknown` fall back to detection.
+    """
+    known = F.when(~F.coalesce(F.col(given), F.lit("")).isin("", "unknown"), F.col(given)) if given else F.lit(None).cast("string")
     steps = [
+        ("given", known),
         ("extension", F.col("ext_language")), ("name", language_by_name()),
-        ("shebang", language_by_shebang()), ("content", language_by_content()),
+        ("shebang", language_by_shebang()), ("content", language_by_content(probe)),
     ]
     decided = reduce(lambda w, s: w.when(s[1].isNotNull(), s[0]), steps[1:], F.when(steps[0][1].isNotNull(), steps[0][0]))
     return language_by_extension(files).select(
@@ -99,28 +105,32 @@ def file_entries(files: DataFrame) -> DataFrame:
     return detect_language(files).select("project", "seq", "path", "language", entry.alias("entry"))
 
 
-def file_list(files: DataFrame) -> DataFrame:
-    """The first 100 entries per project with the project's total."""
+def file_list(files: DataFrame, limit: int | None = fv.LISTED_FILES) -> DataFrame:
+    """The first `limit` entries per project with the project's total.
+
+    With None all entries, without ranks: nothing is gathered by project then.
+    """
     entries = file_entries(files)
     in_order = W.partitionBy("project").orderBy("seq", "path")
-    shown = (
-        entries.select("project", "seq", "path", "entry").withColumn("rank", F.row_number().over(in_order))
-        .filter(F.col("rank") <= fv.LISTED_FILES)
-    )
+    shown = entries.select("project", "seq", "path", "entry")
+    if limit is None:
+        shown = shown.withColumn("rank", F.lit(None).cast("int"))
+    else:
+        shown = shown.withColumn("rank", F.row_number().over(in_order)).filter(F.col("rank") <= limit)
     totals = files.groupBy("project").agg(F.count("*").alias("total"))
     return shown.join(totals, "project").select("project", "rank", "entry", "total")
 
 
-def main_languages(files: DataFrame) -> DataFrame:
-    """Top five languages per project by trailing `(language)`; ties by first seen."""
+def main_languages(files: DataFrame, limit: int | None = fv.TOP_LANGUAGES) -> DataFrame:
+    """Top languages per project (all with None) by trailing `(language)`; ties by first seen."""
     counted = (
         file_entries(files).withColumn("language", F.regexp_extract("entry", r"(?d)\((.*?)\)$", 1))
         .filter(F.col("entry").rlike(r"(?d)\((.*?)\)$"))
         .groupBy("project", "language").agg(F.count("*").alias("n"), F.min(F.struct("seq", "path")).alias("first_seen"))
     )
     best = W.partitionBy("project").orderBy(F.desc("n"), "first_seen")
-    return counted.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= fv.TOP_LANGUAGES).select(
-        "project", "language", "n", "rank")
+    ranked = counted.withColumn("rank", F.row_number().over(best)).select("project", "language", "n", "rank")
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def file_stats(files: DataFrame) -> DataFrame:
@@ -132,13 +142,15 @@ def file_stats(files: DataFrame) -> DataFrame:
 
 
 # --- key files --------------------------------------------------------------
-def key_files(files: DataFrame) -> DataFrame:
-    """project, path, tier, rank: at most 20 files per project.
+def key_files(files: DataFrame, limit: int | None = fv.KEY_FILE_LIMIT) -> DataFrame:
+    """project, path, tier, rank: at most `limit` files per project.
+
+    With None all that the tiers let through, without ranks.
 
     Tier 1 are known names, tier 2 telling words in the name, tier 3 long files.
     A later tier counts only while fewer than 10 files were found.  No tier can
-    contribute more than 20, so each is cut to its first 20 before the gates are
-    evaluated: at most 60 rows per project meet in one place.
+    contribute more than the limit, so each is cut to it before the gates are
+    evaluated: at most three times as many rows per project meet in one place.
     """
     name = basename(F.col("path"))
     exact = F.array_position(F.lit(fv.KEY_FILE_NAMES), name)
@@ -150,20 +162,27 @@ def key_files(files: DataFrame) -> DataFrame:
     candidates = files.select(
         "project", "seq", "path", tier.alias("tier"), F.when(tier == 1, exact).otherwise(0).alias("pattern")
     ).filter("tier IS NOT NULL")
-    per_tier = W.partitionBy("project", "tier").orderBy("pattern", "seq", "path")
-    leading = candidates.withColumn("tier_rank", F.row_number().over(per_tier)).filter(
-        F.col("tier_rank") <= fv.KEY_FILE_LIMIT)
-    per_project = W.partitionBy("project")
-    found = lambda t: F.count_if(F.col("tier") <= t).over(per_project)
     gate = fv.KEY_FILE_GATE
-    gated = leading.withColumn("n1", found(1)).withColumn("n2", found(2)).filter(
+    passes = (
         (F.col("tier") == 1)
         | ((F.col("tier") == 2) & (F.col("n1") < gate))
         | ((F.col("tier") == 3) & (F.col("n2") < gate))
     )
+    if limit is None:
+        up_to = lambda t: F.count_if(F.col("tier") <= t)
+        counts = candidates.groupBy("project").agg(up_to(1).alias("n1"), up_to(2).alias("n2"))
+        return candidates.join(counts, "project").filter(passes).select("project", "path", "tier", F.lit(None).cast("int").alias("rank"))
+    # the gates look at fewer than ten files, so a cut below that would change them
+    kept = max(limit, gate)
+    per_tier = W.partitionBy("project", "tier").orderBy("pattern", "seq", "path")
+    leading = candidates.withColumn("tier_rank", F.row_number().over(per_tier)).filter(
+        F.col("tier_rank") <= kept)
+    per_project = W.partitionBy("project")
+    found = lambda t: F.count_if(F.col("tier") <= t).over(per_project)
+    gated = leading.withColumn("n1", found(1)).withColumn("n2", found(2)).filter(passes)
     in_order = per_project.orderBy("tier", "tier_rank")
     return gated.withColumn("rank", F.row_number().over(in_order)).filter(
-        F.col("rank") <= fv.KEY_FILE_LIMIT).select("project", "path", "tier", "rank")
+        F.col("rank") <= limit).select("project", "path", "tier", "rank")
 
 
 def of_key_files(rows: DataFrame, key: DataFrame | None) -> DataFrame:

@@ -30,7 +30,8 @@ def prompt_hash(content_type: Column, text: Column) -> Column:
 def explain_prompts(subjects: DataFrame) -> DataFrame:
     """subjects(content_type, text) -> distinct prompts; each text is asked once.
 
-    The group key is the hash, so long texts are neither sorted nor compared.
+    The group key is the hash.  The witness of a group is its text, so each task sorts
+    its prompts by hash and keeps one of each before the shuffle.
     """
     prompt = prompt_text(F.col("content_type"), F.col("text"))
     return (

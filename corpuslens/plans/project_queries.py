@@ -93,6 +93,18 @@ def l5(spark, sf):
     return project.detect_language(_files(spark, sf)).select("path", "language", "decided_by")
 
 
+@query("l5_whole_content", PF + "SELECT path, language, decided_by FROM lg")
+def l5_whole(spark, sf):
+    return project.detect_language(_files(spark, sf), probe=None).select("path", "language", "decided_by")
+
+
+@query("l5_given_language", PF + """SELECT path, CASE WHEN k % 3 = 0 THEN 'cobol' ELSE language END AS language,
+ CASE WHEN k % 3 = 0 THEN 'given' ELSE decided_by END AS decided_by FROM lg""")
+def l5_given(spark, sf):
+    files = _files(spark, sf).withColumn("told", F.expr("CASE seq % 3 WHEN 0 THEN 'cobol' WHEN 1 THEN 'unknown' ELSE '' END"))
+    return project.detect_language(files, given="told").select("path", "language", "decided_by")
+
+
 COUNTS = """SELECT project, language, n, row_number() OVER (PARTITION BY project ORDER BY n DESC, first_seen) AS rank FROM (
  SELECT project, language, count(*) AS n, min(k) AS first_seen FROM lg WHERE has AND language <> 'unknown' GROUP BY project, language) c"""
 
@@ -111,6 +123,11 @@ def l7(spark, sf):
     return project.file_list(_files(spark, sf))
 
 
+@query("l7_whole_file_list", PF + f"SELECT project, {ENTRY} AS entry, count(*) OVER (PARTITION BY project) AS total FROM lg")
+def l7_whole(spark, sf):
+    return project.file_list(_files(spark, sf), limit=None).drop("rank")
+
+
 TOP = """SELECT project, language, n, rank FROM (SELECT project, language, n, row_number() OVER (PARTITION BY project ORDER BY n DESC, first_seen) AS rank
  FROM (SELECT project, language, count(*) AS n, min(k) AS first_seen FROM lg WHERE has GROUP BY project, language) c) r WHERE rank <= 5"""
 
@@ -126,6 +143,21 @@ def l9(spark, sf):
     return project.key_files(_files(spark, sf))
 
 
+@query("l9_all_key_files", PF + "SELECT project, path, CAST(tier AS INT) AS tier FROM kr")
+def l9_all(spark, sf):
+    return project.key_files(_files(spark, sf), limit=None).drop("rank")
+
+
+@query("l14_all_dependencies", PF + """SELECT DISTINCT project, dependency FROM (
+ SELECT project, unnest(['Flask', 'numpy', 'flask']) AS dependency FROM kr WHERE m = 0 AND has
+ UNION ALL SELECT project, unnest(['react', concat('lodash', s)]) FROM kr WHERE m = 1 AND has
+ UNION ALL SELECT project, unnest([concat('dep', s), 'jest']) FROM kr WHERE m = 2 AND has AND k % 2 = 0
+ UNION ALL SELECT project, unnest(['pandas', concat('lib', s), 'raw']) FROM kr WHERE m = 3 AND has) d""")
+def l14_all(spark, sf):
+    files, key = _files(spark, sf), project.key_files(_files(spark, sf), limit=None)
+    return project.dependencies(files, key)
+
+
 def _keyed(spark, sf):
     files = _files(spark, sf)
     return files, project.key_files(files)

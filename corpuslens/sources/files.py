@@ -50,16 +50,18 @@ def scan_folder(spark: SparkSession, folder: str, glob: str = "*.py") -> DataFra
 
     A file that is not UTF-8 is a row with `read_ok = false`; the rest goes on.
     """
-    base = folder.rstrip("/") + "/"
+    # the folder as the file system spells it: scheme, absolute path, no dots
+    spelled = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = spelled.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = spelled.makeQualified(store.getUri(), store.getWorkingDirectory()).toString().rstrip("/") + "/"
     raw = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
         .load(folder).select("path", "content", "length")
     )
     valid = F.is_valid_utf8(F.col("content").cast("string"))
-    # the source may spell the scheme of the folder in front of it
-    at = F.locate(base, F.col("path"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # an empty authority may be left out
     return raw.select(
-        F.col("path").substr(at + len(base), F.length("path")).alias("path"),
+        F.regexp_replace(F.substr(plain(F.col("path")), F.length(plain(F.lit(base))) + 1), "^/+", "").alias("path"),
         F.when(valid, F.col("content").cast("string")).alias("content"),
         F.when(valid, "utf-8").otherwise("unknown").alias("encoding"),
         F.col("length").alias("size"), valid.alias("read_ok"),

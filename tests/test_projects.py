@@ -118,6 +118,15 @@ def test_sources(spark, tmp_path):
     rows = {r.path: r for r in sources.scan_folder(spark, str(tmp_path)).collect()}
     assert set(rows) == {"a.py", "sub/b.py", "bad.py", "wide.py"}
     assert rows["sub/b.py"].content == "é = 2\n" and not rows["bad.py"].read_ok
+    here = os.getcwd()
+    os.chdir(tmp_path)
+    try:  # relative and dotted spellings of the folder, and one that occurs twice in the path
+        (tmp_path / "a" / "a").mkdir(parents=True)
+        (tmp_path / "a" / "a" / "c.py").write_bytes(b"y = 1\n")
+        local = lambda folder: {r.path for r in sources.scan_folder(spark, folder).collect()}
+        assert local(f"file:{tmp_path}/./a/") == {"a/c.py"} == local(f"file://{tmp_path}/sub/../a")
+    finally:
+        os.chdir(here)
     raw = spark.read.format("binaryFile").load(str(tmp_path / "*.py")).select(F.substring_index("path", "/", -1).alias("path"), "content")
     text = {r.path: r for r in sources.to_utf8(raw).collect()}
     assert (text["wide.py"].content, text["wide.py"].encoding) == ("w = 'ü'\r\n", "utf-16")
