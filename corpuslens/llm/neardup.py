@@ -227,6 +227,9 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Likely pairs of different components inside (band, i, j) groups, which arrive one after the other.
 
     A pair of several common bands leaves in one of them, which its ids pick.
+    Rows are (band, i, j, a, partners): one for each text with likely partners,
+    at most a block of them, and one with null partners for each text that its
+    cell has to see.
     """
     def rows():
         for batch in batches:
@@ -238,7 +241,7 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def full() -> pa.RecordBatch:
         columns = zip(*out) if out else [()] * 5
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, kind) for c, kind in zip(columns, (_LONG, _LONG, _LONG, pa.int32(), pa.int32()))], ["a", "b", "band", "i", "j"])
+            [pa.array(c, kind) for c, kind in zip(columns, (_LONG, pa.int32(), pa.int32(), _LONG, _LONGS))], ["band", "i", "j", "a", "partners"])
 
     for (band, i, j), group in groupby(rows(), key=lambda r: r[:3]):
         group = list(group)
@@ -249,6 +252,7 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         registers = np.frombuffer(b"".join(r[6] for r in right), np.uint8).reshape(-1, REGISTERS)
         bands = np.array([r[7] for r in right], np.int64)
         here = int(np.flatnonzero(bands[0] == band)[0])
+        seen: set[int] = set()
         for k, r in enumerate(left):
             other = np.flatnonzero(component != r[5])
             if i == j:
@@ -259,7 +263,11 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 common = bands[other] == np.array(r[7], np.int64)
                 turn = (mixed((ids[other] ^ np.int64(r[4])).view(_u)) % common.sum(1).astype(_u)).astype(np.int64)
                 picked = common[:, here] & (common[:, :here].sum(1) == turn)
-                out += [(min(r[4], x), max(r[4], x), band, i, j) for x in ids[other[picked]].tolist()]
+                if picked.any():
+                    partners = ids[other[picked]].tolist()
+                    out.append((band, i, j, r[4], partners))
+                    seen.update(partners, [r[4]])
+        out += [(band, i, j, x, None) for x in seen]
         if len(out) >= 10_000:
             yield full()
             out = []
@@ -267,27 +275,26 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of pairs, which follow the texts of their (band, i, j) cell."""
+    """Links of partners, whose rows follow the texts of their (band, i, j) cell."""
     cell, texts, sets, held = None, {}, {}, 0
     for batch in batches:
         good: list[tuple[int, int]] = []
-        columns = [batch.column(c).to_pylist() for c in ("band", "i", "j", "a", "b")]
-        for k, (band, i, j, a, b) in enumerate(zip(*columns)):
+        columns = [batch.column(c).to_pylist() for c in ("band", "i", "j", "a", "partners")]
+        for k, (band, i, j, a, partners) in enumerate(zip(*columns)):
             if cell != (band, i, j):
                 cell, texts, sets, held = (band, i, j), {}, {}, 0
-            if b is None:
+            if partners is None:
                 texts[a] = batch.column("text")[k].as_py()
                 continue
-            for x in (a, b):
-                if x not in sets:
+            own = Texts([texts[a]]).shingles(0)
+            for b in partners:
+                if b not in sets:
                     if held > BLOCK_WORDS:
                         sets, held = {}, 0
-                    sets[x] = Texts([texts[x]]).shingles(0)
-                    held += len(sets[x][0])
-            if a not in sets:  # forgotten for the other
-                sets[a] = Texts([texts[a]]).shingles(0)
-            if similarity(sets[a], sets[b]) >= SIMILARITY - 1e-9:
-                good.append((a, b))
+                    sets[b] = Texts([texts[b]]).shingles(0)
+                    held += len(sets[b][0])
+                if similarity(own, sets[b]) >= SIMILARITY - 1e-9:
+                    good.append((a, b))
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in good], _LONG), pa.array([b for _, b in good], _LONG)], ["a", "b"])
 
 
@@ -359,14 +366,12 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     meets = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
     dealt = meets.join(registers, "id").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    pairs = dealt.select("band", "i", "j", "own", "id", "component", "registers", "bands").mapInArrow(
-        _between, "a long, b long, band long, i int, j int")
-    rest = written(spark, pairs.join(stars, ["a", "b"], "left_anti"), "rest")
-    sent = rest.select("band", "i", "j", F.explode(F.array("a", "b")).alias("id")).distinct().join(bodies, "id").select(
-        "band", "i", "j", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    asked = rest.select("band", "i", "j", "a", "b", F.lit(None).cast("string").alias("text"))
+    rest = written(spark, dealt.select("band", "i", "j", "own", "id", "component", "registers", "bands").mapInArrow(
+        _between, "band long, i int, j int, a long, partners array<long>"), "rest")
+    sent = rest.filter("partners IS NULL").join(bodies.select(F.col("id").alias("a"), "text"), "a").select("band", "i", "j", "a", "partners", "text")
+    asked = rest.filter("partners IS NOT NULL").withColumn("text", F.lit(None).cast("string"))
     by_cell = sent.unionByName(asked).repartition("band", "i", "j").sortWithinPartitions(
-        "band", "i", "j", F.col("b").isNotNull(), "a", "b")
+        "band", "i", "j", F.col("partners").isNotNull(), "a")
     more = written(spark, by_cell.mapInArrow(_verify_cells, "a long, b long"), "rest-links")
     final = components(spark, links.unionByName(more))
     rows = sketch.select("doc_id", "id").join(final, "id", "left").select(
