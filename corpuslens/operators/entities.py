@@ -303,7 +303,10 @@ def business_rules(nodes: DataFrame) -> DataFrame:
 
 # --- per-file row and corpus overview --------------------------------------
 def file_entities(nodes: DataFrame) -> DataFrame:
-    """One nested row per parsed file; a file without entities has empty arrays."""
+    """One nested row per parsed file; a file without entities has empty arrays.
+
+    All parts meet in one aggregate by path; none is joined.
+    """
     rules = business_rules(nodes).select(
         "path", F.struct("rule", "type", "condition", "actions", "function", "arguments", "full_call").alias("v")
     )
@@ -320,16 +323,11 @@ def file_entities(nodes: DataFrame) -> DataFrame:
         "dataframes": frames,
         "business_rules": rules,
     }
-    out = nodes.filter("kind = 'Module'").select("path")
-    for name, rows in parts.items():
-        per_file = rows.groupBy("path").agg(F.array_sort(F.collect_list("v")).alias(name))
-        out = out.join(per_file, "path", "left")
-    return out.select(
-        "path",
-        *[F.coalesce(n, F.array()).alias(n) for n in ("functions", "variables", "file_paths", "configs")],
-        F.coalesce(F.map_from_entries("sql_vars"), F.create_map().cast("map<string,string>")).alias("sql_vars"),
-        *[F.coalesce(n, F.array()).alias(n) for n in ("df_transformations", "dataframes", "business_rules")],
-    )
+    rows = nodes.filter("kind = 'Module'").select("path")
+    for name, part in parts.items():
+        rows = rows.unionByName(part.withColumnRenamed("v", name), allowMissingColumns=True)
+    grouped = rows.groupBy("path").agg(*[F.array_sort(F.collect_list(name)).alias(name) for name in parts])
+    return grouped.withColumn("sql_vars", F.map_from_entries("sql_vars"))
 
 
 def overview(nodes: DataFrame, approximate: bool = False) -> DataFrame:

@@ -178,13 +178,14 @@ def e16(spark, sf):
  (SELECT string_agg(name, '|' ORDER BY name) FROM ({VARIABLE_ROWS}) v WHERE v.path = cu.path) AS variables,
  csv AS file_paths, cfg AS configs, 'inline_sql_1|q|view' AS sql_keys,
  CAST(3 + CAST(k % 6 = 0 AS INT) + 3 * CAST(k % 7 = 0 AS INT) AS INT) AS n_transformations,
- CAST(3 + CAST(k % 7 = 0 AS INT) AS INT) AS n_dataframes, CAST(3 AS INT) AS n_rules FROM cu""")
+ (SELECT string_agg(concat_ws(':', name, df_type, method, source), '|' ORDER BY concat_ws(':', name, df_type, method, source)) FROM ({FRAMES}) f WHERE f.path = cu.path) AS dataframes,
+ CAST(3 AS INT) AS n_rules FROM cu""")
 def e17(spark, sf):
     rows = entities.file_entities(_nodes(spark, sf))
     joined = [sorted_join(F.col(c)).alias(c) for c in ("functions", "variables", "file_paths", "configs")]
     return rows.select(
         "path", *joined, sorted_join(F.map_keys("sql_vars")).alias("sql_keys"),
-        F.size("df_transformations").alias("n_transformations"), F.size("dataframes").alias("n_dataframes"),
+        F.size("df_transformations").alias("n_transformations"), sorted_join(F.transform("dataframes", lambda d: F.concat_ws(":", d["name"], d["df_type"], d["method"], d["source"]))).alias("dataframes"),
         F.size("business_rules").alias("n_rules"))
 
 
