@@ -378,6 +378,8 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
         "doc_id", "id", F.coalesce("component", "id").alias("component"))
     classes = rows.filter("component IS NOT NULL").groupBy("component").agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    # written first: a join with the aggregate itself could not be split where a class holds many rows
+    classes = written(spark, classes, "classes")
     return rows.join(classes, "component", "left").select(
         "doc_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
