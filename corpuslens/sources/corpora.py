@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.sources.files import qualified
 from corpuslens.sources.workspace import written
 
 
@@ -285,16 +286,20 @@ def written_nodes(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def land_on_disk(files: DataFrame, folder: str) -> None:
     """Write each (path, content BINARY) row as a file below a shared folder.
 
-    A retried task writes the same bytes under the same name again.
+    A retried task writes the same bytes under the same name again.  The folder is
+    spelled with its scheme first: without one it lies in the cluster's default
+    file system, not on the disk of the executor that writes.
     """
+    target = re.sub("^file:/+", "file:///", qualified(files.sparkSession, folder))
+
     def write_rows(rows):
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store, base = fs.FileSystem.from_uri(target)
         for row in rows:
-            target = f"{base}/{row.path}"
-            store.create_dir(target.rsplit("/", 1)[0], recursive=True)
-            with store.open_output_stream(target) as out:
+            place = f"{base}/{row.path}"
+            store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(place) as out:
                 out.write(bytes(row.content))
 
     files.select("path", "content").foreachPartition(write_rows)

@@ -45,15 +45,19 @@ def read_script(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder as its file system spells it: scheme, absolute path, no dots."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return path.makeQualified(store.getUri(), store.getWorkingDirectory()).toString()
+
+
 def scan_folder(spark: SparkSession, folder: str, glob: str = "*.py") -> DataFrame:
     """All matching files below a folder, by path relative to it.
 
     A file that is not UTF-8 is a row with `read_ok = false`; the rest goes on.
     """
-    # the folder as the file system spells it: scheme, absolute path, no dots
-    spelled = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    store = spelled.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    base = spelled.makeQualified(store.getUri(), store.getWorkingDirectory()).toString().rstrip("/") + "/"
+    base = qualified(spark, folder).rstrip("/") + "/"
     raw = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
         .load(folder).select("path", "content", "length")
