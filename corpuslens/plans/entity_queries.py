@@ -409,10 +409,23 @@ def r12(spark, sf):
 
 
 # --- exports ----------------------------------------------------------------------------
-@query("s6_scanner_sheets", DQ + f"""SELECT 'Overview' AS sheet, count(*) AS rows FROM ({OVERVIEW}) o
- UNION ALL SELECT 'Variables', count(*) FROM ({VARIABLE_ROWS}) v UNION ALL SELECT 'DataFrames', count(*) FROM ({FRAMES}) f
- UNION ALL SELECT 'Transformations', (SELECT count(*) FROM ({MOVES}) m) + (SELECT count(*) FROM ({FUNCTION_MOVES}) g)
- UNION ALL SELECT 'Source_Target', count(*) FROM ({MAPPING}) t UNION ALL SELECT 'SQL_Analysis', count(*) FROM dq""")
+def _sheet(name, rows, *columns):
+    """SQL: rows of a sheet and the characters of its cells."""
+    cells = " + ".join(f"coalesce(length(CAST({c} AS VARCHAR)), 0)" for c in columns)
+    return f"SELECT '{name}' AS sheet, count(*) AS rows, CAST(sum({cells}) AS BIGINT) AS chars FROM ({rows}) {name}_rows"
+
+
+TYPED = f"""SELECT v.path, v.name, CASE WHEN f.name IS NULL THEN 'Regular' ELSE 'DataFrame' END AS type FROM ({VARIABLE_ROWS}) v
+ LEFT JOIN (SELECT DISTINCT path, name FROM ({FRAMES}) a) f ON f.path = v.path AND f.name = v.name"""
+
+
+@query("s6_scanner_sheets", DQ + " UNION ALL ".join([
+    _sheet("Overview", OVERVIEW, "metric", "count"),
+    _sheet("Variables", TYPED, "path", "name", "type"),
+    _sheet("DataFrames", FRAMES, "path", "name", "df_type", "concat(coalesce(source, ''), ' / ', coalesce(method, ''))"),
+    _sheet("Transformations", f"{MOVES} UNION ALL {FUNCTION_MOVES}", "path", "target", "source", "operation", "details", "in_function"),
+    _sheet("Source_Target", MAPPING, "source_type", "source", "target_type", "target", "operation", "filename"),
+    _sheet("SQL_Analysis", "SELECT * FROM dq", "query_id", "sql", "CASE WHEN key = 'q' THEN concat(t1, ', ', t2) ELSE t1 END")]))
 def s6(spark, sf):
     sheets = reports.scanner_sheets(_nodes(spark, sf))
     folder = run_folder(spark, "scanner_sheets", sf)
@@ -420,8 +433,9 @@ def s6(spark, sf):
     return reports.read_sheets(spark, folder, list(sheets))
 
 
-@query("s7_older_sheets", DQ + f"""SELECT 'Entities' AS sheet, count(*) AS rows FROM ({ENTITY_ROWS}) e
- UNION ALL SELECT 'Transformations', (SELECT count(*) FROM ({LINES}) l) + (SELECT count(*) FROM cu)""")
+@query("s7_older_sheets", DQ + " UNION ALL ".join([
+    _sheet("Entities", ENTITY_ROWS, "path", "entity_type", "name", "used_in_query"),
+    _sheet("Transformations", f"SELECT path, line FROM ({LINES}) l UNION ALL SELECT path, concat({Q}, q, {Q}) FROM cu", "path", "line")]))
 def s7(spark, sf):
     sheets = reports.older_sheets(_nodes(spark, sf), _files(spark, sf))
     folder = run_folder(spark, "older_sheets", sf)

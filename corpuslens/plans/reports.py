@@ -43,11 +43,13 @@ def write_sheets(sheets: dict[str, DataFrame], folder: str, format: str = "parqu
 
 
 def read_sheets(spark: SparkSession, folder: str, names: list[str], format: str = "parquet") -> DataFrame:
-    """(sheet, rows) of written sheets."""
-    counts = [
-        spark.read.format(format).load(f"{folder}/{n}").agg(F.count("*").alias("rows")).select(F.lit(n).alias("sheet"), "rows")
-        for n in names
-    ]
+    """(sheet, rows, chars) of written sheets; chars are those of all their cells."""
+    counts = []
+    for name in names:
+        sheet = spark.read.format(format).load(f"{folder}/{name}")
+        cells = reduce(lambda x, y: x + y, [F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in sheet.columns])
+        counts.append(sheet.agg(F.count("*").alias("rows"), F.coalesce(F.sum(cells), F.lit(0)).cast("bigint").alias("chars")).select(
+            F.lit(name).alias("sheet"), "rows", "chars"))
     return reduce(DataFrame.unionByName, counts)
 
 
