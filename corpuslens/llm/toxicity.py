@@ -9,9 +9,13 @@ the pair sum costs one pass: (|sum v|^2 - sum |v|^2) / 2.
 Fitting uses at most `TRAIN_DOCS` labelled documents, those with the smallest
 hash of their id.  Their terms are counted by Spark per bucket; buckets whose
 rates differ clearly between the labels (|z| >= MIN_Z, at least MIN_DOCS
-documents, the MAX_TERMS clearest) become terms of the model.  Only these terms
-of the sample reach the driver, which fits by full-batch Adam.  Scoring is a map
-over all documents.
+documents) become terms of the model.  So do both buckets of every pair whose
+documents are clearly more, or less, toxic than a first model of the terms so far
+expects (MIN_PAIR_Z, higher since there are up to billions of pairs).  All pairs
+of buckets that share at least MIN_DOCS documents are tested, in tasks that each
+take a part of the buckets and hold the sample's bucket numbers.  The driver sees
+these numbers, no texts, and fits by full-batch Adam.  Scoring is a map over all
+documents.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +40,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BUCKETS = 1 << 18
 TRAIN_DOCS = 20_000
-MIN_Z, MIN_DOCS, MAX_TERMS = 5.0, 4, 20_000
+MIN_Z, MIN_DOCS = 5.0, 4
+MIN_PAIR_Z, PAIR_TASKS = 6.5, 48
+SURE = 0.02, 0.98
 FACTORS, STEPS, RATE, DECAY = 8, 200, 0.05, 1e-4
 CACHED_WORDS = 300_000
 
@@ -109,6 +116,57 @@ def _fit(n_terms: int, rows: list[tuple[int, list[int]]]) -> tuple[float, np.nda
     return float(bias[0]), w, v
 
 
+def _clear_partners(at: int, indptr: np.ndarray, items: np.ndarray, places: np.ndarray, doc: np.ndarray, toxic: np.ndarray,
+                    expected: np.ndarray, terms: int) -> np.ndarray:
+    """Numbers after `at` whose documents together with it are not as toxic as expected.
+
+    `items` has the numbers of each document in ascending order, `doc` the document of each place in it,
+    `places` those of `at`; `toxic` and `expected` are the label and its expectation for each document.
+    """
+    size = indptr[doc[places] + 1] - places - 1
+    ends = np.cumsum(size)
+    after = items[np.repeat(places + 1 - ends + size, size) + np.arange(ends[-1])]
+    if len(after) < terms // 8:
+        found, after = np.unique(after, return_inverse=True)
+        n = np.bincount(after)
+    else:
+        n = np.bincount(after, minlength=terms)
+        found = np.arange(terms)
+    enough = n >= MIN_DOCS
+    if not enough.any():
+        return found[:0]
+    total = lambda x: np.bincount(after, np.repeat(x[doc[places]], size), len(n))[enough]
+    n, seen, want = n[enough], total(toxic), total(expected)
+    # likelihood ratio, also right for few documents
+    parts = lambda a, e: a * np.log(np.maximum(a, 1e-9) / e)
+    ratio = 2 * (parts(seen, want) + parts(n - seen, n - want))
+    return found[enough][ratio >= MIN_PAIR_Z ** 2]
+
+
+def _pair_terms(spark: SparkSession, items: np.ndarray, doc: np.ndarray, toxic: np.ndarray, expected: np.ndarray, terms: int) -> list[int]:
+    """Numbers of all pairs whose documents differ clearly from what is expected."""
+    shared = spark.sparkContext.broadcast((items, doc, toxic, expected))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, doc, toxic, expected = shared.value
+        indptr = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(toxic)))])
+        n = np.bincount(items, minlength=terms)
+        places, ends = np.argsort(items, kind="stable"), np.cumsum(n)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                clear: set[int] = set()
+                for at in range(part, terms, PAIR_TASKS):
+                    partners = _clear_partners(at, indptr, items, places[ends[at] - n[at]:ends[at]], doc, toxic, expected, terms)
+                    if len(partners):
+                        clear.add(at)
+                        clear.update(partners.tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(clear), pa.int32())], ["term"])
+
+    found = spark.range(0, PAIR_TASKS, 1, PAIR_TASKS).mapInArrow(search, "term int").distinct().collect()
+    shared.unpersist()
+    return [r.term for r in found]
+
+
 def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """Model of `labels(doc_id, toxic)`; without both labels, or clear terms, it only knows the base rate.
 
@@ -117,27 +175,48 @@ def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, most: int
     sample = written(spark, _sample(documents, labels, most), "toxic-sample")
     counts = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = counts.get(1, 0), counts.get(0, 0)
+    if not n_pos + n_neg:
+        return Model(np.zeros(0, int), -30.0, np.zeros(0), np.zeros((0, FACTORS)))
     per_bucket = sample.select("toxic", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(
         F.sum("toxic").alias("pos"), F.count("*").alias("n"))
     pos, neg = F.col("pos"), F.col("n") - F.col("pos")
     rate = F.col("n") / (n_pos + n_neg + 1e-9)
     spread = F.sqrt(rate * (1 - rate) * (1 / max(n_pos, 1) + 1 / max(n_neg, 1)) + 1e-12)
     z = F.abs(pos / max(n_pos, 1) - neg / max(n_neg, 1)) / spread
-    clear = per_bucket.filter((F.col("n") >= MIN_DOCS) & (z >= MIN_Z)).orderBy(z.desc(), "bucket").limit(MAX_TERMS).select("bucket")
-    terms = np.array(sorted(r.bucket for r in clear.collect()), int) if n_pos and n_neg else np.zeros(0, int)
-    index = {int(b): i for i, b in enumerate(terms)}
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [[index[b] for b in row if b in index] for row in batch.column("buckets").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "terms"])
-
-    # at most `most` rows of model terms
-    rows = [(r.toxic, r.terms) for r in sample.mapInArrow(known, "toxic int, terms array<int>").collect()]
-    rows.sort()
-    if not rows:
-        return Model(terms, -30.0, np.zeros(0), np.zeros((0, FACTORS)))
-    return Model(terms, *_fit(len(terms), rows))
+    both = n_pos > 0 and n_neg > 0
+    # at most as many rows as buckets
+    common = sorted((r.bucket, r.clear) for r in per_bucket.filter(F.col("n") >= MIN_DOCS).select("bucket", (z >= MIN_Z).alias("clear")).collect()) if both else []
+    bucket = np.array([b for b, _ in common], int)
+    chosen = np.flatnonzero([c for _, c in common])
+    number = np.full(BUCKETS, -1, np.int32)
+    number[bucket] = np.arange(len(bucket))
+
+    # the bucket numbers of the sample, as two flat arrays
+    rows = sample.select("toxic", "buckets").toArrow()
+    toxic = rows.column("toxic").to_numpy().astype(np.float32)
+    size = pc.list_value_length(rows.column("buckets")).to_numpy()
+    items = number[pc.list_flatten(rows.column("buckets")).to_numpy()]
+    doc = np.repeat(np.arange(len(toxic), dtype=np.int32), size)[items >= 0]
+    items = items[items >= 0]
+
+    def model_rows(terms: np.ndarray) -> list[tuple[int, list[int]]]:
+        place = np.full(len(bucket), -1, np.int32)
+        place[terms] = np.arange(len(terms))
+        at = place[items]
+        ends = np.cumsum(np.bincount(doc[at >= 0], minlength=len(toxic)))[:-1]
+        return [(int(y), x.tolist()) for y, x in zip(toxic, np.split(at[at >= 0], ends))]
+
+    first = model_rows(chosen)
+    model = Model(bucket[chosen], *_fit(len(chosen), sorted(first)))
+    if len(bucket):
+        scorer = Scorer(model)
+        # an expectation without doubt would make a single document a clear difference
+        expected = np.clip([scorer.of_terms(x) for _, x in first], *SURE).astype(np.float32)
+        pairs = _pair_terms(spark, items, doc, toxic, expected, len(bucket))
+        terms = np.union1d(chosen, np.array(pairs, int))
+        if len(terms) > len(chosen):
+            model = Model(bucket[terms], *_fit(len(terms), sorted(model_rows(terms))))
+    return model
 
 
 class Scorer:
@@ -162,7 +241,9 @@ class Scorer:
         return sorted(found)
 
     def score(self, text: str | None) -> float:
-        at = self.present(text)
+        return self.of_terms(self.present(text))
+
+    def of_terms(self, at: list[int]) -> float:
         z = self.model.bias
         if at:
             v = self.model.factors[at]

@@ -45,6 +45,19 @@ def test_pairs_without_single_effects_are_learned():
     assert score([]) < 0 < score([0]) and score([1]) > 0 > score([0, 1])
 
 
+def test_pure_interactions_are_learned_by_fit(spark):
+    filler = "the quick brown fox jumps over lazy dogs while rain falls on green hills".split()
+    pick = np.random.default_rng(0)
+    texts = [(int(a ^ b), ["gruppe"] * a + ["harmlos"] * b + [w for w in filler if pick.random() < 0.5])
+             for a, b in itertools.product((0, 1), repeat=2) for _ in range(150)]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, (_, x) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (y, _) in enumerate(texts)], "doc_id long, toxic int")
+    model = t.fit(spark, docs, labels)
+    assert set(t.word_buckets("gruppe") + t.word_buckets("harmlos")) <= set(model.terms.tolist())
+    rows = t.toxicity_scores(docs, model).join(labels, "doc_id").filter(held_out(F.col("doc_id"))).collect()
+    assert len(rows) > 60 and all(r.predicted == r.toxic for r in rows)
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     shape = "doc_id long, text string, score string, toxic int"
     rows = [(None, "x", "", 1), (1, None, "", 0), (1, None, "", 0), (2, "", None, 1), (3, "word " * 60_000, None, None)]
