@@ -4,14 +4,16 @@ A word is the space mark and its lower-cased letters.  Every way to cut it into
 pieces of a fixed public vocabulary counts: its probability in a language is the
 sum over segmentations of the product of piece probabilities, which a forward
 pass computes.  Letters that are no piece of the vocabulary are pieces of their
-own class.  A text scores the sum of the logarithms over its words.
+own class.  A text scores the sum of the logarithms over its words.  Passes keep
+logarithms at each node, so that no word, however long or rare, underflows.
 
 Piece probabilities come from expectation maximisation: the forward and a
 backward pass give the expected count of each piece over all segmentations of
 the training words, weighted by the words' counts in each language.  The words
 are counted by Spark over about `TRAIN_DOCS` documents for each language at most
 (a share of them by the hash of their id); the expected counts are partial sums per
-batch, so that only pieces x languages numbers reach the driver.
+batch, so that only pieces x languages numbers reach the driver.  Words of every
+length count.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ SPACE = "▁"
 TRAIN_DOCS = 1500    # for each language
 ROUNDS = 3
 SMOOTHING = 0.1      # added to every expected count
-LONGEST = 48         # longer words are scored one by one, with scaling
+LONGEST = 48         # longer words are scored one by one
+LETTERS = 100_000    # of the words in one pass of the fit
 CACHED_WORDS = 250_000
 
 _words = re.compile(r"[^\W\d_]+").findall
@@ -88,26 +91,32 @@ class Lattice:
         word = np.searchsorted(at, last, "right") - 1
         # a node is a place in the text plus the number of words before it
         offset = last + 1 - at[word]
-        order = np.argsort(offset, kind="stable")
+        order = np.lexsort((word, offset))
         word, piece, n, offset = word[order], piece[order], n[order], offset[order]
         end = at[word] + word + offset
         return at[:-1] + np.arange(len(words)), length, end - n, end, offset, piece, word
 
     def forward(self, words: list[str], p: np.ndarray):
+        """ln of the probability of all ways to each node, and the matches."""
         first, length, start, end, offset, piece, word = found = self.matches(words)
-        alpha = np.zeros((int(length.sum()) + len(words), p.shape[1]))
-        alpha[first] = 1.0
+        logs, log_p = np.full((int(length.sum()) + len(words), p.shape[1]), -np.inf), np.log(p)
+        logs[first] = 0.0
         for a, b in _runs(offset):
-            np.add.at(alpha, end[a:b], alpha[start[a:b]] * p[piece[a:b]])
-        return alpha, found
+            # matches with one end stand together
+            cuts = np.flatnonzero(np.diff(end[a:b], prepend=-1))
+            x = logs[start[a:b]] + log_p[piece[a:b]]
+            most = np.maximum.reduceat(x, cuts)
+            x -= np.repeat(most, np.diff(cuts, append=b - a), 0)
+            logs[end[a:b][cuts]] = most + np.log(np.add.reduceat(np.exp(x), cuts))
+        return logs, found
 
     def log_words(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """ln of each word's probability, summed over its segmentations: words x languages."""
         out = np.empty((len(words), p.shape[1]))
         short = [i for i, w in enumerate(words) if len(w) <= LONGEST]
         if short:
-            alpha, (first, length, *_) = self.forward([words[i] for i in short], p)
-            out[short] = np.log(alpha[first + length])
+            logs, (first, length, *_) = self.forward([words[i] for i in short], p)
+            out[short] = logs[first + length]
         for i, w in enumerate(words):
             if len(w) > LONGEST:
                 out[i] = self.log_long(w, p)
@@ -135,13 +144,22 @@ class Lattice:
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected pieces of words, by their counts in each language: pieces x languages."""
-        alpha, (first, length, start, end, offset, piece, word) = self.forward(words, p)
-        beta = np.zeros_like(alpha)
-        beta[first + length] = 1.0
+        total = np.zeros((len(p), p.shape[1]))
+        place = np.cumsum([len(w) + 1 for w in words]) // LETTERS
+        for a, b in _runs(place):
+            total += self._expected(words[a:b], counts[a:b], p)
+        return total
+
+    def _expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+        logs, (first, length, start, end, offset, piece, word) = self.forward(words, p)
+        # share of each match among the ways to its end, then among all segmentations: never above 1
+        share = np.exp(logs[start] + np.log(p)[piece] - logs[end])
+        passed = np.zeros_like(logs)
+        passed[first + length] = 1.0
         for a, b in reversed(_runs(offset)):
-            np.add.at(beta, start[a:b], beta[end[a:b]] * p[piece[a:b]])
-        weight = counts / alpha[first + length]
-        share = alpha[start] * p[piece] * beta[end] * weight[word]
+            share[a:b] *= passed[end[a:b]]
+            np.add.at(passed, start[a:b], share[a:b])
+        share *= counts[word]
         return np.stack([np.bincount(piece, share[:, k], len(p)) for k in range(p.shape[1])], 1)
 
 
@@ -156,7 +174,7 @@ def _word_counts(sample: DataFrame) -> DataFrame:
         for batch in batches:
             counts: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-                counts.setdefault(lang, Counter()).update(w for w in words_of(text.as_py()) if len(w) <= LONGEST)
+                counts.setdefault(lang, Counter()).update(words_of(text.as_py()))
             for lang, c in counts.items():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(c), pa.string()), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())],

@@ -65,6 +65,29 @@ def test_long_words_do_not_underflow(setting):
         assert np.isfinite(lattice.log_words(["ab" * n], p)).all()
 
 
+def test_rare_letters_do_not_underflow(setting):
+    lattice, p, _ = setting
+    p = p.copy()
+    p[0] = 1e-9
+    for n in (40, 48, 60):
+        assert np.isfinite(lattice.log_words(["z" * n, "ab"], p)).all()
+    for n in (48, 5000):
+        found = lattice.expected(["z" * n], np.ones((1, 3)), p)
+        assert np.allclose(found[0], n) and np.isfinite(found).all()
+
+
+def test_languages_of_long_runs_are_learned(spark):
+    rows = [(i, "ab" * 300 if i % 2 else "éé" * 300, "xx" if i % 2 else "yy") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lg.fit(spark, docs, PIECES)
+    assert model.languages == ["xx", "yy"]
+    got = {r.doc_id: r for r in lg.languages(docs, model).collect()}
+    assert all(got[i].lang_pred == lang and got[i].score > 0.99 for i, _, lang in rows)
+    rare = spark.createDataFrame([(1, "é é é é é é " + "z" * 46)], "doc_id long, text string")
+    row = lg.languages(rare, model).first()
+    assert row.lang_pred == "yy" and 0 <= row.score <= 1
+
+
 def test_held_out_accuracy(spark):
     rows = op2(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
