@@ -38,6 +38,15 @@ def test_layout(html, text):
     assert visible_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<p title=it's>Don't go there</p> more <b>x</b>", "Don't go there\n\nmore x"), ('<p 5" x>a</p><b "c>d</b>', "a\n\nd"),
+    ("<a href=x=\"y>z</a> \"w", 'z "w'), ("<a title = 'a>b' href=\"c>d\">link</a>", "link"), ("<a title=>b</a>", "b"),
+    ("<p title=it's hidden>a</p>b", "b"), ("<p =\"a>b", "b"), ("<a title='a'b=\"c>d\">e", "e"),
+])
+def test_quotes_open_values_only(html, text):
+    assert visible_text(html) == text
+
+
 def test_random_blocks_keep_all_text_in_order():
     draw = random.Random(0)
     for _ in range(200):
