@@ -7,8 +7,11 @@ renderer walks the tree once and keeps all text that is not hidden (by element,
 by the `hidden` attribute or by an inline style): blocks stand on their own
 lines, paragraphs and headings with a blank line around them, list items with a
 bullet or their number and an indent for each level, tables as rows of cells in
-columns of equal width, preformatted text as it is, and other white space as one
-space.
+columns of equal width (a cell over several rows stands in the first of them),
+preformatted text as it is, and other white space as one space.  Formulas are
+written in one line, with / ^ _ for fractions and scripts; each text of a drawing
+is set off by spaces.  Form texts are shown on demand, as `extract` does: the text
+of a textarea, and the options a select shows before it is opened.
 """
 
 from __future__ import annotations
@@ -31,7 +34,12 @@ _set = lambda names: frozenset(names.split())
 VOID = _set("area base br col embed hr img input link meta param source track wbr")
 RAW = _set("script style noframes iframe noembed xmp")          # their text is no markup
 ESCAPABLE_RAW = _set("title textarea")                            # but for character references
-HIDDEN = _set("head title script style noframes iframe noembed noscript template object audio video canvas svg math datalist textarea select option optgroup")
+HIDDEN = _set("head title script style noframes iframe noembed noscript template object audio video canvas datalist")
+FORM_TEXTS = _set("textarea select option optgroup")              # shown on demand
+HIDDEN_IN_SVG = _set("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter")
+HIDDEN_IN_MATH = _set("annotation annotation-xml")
+SET_OFF = _set("text mtd mtr mtable textarea select option optgroup")  # by spaces
+BETWEEN = {"mfrac": "/", "msup": "^", "mover": "^", "msub": "_", "munder": "_", "msubsup": "_^", "munderover": "_^"}
 BLOCK = _set("""address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
  header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption""")
 SPACED = _set("p h1 h2 h3 h4 h5 h6 blockquote pre table figure ul ol menu dl fieldset")   # a blank line before and after
@@ -60,7 +68,7 @@ _token = re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([A-Za-z][^\s
 _attribute = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+""")
 _space = re.compile(r"[ \t\n\r\f]+")
 _unseen = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?:;|$)", re.I)
-_attributes_of_note = _set("hidden style start value colspan type")
+_attributes_of_note = _set("hidden style start value colspan rowspan type selected multiple size label")
 
 
 class Node:
@@ -148,7 +156,7 @@ def build_tree(html: str) -> Node:
                 close_to(depth)
         node = Node(name, _attributes(m[3]) if m[3] and m[3].strip(" /") else None)
         open_[-1].children.append(node)
-        if name in VOID:
+        if name in VOID or m[3].endswith("/") and (count["svg"] or count["math"]):
             continue
         if name in RAW or name in ESCAPABLE_RAW:
             end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>?", re.I).search(html, at)
@@ -246,20 +254,50 @@ class Page:
         return "\n".join(lines)
 
 
-def _hidden(node: Node) -> bool:
+def _hidden(node: Node, forms: bool) -> bool:
     a = node.attributes
-    return node.name in HIDDEN or bool(a) and ("hidden" in a or "style" in a and bool(_unseen.search(a["style"])))
+    return node.name in HIDDEN or not forms and node.name in FORM_TEXTS or bool(a) and (
+        "hidden" in a or "style" in a and bool(_unseen.search(a["style"])))
 
 
-def render(root: Node, tables: int = 0) -> str:
+def _shown_options(select: Node) -> list[Node | str]:
+    """All children of a list box; the chosen option, or else the first, of a menu."""
+    if "multiple" in select.attributes or _integer(select.attributes.get("size"), 1) > 1:
+        return select.children
+    options, todo = [], list(reversed(select.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Node):
+            if x.name == "option":
+                options.append(x)
+            else:
+                todo.extend(reversed(x.children))
+    return [x for x in options if "selected" in x.attributes][-1:] or options[:1]
+
+
+def _formula(node: Node) -> list[Node | str]:
+    """Children of a fraction or script with the signs between them; what has several parts is in parentheses."""
+    signs = BETWEEN[node.name]
+    out: list[Node | str] = []
+    for i, x in enumerate(x for x in node.children if isinstance(x, Node)):
+        if i:
+            out.append(signs[min(i, len(signs)) - 1])
+        several = x.name in ("mrow", "mfrac") and len([c for c in x.children if isinstance(c, Node)]) > 1
+        out += ["(", x, ")"] if several else [x]
+    return out
+
+
+def render(root: Node, tables: int = 0, forms: bool = False) -> str:
     """Visible text of a tree, without recursion but for tables in tables.
 
     `tables` counts those around it; from ALIGNED_TABLES on, tables are plain blocks.
+    With `forms`, texts of textareas and shown options are kept.
     """
     page = Page()
     # entries: (what, argument); nodes are entered, and their ends restore what they changed
     todo: list[tuple] = [("node", root)]
     pre = 0
+    drawings = formulas = 0
     lists: list[list] = []
     while todo:
         what, x = todo.pop()
@@ -271,6 +309,10 @@ def render(root: Node, tables: int = 0) -> str:
             if name in BLOCK:
                 page.block(name in SPACED and not (name in ("ul", "ol", "menu") and len(lists) > 1))
             page.indent, pre = indent, was_pre
+            drawings -= name == "svg"
+            formulas -= name == "math"
+            if name in SET_OFF:
+                page.space = True
             if name in ("ul", "ol", "menu"):
                 lists.pop()
             if name == "q":
@@ -279,7 +321,7 @@ def render(root: Node, tables: int = 0) -> str:
                 page.marker = None
             continue
         node, name = x, x.name
-        if _hidden(node):
+        if _hidden(node, forms) or drawings and name in HIDDEN_IN_SVG or formulas and name in HIDDEN_IN_MATH:
             continue
         if name == "br":
             page.line_break()
@@ -291,7 +333,7 @@ def render(root: Node, tables: int = 0) -> str:
             continue
         if name == "table" and tables < ALIGNED_TABLES:
             page.block(True)
-            for line in table_lines(node, tables + 1):
+            for line in table_lines(node, tables + 1, forms):
                 page._put(line)
                 page.end_line()
             page.block(True)
@@ -299,6 +341,10 @@ def render(root: Node, tables: int = 0) -> str:
         if name in BLOCK:
             page.block(name in SPACED and not (name in ("ul", "ol", "menu") and lists))
         todo.append(("end", (name, page.indent, pre)))
+        drawings += name == "svg"
+        formulas += name == "math"
+        if name in SET_OFF:
+            page.space = True
         if name in ("ul", "ol", "menu"):
             lists.append([name, _integer(node.attributes.get("start"), 1)])
         elif name == "li":
@@ -314,12 +360,20 @@ def render(root: Node, tables: int = 0) -> str:
             page.indent += "> "
         elif name == "dd":
             page.indent += "    "
-        elif name == "pre":
+        elif name in ("pre", "textarea"):
             pre += 1
         elif name == "q":
             page.words("“")
         children = node.children
-        if name == "pre" and children and isinstance(children[0], str) and children[0].startswith("\n"):
+        if name == "select":
+            children = _shown_options(node)
+        elif name == "optgroup" and "label" in node.attributes:
+            children = [node.attributes["label"] + " ", *children]
+        elif name == "option" and node.attributes.get("label"):
+            children = [node.attributes["label"]]
+        elif name in BETWEEN and formulas:
+            children = _formula(node)
+        if name in ("pre", "textarea") and children and isinstance(children[0], str) and children[0].startswith("\n"):
             children = [children[0][1:], *children[1:]]
         for child in reversed(children):
             if isinstance(child, str):
@@ -334,50 +388,65 @@ def _integer(value: str | None, default: int) -> int:
     return int(value) if value and re.fullmatch(r"\s*-?\d{1,9}\s*", value) else default
 
 
-def table_lines(table: Node, tables: int) -> list[str]:
+def table_lines(table: Node, tables: int, forms: bool) -> list[str]:
     """Caption, then rows; cells are aligned in columns, several lines of a cell stay together."""
     captions, rows = [], []
-    todo = list(reversed(table.children))
+    # with the row group that each part stands in
+    todo: list[tuple] = [(x, table) for x in reversed(table.children)]
     loose: list = []
     while todo:
-        x = todo.pop()
+        x, group = todo.pop()
         if isinstance(x, str) or x.name not in TABLE_PARTS:
             # what stands in a table outside its cells is shown before it
             if isinstance(x, Node) and x.name in ("colgroup", "col"):
                 continue
             loose.append(x)
-        elif _hidden(x):
+        elif _hidden(x, forms):
             continue
         elif x.name == "caption":
             captions.append(x)
         elif x.name == "tr":
-            rows.append(x)
+            rows.append((x, group))
         elif x.name in ("td", "th"):
-            if not rows or rows[-1].name != "#cells":
-                rows.append(Node("#cells"))
-            rows[-1].children.append(x)
+            if not rows or rows[-1][0].name != "#cells":
+                rows.append((Node("#cells"), group))
+            rows[-1][0].children.append(x)
         else:
-            todo.extend(reversed(x.children))
+            todo.extend((c, x) for c in reversed(x.children))
     lines: list[str] = []
     for nodes in ([loose] if loose else []) + [c.children for c in captions]:
         holder = Node("#part")
         holder.children = nodes
-        shown = render(holder, tables)
+        shown = render(holder, tables, forms)
         if shown:
             lines += shown.split("\n")
     grid: list[list[list[str]]] = []
-    for row in rows:
+    below: dict[int, int] = {}  # rows that cells of earlier rows still reach into, by column
+    last = None
+    for row, group in rows:
+        if group is not last:
+            below, last = {}, group
         cells: list[list[str]] = []
+        spans: dict[int, int] = {}
         for cell in row.children:
             if isinstance(cell, str) and not cell.strip():
                 continue
-            if isinstance(cell, Node) and _hidden(cell):
+            if isinstance(cell, Node) and _hidden(cell, forms):
                 continue
+            while below.get(len(cells), 0):
+                cells.append([""])
             holder = Node("#part")
             holder.children = cell.children if isinstance(cell, Node) and cell.name in ("td", "th") else [cell]
-            cells.append(render(holder, tables).split("\n"))
+            start = len(cells)
+            cells.append(render(holder, tables, forms).split("\n"))
             span = _integer(cell.attributes.get("colspan"), 1) if isinstance(cell, Node) else 1
             cells += [[""]] * (min(max(span, 1), 1000) - 1)
+            down = _integer(cell.attributes.get("rowspan"), 1) if isinstance(cell, Node) else 1
+            # 0 reaches to the end of the row group
+            down = min(down, 65534) if down > 0 else 65534 if down == 0 else 1
+            if down > 1:
+                spans.update((k, down) for k in range(start, len(cells)))
+        below = {k: n - 1 for k, n in {**below, **spans}.items() if n > 1}
         if any(any(c) for c in cells):
             grid.append(cells)
     widths = [max((len(line) for row in grid if k < len(row) for line in row[k]), default=0) for k in range(max(map(len, grid), default=0))]
@@ -388,12 +457,12 @@ def table_lines(table: Node, tables: int) -> list[str]:
     return lines
 
 
-def visible_text(html: str | None) -> str:
-    return render(build_tree(html)) if html else ""
+def visible_text(html: str | None, forms: bool = False) -> str:
+    return render(build_tree(html), forms=forms) if html else ""
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """The columns `keep` and text, the visible text, of every page.
+    """The columns `keep` and text, the visible text with form texts, of every page.
 
     Defined cases: null and empty pages give ""; markup that never ends is read
     to the end; repeated rows each give a row; an empty table gives none; columns
@@ -406,7 +475,7 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                shown = pa.array([visible_text(h.as_py()) for h in part.column(len(keep))], pa.string())
+                shown = pa.array([visible_text(h.as_py(), forms=True) for h in part.column(len(keep))], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], shown], [*keep, "text"])
 
     return pages.select(*keep, html).mapInArrow(run, shape)

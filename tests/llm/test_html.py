@@ -47,6 +47,20 @@ def test_quotes_open_values_only(html, text):
     assert visible_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("a <math><mi>x</mi><mo>=</mo><mfrac><mrow><mi>b</mi><mo>+</mo><mn>1</mn></mrow><msup><mi>c</mi><mn>2</mn></msup></mfrac></math> d", "a x=(b+1)/c^2 d"),
+    ("<math><semantics><mi>x</mi><annotation>tex</annotation></semantics></math>y", "xy"),
+    ("a<svg><title>t</title><defs><text>no</text></defs><path d=z /><text>one</text><text>two</text></svg>b", "a one two b"),
+    ("<textarea>\nt\n u</textarea>v", "t\n u v"), ("<p>x<select><option>o<option selected>p</select>y", "x p y"),
+    ("<select><option>o<option>p</select>", "o"), ("<select multiple><optgroup label=g><option>o<option>p</select>", "g o p"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+    ("<table><tr><td>a<td rowspan=0 colspan=2>b<td>c<tr><td>d<td>e<tbody><tr><td>f<td>g</table>", "a | b |  | c\nd |   |  | e\nf | g"),
+])
+def test_formulas_drawings_forms_and_row_spans(spark, html, text):
+    assert visible_text(html, forms=True) == text
+    assert extract(spark.createDataFrame([(1, html)], "page_id long, html string")).first().text == text
+
+
 def test_random_blocks_keep_all_text_in_order():
     draw = random.Random(0)
     for _ in range(200):
