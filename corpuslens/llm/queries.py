@@ -38,6 +38,7 @@ def _load() -> None:
         decontamination_queries,
         html_queries,
         language_queries,
+        lexical_queries,
         neardup_queries,
         piece_queries,
         quality_queries,
