@@ -8,6 +8,7 @@ import time
 
 import duckdb
 import pandas as pd
+from pyspark.sql.types import IntegerType, LongType
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -24,6 +25,9 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def difference(spark_df, con, sql: str) -> str | None:
     """None when both sides have the same columns, types and rows."""
     left, right = spark_df.toPandas(), con.execute(sql).df()
+    for field in spark_df.schema:
+        if isinstance(field.dataType, (IntegerType, LongType)) and left[field.name].isna().any():
+            left[field.name] = left[field.name].astype("Int64")
     if sorted(left.columns) != sorted(right.columns):
         return f"columns {sorted(left.columns)} / {sorted(right.columns)}"
     names = sorted(left.columns)
