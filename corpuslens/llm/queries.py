@@ -37,8 +37,10 @@ def _load() -> None:
     from corpuslens.llm import (  # noqa: F401
         decontamination_queries,
         html_queries,
+        importance_queries,
         language_queries,
         lexical_queries,
+        mixing_queries,
         neardup_queries,
         piece_queries,
         quality_queries,

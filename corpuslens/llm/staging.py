@@ -34,3 +34,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents that no model learns from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def numbered(spark: SparkSession, rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """`rows` with their `number` (0, 1, 2 ...) in that order, written.
+
+    Rows are sorted by ranges, so no task holds more than its range.  The driver
+    sees one size for each range, of which there are spark.sql.shuffle.partitions.
+    """
+    ranges = written(spark, rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), name)
+    sizes = sorted((r["_range"], r["n"]) for r in ranges.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count("*").alias("n")).collect())
+    firsts, total = [], 0
+    for part, n in sizes:
+        firsts.append((part, total))
+        total += n
+    first = F.broadcast(spark.createDataFrame(firsts, "_range long, _first long"))
+    number = F.col("_first") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return ranges.withColumn("_range", F.shiftright("_at", 33)).join(first, "_range").withColumn("number", number).drop("_range", "_at", "_first")
