@@ -7,8 +7,9 @@ weight until no target is above.
 The documents of a source are dealt into blocks by a hash of id and text, in
 proportion to the source's size, `BLOCKS` in all (and one for each source more).  A
 source gives its quota of blocks: all of them once for every whole pass in the
-target; for the rest, blocks in the order of their number while they fit, and then the
-one block that comes nearest to what is still open.
+target; for the rest, blocks in the order of their number while their sum fits, `FILLS`
+times over those that are not too large for what is open, and then the one block that
+comes nearest to it.
 
 Quotas are dealt to output shards by a binary tree: at each node the left half of the
 shards gets its exact number of blocks, and how many of each source is a draw from the
@@ -42,6 +43,7 @@ WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
 BLOCKS = 1 << 16
 SHARD_WORDS = 20_000_000
+FILLS = 4
 SHARD_BLOCKS = 32           # a shard gets so many blocks at least, on average
 SEED = 2024
 WORD = r"[^\x20\x09-\x0D]+"
@@ -89,12 +91,15 @@ def block_draws(blocks: DataFrame, sources: DataFrame, most: int = MOST_PASSES)
     passes = F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size"))).cast("int")
     per = sources.filter("source_size > 0").select("number", passes.alias("passes"), (F.col("target") - passes * F.col("source_size")).alias("rest"))
     by_source = W.partitionBy("number")
-    running = F.sum("words").over(by_source.orderBy("block"))
-    fits = (F.col("passes") < most) & (running <= F.col("rest"))
-    rows = blocks.join(per, "number").withColumn("fits", fits)
-    open_ = F.col("rest") - F.sum(F.when(F.col("fits"), F.col("words")).otherwise(0)).over(by_source)
-    rows = rows.withColumn("open", open_).withColumn("off", F.abs(F.col("words") - F.col("open")))
-    better = ~F.col("fits") & (F.col("passes") < most) & (F.col("off") < F.col("open"))
+    rows = blocks.join(per, "number").withColumn("open", F.when(F.col("passes") < most, F.col("rest")).otherwise(0)).withColumn("fits", F.lit(False))
+    for _ in range(FILLS):
+        small = ~F.col("fits") & (F.col("words") <= F.col("open"))
+        running = F.sum(F.when(small, F.col("words")).otherwise(0)).over(by_source.orderBy("block"))
+        rows = rows.withColumn("more", small & (running <= F.col("open")))
+        filled = F.sum(F.when(F.col("more"), F.col("words")).otherwise(0)).over(by_source)
+        rows = rows.withColumn("open", F.col("open") - filled).withColumn("fits", F.col("fits") | F.col("more"))
+    rows = rows.withColumn("off", F.abs(F.col("words") - F.col("open")))
+    better = ~F.col("fits") & (F.col("off") < F.col("open"))
     nearest = F.min(F.when(better, F.struct("off", "block"))).over(by_source)
     last = better & (F.struct("off", "block") == nearest)
     return rows.select("number", "block", (F.col("passes") + (F.col("fits") | F.coalesce(last, F.lit(False))).cast("int")).alias("times"))

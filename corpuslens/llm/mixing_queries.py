@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from corpuslens.llm.mixing import BLOCKS, mixed
+from corpuslens.llm.mixing import BLOCKS, FILLS, mixed
 from corpuslens.llm.queries import query
 from corpuslens.llm.staging import table
 
+_fills = "".join(f""" m{i} AS (SELECT *, NOT fits AND words <= gap AND sum(CASE WHEN NOT fits AND words <= gap THEN words ELSE 0 END)
+   OVER (PARTITION BY source ORDER BY block) <= gap AS more FROM f{i}),
+ f{i + 1} AS (SELECT source, block, words, gap - sum(CASE WHEN more THEN words ELSE 0 END) OVER (PARTITION BY source) AS gap, fits OR more AS fits FROM m{i}),
+""" for i in range(FILLS)).rstrip()
 ORACLE = f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
    CAST(concat('0x', substr(sha256(concat('2024:', coalesce(CAST(doc_id AS VARCHAR), 'null'), ':', md5(coalesce(text, '')))), 1, 15)) AS BIGINT) AS h
    FROM documents),
@@ -23,10 +27,10 @@ ORACLE = f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coale
  x AS (SELECT d.*, p.source_size, p.target, p.passes, p.target - p.passes * p.source_size AS rest, h % n AS block
    FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
  b AS (SELECT source, block, passes, rest, CAST(sum(size) AS BIGINT) AS words FROM x GROUP BY source, block, passes, rest),
- f AS (SELECT *, passes < 3 AND sum(words) OVER (PARTITION BY source ORDER BY block) <= rest AS fits FROM b),
- o AS (SELECT *, rest - sum(CASE WHEN fits THEN words ELSE 0 END) OVER (PARTITION BY source) AS gap FROM f),
- e AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY NOT fits AND passes < 3 AND abs(words - gap) < gap DESC, abs(words - gap), block) = 1
-   AND NOT fits AND passes < 3 AND abs(words - gap) < gap AS last FROM o)
+ f0 AS (SELECT source, block, words, CASE WHEN passes < 3 THEN rest ELSE 0 END AS gap, false AS fits FROM b),
+{_fills}
+ e AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY NOT fits AND abs(words - gap) < gap DESC, abs(words - gap), block) = 1
+   AND NOT fits AND abs(words - gap) < gap AS last FROM f{FILLS})
  SELECT doc_id, size, source_size, target, CAST(size * (x.passes + CASE WHEN fits OR last THEN 1 ELSE 0 END) AS BIGINT) AS taken
  FROM x JOIN e ON x.source IS NOT DISTINCT FROM e.source AND x.block = e.block"""
 
