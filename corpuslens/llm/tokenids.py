@@ -150,6 +150,10 @@ class Known:
         self.first, self.count, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
         self.rows = self.filled = 0
 
+    def room(self) -> int:
+        """Keys that may still be entered: half of the slots stay free, so a search always ends."""
+        return (self.mask + 1) // 2 - self.used
+
     @staticmethod
     def keys(padded: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last eight bytes; `padded` has eight bytes more at both ends than `at` counts."""
@@ -245,7 +249,7 @@ class Tokenizer:
 
     def _rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Row and text of each pre-token of plain texts."""
-        if self.known.used > (self.known.mask + 1) // 2 or self.known.filled > 1 << 23:
+        if not self.known.room() or self.known.filled > 1 << 23:
             self.known.clear()
         rows, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         raws = [t.encode() + b"\0" for t in texts]
@@ -270,12 +274,15 @@ class Tokenizer:
         row[short] = self.known.find(head[short], tail[short], n[short])
         new = short[row[short] < 0]
         if len(new):
-            key = np.stack([head[new], tail[new], n[new].astype(np.uint64)], 1)
-            key, which, back = np.unique(key.view([("h", "u8"), ("t", "u8"), ("n", "u8")]).reshape(-1), return_index=True, return_inverse=True)
-            first = new[which]
+            new = new[np.lexsort((n[new], tail[new], head[new]))]
+            differs = np.ones(len(new), bool)
+            differs[1:] = (np.diff(head[new]) != 0) | (np.diff(tail[new]) != 0) | (np.diff(n[new]) != 0)
+            first, back = new[differs], np.cumsum(differs) - 1
             rows = self.known.add_ids([x.ids for x in self.library.encode_batch_fast(
                 [joined[a:a + k].decode() for a, k in zip(at[first].tolist(), n[first].tolist())], add_special_tokens=False)])
-            self.known.put(head[first], tail[first], n[first], rows)
+            # what no longer fits is not remembered, and goes to the library again if it comes again
+            kept = first[:self.known.room()]
+            self.known.put(head[kept], tail[kept], n[kept], rows[:len(kept)])
             row[new] = rows[back]
         long = np.flatnonzero(n > 16)
         if len(long):
@@ -301,7 +308,9 @@ def write_ids(
     """Write the ids of all documents in ascending doc_id order; returns the folder.
 
     `spec` is the tokenizer file's JSON text.  Null ids come first; documents
-    with one id follow each other as they lie in the input.
+    with one id follow each other as they lie in the input.  A null or empty text has
+    the end id alone; a text of any length is whole in one block; an empty table gives
+    no blocks; columns other than doc_id and text are not read.
     """
     id_type = documents.schema["doc_id"].dataType
     folder = folder or stage_folder(spark, "token-ids")

@@ -50,6 +50,17 @@ def test_odd_texts_equal_the_library(library):
             assert got.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("bits, words", [(6, 5_000), (t.TABLE_BITS, 3_000_000)])
+def test_more_distinct_words_than_the_table_holds(library, monkeypatch, bits, words):
+    monkeypatch.setattr(t, "TABLE_BITS", bits)
+    own = t.Tokenizer(SPEC)
+    text = " ".join(f"w{i:x}" for i in range(words))
+    want = library.encode(text, add_special_tokens=False).ids
+    for _ in range(2):
+        ids, n = own.texts([text, "w1 w2"])
+        assert n.tolist()[0] == len(want) and np.array_equal(ids[:len(want)], want)
+
+
 def test_whole_table_equals_the_library(spark, library):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     rows = {r.doc_id: r for r in op9(spark, SF).collect()}
