@@ -48,7 +48,9 @@ _words = re.compile(r"[^\W\d_]+").findall
 
 
 def words_of(text: str | None) -> list[str]:
-    return _words((text or "").lower())
+    """Runs of letters.  The pattern also takes numerals that are no digits, which part words."""
+    found = _words((text or "").lower())
+    return [x for w in found for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 @dataclass
@@ -261,7 +263,8 @@ def languages(documents: DataFrame, model: Model) -> DataFrame:
 
     Defined cases: a null text and a text without letters are `und` with score 0,
     and so is all if no language was learned; equal posteriors go to the first
-    language by name; repeated rows each give a row; an empty table gives none;
+    language by name; numerals like a half or a circled one are no letters; a text of
+    any length is read whole; repeated rows each give a row; an empty table gives none;
     other columns are not read.
     """
     id_type = documents.schema["doc_id"].dataType.simpleString()

@@ -108,3 +108,10 @@ def test_nulls_repeats_and_empty_tables(spark):
     none = lg.fit(spark, docs.limit(0), PIECES)
     assert {r.lang_pred for r in lg.languages(docs, none).collect()} == {"und"}
     assert lg.languages(docs.limit(0), model).count() == 0
+
+
+def test_numerals_are_no_letters(spark):
+    assert lg.words_of("½ ² ① ⅷ 3 _ 四") == ["四"] and lg.words_of("x²y Ab①") == ["x", "y", "ab"]
+    model = lg.Model(["en"], PIECES, np.full((len(PIECES) + 1, 1), 0.1))
+    docs = spark.createDataFrame([(1, "½ ² ① ⅷ"), (2, "½ a"), (3, "12 _ 3")], "doc_id long, text string")
+    assert {r.doc_id: (r.lang_pred, r.score) for r in lg.languages(docs, model).collect()} == {1: ("und", 0.0), 2: ("en", 1.0), 3: ("und", 0.0)}
