@@ -187,15 +187,19 @@ def quality_verdicts(
     labels(doc_id, quality): a document is good if any of its labels is 1, bad
     if all are 0; null labels and ids count as none.
 
+    The bound needs independent trials, so a text counts once in a stratum's holdout
+    however many copies it has; it is good if one of them is.
+
     Defined cases: a null or empty text has no words and fails the base rule; a
     null stratum is a stratum of its own; repeated rows each give a row (and
-    count each in the holdout); empty tables give no rows or no cutoffs; of
+    are one trial of the holdout); empty tables give no rows or no cutoffs; of
     extra columns none is read.
     """
-    rows = documents.select("doc_id", F.col(stratum).cast("string").alias("stratum"), "text")
+    rows = documents.select("doc_id", F.col(stratum).cast("string").alias("stratum"), F.xxhash64("text").alias("content"), "text")
     counts = written(spark, text_counts(rows).withColumn("badness", badness()).withColumn("base_failed", base_failed()), "counts")
     good = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
-    holdout = counts.filter("NOT base_failed").join(good, "doc_id").select("stratum", "badness", "good")
+    holdout = counts.filter("NOT base_failed").join(good, "doc_id").groupBy("stratum", "content").agg(
+        F.max("badness").alias("badness"), F.bool_or("good").alias("good"))
     cutoffs = written(spark, certified_cutoffs(holdout, risk, delta), "cutoffs")
     step = F.least(F.floor(F.col("badness") / BIN), F.lit(BINS))
     judged = counts.join(cutoffs.select(F.col("stratum").alias("of"), "cutoff"), F.col("stratum").eqNullSafe(F.col("of")), "left")

@@ -17,7 +17,7 @@ ORACLE = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang AS stratu
  g AS (SELECT r, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM a)),
  c AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g),
  v AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM c WHERE n > 1) GROUP BY r),
- m AS (SELECT a.r, doc_id, stratum, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+ m AS (SELECT a.r, doc_id, stratum, t, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
    {_COUNT(q.SYMBOLS)} AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words,
    length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_capitals, {_COUNT('!?')} AS n_marks FROM a LEFT JOIN v ON a.r = v.r),
  b AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, greatest({_PART('n_symbols', 'word_chars', 'symbols')},
@@ -25,7 +25,7 @@ ORACLE = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang AS stratu
    {_PART('n_marks', 'n_words', 'marks')}) AS badness FROM m),
  s AS (SELECT *, least(badness // {q.BIN}, {q.BINS}) AS step FROM b),
  y AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
- h AS (SELECT stratum, step, quality = 1 AS good FROM s JOIN y USING (doc_id) WHERE NOT base_failed),
+ h AS (SELECT stratum, any_value(step) AS step, bool_or(quality = 1) AS good FROM s JOIN y USING (doc_id) WHERE NOT base_failed GROUP BY stratum, t),
  z AS (SELECT stratum, count_if(good) AS n, count_if(NOT good) AS n_bad FROM h GROUP BY stratum),
  k AS (SELECT z.stratum, cutoff, any_value(n) AS n, any_value(n_bad) AS n_bad, count_if(good AND step > cutoff) AS k, count_if(NOT good AND step > cutoff) AS k_bad
    FROM z CROSS JOIN (SELECT unnest(range(0, {q.BINS})) AS cutoff) JOIN h ON h.stratum IS NOT DISTINCT FROM z.stratum GROUP BY z.stratum, cutoff),

@@ -84,6 +84,26 @@ def test_cutoffs_equal_a_plain_search_and_hold_the_risk(spark):
     assert got == want and "few" not in got and len(got) == 3
 
 
+def test_copies_certify_nothing(spark):
+    """Ten good texts in 100 copies each are ten trials; 1000 different ones certify a cutoff."""
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    labels = lambda n: spark.createDataFrame([(i, 1) for i in range(n)], "doc_id long, quality int")
+    rows = lambda texts: spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    cutoffs = lambda docs: {r.cutoff for r in q.quality_verdicts(spark, docs, labels(1000)).collect()}
+    assert cutoffs(rows([text(i % 10) for i in range(1000)])) == {q.BINS}
+    assert max(cutoffs(rows([text(i) for i in range(1000)]))) < q.BINS
+
+
+def test_cutoffs_reject_bad_documents_and_few_good_ones(spark):
+    """A whole run in which the method, and not the base rules, rejects."""
+    shout = lambda i: " ".join(f"W{i}X{j}" for j in range(60))
+    calm = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    docs = spark.createDataFrame([(i, shout(i) if i % 4 == 0 else calm(i), "en") for i in range(2000)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(1500)], "doc_id long, quality int")
+    rows = q.quality_verdicts(spark, docs, labels).collect()
+    assert not any(r.base_failed for r in rows) and all(r.kept == (r.doc_id % 4 > 0) for r in rows)
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     shape = "doc_id long, text string, lang string, n_words int, cutoff string"
     text = " ".join(f"w{i}" for i in range(60))
