@@ -3,15 +3,20 @@
 A tree builder follows the tokens of a page with the rules that browsers share:
 void elements, elements whose end is implied by what follows, raw-text elements,
 end tags that close what is open inside them, and tags that are ignored.  The
-renderer walks the tree once and keeps all text that is not hidden (by element,
-by the `hidden` attribute or by an inline style): blocks stand on their own
+renderer walks the tree once and keeps all text that is not hidden: by element, by
+the `hidden` attribute, by an inline style, by rules of the page's own style sheets
+whose selectors are an element, a class, an id or those together, by a dialog or
+details that is not open.  What is invisible may have visible parts.  Rules with other
+selectors, of media or of other files are not read.  A tag that never ends shows
+nothing, as in browsers, and is looked at once.  Blocks stand on their own
 lines, paragraphs and headings with a blank line around them, list items with a
 bullet or their number and an indent for each level, tables as rows of cells in
-columns of equal width (a cell over several rows stands in the first of them),
+columns of equal width (a cell over several rows stands in the first of them, wide
+letters count two),
 preformatted text as it is, and other white space as one space.  Formulas are
 written in one line, with / ^ _ for fractions and scripts; each text of a drawing
 is set off by spaces.  Form texts are shown on demand, as `extract` does: the text
-of a textarea, and the options a select shows before it is opened.
+of a textarea, the options a select shows before it is opened, and labels of buttons.
 """
 
 from __future__ import annotations
@@ -19,8 +24,9 @@ from __future__ import annotations
 import re
 import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from html import unescape
+from unicodedata import east_asian_width
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -34,7 +40,7 @@ _set = lambda names: frozenset(names.split())
 VOID = _set("area base br col embed hr img input link meta param source track wbr")
 RAW = _set("script style noframes iframe noembed xmp")          # their text is no markup
 ESCAPABLE_RAW = _set("title textarea")                            # but for character references
-HIDDEN = _set("head title script style noframes iframe noembed noscript template object audio video canvas datalist")
+HIDDEN = _set("head title script style noframes iframe noembed noscript template object audio video canvas datalist rp meter progress")
 FORM_TEXTS = _set("textarea select option optgroup")              # shown on demand
 HIDDEN_IN_SVG = _set("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter")
 HIDDEN_IN_MATH = _set("annotation annotation-xml")
@@ -60,15 +66,16 @@ HEAD_ONLY = _set("base basefont bgsound link meta noscript script style template
 SCOPE = _set("table td th caption template html object")
 TABLE_PARTS = _set("tr td th tbody thead tfoot caption")
 
-ALIGNED_TABLES = 20  # tables nested deeper are not aligned
+BUTTON_LABELS = {"submit": "Submit", "reset": "Reset", "button": ""}   # where no value is given
 
 # an attribute: a quote opens a value directly after "=" only, elsewhere it is a character
 _ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+"""
-_token = re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE})*+)>", re.S)
+_token = re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE})*+)>|(<)/?[A-Za-z]", re.S)
 _attribute = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+""")
 _space = re.compile(r"[ \t\n\r\f]+")
-_unseen = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?:;|$)", re.I)
-_attributes_of_note = _set("hidden style start value colspan rowspan type selected multiple size label")
+_style = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(?:!\s*important\s*)?(?=;|$)", re.I)
+_selector = re.compile(r"([a-z][a-z0-9]*)?((?:[.#][\w-]+)*)", re.I)
+_attributes_of_note = _set("hidden style start value colspan rowspan type selected multiple size label class id open")
 
 
 class Node:
@@ -123,6 +130,8 @@ def build_tree(html: str) -> Node:
             break
         text(html[at:m.start()])
         at = m.end()
+        if m[4]:
+            break  # the tag never ends
         name = m[2]
         if name is None:
             continue
@@ -254,10 +263,80 @@ class Page:
         return "\n".join(lines)
 
 
-def _hidden(node: Node, forms: bool) -> bool:
-    a = node.attributes
-    return node.name in HIDDEN or not forms and node.name in FORM_TEXTS or bool(a) and (
-        "hidden" in a or "style" in a and bool(_unseen.search(a["style"])))
+class Looks:
+    """What a page's own style sheets say about elements: `display` and `visibility` by simple selectors."""
+
+    def __init__(self, root: Node):
+        self.rules: dict[str, list[tuple[frozenset, dict[str, str]]]] = {}  # by an element, .class or #id that must be there
+        todo: list = [root]
+        sheets = []
+        while todo:
+            x = todo.pop()
+            if isinstance(x, Node):
+                if x.name == "style":
+                    sheets += [c for c in x.children if isinstance(c, str)]
+                todo.extend(reversed(x.children))
+        for sheet in sheets:
+            for selectors, declarations in _rules(sheet):
+                said = _declared(declarations)
+                for selector in selectors.split(",") if said else ():
+                    m = _selector.fullmatch(selector.strip())
+                    if m and m[0]:
+                        parts = frozenset(([m[1].lower()] if m[1] else []) + re.findall(r"[.#][\w-]+", m[2]))
+                        self.rules.setdefault(min(parts), []).append((parts, said))
+
+    def of(self, node: Node) -> dict[str, str]:
+        """display and visibility of an element, where something says so; later rules and inline styles win."""
+        a = node.attributes
+        found: dict[str, str] = {}
+        if self.rules:
+            own = {node.name} | {"." + c for c in a.get("class", "").split()} | ({"#" + a["id"]} if "id" in a else set())
+            for part in sorted(own & self.rules.keys()):
+                for parts, said in self.rules[part]:
+                    if parts <= own:
+                        found |= said
+        if "hidden" in a:
+            found.setdefault("display", "none")
+        return found | _declared(a["style"]) if "style" in a else found
+
+
+    def unseen(self, before: bool, *nodes: Node | str) -> bool:
+        """Whether what stands in the last of nested nodes is invisible; `before` holds around them."""
+        for node in nodes:
+            if isinstance(node, Node) and (node.attributes or self.rules):
+                before = {"hidden": True, "collapse": True, "visible": False}.get(self.of(node).get("visibility"), before)
+        return before
+
+
+def _rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of a style sheet; those inside @media and the like do not always hold and are left out."""
+    sheet = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.S)
+    start = body = depth = 0
+    selectors = ""
+    for m in re.finditer("[{};]", sheet):
+        if m[0] == "{":
+            depth += 1
+            if depth == 1:
+                selectors, body = sheet[start:m.start()], m.end()
+        elif m[0] == "}":
+            depth = max(depth - 1, 0)
+            if depth == 0:
+                if selectors.strip() and not selectors.lstrip().startswith("@"):
+                    yield selectors, sheet[body:m.start()]
+                start, selectors = m.end(), ""
+        elif depth == 0:
+            start = m.end()
+
+
+def _declared(style: str) -> dict[str, str]:
+    return {name.lower(): value.lower() for name, value in _style.findall(style)}
+
+
+def _removed(node: Node, forms: bool, looks: Looks) -> bool:
+    """True for elements that take no place at all."""
+    if node.name in HIDDEN or not forms and node.name in FORM_TEXTS or node.name == "dialog" and "open" not in node.attributes:
+        return True
+    return looks.of(node).get("display") == "none" if node.attributes or looks.rules else False
 
 
 def _shown_options(select: Node) -> list[Node | str]:
@@ -287,12 +366,23 @@ def _formula(node: Node) -> list[Node | str]:
     return out
 
 
-def render(root: Node, tables: int = 0, forms: bool = False) -> str:
-    """Visible text of a tree, without recursion but for tables in tables.
+def render(root: Node, forms: bool = False) -> str:
+    """Visible text of a tree; tables in tables are rendered on a stack of their own."""
+    looks = Looks(root)
+    stack = [_rendered(root, forms, looks, False)]
+    answer: str | None = None
+    while stack:
+        try:
+            stack.append(_rendered(*stack[-1].send(answer)))
+            answer = None
+        except StopIteration as end:
+            stack.pop()
+            answer = end.value
+    return answer
 
-    `tables` counts those around it; from ALIGNED_TABLES on, tables are plain blocks.
-    With `forms`, texts of textareas and shown options are kept.
-    """
+
+def _rendered(root: Node, forms: bool, looks: Looks, unseen: bool) -> Generator:
+    """Text of a tree, without recursion: what it yields are the arguments of inner trees, whose texts are sent back."""
     page = Page()
     # entries: (what, argument); nodes are entered, and their ends restore what they changed
     todo: list[tuple] = [("node", root)]
@@ -302,10 +392,11 @@ def render(root: Node, tables: int = 0, forms: bool = False) -> str:
     while todo:
         what, x = todo.pop()
         if what == "text":
-            page.raw(x) if pre else page.words(x)
+            if not unseen:
+                page.raw(x) if pre else page.words(x)
             continue
         if what == "end":
-            name, indent, was_pre = x
+            name, indent, was_pre, unseen = x
             if name in BLOCK:
                 page.block(name in SPACED and not (name in ("ul", "ol", "menu") and len(lists) > 1))
             page.indent, pre = indent, was_pre
@@ -315,32 +406,42 @@ def render(root: Node, tables: int = 0, forms: bool = False) -> str:
                 page.space = True
             if name in ("ul", "ol", "menu"):
                 lists.pop()
-            if name == "q":
+            if name == "q" and not x[3]:
                 page.words("”")
             if name == "li":
                 page.marker = None
             continue
         node, name = x, x.name
-        if _hidden(node, forms) or drawings and name in HIDDEN_IN_SVG or formulas and name in HIDDEN_IN_MATH:
+        if _removed(node, forms, looks) or drawings and name in HIDDEN_IN_SVG or formulas and name in HIDDEN_IN_MATH:
             continue
         if name == "br":
             page.line_break()
             continue
         if name == "hr":
             page.block(True)
-            page.words("---")
+            if not unseen:
+                page.words("---")
             page.block(True)
             continue
-        if name == "table" and tables < ALIGNED_TABLES:
+        was_unseen, unseen = unseen, looks.unseen(unseen, node)
+        if name == "input":
+            label = BUTTON_LABELS.get(node.attributes.get("type", "").strip().lower())
+            if forms and label is not None and not unseen:
+                page.space = True
+                page.words((node.attributes.get("value") or label) + " ")
+            unseen = was_unseen
+            continue
+        if name == "table":
             page.block(True)
-            for line in table_lines(node, tables + 1, forms):
+            for line in (yield from table_lines(node, forms, looks, unseen)):
                 page._put(line)
                 page.end_line()
             page.block(True)
+            unseen = was_unseen
             continue
         if name in BLOCK:
             page.block(name in SPACED and not (name in ("ul", "ol", "menu") and lists))
-        todo.append(("end", (name, page.indent, pre)))
+        todo.append(("end", (name, page.indent, pre, was_unseen)))
         drawings += name == "svg"
         formulas += name == "math"
         if name in SET_OFF:
@@ -355,16 +456,18 @@ def render(root: Node, tables: int = 0, forms: bool = False) -> str:
             else:
                 marker = "* "
             page.indent += " " * len(marker)
-            page.marker = marker
+            page.marker = None if unseen else marker
         elif name == "blockquote":
             page.indent += "> "
         elif name == "dd":
             page.indent += "    "
         elif name in ("pre", "textarea"):
             pre += 1
-        elif name == "q":
+        elif name == "q" and not unseen:
             page.words("“")
         children = node.children
+        if name == "details" and "open" not in node.attributes:
+            children = [x for x in children if isinstance(x, Node) and x.name == "summary"][:1]
         if name == "select":
             children = _shown_options(node)
         elif name == "optgroup" and "label" in node.attributes:
@@ -388,7 +491,12 @@ def _integer(value: str | None, default: int) -> int:
     return int(value) if value and re.fullmatch(r"\s*-?\d{1,9}\s*", value) else default
 
 
-def table_lines(table: Node, tables: int, forms: bool) -> list[str]:
+def _width(line: str) -> int:
+    """Columns of a line; wide letters take two."""
+    return len(line) if line.isascii() else sum(2 if east_asian_width(c) in "WF" else 1 for c in line)
+
+
+def table_lines(table: Node, forms: bool, looks: Looks, unseen: bool) -> Generator:
     """Caption, then rows; cells are aligned in columns, several lines of a cell stay together."""
     captions, rows = [], []
     # with the row group that each part stands in
@@ -401,7 +509,7 @@ def table_lines(table: Node, tables: int, forms: bool) -> list[str]:
             if isinstance(x, Node) and x.name in ("colgroup", "col"):
                 continue
             loose.append(x)
-        elif _hidden(x, forms):
+        elif _removed(x, forms, looks):
             continue
         elif x.name == "caption":
             captions.append(x)
@@ -417,7 +525,7 @@ def table_lines(table: Node, tables: int, forms: bool) -> list[str]:
     for nodes in ([loose] if loose else []) + [c.children for c in captions]:
         holder = Node("#part")
         holder.children = nodes
-        shown = render(holder, tables, forms)
+        shown = yield holder, forms, looks, unseen
         if shown:
             lines += shown.split("\n")
     grid: list[list[list[str]]] = []
@@ -431,14 +539,14 @@ def table_lines(table: Node, tables: int, forms: bool) -> list[str]:
         for cell in row.children:
             if isinstance(cell, str) and not cell.strip():
                 continue
-            if isinstance(cell, Node) and _hidden(cell, forms):
+            if isinstance(cell, Node) and _removed(cell, forms, looks):
                 continue
             while below.get(len(cells), 0):
                 cells.append([""])
             holder = Node("#part")
             holder.children = cell.children if isinstance(cell, Node) and cell.name in ("td", "th") else [cell]
             start = len(cells)
-            cells.append(render(holder, tables, forms).split("\n"))
+            cells.append((yield holder, forms, looks, looks.unseen(unseen, group, row, cell)).split("\n"))
             span = _integer(cell.attributes.get("colspan"), 1) if isinstance(cell, Node) else 1
             cells += [[""]] * (min(max(span, 1), 1000) - 1)
             down = _integer(cell.attributes.get("rowspan"), 1) if isinstance(cell, Node) else 1
@@ -449,10 +557,11 @@ def table_lines(table: Node, tables: int, forms: bool) -> list[str]:
         below = {k: n - 1 for k, n in {**below, **spans}.items() if n > 1}
         if any(any(c) for c in cells):
             grid.append(cells)
-    widths = [max((len(line) for row in grid if k < len(row) for line in row[k]), default=0) for k in range(max(map(len, grid), default=0))]
+    widths = [max((_width(line) for row in grid if k < len(row) for line in row[k]), default=0) for k in range(max(map(len, grid), default=0))]
     for row in grid:
         for i in range(max(map(len, row))):
-            parts = [(cell[i] if i < len(cell) else "").ljust(widths[k]) for k, cell in enumerate(row)]
+            shown = [cell[i] if i < len(cell) else "" for cell in row]
+            parts = [x + " " * (widths[k] - _width(x)) for k, x in enumerate(shown)]
             lines.append(" | ".join(parts).rstrip(" ") if len(parts) > 1 else parts[0].rstrip(" "))
     return lines
 

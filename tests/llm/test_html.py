@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from html import escape, unescape
 from html.parser import HTMLParser
 
@@ -74,6 +75,36 @@ def test_random_blocks_keep_all_text_in_order():
         assert [w for w in shown.split() if w not in ("*", ">", "|")] == words
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<div style='visibility:hidden'>a<p style='visibility:visible'>b</p>c</div>d", "b\n\nd"),
+    ("<dialog>a</dialog><dialog open>b</dialog><details>c<summary>s</summary>d</details><details open><summary>t</summary>e</details>", "b\ns\nt\ne"),
+    ("<ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>", "漢kan"), ("a<meter value=1>m</meter><progress>p</progress>b", "ab"),
+    ("x<input type=submit value=Go><input type=reset><input type=button value='B &amp; C'><input type=text value=no>y", "x Go Reset B & C y"),
+    ("<style>.gone, p.off{display:none} #one{visibility:hidden} /* b{display:none} */ @media print{i{display:none}} a .no{display:none}</style>"
+     "<p class='x gone'>a</p><p class=off>b</p><div class=off>c</div><b id=one>d</b><i>e</i><u class=no>f</u>", "c\nef"),
+    ("<style>div{display:none}</style><style>div{display:block}</style><div>a</div><div hidden>b</div>", "a\nb"),
+    ("<style>td{visibility:hidden}</style><table><tr><td>a<th>b<tr><td>c<th>d</table>", " | b\n | d"),
+    ("<table><tr style='visibility:collapse'><td>a<td style='visibility:visible'>b<tr><td>c<td>d</table>", "  | b\nc | d"),
+    ("<table><tr><td>名前<td>x<tr><td>abc<td>y</table>", "名前 | x\nabc  | y"),
+    ("a<b", "a"), ("a <p title='x", "a"), ("x<y and <b>z</b>", "xz"), ("1 <2 and 3< 4", "1 <2 and 3< 4"), ("a</b", "a"),
+])
+def test_visibility_rules_and_labels(html, text):
+    assert visible_text(html, forms=True) == text
+
+
+@pytest.mark.parametrize("part", ["<a", "x<y ", "<p ", '<p title="', "<p title='", "<a b='\"", "</p ", "<!-", "<style>", "<style>@", "<style>a{", "<style>;", "<p>", "<td>", "<li>", "a{", "&amp", "<!--"])
+def test_time_is_linear(part):
+    start = time.time()
+    visible_text(part * 100_000)
+    visible_text(part * 100_000 + "x='>'")
+    assert time.time() - start < 20
+
+
+def test_tables_of_any_depth_are_aligned():
+    deep = visible_text("<table><tr><td>" * 500 + "<table><tr><td>a<td>b<tr><td>ccc<td>d</table>")
+    assert deep == "a   | b\nccc | d"
+
+
 def test_deep_and_long_pages():
     assert visible_text("<div>" * 50_000 + "x") == "x"
     assert len(visible_text("<p>" + "word " * 200_000)) == 5 * 200_000 - 1
