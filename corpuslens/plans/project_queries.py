@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpuslens import fixed_values as fv
 from corpuslens.functions.text import sorted_join
 from corpuslens.operators import answers, project, project_lineage, prompts
-from corpuslens.plans import reports
+from corpuslens.plans import documents, reports
 from corpuslens.plans.catalog import query
 from corpuslens.sources import corpora
 from corpuslens.sources.workspace import run_folder
@@ -507,15 +507,64 @@ def r14(spark, sf):
     return _records(_export(spark, sf))
 
 
-@query("s8_lineage_documents", PA + f"""SELECT project, CAST(count(*) FILTER (WHERE record = 'header') AS BIGINT) AS headers,
- CAST(count(*) FILTER (WHERE record = 'file') AS BIGINT) AS files, md5(string_agg(concat(coalesce(file, ''), ':', coalesce(functions, ''), ':', summary), chr(10)
- ORDER BY coalesce(file, ''))) AS digest FROM ({EXPORT}) e GROUP BY project""")
+@query("s8_lineage_documents", PA + f"SELECT project, record, file, functions, summary FROM ({EXPORT}) e")
 def s8(spark, sf):
     folder = run_folder(spark, "lineage_documents", sf)
     reports.write_lineage(_export(spark, sf), folder)
     rows = _records(spark.read.schema("project string, record string, file string, document string").json(folder))
-    line = F.concat_ws(":", F.coalesce("file", F.lit("")), F.coalesce("functions", F.lit("")), "summary")
-    return rows.groupBy("project").agg(
-        F.count_if(F.col("record") == "header").alias("headers"), F.count_if(F.col("record") == "file").alias("files"),
-        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("file", F.lit("")).alias("file"), line.alias("line")))),
-                                       lambda x: x["line"]), "\n")).alias("digest"))
+    return rows.select("project", "record", "file", "functions", "summary")
+
+
+# the lines of each document as they were written: head, entries in the order of the listing, tail
+DOCUMENT_LINES = f""", e AS ({EXPORT}), o AS (SELECT path, k FROM lg),
+ n AS (SELECT project, count(*) FILTER (WHERE record = 'file') AS files FROM e GROUP BY project)
+ SELECT project, CAST(0 AS BIGINT) AS line, 'head' AS record, NULL AS file, type, architecture, n_components, dependencies, NULL AS language, summary, NULL AS functions,
+   0 AS total_files, 0 AS total_files_analyzed FROM e WHERE record = 'header'
+ UNION ALL SELECT project, row_number() OVER (PARTITION BY project ORDER BY k), 'entry', file, NULL, NULL, 0, NULL, language, e.summary, functions, 0, 0
+   FROM e JOIN o ON o.path = e.file WHERE record = 'file'
+ UNION ALL SELECT e.project, files + 1, 'tail', NULL, NULL, NULL, 0, NULL, NULL, NULL, NULL, total_files, total_files_analyzed
+   FROM e JOIN n ON n.project = e.project WHERE record = 'header'"""
+
+
+def _documents(spark, sf):
+    """Folder of the written documents."""
+    failed = F.when(F.col("seq") % 11 == 3, F.lit("Error during LLM analysis: timeout"))
+    errors = _answers(spark, sf).select("file", failed.alias("error"))
+    pieces = documents.lineage_pieces(_project_structures(spark, sf), _analyses(spark, sf).join(errors, "file"))
+    folder = run_folder(spark, "whole_documents", sf)
+    documents.write_documents(spark, pieces, folder, run_folder(spark, "document_pieces", sf), lines_per_file=1000)
+    return folder
+
+
+@query("s8_whole_documents", PA.rstrip() + DOCUMENT_LINES)
+def s8_whole(spark, sf):
+    rows = documents.lines(spark, _documents(spark, sf))
+    text = F.col("text")
+    record = F.when(text.startswith("]"), "tail").when(F.col("line") == 0, "head").otherwise("entry")
+    # the lines as objects of their own
+    whole = F.when(record == "head", F.concat(text, F.lit("]}"))).when(
+        record == "tail", F.concat(F.lit('{"x":['), text)).otherwise(F.regexp_replace(text, "^,", ""))
+    rows = rows.select("project", F.col("line").cast("bigint").alias("line"), record.alias("record"), whole.alias("whole")).select(
+        "project", "line", "record", F.from_json("whole", HEADER_SHAPE).alias("h"), F.from_json("whole", FILE_SHAPE).alias("f"))
+    h, f, joined = F.col("h"), F.col("f"), lambda array, part: F.array_join(F.transform(array, part), "|")
+    only = lambda kind, c: F.when(F.col("record") == kind, c)
+    number = lambda kind, c: F.coalesce(only(kind, c), F.lit(0)).cast("bigint")
+    return rows.select(
+        "project", "line", "record", f["file_path"].alias("file"), h["project"]["type"].alias("type"), h["project"]["architecture"].alias("architecture"),
+        number("head", F.size(h["components"])).alias("n_components"),
+        joined(h["dependencies"], lambda d: F.concat_ws("/", d["name"], d["purpose"], d["type"])).alias("dependencies"),
+        f["language"].alias("language"), F.coalesce(f["summary"], h["project"]["summary"]).alias("summary"),
+        joined(f["functions"], lambda x: x["name"]).alias("functions"),
+        number("tail", h["metadata"]["file_stats"]["total_files"]).alias("total_files"),
+        number("tail", h["metadata"]["total_files_analyzed"]).alias("total_files_analyzed"))
+
+
+@query("s8_document_parts", PA + f"""SELECT project, true AS contiguous, CAST(2 + count(*) FILTER (WHERE record = 'file') AS BIGINT) AS lines
+ FROM ({EXPORT}) e GROUP BY project""")
+def s8_parts(spark, sf):
+    """The manifest: parts follow each other without a gap, and together are the document's lines."""
+    folder = _documents(spark, sf)
+    parts = documents.parts(spark, folder).groupBy("project").agg(
+        (F.sum("bytes") == F.max(F.col("first_byte") + F.col("bytes"))).alias("contiguous"), F.sum("bytes").alias("bytes"))
+    written = documents.lines(spark, folder).groupBy("project").agg(F.count("*").alias("lines"), F.sum(F.octet_length("text") + 1).alias("chars"))
+    return parts.join(written, "project").select("project", (F.col("contiguous") & (F.col("bytes") == F.col("chars"))).alias("contiguous"), "lines")
