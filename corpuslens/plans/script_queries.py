@@ -6,12 +6,16 @@ script.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fv
 from corpuslens.operators import issues, metrics
 from corpuslens.plans.catalog import query
 from corpuslens.sources import corpora, files as file_sources
+from corpuslens.sources.dealing import dealt_by_size
+from corpuslens.sources.nodestore import NodeStore
 from corpuslens.sources.syntax import syntax_nodes
 from corpuslens.sources.workspace import run_folder
 
@@ -135,6 +139,61 @@ def s5(spark, sf):
     return syntax_nodes(_files(spark, sf), entities=False).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+# the corpus changes: of 100 orders one gets a function more, one goes, one is renamed, one is copied
+SCRIPT_TEXTS = f"""SELECT l_orderkey AS k, concat(string_agg({corpora.SCRIPT_PIECE}, '' ORDER BY {ORDER}), {corpora.SCRIPT_TAIL}) AS content
+ FROM lineitem GROUP BY l_orderkey"""
+ADDED = corpora.render("\ndef added():\n    pass\n")
+STORED = {"FunctionDef": "functions", "ClassDef": "classes", "If": "ifs", "For": "functions"}
+
+
+def _changed(files):
+    k = F.regexp_extract("path", r"(\d+)", 1).cast("long") % 100
+    kept = files.filter(k != 1).select(
+        F.when(k == 2, F.concat(F.lit("renamed/"), "path")).otherwise(F.col("path")).alias("path"),
+        F.when(k == 0, F.concat("content", F.expr(ADDED))).otherwise(F.col("content")).alias("content"))
+    return kept.unionByName(files.filter(k == 3).select(F.concat(F.lit("copies/"), "path").alias("path"), "content"))
+
+
+@query("s5_incremental_nodes", FN + f""", tx AS ({SCRIPT_TEXTS}), ch AS (SELECT DISTINCT concat(content, {ADDED}) AS content FROM tx WHERE k % 100 = 0),
+ wt AS (SELECT *, CAST(regexp_extract(path, '[0-9]+') AS BIGINT) % 100 AS r, CASE r WHEN 1 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS copies FROM mt)
+ SELECT 'parsed first' AS what, count(DISTINCT content) AS n FROM tx
+ UNION ALL SELECT 'parsed again', count(*) FROM ch WHERE content NOT IN (SELECT content FROM tx)
+ UNION ALL SELECT 'files', CAST(sum(copies) AS BIGINT) FROM wt
+ UNION ALL SELECT 'ParseError', CAST(sum(copies) AS BIGINT) FROM wt WHERE broken
+ """ + " ".join(f"""UNION ALL SELECT '{kind}', CAST(sum(copies * {column}) {"+ count_if(r = 0)" if kind == "FunctionDef" else ""} AS BIGINT) FROM wt WHERE NOT broken"""
+                for kind, column in STORED.items()))
+def s5_incremental(spark, sf):
+    """Two versions of a store: the second parses only what changed, and has the nodes of all its files."""
+    store = NodeStore(spark, f"{run_folder(spark, 'node_store', sf)}-{uuid.uuid4().hex[:8]}", entities=False)
+    first = store.update(_files(spark, sf))
+    second = store.update(_changed(_files(spark, sf)))
+    counted = lambda rows, what: rows.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    # counted by blob, then for each path: nodes of a copied file do not move twice
+    kinds = store.current_nodes().filter(F.col("kind").isin("ParseError", *STORED)).groupBy("path", "kind").agg(F.count("*").alias("n"))
+    return (
+        counted(store.blobs(first), "parsed first").unionByName(counted(store.blobs(second), "parsed again"))
+        .unionByName(counted(store.listing(second), "files"))
+        .unionByName(store.by_path(kinds).groupBy(F.col("kind").alias("what")).agg(F.sum("n").alias("n"))))
+
+
+# one file of 211 is sixty times as long
+LONG = "CAST(regexp_extract(path, '([0-9]+)', 1) AS BIGINT) % 211 = 0"
+
+
+@query("s5_oversize_files", FN + f""", wt AS (SELECT *, CASE WHEN {LONG} THEN 60 ELSE 1 END AS times FROM mt)
+ SELECT 'balanced' AS what, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'ParseError', count(*) FROM wt WHERE broken
+ """ + " ".join(f"UNION ALL SELECT '{kind}', CAST(sum(times * {column}) AS BIGINT) FROM wt WHERE NOT broken" for kind, column in STORED.items()))
+def s5_oversize(spark, sf):
+    """Parsed in tasks of about equal size: the largest is at most two medians and the largest file."""
+    files = _files(spark, sf).select("path", F.expr(f"repeat(content, CASE WHEN {LONG} THEN 60 ELSE 1 END)").alias("content"))
+    dealt = dealt_by_size(files, "path", F.length("content"), tasks=16)
+    size = F.length("content")
+    tasks = dealt.groupBy(F.spark_partition_id().alias("at")).agg(F.sum(size).alias("size"), F.max(size).alias("largest"))
+    balanced = tasks.agg((F.max("size") <= 2 * F.median("size") + F.max("largest")).cast("bigint").alias("n")).select(F.lit("balanced").alias("what"), "n")
+    nodes = syntax_nodes(dealt, entities=False)
+    return balanced.unionByName(nodes.filter(F.col("kind").isin("ParseError", *STORED)).groupBy(F.col("kind").alias("what")).agg(F.count("*").alias("n")))
+
+
 DEEP = f"""WITH f AS (SELECT {corpora.DEEP_PATH} AS path, {corpora.DEEP_TERMS} AS terms FROM supplier)
 """
 
