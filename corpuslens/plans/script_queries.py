@@ -11,9 +11,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fv
-from corpuslens.operators import issues, metrics
+from corpuslens.operators import issues, metrics, rules
 from corpuslens.plans.catalog import query
-from corpuslens.sources import corpora, files as file_sources
+from corpuslens.sources import corpora, files as file_sources, listing
 from corpuslens.sources.dealing import dealt_by_size
 from corpuslens.sources.nodestore import NodeStore
 from corpuslens.sources.syntax import syntax_nodes
@@ -107,6 +107,13 @@ def s2(spark, sf):
         "path", "encoding", "size", F.md5("content").alias("digest"), "read_ok")
 
 
+@query("s2_listed_scan", f"SELECT path, 'utf-8' AS encoding, CAST(strlen(content) AS BIGINT) AS size, md5(content) AS digest, true AS read_ok FROM ({LANDED}) f")
+def s2_listed(spark, sf):
+    folder, _ = _landed(spark, sf)
+    return listing.listed_scan(spark, folder, run_folder(spark, "listing", sf)).select(
+        "path", "encoding", "size", F.md5("content").alias("digest"), "read_ok")
+
+
 @query("s3_to_utf8", """SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN 'unknown' WHEN 2 THEN 'utf-8' ELSE 'utf-16' END AS encoding,
  CASE WHEN doc_id % 4 = 3 THEN NULL ELSE md5(text) END AS digest, doc_id % 4 <> 3 AS read_ok FROM documents""")
 def s3(spark, sf):
@@ -375,6 +382,44 @@ def i8(spark, sf):
     return issues.report(issues.issues(_nodes(spark, sf)))
 
 
+CHANGED_RULES = [
+    ("long_function", 2, "function", "length", ">", 20.0, False, "LOW", "Maintainability", "{name} has {value} lines", "Split it."),
+    ("too_many_args", 3, "function", "arguments", ">=", 3.0, False, "HIGH", "Design", "{name} takes {value}", "Group them."),
+    ("long_class", 9, "class", "length", ">", 1.0, False, "LOW", "Maintainability", "Class {name} is {value} long", "Split it."),
+]
+COMPARABLE = "path, CAST(line AS INT) AS line, message, severity, category"
+
+
+@query("i8_rule_table", I_ALL + f"""SELECT 'built-in' AS rules, {COMPARABLE} FROM every_issue
+ UNION ALL SELECT 'changed', {COMPARABLE} FROM every_issue WHERE category NOT IN ('Maintainability', 'Design')
+ UNION ALL SELECT 'changed', path, CAST(line AS INT), concat('f', l_linenumber, ' has ', len, ' lines'), 'LOW', 'Maintainability' FROM fn WHERE NOT broken AND len > 20
+ UNION ALL SELECT 'changed', path, CAST(line AS INT), concat('f', l_linenumber, ' takes ', nargs), 'HIGH', 'Design' FROM fn WHERE NOT broken AND nargs >= 3
+ UNION ALL SELECT 'changed', path, CAST(line + len + 2 AS INT), concat('Class K', l_linenumber, ' is 2 long'), 'LOW', 'Maintainability' FROM fn WHERE NOT broken AND cls = 1 AND cdoc = 1""")
+def i8_rules(spark, sf):
+    """The built-in rules, and the same with two changed thresholds and one rule added."""
+    found = rules.facts(_nodes(spark, sf))
+    built_in = rules.default_rules(spark)
+    changed = built_in.filter(~F.col("rule").isin([r[0] for r in CHANGED_RULES])).unionByName(spark.createDataFrame(CHANGED_RULES, rules.RULES))
+    named = built_in.withColumn("rules", F.lit("built-in")).unionByName(changed.withColumn("rules", F.lit("changed")))
+    # one pass over the facts: both tables are rules of one join, told apart by their name
+    both = named.withColumn("rule", F.concat_ws("/", "rules", "rule"))
+    return rules.issues(found, both.drop("rules")).select(
+        F.substring_index("rule", "/", 1).alias("rules"), "path", "line", "message", "severity", "category")
+
+
+# folders for the roll-up, from the number in the path
+FOLDERS = "concat('team_', k % 5, '/area_', k % 3, '/job_', k, '.py')"
+
+
+@query("i8_issue_rollup", I_ALL + f""", p AS (SELECT category, severity, {FOLDERS} AS path
+   FROM (SELECT *, CAST(regexp_extract(path, '[0-9]+') AS BIGINT) AS k FROM every_issue)),
+ f AS (SELECT *, unnest(['', split_part(path, '/', 1), concat(split_part(path, '/', 1), '/', split_part(path, '/', 2))]) AS folder FROM p)
+ SELECT folder, category, severity, count(*) AS issues, count(DISTINCT path) AS files FROM f GROUP BY folder, ROLLUP (category, severity)""")
+def i8_rollup(spark, sf):
+    rows = issues.issues(_nodes(spark, sf)).withColumn("k", F.regexp_extract("path", "([0-9]+)", 1).cast("long"))
+    return rules.issue_rollup(rows.withColumn("path", F.expr(FOLDERS)))
+
+
 @query("i9_light_report", I_ALL + """SELECT path, CASE category WHEN 'Design' THEN 'too_many_args' ELSE 'long_function' END AS type,
  message, CAST(line AS INT) AS line, 'warning' AS severity FROM every_issue WHERE category IN ('Design', 'Maintainability')""")
 def i9(spark, sf):
