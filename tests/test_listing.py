@@ -29,7 +29,7 @@ def test_equal_to_the_reader_of_spark(spark, tmp_path):
     tree(root)
     got = rows(listed_scan(spark, root, str(tmp_path / "stage"), tasks=5))
     # Spark's reader passes over files of no bytes
-    assert [r for r in got if r[3]] == rows(scan_folder(spark, root)) and len(got) == 46
+    assert [r for r in got if r[3]] == rows(scan_folder(spark, root)) and len(got) == 47
     assert sum(r[3] == 0 for r in got) == 41 and all(r[4] and r[1] == "" for r in got if r[3] == 0)
     assert [r[0] for r in got if not r[4]] == ["deep/d.py"]
     assert rows(listed_scan(spark, f"{root}/deep", str(tmp_path / "stage"), glob="c*")) == rows(scan_folder(spark, f"{root}/deep", "c*"))
@@ -43,7 +43,7 @@ def test_what_cannot_be_read_is_a_row(spark, tmp_path):
     os.remove(f"{root}/a.py")
     os.remove(f"{root}/many/3/m.py")
     got = {r.path: r for r in read_listed(spark, root, files).collect()}
-    assert len(got) == 46 and {p for p, r in got.items() if r.error} == {"a.py", "many/3/m.py"}
+    assert len(got) == 47 and {p for p, r in got.items() if r.error} == {"a.py", "many/3/m.py"}
     assert not got["a.py"].read_ok and got["a.py"].content is None
     gone = listed_scan(spark, str(tmp_path / "gone"), str(tmp_path / "stage")).collect()
     assert len(gone) == 1 and gone[0].error and not gone[0].read_ok
