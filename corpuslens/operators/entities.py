@@ -330,19 +330,40 @@ def file_entities(nodes: DataFrame) -> DataFrame:
     return grouped.withColumn("sql_vars", F.map_from_entries("sql_vars"))
 
 
+OVERVIEW_METRICS = ["Files", "Functions", "Variables", "File Paths", "SQL Queries", "Transformations"]
+_SUMMED = ["Files", "Transformations"]
+
+
+def overview_items(nodes: DataFrame) -> DataFrame:
+    """path, metric, item, weight: what the overview counts, in one pass over the nodes, and the SQL texts.
+
+    Distinct items count, and weights where everything counts: files, and
+    transformations, which count again for every function around them.
+    """
+    item = lambda metric, text, weight: F.struct(F.lit(metric).alias("metric"), text.cast("string").alias("item"), weight.cast("long").alias("weight"))
+    one, none, value, name = F.lit(1), F.lit(0), F.col("str_value"), F.col("name")
+    kind = F.col("kind")
+    assigned = (F.col("parent_kind") == "Assign") & (F.col("field") == "value")
+    moves = name.isin(fv.DATAFRAME_METHODS).cast("int") + F.when(name.isin(fv.FUNCTION_DATAFRAME_METHODS), F.size("functions")).otherwise(0)
+    only = lambda condition, items: F.when(condition, items).otherwise(F.array().cast("array<struct<metric:string,item:string,weight:bigint>>"))
+    rows = nodes.filter(kind.isin("Module", "FunctionDef") | assigned).select("path", F.explode(F.concat(
+        only(kind == "Module", F.array(item("Files", F.lit(None), one))),
+        only(kind == "FunctionDef", F.array(item("Functions", name, none))),
+        only(assigned, F.transform("targets", lambda t: item("Variables", t, none))),
+        only(assigned & (kind == "Constant") & value.isNotNull() & contains_any(value, fv.FILE_PATH_MARKS), F.array(item("File Paths", value, none))),
+        only(assigned & (kind == "Call") & (moves > 0), F.transform("targets", lambda t: item("Transformations", F.lit(None), moves))),
+    )).alias("i")).select("path", "i.*")
+    return rows.unionByName(sql_entries(nodes).select("path", F.lit("SQL Queries").alias("metric"), F.col("sql_text").alias("item"), none.cast("long").alias("weight")))
+
+
 def overview(nodes: DataFrame, approximate: bool = False) -> DataFrame:
     """Corpus counts as (metric, count); distincts may be approximated on request."""
     distinct = F.approx_count_distinct if approximate else F.count_distinct
-    parts = [
-        ("Files", nodes.filter("kind = 'Module'").agg(F.count("*").alias("count"))),
-        ("Functions", nodes.filter("kind = 'FunctionDef'").agg(distinct("name").alias("count"))),
-        ("Variables", assignments(nodes).agg(distinct("target").alias("count"))),
-        ("File Paths", file_paths(nodes).agg(distinct("value").alias("count"))),
-        ("SQL Queries", sql_entries(nodes).agg(distinct("sql_text").alias("count"))),
-        ("Transformations", all_transformations(nodes).agg(F.count("*").alias("count"))),
-    ]
-    rows = [df.select(F.lit(metric).alias("metric"), "count") for metric, df in parts]
-    return reduce(DataFrame.unionByName, rows)
+    every = nodes.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, OVERVIEW_METRICS))).alias("metric"))
+    items = overview_items(nodes).drop("path").unionByName(every, allowMissingColumns=True)
+    # of files and transformations no item is distinct: only weights move
+    counts = items.groupBy("metric").agg(distinct("item").alias("n"), F.coalesce(F.sum("weight"), F.lit(0)).alias("total"))
+    return counts.select("metric", F.when(F.col("metric").isin(_SUMMED), F.col("total")).otherwise(F.col("n")).alias("count"))
 
 
 def variable_report(nodes: DataFrame) -> DataFrame:

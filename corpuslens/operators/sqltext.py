@@ -198,3 +198,51 @@ def query_report(queries: DataFrame, tables: DataFrame, explanations: DataFrame
     else:
         report = report.join(explanations, "query_id", "left")
     return report.select("query_id", "sql", F.coalesce("tables", F.lit("")).alias("tables"), "explanation")
+
+
+# --- strict test -------------------------------------------------------------------
+# --- fixed values: states of a statement's start, by (state, token); `x` is any other token -----------
+STATEMENT_STATES = {
+    "start": {"SELECT": "select", "WITH": "with", "INSERT": "insert", "UPDATE": "update", "DELETE": "delete", "CREATE": "create"},
+    "select": {"x": "items", "(": "items"},
+    "items": {"x": "items", "(": "items", ",": "items", "AS": "items", "FROM": "from"},
+    "from": {"x": "whole", "(": "whole"},
+    "with": {"x": "named"},
+    "named": {"AS": "as", "(": "named"},
+    "as": {"(": "bound"},
+    "bound": {",": "with", "SELECT": "select", "INSERT": "insert", "UPDATE": "update", "DELETE": "delete"},
+    "insert": {"INTO": "into"},
+    "into": {"x": "into", "TABLE": "into", "(": "into", "VALUES": "values", "SELECT": "select", "WITH": "with"},
+    "values": {"(": "whole"},
+    "update": {"x": "update", "SET": "set"},
+    "set": {"x": "whole"},
+    "delete": {"FROM": "from"},
+    "create": {"x": "create", "TABLE": "table"},
+    "table": {"x": "whole"},
+    "whole": {t: "whole" for t in ["x", "(", ",", "SELECT", "FROM", "WITH", "AS", "INTO", "VALUES", "SET", "TABLE"]} | {";": "ended"},
+    "ended": {";": "ended"},
+}
+_STATEMENT_TOKEN = r"""'(?:[^']++|'')*+'|"[^"]*+"|`[^`]*+`|--[^\n]*+|[A-Za-z_][A-Za-z0-9_$]*|[0-9]+|[^\sA-Za-z0-9_]"""
+_STATEMENT_WORDS = sorted({t for moves in STATEMENT_STATES.values() for t in moves} - {"x"})
+
+
+def is_statement(text: Column) -> Column:
+    """A strict test: the text has the shape of one statement, with its brackets closed.
+
+    A small automaton is folded over the tokens of a text; nothing inside brackets moves
+    it.  It accepts SELECT..FROM, WITH, INSERT, UPDATE, DELETE and CREATE TABLE, and does not
+    look further into them.  Null is no statement.
+    """
+    tokens = F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_STATEMENT_TOKEN), F.lit(0)), F.upper), lambda t: ~t.startswith("--"))
+    moves = F.create_map(*[F.lit(x) for state, to in STATEMENT_STATES.items() for token, after in to.items() for x in (f"{state} {token}", after)])
+
+    def step(s: Column, t: Column) -> Column:
+        depth = s["depth"] + (t == "(").cast("int") - (t == ")").cast("int")
+        token = F.when(t.isin(_STATEMENT_WORDS), t).otherwise("x")
+        closes = (t == ")") & (s["depth"] == 0)
+        state = F.when(s["state"] == "no", "no").when(closes, "no").when(s["depth"] > 0, s["state"]).otherwise(
+            F.coalesce(F.try_element_at(moves, F.concat_ws(" ", s["state"], token)), F.lit("no")))
+        return F.struct(state.alias("state"), depth.alias("depth"))
+
+    end = F.aggregate(tokens, F.struct(F.lit("start").alias("state"), F.lit(0).alias("depth")), step)
+    return end["state"].isin("whole", "ended") & (end["depth"] == 0)

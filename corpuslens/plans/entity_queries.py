@@ -7,11 +7,13 @@ shaped each loader.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fv
 from corpuslens.functions.text import sorted_join
-from corpuslens.operators import entities, lineage, prompts, sqltext
+from corpuslens.operators import entities, lineage, prompts, sketches, sqltext
 from corpuslens.plans import reports
 from corpuslens.plans.catalog import query
 from corpuslens.sources import corpora
@@ -128,6 +130,20 @@ def e11(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", entities.is_sql(F.col("text")).alias("is_sql"))
 
 
+# statements and texts that only look like some, numbered by the document
+STRICT = """CASE doc_id % 8 WHEN 1 THEN concat('SELECT a, (SELECT max(b) FROM u) AS m FROM t', doc_id) WHEN 2 THEN 'please select a row from the list'
+ WHEN 3 THEN concat('insert into s.t', doc_id, ' (a, b) VALUES (1, ', chr(39), 'x) FROM (', chr(39), ')') WHEN 4 THEN concat('SELECT a FROM (t', doc_id)
+ WHEN 5 THEN concat('WITH q AS (SELECT 1 FROM t), r AS (SELECT 2 FROM q) select * from r', doc_id, ';') WHEN 6 THEN concat('UPDATE t SET a = ', doc_id, ' WHERE b IN (1, 2)')
+ WHEN 7 THEN concat('DELETE FROM t', doc_id, '; SELECT 1') ELSE text END"""
+
+
+@query("e11_strict_sql", """SELECT doc_id, doc_id % 8 IN (1, 3, 5, 6) AS strict, doc_id % 8 > 0 OR regexp_matches(upper(text), 'SELECT|FROM|WHERE|JOIN|GROUP BY|ORDER BY|CREATE TABLE|INSERT INTO|UPDATE|DELETE FROM') AS loose
+ FROM documents""")
+def e11_strict(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", f"{STRICT} AS text")
+    return rows.select("doc_id", sqltext.is_statement(F.col("text")).alias("strict"), entities.is_sql(F.col("text")).alias("loose"))
+
+
 @query("e12_sql_variables", CU + """SELECT path, 'q' AS key, q AS sql_text, 'literal' AS origin FROM cu
  UNION ALL SELECT path, 'view', view_q, 'literal' FROM cu""")
 def e12(spark, sf):
@@ -202,6 +218,20 @@ def e18(spark, sf):
     return entities.overview(_nodes(spark, sf))
 
 
+@query("e18_sketch_overview", CU + f"SELECT metric, count, true AS within_bound, true AS parts_equal_whole FROM ({OVERVIEW}) o")
+def e18_sketches(spark, sf):
+    """From stored sketches of 64 buckets, united; and from those of one bucket, which are the whole."""
+    nodes = _nodes(spark, sf)
+    listing = nodes.filter("kind IN ('Module', 'ParseError')").select("path", F.lit("").alias("blob"))
+    folder = f"{run_folder(spark, 'overview_sketches', sf)}-{uuid.uuid4().hex[:8]}"
+    sketches.update(spark, folder, nodes, listing)
+    parts = sketches.overview(sketches.read(spark, folder)).withColumnRenamed("count", "parts")
+    whole = sketches.overview(sketches.bucket_sketches(nodes, 1)).withColumnRenamed("count", "whole")
+    close = lambda c: F.abs(F.col(c) - F.col("count")) <= sketches.BOUND * F.col("count")
+    return entities.overview(nodes).join(parts, "metric").join(whole, "metric").select(
+        "metric", "count", (close("parts") & close("whole")).alias("within_bound"), (F.col("parts") == F.col("whole")).alias("parts_equal_whole"))
+
+
 @query("e19_variable_report", CU + f"""SELECT path AS filename, name AS variable, CASE WHEN name IN ('raw', 'agg', 'y', 'w') THEN 'DataFrame'
  ELSE 'Regular' END AS type FROM ({VARIABLE_ROWS}) v""")
 def e19(spark, sf):
@@ -234,6 +264,11 @@ DQ = CU + f""", dq AS (SELECT DISTINCT sha256(sql_text) AS query_id, sql_text AS
 """
 
 
+@query("e11_strict_queries", DQ + "SELECT query_id, true AS strict FROM dq")
+def e11_strict_queries(spark, sf):
+    return _queries(spark, sf).select("query_id", sqltext.is_statement(F.col("sql")).alias("strict"))
+
+
 @query("q1_sql_tokens", DQ + """SELECT query_id, CAST(i AS INT) AS pos, tok, CAST(CASE WHEN key = 'q' AND i IN (6, 7) THEN 1 ELSE 0 END AS INT) AS depth,
  CASE WHEN key = 'q' THEN CASE WHEN i < 9 THEN 'SELECT' WHEN i < 13 THEN 'FROM' WHEN i < 15 + 1 THEN 'JOIN' WHEN i < 20 THEN 'ON' ELSE 'GROUP' END
    WHEN key = 'view' THEN CASE WHEN i < 2 THEN 'SELECT' ELSE 'FROM' END ELSE CASE WHEN i < 4 THEN 'SELECT' ELSE 'FROM' END END AS clause
