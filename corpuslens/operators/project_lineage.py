@@ -7,8 +7,6 @@ JSON where they are objects.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -29,7 +27,6 @@ PROJECT_ANSWER = """struct<project_type: string, main_languages: array<string>,
  legacy_aspects: array<string>, modernization_opportunities: array<string>, summary: string>"""
 _SHAPE = PROJECT_ANSWER.replace("\n", " ")
 _DEPENDENCY = "array<struct<name: string, purpose: string, type: string>>"
-_NODE = ["node_id", "label", "type", "size", "purpose", "description", "language", "dep_type"]
 
 _strings = lambda c: F.coalesce(c, F.array().cast("array<string>"))
 
@@ -116,56 +113,62 @@ def first_analyses(analyses: DataFrame) -> DataFrame:
     return analyses.groupBy("project", "file").agg(F.min_by("language", "seq").alias("language"))
 
 
-def _part(rows: DataFrame, section: int, kind: str, size: int, node_id: Column, label: Column, **more: Column) -> DataFrame:
+def _vertex(section: int, kind: str, size: int, i: Column, node_id: Column, label: Column, **more: Column) -> Column:
     none = F.lit(None).cast("string")
-    return rows.select(
-        "project", F.lit(section).alias("section"), F.col("i"), F.col("j"), node_id.alias("node_id"), label.alias("label"),
+    return F.struct(
+        F.lit(section).alias("section"), i.cast("int").alias("i"), node_id.cast("string").alias("node_id"), label.alias("label"),
         F.lit(kind).alias("type"), F.lit(size).alias("size"),
-        *[more.get(n, none).alias(n) for n in ("purpose", "description", "language", "dep_type")],
-    )
+        *[more.get(n, none).cast("string").alias(n) for n in ("purpose", "description", "language", "dep_type")])
+
 
+def _analysed_files(structures: DataFrame, analyses: DataFrame) -> DataFrame:
+    """project and a map, file to language, of the component files that were analysed.
 
-def _elements(parsed: DataFrame, column: str) -> DataFrame:
-    return parsed.select("project", F.posexplode(column).alias("i", "e")).withColumn("j", F.lit(-1))
+    A map is no larger than the structure whose files it names; of the analyses only
+    those files' keys and languages are gathered.
+    """
+    named = structures.select("project", F.explode("key_components").alias("c")).select("project", F.explode("c.files").alias("file")).distinct()
+    found = first_analyses(analyses).join(named, ["project", "file"])
+    language = F.coalesce("language", F.lit("unknown"))
+    return found.groupBy("project").agg(F.map_from_entries(F.collect_list(F.struct("file", language))).alias("analysed"))
 
 
 def graph_nodes(structures: DataFrame, analyses: DataFrame) -> DataFrame:
     """Numbered vertices of every project's structure: the root, each component
     followed by its analysed files, sources, transformations, sinks, dependencies.
 
-    All vertices of a project come out of one structure row, so the numbering
-    window is as small as that row.
+    All vertices of a project are one array of its structure row, so a vertex's place in
+    it is its number: no union, no window, and the array is as small as the row.
     """
-    parsed = structures
-    i = F.col("i")
-    number = lambda word: F.concat(F.lit(f"{word}_"), i.cast("string"))
-    root = _part(
-        parsed.withColumn("i", F.lit(-1)).withColumn("j", F.lit(-1)), 0, "project", 30, F.lit("project_root"),
-        F.coalesce("project_type", F.lit("Unknown Project")))
-    components = _elements(parsed, "key_components")
-    component = _part(
-        components, 1, "component", 20, number("component"),
-        F.coalesce("e.name", F.concat(F.lit("Component "), i.cast("string"))), purpose=F.coalesce("e.purpose", F.lit("")))
-    files = (
-        components.select("project", "i", F.posexplode("e.files").alias("j", "file"))
-        .join(first_analyses(analyses), ["project", "file"])
-    )
-    file_rows = _part(files, 1, "file", 10, F.lit(None).cast("string"), basename(F.col("file")),
-                      language=F.coalesce("language", F.lit("unknown")))
-    e = F.col("e")
-    source = _part(_elements(parsed, "data_flow.sources"), 2, "data_source", 15, number("source"), _label(e, "Source", i))
-    step = _part(_elements(parsed, "data_flow.transformations"), 3, "data_transformation", 12, number("transform"),
-                 _label(e, "Transform", i), description=F.coalesce(_member(e, "description", F.lit("")), F.lit("")))
-    sink = _part(_elements(parsed, "data_flow.sinks"), 4, "data_sink", 15, number("sink"), _label(e, "Sink", i))
-    dependency = _part(
-        _elements(parsed, "dependencies"), 5, "dependency", 8, number("dependency"), F.col("e.name"),
-        purpose=F.col("e.purpose"), dep_type=F.col("e.type"))
-    rows = reduce(DataFrame.unionByName, [root, component, file_rows, source, step, sink, dependency])
-    in_order = W.partitionBy("project").orderBy("section", "i", "j")
-    return (
-        rows.withColumn("node_index", (F.row_number().over(in_order) - 1).cast("int"))
-        .withColumn("node_id", F.coalesce("node_id", F.concat(F.lit("file_"), F.col("node_index").cast("string"))))
+    number = lambda word, i: F.concat(F.lit(f"{word}_"), i.cast("string"))
+    rows = structures.join(_analysed_files(structures, analyses), "project", "left")
+    analysed = F.coalesce("analysed", F.create_map().cast("map<string,string>"))
+    language = lambda f: F.element_at(analysed, f)
+
+    def component(c: Column, i: Column) -> Column:
+        own = _vertex(1, "component", 20, i, number("component", i), F.coalesce(c["name"], F.concat(F.lit("Component "), i.cast("string"))),
+                      purpose=F.coalesce(c["purpose"], F.lit("")))
+        files = F.filter(_strings(c["files"]), lambda f: F.coalesce(F.map_contains_key(analysed, f), F.lit(False)))
+        return F.concat(F.array(own), F.transform(files, lambda f: _vertex(
+            1, "file", 10, i, F.lit(None), basename(f), language=language(f))))
+
+    def elements(column: str, each) -> Column:
+        return F.transform(_strings(F.col(column)), each)
+
+    root = _vertex(0, "project", 30, F.lit(-1), F.lit("project_root"), F.coalesce("project_type", F.lit("Unknown Project")))
+    vertices = F.concat(
+        F.array(root),
+        F.flatten(F.transform("key_components", component)),
+        elements("data_flow.sources", lambda e, i: _vertex(2, "data_source", 15, i, number("source", i), _label(e, "Source", i))),
+        elements("data_flow.transformations", lambda e, i: _vertex(
+            3, "data_transformation", 12, i, number("transform", i), _label(e, "Transform", i),
+            description=F.coalesce(_member(e, "description", F.lit("")), F.lit("")))),
+        elements("data_flow.sinks", lambda e, i: _vertex(4, "data_sink", 15, i, number("sink", i), _label(e, "Sink", i))),
+        F.transform(F.coalesce("dependencies", F.array().cast(_DEPENDENCY)), lambda e, i: _vertex(
+            5, "dependency", 8, i, number("dependency", i), e["name"], purpose=e["purpose"], dep_type=e["type"])),
     )
+    return rows.select("project", F.posexplode(vertices).alias("node_index", "v")).select("project", "node_index", "v.*").withColumn(
+        "node_id", F.coalesce("node_id", number("file", F.col("node_index"))))
 
 
 def node_table(nodes: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from corpuslens.operators import answers, project, project_lineage, prompts
 from corpuslens.plans import documents, reports
 from corpuslens.plans.catalog import query
 from corpuslens.sources import corpora
-from corpuslens.sources.workspace import run_folder
+from corpuslens.sources.workspace import run_folder, written
 
 
 def _files(spark, sf):
@@ -389,13 +389,20 @@ def r4_lenient(spark, sf):
 
 # --- lineage graph and export -----------------------------------------------------------------
 def _analyses(spark, sf):
-    """Answers about files that were read, with the file's language."""
-    known = project.detect_language(project.read_files(_files(spark, sf))).select(F.col("path").alias("file"), "language")
-    return _structured(spark, sf).join(known, "file")
+    """Answers about files that were read, with the file's language; written once."""
+
+    def build():
+        known = project.detect_language(project.read_files(_files(spark, sf))).select(F.col("path").alias("file"), "language")
+        return _structured(spark, sf).join(known, "file")
+
+    return written(spark, ("file_analyses", sf), build, "file", redistribute=True)
 
 
 def _project_structures(spark, sf):
-    return project_lineage.project_structures(corpora.project_answers(spark, sf), _files(spark, sf))
+    """Structures of all projects, written once."""
+    return written(
+        spark, ("project_structures", sf),
+        lambda: project_lineage.project_structures(corpora.project_answers(spark, sf), _files(spark, sf)), "project", redistribute=True)
 
 
 def _graph(spark, sf):
