@@ -51,19 +51,23 @@ def _label(element: Column, kind: str, at: Column) -> Column:
 
 
 # --- default structure -----------------------------------------------------------
-def project_structures(answers: DataFrame, files: DataFrame) -> DataFrame:
-    """One full structure per project.
+def project_structures(
+    answers: DataFrame, files: DataFrame, key_files: int | None = fv.KEY_FILE_LIMIT, entry_files: int | None = 5,
+    guessed: int | None = fv.PROMPT_DEPENDENCIES, default_dependencies: int | None = 10, top_languages: int | None = fv.TOP_LANGUAGES,
+) -> DataFrame:
+    """One full structure per project.  A limit of None keeps all.
 
     JSON answers get file statistics and default dependencies; an answer that is
     not JSON is replaced by a default built from languages, key files and
     dependencies.
     """
     d = fv.DEFAULT_PROJECT
-    key = project.key_files(files)
-    deps = prompts.first_dependencies(project.dependencies(files, key), fv.PROMPT_DEPENDENCIES)
+    whole = prompts.WHOLE
+    key = project.key_files(files, key_files or whole)
+    deps = prompts.first_dependencies(project.dependencies(files, key), max(guessed or whole, default_dependencies or whole))
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda s: s[c])
-    languages = project.main_languages(files).groupBy("project").agg(ordered("language").alias("top_languages"))
-    entries = key.filter("rank <= 5").groupBy("project").agg(ordered("path").alias("entry_files"))
+    languages = project.main_languages(files, top_languages).groupBy("project").agg(ordered("language").alias("top_languages"))
+    entries = key.filter(F.col("rank") <= (entry_files or whole)).groupBy("project").agg(ordered("path").alias("entry_files"))
     found = deps.groupBy("project").agg(ordered("dependency").alias("found_deps"))
     joined = parse_projects(answers)
     for part in (languages, entries, found, project.file_stats(files)):
@@ -76,8 +80,9 @@ def project_structures(answers: DataFrame, files: DataFrame) -> DataFrame:
     given = F.transform(_strings(F.col("a.dependencies")), lambda e, i: F.struct(
         _label(e, "Dependency", i).alias("name"), F.coalesce(_member(e, "purpose", F.lit("")), F.lit("")).alias("purpose"),
         F.coalesce(_member(e, "type", F.lit("library")), F.lit("library")).alias("type")))
-    guessed = as_struct(_strings(F.col("found_deps")), F.lit(d["unknown"]), F.lit("library"))
-    default_deps = as_struct(F.slice(_strings(F.col("found_deps")), 1, 10), F.lit(d["unknown"]), F.lit(d["unknown"]))
+    first = lambda n: F.slice(_strings(F.col("found_deps")), 1, n or whole)
+    guessed = as_struct(first(guessed), F.lit(d["unknown"]), F.lit("library"))
+    default_deps = as_struct(first(default_dependencies), F.lit(d["unknown"]), F.lit(d["unknown"]))
     unknown = F.lit(d["unknown"])
     lineage = lambda purpose: F.struct(purpose.alias("purpose"), unknown.alias("history"),
                                        unknown.alias("organization"), unknown.alias("complexity"))
@@ -103,8 +108,8 @@ def project_structures(answers: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def dependency_defaults(answers: DataFrame, files: DataFrame) -> DataFrame:
-    return project_structures(answers, files).select("project", "dependencies", "code_lineage")
+def dependency_defaults(answers: DataFrame, files: DataFrame, **limits: int | None) -> DataFrame:
+    return project_structures(answers, files, **limits).select("project", "dependencies", "code_lineage")
 
 
 # --- lineage graph ----------------------------------------------------------------

@@ -61,32 +61,47 @@ def attach_explanations(rows: DataFrame, content_type: str, text: str, answers:
 
 
 def file_prompts(files: DataFrame) -> DataFrame:
-    """Analysis prompt per distinct (language, name, content): the same file is asked once."""
-    prompt = fill(
-        fv.FILE_PROMPT_HEAD, language=F.col("language"), filename=basename(F.col("path")), content=F.col("content"))
-    return (
-        project.detect_language(project.read_files(files))
-        .select("language", F.concat(prompt, F.lit(fv.FILE_PROMPT_TAIL)).alias("prompt"))
-        .withColumn("prompt_hash", F.sha2("prompt", 256))
-        .groupBy("prompt_hash").agg(F.min("language").alias("content_type"), F.min("prompt").alias("prompt"))
-    )
+    """Analysis prompt per distinct (language, name, content): the same file is asked once.
+
+    Distinct are the hashes; with each goes the first path that has it.  Contents are read
+    again for those paths only, where they lie: when the files are bucketed by path, only
+    paths and hashes are exchanged.  Paths are unique.
+    """
+    tail = F.lit(fv.FILE_PROMPT_TAIL)
+    prompt = lambda language: F.concat(
+        fill(fv.FILE_PROMPT_HEAD, language=language, filename=basename(F.col("path")), content=F.col("content")), tail)
+    keys = project.detect_language(project.read_files(files)).select(
+        "path", F.col("language").alias("content_type"), F.sha2(prompt(F.col("language")), 256).alias("prompt_hash"))
+    # cut to one row for each hash in every task before the exchange
+    first = W.partitionBy("prompt_hash").orderBy("path")
+    chosen = keys.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
+    return files.select("path", "content").join(chosen, "path").select("prompt_hash", "content_type", prompt(F.col("content_type")).alias("prompt"))
 
 
-def project_prompts(files: DataFrame) -> DataFrame:
-    """One prompt per project: 100 files, languages, 10 key files, 20 dependencies."""
+WHOLE = 2_147_483_647  # as a limit: everything, still in order
+
+
+def project_prompts(
+    files: DataFrame, listed_files: int | None = fv.LISTED_FILES, key_files: int | None = fv.PROMPT_KEY_FILES,
+    dependencies: int | None = fv.PROMPT_DEPENDENCIES,
+) -> DataFrame:
+    """One prompt per project: 100 files, languages, 10 key files, 20 dependencies; all of them with None.
+
+    Dependencies are those of the project's key files, or of all candidates with `key_files` None.
+    """
     bullet = lambda c: F.concat(F.lit("- "), c)
     ordered = lambda rank, text: F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), text.alias("t")))), lambda s: s.t), "\n")
-    listed = project.file_list(files).groupBy("project").agg(
+    listed = project.file_list(files, listed_files or WHOLE).groupBy("project").agg(
         F.count("*").alias("shown"), F.max("total").alias("total"), ordered("rank", F.col("entry")).alias("files"))
     languages = (
         project.language_summary(files).groupBy("project").agg(ordered("rank", F.concat(
             F.lit("- "), "language", F.lit(": "), F.col("n").cast("string"), F.lit(" files"))).alias("languages"))
     )
-    key = project.key_files(files)
-    keys = key.filter(F.col("rank") <= fv.PROMPT_KEY_FILES).groupBy("project").agg(
+    key = project.key_files(files, fv.KEY_FILE_LIMIT if key_files else WHOLE)
+    keys = key.filter(F.col("rank") <= (key_files or WHOLE)).groupBy("project").agg(
         ordered("rank", bullet(F.col("path"))).alias("key_files"))
-    deps = first_dependencies(project.dependencies(files, key), fv.PROMPT_DEPENDENCIES).groupBy("project").agg(
+    deps = first_dependencies(project.dependencies(files, key), dependencies or WHOLE).groupBy("project").agg(
         ordered("rank", bullet(F.col("dependency"))).alias("dependencies"))
     joined = listed
     for part in (languages, keys, deps):

@@ -6,6 +6,8 @@ the kind of file, k % 4 the form of the answer about it.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fv
@@ -137,6 +139,11 @@ def l8(spark, sf):
     return project.main_languages(_files(spark, sf))
 
 
+@query("l8_all_languages", PF + f"SELECT project, language, n, CAST(rank AS INT) AS rank FROM ({TOP.replace('WHERE rank <= 5', '')}) t")
+def l8_all(spark, sf):
+    return project.main_languages(_files(spark, sf), limit=None)
+
+
 # --- key files, dependencies, frameworks ---------------------------------------------
 @query("l9_key_files", PF + "SELECT project, path, CAST(tier AS INT) AS tier, CAST(rank AS INT) AS rank FROM kf")
 def l9(spark, sf):
@@ -183,6 +190,35 @@ def l13(spark, sf):
     return project.requirements_dependencies(*_keyed(spark, sf))
 
 
+# the same over all key files
+PF_ALL = PF.replace("kf AS (SELECT * FROM kr WHERE rank <= 20)", "kf AS (SELECT * FROM kr)")
+
+
+def _all_keyed(spark, sf):
+    files = _files(spark, sf)
+    return files, project.key_files(files, limit=None)
+
+
+@query("l10_all_python_dependencies", PF_ALL + "SELECT project, path, dependency, is_import_tail FROM dp WHERE src = 'py'")
+def l10_all(spark, sf):
+    return project.python_dependencies(*_all_keyed(spark, sf))
+
+
+@query("l11_all_javascript_dependencies", PF_ALL + "SELECT project, path, dependency FROM dp WHERE src = 'js'")
+def l11_all(spark, sf):
+    return project.javascript_dependencies(*_all_keyed(spark, sf))
+
+
+@query("l12_all_package_json", PF_ALL + "SELECT project, path, dependency FROM dp WHERE src = 'json'")
+def l12_all(spark, sf):
+    return project.package_json_dependencies(*_all_keyed(spark, sf))
+
+
+@query("l13_all_requirements", PF_ALL + "SELECT project, path, dependency FROM dp WHERE src = 'req'")
+def l13_all(spark, sf):
+    return project.requirements_dependencies(*_all_keyed(spark, sf))
+
+
 @query("l14_dependencies", PF + "SELECT project, dependency FROM ds")
 def l14(spark, sf):
     return project.dependencies(_files(spark, sf))
@@ -260,10 +296,30 @@ def r13(spark, sf):
         F.array_join("entry_points", "|").alias("entry_points"), _flat_deps(), "summary", F.size("key_components").alias("n_components"))
 
 
+# the same without limits
+_no_limits = lambda sql: re.sub(r"rank <= \d+", "true", sql)
+NO_LIMITS = dict(key_files=None, entry_files=None, guessed=None, default_dependencies=None, top_languages=None)
+
+
+@query("l18_whole_dependencies", _no_limits(PA + f"""SELECT pa.project, {DEPS} AS dependencies,
+ CASE WHEN is_json THEN 'Unknown' ELSE 'Could not determine the overall purpose of the codebase.' END AS purpose
+ FROM pa LEFT JOIN d20 ON d20.project = pa.project LEFT JOIN d10 ON d10.project = pa.project"""))
+def l18_whole(spark, sf):
+    return project_lineage.dependency_defaults(corpora.project_answers(spark, sf), _files(spark, sf), **NO_LIMITS).select(
+        "project", _flat_deps(), "code_lineage.purpose")
+
+
+@query("r13_whole_structure", _no_limits(PA + STRUCTURE))
+def r13_whole(spark, sf):
+    return project_lineage.project_structures(corpora.project_answers(spark, sf), _files(spark, sf), **NO_LIMITS).select(
+        "project", "parsed_from", "project_type", F.array_join("main_languages", "|").alias("main_languages"), "architecture",
+        F.array_join("entry_points", "|").alias("entry_points"), _flat_deps(), "summary", F.size("key_components").alias("n_components"))
+
+
 NL = "chr(10)"
 
 
-@query("r3_project_prompts", PA + f""", parts AS (SELECT pk.project,
+PROJECT_PROMPTS = PA + f""", parts AS (SELECT pk.project,
  (SELECT count(*) FROM lg l WHERE l.project = pk.project) AS total,
  (SELECT string_agg(entry, {NL} ORDER BY rank) FROM (SELECT project, {ENTRY} AS entry, row_number() OVER (PARTITION BY project ORDER BY k) AS rank FROM lg) e
    WHERE e.project = pk.project AND rank <= 100) AS files,
@@ -273,11 +329,20 @@ NL = "chr(10)"
  txt AS (SELECT project, concat({NL}, 'Analyze the structure of this project based on the file list and key information below:', {NL}, {NL},
   'File List (showing ', least(total, 100), ' of ', total, ' files):', {NL}, files, {NL}, {NL}, 'Language Distribution:', {NL}, coalesce(langs, ''), {NL}, {NL},
   'Key Files:', {NL}, coalesce(keys, ''), {NL}, {NL}, 'Detected Dependencies:', {NL}, coalesce(deps, ''), {NL}, {corpora.render(fv.PROJECT_PROMPT_TAIL)}) AS prompt FROM parts)
- SELECT project, sha256(prompt) AS prompt_hash, CAST(length(prompt) AS INT) AS n_chars FROM txt""")
+ SELECT project, sha256(prompt) AS prompt_hash, CAST(length(prompt) AS INT) AS n_chars FROM txt"""
+
+
+@query("r3_project_prompts", PROJECT_PROMPTS)
 def r3(spark, sf):
     return prompts.project_prompts(_files(spark, sf)).select("project", "prompt_hash", F.length("prompt").alias("n_chars"))
 
 
+@query("r3_whole_prompts", _no_limits(PROJECT_PROMPTS).replace("least(total, 100)", "total"))
+def r3_whole(spark, sf):
+    rows = prompts.project_prompts(_files(spark, sf), listed_files=None, key_files=None, dependencies=None)
+    return rows.select("project", "prompt_hash", F.length("prompt").alias("n_chars"))
+
+
 # --- file answers -------------------------------------------------------------------------
 AN = f"""WITH an AS (SELECT p_partkey AS k, p_size AS s, p_partkey % 4 AS a, {corpora.PROJECT} AS project, {corpora.PROJECT_PATH} AS file,
  {corpora.ANSWER_WORD} AS word, {corpora.ANSWER} AS raw, p_partkey % 17 <> 5 AS has FROM part)
