@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslens import fixed_values as fv
+from corpuslens.functions.lenient import read_json
 from corpuslens.functions.text import basename, extension, first_hit, readable_json, strip, strip_sql
 
 # --- fixed values: shape of a file answer ------------------------------------
@@ -37,10 +39,11 @@ def is_json(raw: Column) -> Column:
 
 
 def parse_json(answers: DataFrame) -> DataFrame:
-    """Adds parsed_from (json or text) and, for JSON, the answer struct."""
+    """Adds parsed_from (json or text) and, for JSON, the answer struct; members of another type are read as they can be."""
     valid = is_json(F.col("raw"))
+    shape = T.DataType.fromDDL(FILE_ANSWER.replace("\n", " "))
     return answers.withColumn("parsed_from", F.when(valid, "json").otherwise("text")).withColumn(
-        "answer", F.when(valid, F.from_json("raw", FILE_ANSWER.replace("\n", " "))))
+        "answer", F.when(valid, read_json(F.col("raw"), shape)))
 
 
 # --- text tools ---------------------------------------------------------------

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from corpuslens import fixed_values as fv
+from corpuslens.functions.lenient import read_json
 from corpuslens.functions.text import basename
 from corpuslens.operators import project, prompts
 from corpuslens.operators.answers import is_json
@@ -36,7 +38,7 @@ def parse_projects(answers: DataFrame) -> DataFrame:
     valid = is_json(F.col("raw"))
     return answers.select(
         "project", F.when(valid, "json").otherwise("default").alias("parsed_from"),
-        F.when(valid, F.from_json("raw", _SHAPE)).alias("a"))
+        F.when(valid, read_json(F.col("raw"), T.DataType.fromDDL(_SHAPE))).alias("a"))
 
 
 def _member(element: Column, name: str, default: Column) -> Column:

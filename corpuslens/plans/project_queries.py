@@ -452,6 +452,28 @@ def r4_lenient(spark, sf):
     return answers.parse_json(raw).select("k", "parsed_from", "answer.summary")
 
 
+# members of another type than asked for
+OFF_TYPE = r"""CASE p_partkey % 4 WHEN 0 THEN concat('{"code_quality": {"score": ', p_size, '.5, "strengths": "clear ', p_partkey, '"}, "summary": ["a", "b"]}')
+ WHEN 1 THEN concat('{"functions": {"count": "', p_size, '", "important_functions": ["f', p_partkey, '", {"name": "g", "parameters": "x"}]}}')
+ WHEN 2 THEN concat('{"code_quality": {"score": "high", "strengths": ["a", ', p_size, ', {"x":1}]}, "functions": {"important_functions": {"name": "h"}}, "summary": 7}')
+ ELSE '{"functions": ["a"], "code_quality": "good", "summary": null}' END"""
+
+
+@query("r4_off_type_members", """SELECT p_partkey AS k, CAST(CASE WHEN p_partkey % 4 = 0 THEN p_size ELSE -1 END AS INT) AS score,
+ CASE p_partkey % 4 WHEN 0 THEN concat('clear ', p_partkey) WHEN 2 THEN concat('a|', p_size, '|{"x":1}') ELSE '' END AS strengths,
+ CAST(CASE WHEN p_partkey % 4 = 1 THEN p_size ELSE -1 END AS INT) AS count,
+ CASE p_partkey % 4 WHEN 1 THEN concat('f', p_partkey, '|g:x') WHEN 2 THEN 'h' ELSE '' END AS functions,
+ CASE p_partkey % 4 WHEN 0 THEN '["a","b"]' WHEN 2 THEN '7' ELSE '' END AS summary FROM part""")
+def r4_off_type(spark, sf):
+    raw = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS k", f"{OFF_TYPE} AS raw")
+    joined = lambda c: F.coalesce(F.array_join(c, "|"), F.lit(""))
+    return answers.parse_json(raw).select(
+        "k", F.coalesce("answer.code_quality.score", F.lit(-1)).alias("score"), joined("answer.code_quality.strengths").alias("strengths"),
+        F.coalesce("answer.functions.count", F.lit(-1)).alias("count"),
+        joined(F.transform("answer.functions.important_functions", lambda f: F.concat_ws(":", f["name"], F.array_join(f["parameters"], ",")))).alias("functions"),
+        F.coalesce("answer.summary", F.lit("")).alias("summary"))
+
+
 # --- lineage graph and export -----------------------------------------------------------------
 def _analyses(spark, sf):
     """Answers about files that were read, with the file's language; written once."""
