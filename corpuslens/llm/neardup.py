@@ -185,8 +185,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = mixed(keys * _u(0x9E3779B97F4A7C15) ^ rows[:, :, r])
             low = (mixed(who) >> _u(56)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(t.content_ids(), _LONG), pa.array(t.n, _LONG), pa.array(list(keys.view(np.int64)), _LONGS),
-                 pa.array([s.tobytes() for s in low], pa.binary())], ["doc_id", "id", "n_words", "bands", "registers"])
+                [part.column("doc_id"), part.column("text_hash"), pa.array(t.content_ids(), _LONG), pa.array(t.n, _LONG),
+                 pa.array(list(keys.view(np.int64)), _LONGS), pa.array([s.tobytes() for s in low], pa.binary())],
+                ["doc_id", "text_hash", "id", "n_words", "bands", "registers"])
 
 
 def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,19 +327,25 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     probability of 3 percent.
     """
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    texts = documents.select("doc_id", "text")
-    sketch = written(spark, texts.mapInArrow(_sketch, f"doc_id {id_type}, id long, n_words long, bands array<long>, registers binary"), "sketch")
+    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    sketch = written(spark, texts.mapInArrow(_sketch, f"doc_id {id_type}, text_hash long, id long, n_words long, bands array<long>, registers binary"), "sketch")
     # band buckets with several texts
     cells = sketch.filter("id IS NOT NULL").select("id", "n_words", F.explode("bands").alias("band"))
     buckets = cells.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
     members = written(spark, cells.join(buckets, "band").select("band", "id", "n_words", "low", "high").distinct(), "members")
     # what is known of the texts in them: the registers and the text, one row each
     nodes = members.select("id").distinct()
-    held = sketch.join(nodes, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    registers = written(spark, sketch.join(nodes, "id", "left_semi").groupBy("id").agg(F.first("registers").alias("registers"), F.first("bands").alias("bands")), "registers")
-    wanted = written(spark, held.select("id", F.col("doc_id").alias("at")), "wanted")
-    # always a merge join: the ids grow with the documents, so a broadcast on small tables would not show what large ones need
-    found = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("at"))).select("id", "text").mapInArrow(_own_text, "id long, text string")
+    # one row holds each text: of its copies that with the least doc_id, found by partial aggregates, so copies meet in no task;
+    # joins are by the text as well, so neither copies of one text nor many texts of one doc_id are multiplied.
+    # Always merge joins: the ids grow with the documents, so a broadcast on small tables would not show what large ones need
+    copies = sketch.filter("id IS NOT NULL")
+    least = written(spark, copies.groupBy("id").agg(F.min("doc_id").alias("at")).join(nodes, "id").withColumnRenamed("id", "node"), "least")
+    rows = copies.join(least.hint("merge"), (F.col("id") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("at")))
+    witness = written(spark, rows.groupBy("id").agg(
+        F.first("registers").alias("registers"), F.first("bands").alias("bands"), F.first("at").alias("at"), F.min("text_hash").alias("hash")), "witness")
+    registers = witness.select("id", "registers", "bands")
+    found = texts.join(witness.select("id", "at", "hash").hint("merge"), F.col("doc_id").eqNullSafe(F.col("at")) & (
+        F.col("text_hash") == F.col("hash"))).select("id", "text").mapInArrow(_own_text, "id long, text string")
     bodies = written(spark, found.groupBy("id").agg(F.first("text").alias("text")), "texts")
 
     def of(rows: DataFrame, side: str) -> DataFrame:
