@@ -115,17 +115,18 @@ def scan_unseen(
     blobs = versions.select(blob_id(F.col(text)).alias("blob"), F.col(path).alias("path")).groupBy("blob").agg(
         F.min("path").alias("path"))
     if ledger is not None:
-        seen = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+        # of the whole ledger only the entries of this batch's blobs
+        ours = ledger.select("blob", "rules").join(blobs.select("blob"), "blob", "left_semi")
+        seen = ours.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         blobs = blobs.join(seen, "blob", "left")
     else:
         blobs = blobs.withColumn("seen", F.array().cast("array<string>"))
     todo = blobs.select("blob", F.col("path").alias("at"), F.array_except(
         wanted, F.coalesce("seen", F.array().cast("array<string>"))).alias("missing")).filter("size(missing) > 0")
     todo = written(spark, todo, "unseen")  # its size is then known: a small rest is broadcast, and no text is shuffled
-    # one row that holds each blob; found by its path first, so that copies of a hot blob are not gathered
-    texts = versions.select(F.col(path).alias("at"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    held = texts.join(todo, texts["at"].eqNullSafe(todo["at"])).select("blob", "missing", "text").filter(
-        blob_id(F.col("text")) == F.col("blob"))
+    # the row that holds each blob, by path and blob: copies of a hot blob lie at many paths, versions of a hot path are many blobs
+    texts = versions.select(F.col(path).alias("at"), blob_id(F.col(text)).alias("own"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    held = texts.join(todo, texts["at"].eqNullSafe(todo["at"]) & (F.col("own") == F.col("blob"))).select("blob", "missing", "text")
     by_id = {r.id: r for r in rules}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +163,8 @@ def scan_versions(
     """
     new = written(spark, scan_unseen(spark, versions, ledger, path, text, rules), "ledger")
     ids = [r.id for r in rules]
-    known = new if ledger is None else new.unionByName(ledger.select("blob", "rules", "findings"))
+    rows = versions.select(F.col(path).alias("path"), blob_id(F.col(text)).alias("blob"))
+    known = new if ledger is None else new.unionByName(ledger.select("blob", "rules", "findings").join(rows.select("blob").distinct(), "blob", "left_semi"))
     order = F.array(*[F.lit(i) for i in ids])
     if ledger is not None:
         known = known.groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings"))
@@ -172,7 +174,6 @@ def scan_versions(
         f["rule"].alias("rule"), f["kind"].alias("kind"))))
     known = known.select("blob", F.transform(F.array_distinct(ranked), lambda f: F.struct(
         f["rule"].alias("rule"), f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end"))).alias("findings"))
-    rows = versions.select(F.col(path).alias("path"), blob_id(F.col(text)).alias("blob"))
     return rows.join(known, "blob", "left").select("path", "blob", "findings"), new
 
 

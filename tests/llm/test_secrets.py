@@ -67,3 +67,25 @@ def test_redaction(spark):
     out = found.join(versions(spark, [text, "plain", None]).select("path", "text"), "path").select(
         "path", secrets.redact(F.col("text"), F.col("findings")).alias("t"))
     assert {r.path: r.t for r in out.collect()} == {0: "a [secret] b [secret]", 1: "plain", 2: None}
+
+
+def test_many_versions_of_one_path_meet_only_their_own_text(spark):
+    """History of a hot path: the join does not pair its versions with each other."""
+    versions = spark.createDataFrame([("hot.py", f"password = 'abcdefghij{i:06d}'") for i in range(400)], "path string, text string")
+    found, new = secrets.scan_versions(spark, versions)
+    assert found.count() == 400 and new.count() == 400 and all(len(r.findings) == 1 for r in found.collect())
+
+
+def test_two_batches_through_a_ledger_equal_one(spark):
+    """Older rules on a part of the versions first; then all rules on all, of which only the unseen pairs are scanned."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    whole, _ = secrets.scan_versions(spark, rows, path="doc_id")
+    _, first = secrets.scan_versions(spark, rows.filter("doc_id % 2 = 0"), path="doc_id", rules=secrets.BASE_RULES)
+    again, second = secrets.scan_versions(spark, rows, ledger=first, path="doc_id")
+    plain = lambda found: sorted((r.path, r.blob, [tuple(f) for f in r.findings]) for r in found.collect())
+    assert plain(again) == plain(whole) and any(f for _, _, f in plain(whole))
+    base, every = {r.id for r in secrets.BASE_RULES}, {r.id for r in secrets.RULES}
+    old = {r.blob for r in first.collect()}
+    assert all(set(r.rules) == (every - base if r.blob in old else every) for r in second.collect())
+    none, third = secrets.scan_versions(spark, rows, ledger=first.unionByName(second), path="doc_id")
+    assert third.count() == 0 and plain(none) == plain(whole)
