@@ -6,16 +6,18 @@ characters, hashed into 2^18 buckets.  The model is w0 + sum w_i + sum of
 insult and a group that is mentioned) can weigh more, or less, than their sum;
 the pair sum costs one pass: (|sum v|^2 - sum |v|^2) / 2.
 
-Fitting uses at most `TRAIN_DOCS` labelled documents, those with the smallest
-hash of their id.  Their terms are counted by Spark per bucket; buckets whose
-rates differ clearly between the labels (|z| >= MIN_Z, at least MIN_DOCS
-documents) become terms of the model.  So do both buckets of every pair whose
-documents are clearly more, or less, toxic than a first model of the terms so far
-expects (MIN_PAIR_Z, higher since there are up to billions of pairs).  All pairs
-of buckets that share at least MIN_DOCS documents are tested, in tasks that each
-take a part of the buckets and hold the sample's bucket numbers.  The driver sees
-these numbers, no texts, and fits by full-batch Adam.  Scoring is a map over all
-documents.
+Fitting uses a bounded sample of different labelled texts, by the smallest hashes of
+their ids: at most `TRAIN_DOCS` texts with at most `TRAIN_TERMS` terms together.  Their
+terms are counted by Spark per bucket; buckets whose rates differ clearly between
+the labels (|z| >= MIN_Z, at least MIN_DOCS documents) become terms of the model.  So do
+both buckets of every pair whose documents are clearly more, or less, toxic than a
+first model of the terms so far expects (MIN_PAIR_Z, higher since there are up to
+billions of pairs).  No pair's likelihood ratio can exceed that of its documents one by
+one, so a bucket whose documents together do not surprise the first model enough is in
+no such pair; all pairs of the other buckets that share at least MIN_DOCS documents are
+tested, over as much of the sample as has `TRAIN_PAIRS` pairs, in tasks that each take a
+part of the buckets.  The driver holds the sample's bucket numbers, no texts, and fits
+by full-batch Adam, some documents at a time.  Scoring is a map over all documents.
 """
 
 from __future__ import annotations
@@ -39,9 +41,10 @@ from corpuslens.llm.staging import held_out, written
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BUCKETS = 1 << 18
-TRAIN_DOCS = 20_000
+TRAIN_DOCS, TRAIN_TERMS, TRAIN_PAIRS = 20_000, 5_000_000, 2_000_000_000
 MIN_Z, MIN_DOCS = 5.0, 4
-MIN_PAIR_Z, PAIR_TASKS = 6.5, 48
+MIN_PAIR_Z = 6.5
+FIT_ENTRIES = 200_000       # terms of documents in one step of the fit
 SURE = 0.02, 0.98
 FACTORS, STEPS, RATE, DECAY = 8, 200, 0.05, 1e-4
 CACHED_WORDS = 300_000
@@ -72,43 +75,66 @@ def text_buckets(text: str | None) -> list[int]:
     return sorted(found)
 
 
-def _sample(documents: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """toxic, buckets of the documents to learn from."""
+def _sample(spark: SparkSession, documents: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """place, toxic, buckets of the texts to learn from, at most `most` rows and `TRAIN_TERMS` buckets."""
     rows = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("toxic"))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    # at most `most` rows of an id and a label: small by that parameter
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    place = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = rows.orderBy(*place).limit(most)
+    texts = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    # an id may stand for many rows: again at most `most` different texts.  Both tables are small by that parameter
+    keys = texts.select("doc_id", "text_hash").join(F.broadcast(chosen), "doc_id").distinct().orderBy(*place, "text_hash").limit(most)
+    keys = written(spark, keys, "toxic-keys")
+    held = texts.join(F.broadcast(keys), ["doc_id", "text_hash"]).select(place[0].alias("place"), "text_hash", "toxic", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text")):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([toxic], pa.int32()), pa.array([text_buckets(text.as_py())], pa.list_(pa.int32()))], ["toxic", "buckets"])
+            buckets = [text_buckets(text.as_py()) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("place"), batch.column("text_hash"), batch.column("toxic"), pa.array(buckets, pa.list_(pa.int32()))],
+                ["place", "text_hash", "toxic", "buckets"])
+
+    found = held.mapInArrow(hashed, "place long, text_hash long, toxic int, buckets array<int>")
+    # equal rows are one
+    sample = written(spark, found.groupBy("place", "text_hash").agg(F.max("toxic").alias("toxic"), F.first("buckets").alias("buckets")), "toxic-sample")
+    sizes = sample.select("place", F.size("buckets").alias("n")).toArrow()
+    order = np.argsort(sizes.column("place").to_numpy(), kind="stable")
+    fits = np.cumsum(sizes.column("n").to_numpy()[order]) <= TRAIN_TERMS
+    if fits.all():
+        return sample
+    return sample.filter(F.col("place") < int(sizes.column("place").to_numpy()[order][int(np.argmin(fits))]))
 
-    return texts.mapInArrow(hashed, "toxic int, buckets array<int>")
 
+def _fit(n_terms: int, y: np.ndarray, doc: np.ndarray, term: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors that minimise the logistic loss with weight decay.
 
-def _fit(n_terms: int, rows: list[tuple[int, list[int]]]) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and factors that minimise the logistic loss with weight decay."""
-    y = np.array([t for t, _ in rows], float)
-    size = np.array([len(x) for _, x in rows])
-    term = np.array([i for _, x in rows for i in x], int)
-    doc = np.repeat(np.arange(len(rows)), size)
+    `doc`, ascending, and `term` have an entry for each term of each document; `y` are the labels.
+    """
+    y = np.asarray(y, float)
+    ends = np.searchsorted(doc, np.arange(len(y) + 1))
+    cuts = [0]
+    while cuts[-1] < len(y):
+        # at least one document, and as many as have so many entries
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, ends[cuts[-1]] + FIT_ENTRIES, "right")) - 1))
+    cuts[-1] = len(y)
     draw = np.random.default_rng(0)
     base = (y.sum() + 0.5) / (len(y) + 1)
     bias, w, v = np.array([np.log(base / (1 - base))]), np.zeros(n_terms), draw.normal(0, 0.05, (n_terms, FACTORS))
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (bias, w, v)]
-    by_term = lambda x: np.bincount(term, x, n_terms)
     for step in range(1, STEPS + 1):
-        sums = np.stack([np.bincount(doc, v[term, f], len(rows)) for f in range(FACTORS)], 1)
-        squares = np.bincount(doc, (v[term] ** 2).sum(1), len(rows))
-        z = bias[0] + np.bincount(doc, w[term], len(rows)) + 0.5 * ((sums ** 2).sum(1) - squares)
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        to_term = error[doc]
-        pair = to_term[:, None] * (sums[doc] - v[term])
-        gradients = (np.array([error.sum()]), by_term(to_term) + DECAY * w,
-                     np.stack([by_term(pair[:, f]) for f in range(FACTORS)], 1) + DECAY * v)
+        gradients = [np.zeros(1), DECAY * w, DECAY * v]
+        for a, b in zip(cuts, cuts[1:]):
+            t, d, n = term[ends[a]:ends[b]], doc[ends[a]:ends[b]] - a, b - a
+            vt = v[t]
+            sums = np.stack([np.bincount(d, vt[:, f], n) for f in range(FACTORS)], 1)
+            z = bias[0] + np.bincount(d, w[t], n) + 0.5 * ((sums ** 2).sum(1) - np.bincount(d, (vt ** 2).sum(1), n))
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[a:b]) / len(y)
+            to_term = error[d]
+            pair = to_term[:, None] * (sums[d] - vt)
+            gradients[0] += error.sum()
+            gradients[1] += np.bincount(t, to_term, n_terms)
+            for f in range(FACTORS):
+                gradients[2][:, f] += np.bincount(t, pair[:, f], n_terms)
         for x, g, (m, s) in zip((bias, w, v), gradients, state):
             m += 0.1 * (g - m)
             s += 0.001 * (g * g - s)
@@ -143,36 +169,61 @@ def _clear_partners(at: int, indptr: np.ndarray, items: np.ndarray, places: np.n
     return found[enough][ratio >= MIN_PAIR_Z ** 2]
 
 
+def _surprising(items: np.ndarray, doc: np.ndarray, toxic: np.ndarray, expected: np.ndarray, terms: int) -> np.ndarray:
+    """Numbers whose documents, one by one, are together as unlikely as a clear pair must be.
+
+    A group's ratio is at most the sum of its documents' (relative entropy is convex), and a
+    pair's documents are a part of its bucket's.
+    """
+    each = -2 * np.log(np.where(toxic > 0, expected, 1 - expected))
+    return np.flatnonzero(np.bincount(items, each[doc], terms) >= MIN_PAIR_Z ** 2 - 1e-3)
+
+
 def _pair_terms(spark: SparkSession, items: np.ndarray, doc: np.ndarray, toxic: np.ndarray, expected: np.ndarray, terms: int) -> list[int]:
     """Numbers of all pairs whose documents differ clearly from what is expected."""
+    able = _surprising(items, doc, toxic, expected, terms)
+    number = np.full(terms, -1, np.int32)
+    number[able] = np.arange(len(able))
+    kept = number[items] >= 0
+    items, doc = number[items[kept]], doc[kept]
+    # as many documents as the pairs allow
+    size = np.bincount(doc, minlength=len(toxic)).astype(np.int64)
+    within = int(np.searchsorted(np.cumsum(size * (size - 1) // 2), TRAIN_PAIRS, "right"))
+    if within < len(toxic):
+        items, doc = items[doc < within], doc[doc < within]
+    if not len(items):
+        return []
     shared = spark.sparkContext.broadcast((items, doc, toxic, expected))
+    tasks, count = 4 * spark.sparkContext.defaultParallelism, len(able)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, doc, toxic, expected = shared.value
         indptr = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(toxic)))])
-        n = np.bincount(items, minlength=terms)
+        n = np.bincount(items, minlength=count)
         places, ends = np.argsort(items, kind="stable"), np.cumsum(n)
         for batch in batches:
             for part in batch.column(0).to_pylist():
                 clear: set[int] = set()
-                for at in range(part, terms, PAIR_TASKS):
-                    partners = _clear_partners(at, indptr, items, places[ends[at] - n[at]:ends[at]], doc, toxic, expected, terms)
+                for at in range(part, count, tasks):
+                    if n[at] < MIN_DOCS:
+                        continue
+                    partners = _clear_partners(at, indptr, items, places[ends[at] - n[at]:ends[at]], doc, toxic, expected, count)
                     if len(partners):
                         clear.add(at)
                         clear.update(partners.tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(clear), pa.int32())], ["term"])
 
-    found = spark.range(0, PAIR_TASKS, 1, PAIR_TASKS).mapInArrow(search, "term int").distinct().collect()
+    found = spark.range(0, tasks, 1, tasks).mapInArrow(search, "term int").distinct().collect()
     shared.unpersist()
-    return [r.term for r in found]
+    return sorted(int(able[r.term]) for r in found)
 
 
 def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """Model of `labels(doc_id, toxic)`; without both labels, or clear terms, it only knows the base rate.
 
-    A document with several labels is toxic if one says so.
+    A document with several labels is toxic if one says so; equal rows are one.
     """
-    sample = written(spark, _sample(documents, labels, most), "toxic-sample")
+    sample = _sample(spark, documents, labels, most)
     counts = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = counts.get(1, 0), counts.get(0, 0)
     if not n_pos + n_neg:
@@ -183,39 +234,39 @@ def fit(spark: SparkSession, documents: DataFrame, labels: DataFrame, most: int
     rate = F.col("n") / (n_pos + n_neg + 1e-9)
     spread = F.sqrt(rate * (1 - rate) * (1 / max(n_pos, 1) + 1 / max(n_neg, 1)) + 1e-12)
     z = F.abs(pos / max(n_pos, 1) - neg / max(n_neg, 1)) / spread
-    both = n_pos > 0 and n_neg > 0
     # at most as many rows as buckets
-    common = sorted((r.bucket, r.clear) for r in per_bucket.filter(F.col("n") >= MIN_DOCS).select("bucket", (z >= MIN_Z).alias("clear")).collect()) if both else []
-    bucket = np.array([b for b, _ in common], int)
-    chosen = np.flatnonzero([c for _, c in common])
+    common = per_bucket.filter(F.col("n") >= MIN_DOCS).select("bucket", (z >= MIN_Z).alias("clear")).orderBy("bucket").limit(
+        BUCKETS if n_pos and n_neg else 0).toArrow()
+    bucket = common.column("bucket").to_numpy().astype(int)
+    chosen = np.flatnonzero(common.column("clear").to_numpy())
     number = np.full(BUCKETS, -1, np.int32)
     number[bucket] = np.arange(len(bucket))
 
-    # the bucket numbers of the sample, as two flat arrays
-    rows = sample.select("toxic", "buckets").toArrow()
+    # the bucket numbers of the sample, as two flat arrays, in an order of their own
+    rows = sample.orderBy("place", "text_hash").select("toxic", "buckets").toArrow()
     toxic = rows.column("toxic").to_numpy().astype(np.float32)
     size = pc.list_value_length(rows.column("buckets")).to_numpy()
     items = number[pc.list_flatten(rows.column("buckets")).to_numpy()]
     doc = np.repeat(np.arange(len(toxic), dtype=np.int32), size)[items >= 0]
     items = items[items >= 0]
+    del rows
 
-    def model_rows(terms: np.ndarray) -> list[tuple[int, list[int]]]:
+    def fitted(terms: np.ndarray) -> tuple[Model, np.ndarray, np.ndarray]:
         place = np.full(len(bucket), -1, np.int32)
         place[terms] = np.arange(len(terms))
         at = place[items]
-        ends = np.cumsum(np.bincount(doc[at >= 0], minlength=len(toxic)))[:-1]
-        return [(int(y), x.tolist()) for y, x in zip(toxic, np.split(at[at >= 0], ends))]
+        own, of = at[at >= 0], doc[at >= 0]
+        return Model(bucket[terms], *_fit(len(terms), toxic, of, own)), of, own
 
-    first = model_rows(chosen)
-    model = Model(bucket[chosen], *_fit(len(chosen), sorted(first)))
+    model, of, own = fitted(chosen)
     if len(bucket):
         scorer = Scorer(model)
+        ends = np.searchsorted(of, np.arange(len(toxic) + 1))
         # an expectation without doubt would make a single document a clear difference
-        expected = np.clip([scorer.of_terms(x) for _, x in first], *SURE).astype(np.float32)
-        pairs = _pair_terms(spark, items, doc, toxic, expected, len(bucket))
-        terms = np.union1d(chosen, np.array(pairs, int))
+        expected = np.clip([scorer.of_terms(own[a:b]) for a, b in zip(ends, ends[1:])], *SURE).astype(np.float32)
+        terms = np.union1d(chosen, np.array(_pair_terms(spark, items, doc, toxic, expected, len(bucket)), int))
         if len(terms) > len(chosen):
-            model = Model(bucket[terms], *_fit(len(terms), sorted(model_rows(terms))))
+            model = fitted(terms)[0]
     return model
 
 
@@ -243,9 +294,9 @@ class Scorer:
     def score(self, text: str | None) -> float:
         return self.of_terms(self.present(text))
 
-    def of_terms(self, at: list[int]) -> float:
+    def of_terms(self, at: list[int] | np.ndarray) -> float:
         z = self.model.bias
-        if at:
+        if len(at):
             v = self.model.factors[at]
             total = v.sum(0)
             z += float(self.model.weights[at].sum() + 0.5 * (total @ total - (v * v).sum()))
@@ -255,8 +306,8 @@ class Scorer:
 def toxicity_scores(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted of every document.
 
-    Defined cases: a null or empty text has no terms and scores the bias; repeated
-    rows each give a row; an empty table gives none; other columns are not read.
+    Defined cases: a null or empty text has no terms and scores the bias; a text of any
+    length is read whole; repeated rows each give a row; an empty table gives none; other columns are not read.
     """
     id_type = documents.schema["doc_id"].dataType.simpleString()
 

@@ -39,8 +39,8 @@ def test_score_is_the_sum_over_pairs(spark, tables):
 
 def test_pairs_without_single_effects_are_learned():
     rows = [(int(a ^ b), [0] * a + [1] * b) for a, b in itertools.product((0, 1), repeat=2) for _ in range(50)]
-    rows = [(y, [i for i in x]) for y, x in rows]
-    bias, w, v = t._fit(2, rows)
+    doc = np.repeat(np.arange(len(rows)), [len(x) for _, x in rows])
+    bias, w, v = t._fit(2, np.array([y for y, _ in rows]), doc, np.array([i for _, x in rows for i in x]))
     score = lambda at: bias + sum(w[i] for i in at) + sum(float(v[i] @ v[j]) for i, j in itertools.combinations(at, 2))
     assert score([]) < 0 < score([0]) and score([1]) > 0 > score([0, 1])
 
@@ -58,6 +58,59 @@ def test_pure_interactions_are_learned_by_fit(spark):
     assert len(rows) > 60 and all(r.predicted == r.toxic for r in rows)
 
 
+def test_fit_in_steps_equals_fit_at_once(monkeypatch):
+    draw = np.random.default_rng(5)
+    y = draw.integers(0, 2, 60)
+    doc = np.sort(draw.integers(0, 60, 500))
+    term = draw.integers(0, 12, 500)
+    whole = t._fit(12, y, doc, term)
+    monkeypatch.setattr(t, "FIT_ENTRIES", 37)
+    parts = t._fit(12, y, doc, term)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(whole, parts))
+
+
+def slow_pairs(items, doc, toxic, expected):
+    """Numbers of all clear pairs, pair by pair."""
+    of = {}
+    for i, d in zip(items.tolist(), doc.tolist()):
+        of.setdefault(i, set()).add(d)
+    found = set()
+    for a, b in itertools.combinations(sorted(of), 2):
+        both = sorted(of[a] & of[b])
+        n, seen, want = len(both), float(toxic[both].sum()), float(expected[both].astype(float).sum())
+        if n >= t.MIN_DOCS:
+            part = lambda x, e: x * math.log(x / e) if x > 0 else 0.0
+            if 2 * (part(seen, want) + part(n - seen, n - want)) >= t.MIN_PAIR_Z ** 2:
+                found |= {a, b}
+    return sorted(found)
+
+
+def test_pairs_equal_all_pairs_one_by_one(spark):
+    draw = np.random.default_rng(7)
+    some = 0
+    for turn in range(4):
+        rows = [np.flatnonzero(draw.random(40) < draw.uniform(0.1, 0.6)) for _ in range(250)]
+        toxic = np.array([float((3 in r) != (8 in r)) if turn % 2 else float(3 in r and 8 in r and draw.random() < 0.9) for r in rows], np.float32)
+        expected = np.clip(draw.uniform(0, 0.5, 250), *t.SURE).astype(np.float32)
+        items = np.concatenate(rows).astype(np.int32)
+        doc = np.repeat(np.arange(250, dtype=np.int32), [len(r) for r in rows])
+        got = t._pair_terms(spark, items, doc, toxic, expected, 40)
+        assert got == slow_pairs(items, doc, toxic, expected)
+        some += len(got)
+    assert some >= 4
+
+
+def test_sample_is_bounded_in_texts_and_terms(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 30, f"w{i} " + " ".join(f"x{i}y{j}" for j in range(i % 7))) for i in range(300)] + [(1, "same text")] * 200, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    rows = t._sample(spark, docs, labels, 1000).collect()
+    assert sum(r.buckets == t.text_buckets("same text") for r in rows) == 1 and len(rows) > 200
+    assert len(t._sample(spark, docs, labels, 50).collect()) == 50
+    monkeypatch.setattr(t, "TRAIN_TERMS", 400)
+    few = t._sample(spark, docs, labels, 1000).collect()
+    assert 0 < sum(len(r.buckets) for r in few) <= 400
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     shape = "doc_id long, text string, score string, toxic int"
     rows = [(None, "x", "", 1), (1, None, "", 0), (1, None, "", 0), (2, "", None, 1), (3, "word " * 60_000, None, None)]
