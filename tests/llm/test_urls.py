@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from corpuslens.llm.url_queries import RULES, listed_host
-from corpuslens.llm.urlfilter import build_cascade, judge_urls
+from corpuslens.llm.staging import table
+from corpuslens.llm.url_queries import RULES, block_list, op8
+from corpuslens.llm.urlfilter import build_cascade, host_and_path, judge_urls
 
+listed_host = lambda host: F.array_contains(F.split(host, r"\."), "spam-farm")
 SHAPE = "page_id long, url string, host string, rule string, words int"
 
 
@@ -66,3 +68,21 @@ def test_pages_over_many_blocks_equal_one_block(spark):
     listed = spark.range(0, 90, 3).select(F.concat(F.lit("h"), "id", F.lit(".org")).alias("key"))
     key = lambda rows: sorted(map(tuple, rows.collect()))
     assert key(judge_urls(spark, pages, [], listed)) == key(judge_urls(spark, pages, [], listed, block_keys=7))
+
+
+def test_the_list_of_whole_addresses_needs_levels_and_blocks_pages(spark):
+    """On a whole table: the cascade has several levels, and rows equal a join with the list."""
+    sf = "/root/testdata/sf0.1"
+    pages = table(spark, sf, "pages")
+    host, path = host_and_path(F.col("url"))
+    keys = pages.select(F.concat(host, path).alias("key")).distinct()
+    listed = block_list(pages)
+    universe = keys.join(listed.withColumn("listed", F.lit(True)), "key", "left").fillna(False)
+    cascade = build_cascade(spark, universe)
+    n = listed.count()
+    assert 100 < n < keys.count() / 2 and len(cascade.words) >= 3
+    rows = op8(spark, sf)
+    open_ = rows.filter("rule IS NULL").withColumn("key", F.concat("host", "path"))
+    blocked = open_.join(listed, "key", "left_semi")
+    assert blocked.count() == open_.filter("verdict = 'block'").count() == blocked.filter("verdict = 'block'").count() > 20
+    assert open_.filter("verdict = 'allow'").count() > blocked.count()
