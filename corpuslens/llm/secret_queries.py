@@ -32,8 +32,16 @@ ORACLE = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text,
 
 @query("op1_secret_scan", ORACLE)
 def op1(spark, sf):
-    """Documents are the versions: the path is the doc_id."""
-    found, _ = secrets.scan_versions(spark, table(spark, sf, "documents"), path="doc_id")
+    """Documents are the versions, the path is the doc_id; they arrive in two batches.
+
+    The second batch finds the ledger of the first: of its texts only those are scanned that
+    the first did not hold.
+    """
+    documents = table(spark, sf, "documents")
+    late = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    first, ledger = secrets.scan_versions(spark, documents.filter(~late), path="doc_id")
+    second, _ = secrets.scan_versions(spark, documents.filter(late), ledger=ledger, path="doc_id")
+    found = first.unionByName(second)
     is_base = lambda f: f["kind"].isin([r.kind for r in secrets.BASE_RULES])
     n = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
     spans = lambda c: F.array_join(F.transform(c, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
