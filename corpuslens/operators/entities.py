@@ -201,24 +201,34 @@ def _sql_calls(nodes: DataFrame, methods: list[str]) -> DataFrame:
 def sql_entries(nodes: DataFrame) -> DataFrame:
     """SQL text per file and key: literals, queries passed by name, inline queries.
 
-    An inline query is keyed by the number of entries found before it.
+    An inline query is keyed by the number of entries found before it.  One pass over
+    the nodes: a call that passes a name stands with the assignments of that name, and a
+    window over the two gives it the last of them.
     """
-    calls = _sql_calls(nodes, fv.SQL_CALL_METHODS)
-    values = last_assignment(nodes).select(
-        "path", F.col("target").alias("arg"), F.coalesce("literal", "src").alias("assigned"),
-    )
-    # a name argument has the text of an assigned name; a literal never does
-    resolved = calls.filter("str_value IS NULL").join(values, ["path", "arg"]).select(
-        "path", "bfs", F.lit(0).alias("target_pos"), F.col("arg").alias("key"),
-        F.col("assigned").alias("sql_text"), F.lit("call_name").alias("origin"),
-    )
-    inline = calls.filter(is_sql(F.col("str_value"))).select(
-        "path", "bfs", F.lit(0).alias("target_pos"), F.lit(None).cast("string").alias("key"),
-        F.col("str_value").alias("sql_text"), F.lit("call_inline").alias("origin"),
+    literal, value, arg = F.col("kind") == "Constant", F.col("str_value"), F.get("args", F.lit(0))
+    assigned = (F.col("parent_kind") == "Assign") & (F.col("field") == "value")
+    call = (F.col("kind") == "Call") & (F.col("parent_kind") == "Expr") & F.col("name").isin(fv.SQL_CALL_METHODS) & (F.size("args") > 0)
+    event = lambda pos, key, text, origin, given: F.struct(
+        pos.alias("target_pos"), key.alias("key"), text.alias("sql_text"), origin.alias("origin"), given.alias("given"))
+    none = F.lit(None).cast("string")
+    # a literal that looks like SQL is an entry; every assignment is given to the calls that pass its name
+    given = F.coalesce(F.when(literal, value), F.col("src"))
+    is_entry = literal & F.coalesce(is_sql(value), F.lit(False))
+    named = F.transform("targets", lambda t, i: event(
+        i, t, F.when(is_entry, value), F.when(is_entry, "literal"), F.struct(F.col("bfs").alias("bfs"), given.alias("text"))))
+    no_value = F.lit(None).cast("struct<bfs:int,text:string>")
+    called = F.array(F.when(value.isNull(), event(F.lit(0), arg, none, F.lit("call_name"), no_value)).otherwise(
+        event(F.lit(0), none, value, F.when(is_sql(value), "call_inline"), no_value)))
+    rows = nodes.filter(assigned | call).select("path", "bfs", F.explode(F.when(assigned, named).otherwise(called)).alias("e")).select("path", "bfs", "e.*")
+    of_name = W.partitionBy("path", "key")
+    by_name = F.col("origin") == "call_name"
+    events = (
+        rows.withColumn("last", F.max("given").over(of_name))
+        .filter(F.col("origin").isNotNull() & (~by_name | F.col("last").isNotNull()))
+        .withColumn("sql_text", F.when(by_name, F.col("last.text")).otherwise(F.col("sql_text"))).drop("given", "last")
     )
-    events = _sql_literals(nodes).unionByName(resolved).unionByName(inline)
     in_order = W.partitionBy("path").orderBy("bfs", "target_pos")
-    per_key = W.partitionBy("path", "key").orderBy("bfs", "target_pos")
+    per_key = of_name.orderBy("bfs", "target_pos")
     is_new = F.when(F.col("key").isNull() | (F.row_number().over(per_key) == 1), 1).otherwise(0)
     numbered = (
         events.withColumn("is_new", is_new)
@@ -302,32 +312,58 @@ def business_rules(nodes: DataFrame) -> DataFrame:
 
 
 # --- per-file row and corpus overview --------------------------------------
+def _file_events(nodes: DataFrame) -> DataFrame:
+    """What one pass over the nodes gives of each: functions, names, strings, moves and rule calls."""
+    kind, value = F.col("kind"), F.col("str_value")
+    assigned = (F.col("parent_kind") == "Assign") & (F.col("field") == "value")
+    text = assigned & (kind == "Constant") & value.isNotNull()
+    is_path = contains_any(value, fv.FILE_PATH_MARKS)
+    moved = assigned & (kind == "Call") & F.col("name").isin(fv.DATAFRAME_METHODS)
+    ruled = (kind == "Call") & contains_any(F.lower("name"), fv.RULE_CALL_WORDS)
+    rows = nodes.filter(kind.isin("Module", "FunctionDef") | assigned | ruled)
+    return rows.select(
+        "path", F.when(kind == "FunctionDef", F.struct("bfs", "name")).alias("defined"),
+        F.when(assigned, F.col("targets")).alias("names"),
+        F.when(text & is_path, value).alias("file_path"),
+        F.when(text & ~is_path & contains_any(F.upper(value), fv.CONFIG_WORDS), value).alias("config"),
+        F.when(moved, F.struct("targets", "owner", "name", "src", "functions")).alias("move"),
+        F.when(ruled, F.struct(
+            F.col("bfs").alias("rule"), F.lit("function_call").alias("type"), F.lit(None).cast("string").alias("condition"),
+            F.lit(None).cast("array<string>").alias("actions"), F.col("callee").alias("function"), F.col("args").alias("arguments"),
+            F.col("src").alias("full_call"))).alias("rule"))
+
+
 def file_entities(nodes: DataFrame) -> DataFrame:
     """One nested row per parsed file; a file without entities has empty arrays.
 
-    All parts meet in one aggregate by path; none is joined.
+    All parts meet in one aggregate by path; none is joined.  What needs more than its own
+    node (last writes, queries, bodies of conditions) comes as rows of three more passes.
     """
-    rules = business_rules(nodes).select(
-        "path", F.struct("rule", "type", "condition", "actions", "function", "arguments", "full_call").alias("v")
-    )
-    frames = dataframes(nodes).select("path", F.struct("name", "df_type", "method", "source").alias("v"))
-    moves = all_transformations(nodes).select("path", F.struct(*TRANSFORMATION_COLUMNS[1:]).alias("v"))
-    sql = sql_entries(nodes).select("path", F.struct("key", "sql_text").alias("v"))
-    parts = {
-        "functions": function_names(nodes).select("path", F.col("name").alias("v")),
-        "variables": variable_names(nodes).select("path", F.col("name").alias("v")),
-        "file_paths": file_paths(nodes).select("path", F.col("value").alias("v")),
-        "configs": configs(nodes).select("path", F.col("value").alias("v")),
-        "sql_vars": sql,
-        "df_transformations": moves,
-        "dataframes": frames,
-        "business_rules": rules,
-    }
-    rows = nodes.filter("kind = 'Module'").select("path")
-    for name, part in parts.items():
-        rows = rows.unionByName(part.withColumnRenamed("v", name), allowMissingColumns=True)
-    grouped = rows.groupBy("path").agg(*[F.array_sort(F.collect_list(name)).alias(name) for name in parts])
-    return grouped.withColumn("sql_vars", F.map_from_entries("sql_vars"))
+    conditions = condition_rules(nodes).select("path", F.struct(
+        "rule", F.lit("condition").alias("type"), "condition", "actions", F.lit(None).cast("string").alias("function"),
+        F.lit(None).cast("array<string>").alias("arguments"), F.lit(None).cast("string").alias("full_call")).alias("rule"))
+    frames = dataframes(nodes).select("path", F.struct("name", "df_type", "method", "source").alias("frame"))
+    sql = sql_entries(nodes).select("path", F.struct("key", "sql_text").alias("query"))
+    rows = _file_events(nodes)
+    for part in (conditions, frames, sql):
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    names = ["defined", "names", "file_path", "config", "move", "rule", "frame", "query"]
+    # conditions alone make no file: an unparsable one has no nodes of these kinds
+    grouped = rows.groupBy("path").agg(*[F.collect_list(n).alias(n) for n in names])
+    distinct = lambda c: F.array_sort(F.array_distinct(c))
+    of_function = F.map_from_entries("defined")
+    move = lambda m, target, inside: F.struct(
+        target.alias("target"), m["owner"].alias("source"), m["name"].alias("operation"), m["src"].alias("details"), inside.alias("in_function"))
+    none = F.lit(None).cast("string")
+    # once for the file, and once for every function around it
+    inside = lambda m: F.concat(F.array(none), F.when(m["name"].isin(fv.FUNCTION_DATAFRAME_METHODS), F.transform(
+        m["functions"], lambda f: F.element_at("of_function", f))).otherwise(F.array().cast("array<string>")))
+    moves = F.flatten(F.transform("move", lambda m: F.flatten(F.transform(m["targets"], lambda t: F.transform(inside(m), lambda i: move(m, t, i))))))
+    return grouped.withColumn("of_function", of_function).select(
+        "path", distinct(F.transform("defined", lambda d: d["name"])).alias("functions"), distinct(F.flatten("names")).alias("variables"),
+        distinct("file_path").alias("file_paths"), distinct("config").alias("configs"),
+        F.map_from_entries(F.array_sort("query")).alias("sql_vars"), F.array_sort(moves).alias("df_transformations"),
+        F.array_sort("frame").alias("dataframes"), F.array_sort("rule").alias("business_rules"))
 
 
 OVERVIEW_METRICS = ["Files", "Functions", "Variables", "File Paths", "SQL Queries", "Transformations"]
