@@ -167,7 +167,9 @@ def scan_versions(
     known = new if ledger is None else new.unionByName(ledger.select("blob", "rules", "findings").join(rows.select("blob").distinct(), "blob", "left_semi"))
     order = F.array(*[F.lit(i) for i in ids])
     if ledger is not None:
-        known = known.groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings"))
+        # entries of one blob, at most one for each batch that met it; written first, as a join with the
+        # aggregate itself could not be split where many rows hold a blob
+        known = written(spark, known.groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings")), "known")
     asked = F.filter("findings", lambda f: F.array_contains(order, f["rule"]))
     ranked = F.array_sort(F.transform(asked, lambda f: F.struct(
         f["start"].alias("start"), F.array_position(order, f["rule"]).alias("rank"), f["end"].alias("end"),
