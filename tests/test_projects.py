@@ -1,47 +1,40 @@
-"""Key files, dependencies, answers and sources against direct loops."""
+"""Key files, dependencies, answers and sources on fixed inputs with results found by hand."""
 
+import hashlib
 import os
-import random
 
-import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpuslens import fixed_values as fv
-from corpuslens.operators import answers, project, project_lineage
+from corpuslens.functions.lenient import read_json
+from corpuslens.operators import answers, project, project_lineage, prompts
 from corpuslens.sources import files as sources
 
-NAMES = ["main.py", "index.js", "App.tsx", "myapp.rb", "server.go", "x.txt", "requirements.txt", "package.json", "lib.c", "config.yml"]
-
-
-@pytest.fixture(scope="module")
-def tree():
-    rng = random.Random(7)
-    return [
-        (f"p{p}", i, f"p{p}/d{i}/{rng.choice(NAMES)}", "y" * rng.choice([10, 1000, 1001, 5000]) if rng.random() > 0.1 else None)
-        for p in range(40) for i in range(rng.choice([3, 12, 40, 90]))
-    ]
-
-
-@pytest.fixture(scope="module")
-def files(spark, tree):
-    return spark.createDataFrame(tree, "project string, seq int, path string, content string").repartition(7).cache()
-
-
-def expected_key_files(rows):
-    found = [r for name in fv.KEY_FILE_NAMES for r in rows if os.path.basename(r[2]) == name]
-    words = [r for r in rows if any(w in os.path.basename(r[2]).lower() for w in fv.KEY_FILE_WORDS) and r not in found]
-    found += words if len(found) < 10 else []
-    long = [r for r in rows if r[3] and len(r[3]) > 1000 and r not in found]
-    found += long if len(found) < 10 else []
-    return [r[2] for r in found[:20]]
-
-
-def test_key_files(files, tree):
-    got = {}
+WORDY = [("myapp.rb", 10), ("Config.yml", 10)]
+MAINS = lambda n: [(f"d{i}/main.py", 10) for i in range(n)]
+# name and length of the files of a project in listing order, and the key files, found by hand
+KEY_FILES = {
+    "all tiers": (
+        [("lib/x.txt", 5000), ("requirements.txt", 10), ("src/main.py", 10), ("myapp.rb", 10), ("a/main.py", 10), ("Config.yml", 10), ("lib.c", 1001),
+         ("lib2.c", 1000), ("unread.c", None), ("package.json", 10)],
+        ["src/main.py", "a/main.py", "requirements.txt", "package.json", "myapp.rb", "Config.yml", "lib/x.txt", "lib.c"]),
+    "ten known names": (MAINS(10) + WORDY + [("long.c", 2000)], [f"d{i}/main.py" for i in range(10)]),
+    "ten with a word": (MAINS(9) + [("long.c", 2000)] + WORDY, [f"d{i}/main.py" for i in range(9)] + ["myapp.rb", "Config.yml"]),
+    "nine with a word": (MAINS(8) + [("long.c", 2000)] + WORDY[:1], [f"d{i}/main.py" for i in range(8)] + ["myapp.rb", "long.c"]),
+    "more than twenty": (MAINS(25), [f"d{i}/main.py" for i in range(20)]),
+    "words alone": ([("long.c", 2000)] + [(f"index{i}.x", 1) for i in range(30)], [f"index{i}.x" for i in range(20)]),
+    "long alone": ([(f"l{i}.c", 1001 + i) for i in range(30)], [f"l{i}.c" for i in range(20)]),
+    "none": ([("x.c", 1000), ("y.c", None)], []),
+}
+
+
+def test_key_files(spark):
+    rows = [(p, i, name, None if n is None else "y" * n) for p, (names, _) in KEY_FILES.items() for i, (name, n) in enumerate(names)]
+    files = spark.createDataFrame(rows, "project string, seq int, path string, content string").repartition(7)
+    got = {p: [] for p in KEY_FILES}
     for r in project.key_files(files).orderBy("project", "rank").collect():
-        got.setdefault(r.project, []).append(r.path)
-    for p in {r[0] for r in tree}:
-        assert got.get(p, []) == expected_key_files([r for r in tree if r[0] == p]), p
+        got[r.project].append(r.path)
+    assert got == {p: want for p, (_, want) in KEY_FILES.items()}
 
 
 def test_one_project_holding_most_files(spark):
@@ -69,27 +62,61 @@ def test_dependencies(spark):
     assert names(project.requirements_dependencies(files)) == ["pandas", "req!", "x[extra]"]
 
 
-def python_section(text, name):
-    low = text.lower()
-    start = low.find(name)
-    if start < 0:
-        return ""
-    ends = [low.find(h, start + len(name)) for h in fv.SECTION_HEADERS if h != name]
-    part = text[start:min([e for e in ends if e >= 0], default=len(text))].strip()
-    return "\n".join(part.split("\n")[1:]).strip() if "\n" in part else ""
+# text, name, section and list items, found by hand
+SECTIONS = [
+    ("Strengths:\n- one\n* two\nSecurity\n- key\n", "strength", "- one\n* two", ["one", "two", "key"]),
+    ("Strengths:\n- one\n* two\nSecurity\n- key\n", "security", "- key", ["one", "two", "key"]),
+    ("Strengths:\n- one\n* two\nSecurity\n- key\n", "function", "", ["one", "two", "key"]),
+    ("strength in one line", "strength", "", []),
+    ("The STRENGTH\n\n  12. three  \n\nfunctions 3\n. four", "strength", "12. three", ["three", "four"]),
+    ("The STRENGTH\n\n  12. three  \n\nfunctions 3\n. four", "function", ". four", ["three", "four"]),
+    # a header inside a word ends a section, and starts one
+    ("Strengths\n- rapid\n- two", "strength", "- r", ["rapid", "two"]),
+    ("Strengths\n- rapid\n- two", "api", "- two", ["rapid", "two"]),
+    # its own name does not end it
+    ("strength\n- strength again\nsummary\nfine", "strength", "- strength again", ["strength again"]),
+    ("summary\n \u00a0\nfine\n\n1.no\n-\n123. no", "summary", "fine\n\n1.no\n-\n123. no", []),
+    ("", "api", "", []),
+]
 
 
 def test_sections_and_items(spark):
-    rng = random.Random(3)
-    pieces = ["Strengths:\n", "- one\n", "* two\n", "12. three\n", "Security\n", "api rapid\n", "summary", "\n", " \u00a0\n", "1.no\n", "Functions 3\n", ". four\n", "-\n"]
-    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(200)]
-    names = ["strength", "function", "api", "summary", "security"]
-    rows = answers.sections(spark.createDataFrame([(t,) for t in texts], "t string"), "t", names)
-    for r in rows.withColumn("items", answers.list_items("t")).collect():
-        for n in names:
-            assert r[f"section_{n}"] == python_section(r.t, n), (n, r.t)
-        lines = [l.strip() for l in r.t.split("\n")]
-        assert r["items"] == [l.split(" ", 1)[1].strip() for l in lines if l.split(" ")[0] in ("-", "*", ".", "12.") and " " in l]
+    rows = spark.createDataFrame([(i, t) for i, (t, _, _, _) in enumerate(SECTIONS)], "i int, t string")
+    names = sorted({n for _, n, _, _ in SECTIONS})
+    found = {r.i: r for r in answers.sections(rows, "t", names).withColumn("items", answers.list_items("t")).collect()}
+    for i, (text, name, section, items) in enumerate(SECTIONS):
+        assert (found[i][f"section_{name}"], found[i]["items"]) == (section, items), text
+
+
+def test_members_of_another_type_keep_the_others(spark):
+    shape = T.DataType.fromDDL("struct<a: int, l: array<string>, o: struct<name: string, n: int>, p: struct<x: int>, q: array<struct<name: string, l: array<string>>>, s: string>")
+    cases = {
+        '{"a": "7", "l": "one", "o": {"name": "k", "n": 2.9}, "s": "x"}': (7, ["one"], ("k", 2), None, None, "x"),
+        '{"a": 85.5, "l": [1, "b", null, {"c": 1}], "o": "plain", "p": "no", "s": 3}': (85, ["1", "b", None, '{"c":1}'], ("plain", None), None, None, "3"),
+        '{"a": "x", "l": null, "o": [1], "p": {"x": true}, "q": {"name": "one", "l": "t"}, "s": null}': (None, None, None, (None,), [("one", ["t"])], None),
+        '{"q": ["f", {"name": "g", "l": ["u", "v"]}, null, [2]], "p": {"x": "5"}, "a": 99999999999}': (None, None, None, (5,), [("f", None), ("g", ["u", "v"]), None, None], None),
+        "{}": (None,) * 6,
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", read_json(F.col("t"), shape).alias("v")).collect()
+    assert {r.t: tuple(r.v) for r in rows} == cases
+
+
+def test_open_prompts_have_no_explanation(spark):
+    rows = spark.createDataFrame([("a",), ("b",)], "sql string")
+    known = prompts.explain_prompts(spark.createDataFrame([("sql", "a")], "content_type string, text string")).select("prompt_hash", F.lit("x").alias("answer"))
+    got = {r.sql: r.explanation for r in prompts.attach_explanations(rows, "sql", "sql", known).collect()}
+    assert got == {"a": "x", "b": None}
+
+
+def test_equal_files_are_asked_once(spark):
+    files = spark.createDataFrame(
+        [("a/x.py", "v = 1\n"), ("b/x.py", "v = 1\n"), ("b/y.py", "v = 1\n"), ("c/x.py", "v = 2\n"), ("d/x.py", None)] + [(f"e{i}/x.py", "v = 1\n") for i in range(50)],
+        "path string, content string").repartition(5)
+    found = prompts.file_prompts(files).collect()
+    assert len(found) == 3 and all(r.content_type == "python" and "file 'x.py'" in r.prompt or "file 'y.py'" in r.prompt for r in found)
+    assert all(hashlib.sha256(r.prompt.encode()).hexdigest() == r.prompt_hash for r in found)
+    plan = prompts.file_prompts(files)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
 
 
 def test_export_has_a_record_for_every_analysed_file(spark):
