@@ -37,7 +37,7 @@ def parse_projects(answers: DataFrame) -> DataFrame:
     """project, parsed_from (json or default), the answer struct; null when not JSON."""
     valid = is_json(F.col("raw"))
     return answers.select(
-        "project", F.when(valid, "json").otherwise("default").alias("parsed_from"),
+        "project", "raw", F.when(valid, "json").otherwise("default").alias("parsed_from"),
         F.when(valid, read_json(F.col("raw"), T.DataType.fromDDL(_SHAPE))).alias("a"))
 
 
@@ -106,10 +106,23 @@ def project_structures(
         _strings(F.col("a.legacy_aspects")).alias("legacy_aspects"),
         _strings(F.col("a.modernization_opportunities")).alias("modernization_opportunities"),
         pick(F.col("a.summary"), F.lit(d["summary"])).alias("summary"),
-        "total_files", "languages",
+        "total_files", "languages", F.col("raw").alias("raw_response"),
+        F.when(is_json_answer, F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")).alias("analysis_timestamp"),
     )
 
 
+def project_results(structures: DataFrame) -> DataFrame:
+    """project, project_structure (one nested value), language_stats and raw_response: what an analysis of a project returns.
+
+    An answer that was JSON has the time of its analysis and its file statistics in the structure, a default has neither.
+    """
+    own = [c for c in structures.columns if c not in ("project", "parsed_from", "total_files", "languages", "raw_response", "analysis_timestamp")]
+    stats = F.when(F.col("parsed_from") == "json", F.struct("total_files", F.col("languages").alias("language_distribution")))
+    return structures.select(
+        "project", F.struct(*own, stats.alias("file_stats"), "analysis_timestamp").alias("project_structure"),
+        F.coalesce("languages", F.create_map().cast("map<string,bigint>")).alias("language_stats"), "raw_response")
+
+
 def dependency_defaults(answers: DataFrame, files: DataFrame, **limits: int | None) -> DataFrame:
     return project_structures(answers, files, **limits).select("project", "dependencies", "code_lineage")
 

@@ -492,6 +492,18 @@ def _project_structures(spark, sf):
         lambda: project_lineage.project_structures(corpora.project_answers(spark, sf), _files(spark, sf)), "project", redistribute=True)
 
 
+@query("r13_project_result", PA + f"""SELECT pa.project, md5({corpora.PROJECT_ANSWER}) AS raw_digest, is_json AS has_time, is_json AS has_stats,
+ CASE WHEN is_json THEN concat('web ', pa.k) ELSE 'Unknown' END AS project_type,
+ (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM lg WHERE has AND lg.project = pa.project) c) AS files_with_language FROM pa""")
+def r13_result(spark, sf):
+    rows = project_lineage.project_results(_project_structures(spark, sf))
+    n = F.aggregate(F.map_values("language_stats"), F.lit(0).cast("long"), lambda x, y: x + y)
+    time = F.coalesce(F.col("project_structure.analysis_timestamp").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"), F.lit(False))
+    return rows.select(
+        "project", F.md5("raw_response").alias("raw_digest"), time.alias("has_time"),
+        F.col("project_structure.file_stats").isNotNull().alias("has_stats"), "project_structure.project_type", n.alias("files_with_language"))
+
+
 def _graph(spark, sf):
     return project_lineage.graph_nodes(_project_structures(spark, sf), _analyses(spark, sf))
 
