@@ -10,6 +10,7 @@ The first four return the columns of `documents`.  A stage judges what its
 predecessor kept, row by row: rows are told apart by their doc_id (null is an id
 like others) and the hash of their text, so a repeated doc_id with another text
 is judged for itself.  Of equal rows the second stage keeps one.
+Texts of any length are read whole; further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,7 +53,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     again = classes.filter("key = class_id AND class_size > 1").groupBy("key").count().filter("count > 1").select("key")
     again = written(spark, again, "repeated")
     equal = docs.join(again, docs["doc_id"].eqNullSafe(again["key.doc_id"]) & (F.xxhash64(docs["text"]) == again["key.h"]), "left_semi")
-    one = equal.withColumn("text_hash_of_row", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash_of_row"]).select(*docs.columns)
+    # rows are held in a struct, whatever their columns are called
+    one = equal.select(F.struct(*docs.columns).alias("row"), F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key")).dropDuplicates(["key"]).select("row.*")
     return _without(kept, again).unionByName(one)
 
 
@@ -65,15 +67,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Findings are joined to the texts by their content address, of blobs that have some."""
     _, entries = secrets.scan_versions(spark, docs, path="doc_id")
-    blobs = entries.filter("size(findings) > 0").select(F.col("blob").alias("_secret_blob"), F.col("findings").alias("_secret_findings"))
-    blobs = written(spark, blobs, "found")
-    joined = docs.withColumn("_secret_id", secrets.blob_id(F.col("text"))).join(blobs.hint("merge"), F.col("_secret_id") == F.col("_secret_blob"), "left")
-    found = F.col("_secret_findings")
-    # under a name of its own first: inside a lambda, Spark would take an alias `text` of the same select for the column
-    marked = joined.withColumn("_secret_text", F.when(found.isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), found)))
-    columns = {c: F.col(c) for c in docs.columns} | {"text": F.col("_secret_text")}
+    blobs = written(spark, entries.filter("size(findings) > 0").select("blob", "findings"), "found")
+    # rows are held in a struct, whatever their columns are called
+    rows = docs.select(F.struct(*docs.columns).alias("row"), secrets.blob_id(F.col("text")).alias("own"))
+    joined = rows.join(blobs.hint("merge"), F.col("own") == F.col("blob"), "left")
+    found, text = F.col("findings"), F.col("row.text")
+    marked = joined.select("row", "findings", F.when(found.isNull(), text).otherwise(secrets.redact(text, found)).alias("marked"))
+    columns = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("marked")}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(found.isNull(), F.col("n_chars")).otherwise(F.length("_secret_text")).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(found.isNull(), columns["n_chars"]).otherwise(F.length("marked")).cast(docs.schema["n_chars"].dataType)
     return marked.select(*[c.alias(n) for n, c in columns.items()])
 
 

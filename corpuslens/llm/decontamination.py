@@ -8,9 +8,10 @@ end the compared prefix of a window lead to a bucket of windows, and those are
 compared directly.
 
 The documents are read once, by map tasks, for every block of `BLOCK_WINDOWS`
-benchmark windows; only that many windows are ever sent to the tasks at once.
-A usual benchmark is one block.  The hits of several blocks are united per
-document.
+different benchmark windows; only that many windows are ever sent to the tasks at
+once, each with a number, however many items hold it.  A usual benchmark is one
+block.  The hits of several blocks are united per document, and found numbers are
+joined with the items that hold them.
 """
 
 from __future__ import annotations
@@ -130,25 +131,26 @@ def _item_windows(size: int):
     return split
 
 
-_HITS = "doc_id {id}, n_words long, spans array<struct<start: int, end: int>>, items array<string>"
+_HITS = "doc_id {id}, n_words long, spans array<struct<start: int, end: int>>, found array<long>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _search(patterns: dict[bytes, list[str]], id_type: pa.DataType):
+def _search(patterns: dict[bytes, int]):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(patterns)
         for batch in batches:
-            n_words, spans, items = [], [], []
+            n_words, spans, numbers = [], [], []
             for text in batch.column("text"):
                 words = normal_words(text.as_py())
                 joined = b" " + b" ".join(words) + b" "
                 found = list(searcher.find(joined)) if words else []
                 n_words.append(len(words))
                 spans.append([{"start": a, "end": b} for a, b in word_spans(joined, found)])
-                items.append(sorted({i for p in {p for _, p in found} for i in patterns[p]}))
+                numbers.append(sorted({patterns[p] for _, p in found}))
+            more = [c for c in batch.schema.names if c not in ("doc_id", "text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))],
-                ["doc_id", "n_words", "spans", "items"])
+                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(numbers, pa.list_(pa.int64())),
+                 *(batch.column(c) for c in more)], ["doc_id", "n_words", "spans", "found", *more])
 
     return search
 
@@ -157,8 +159,8 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans = [[{"start": a, "end": b} for a, b in merged((s["start"], s["end"]) for s in row)] for row in batch.column("spans").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_words"), pa.array(spans, _SPANS), batch.column("items")],
-            ["doc_id", "n_words", "spans", "items"])
+            [batch.column("doc_id"), batch.column("n_words"), pa.array(spans, _SPANS), batch.column("found")],
+            ["doc_id", "n_words", "spans", "found"])
 
 
 def benchmark_hits(
@@ -169,41 +171,43 @@ def benchmark_hits(
     Defined cases: a null text has no words; an item without words has no
     window; a null item_id is called "null"; rows with one item_id are one item;
     repeated documents each give a row; an empty benchmark hits nothing; an
-    empty table gives no rows; further columns are not read.
+    empty table gives no rows; a text of any length is searched whole; further
+    columns are not read.
     """
     id_type = documents.schema["doc_id"].dataType
     shape = _HITS.format(id=id_type.simpleString())
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
     wins = written(spark, items.mapInArrow(_item_windows(size), "item string, win binary").distinct(), "windows")
-    n_blocks = max(1, math.ceil(wins.count() / block_windows))
+    numbered = written(spark, wins.select("win").distinct().withColumn("number", F.monotonically_increasing_id()), "window-numbers")
+    n_blocks = max(1, math.ceil(numbered.count() / block_windows))
     texts = documents.select("doc_id", "text")
     parts = []
     for block in range(n_blocks):
-        # about block_windows rows: the hash spreads windows evenly, and one window is listed once for each of its items
-        patterns: dict[bytes, list[str]] = defaultdict(list)
-        for row in wins.filter(F.pmod(F.xxhash64("win"), F.lit(n_blocks)) == block).collect():
-            patterns[bytes(row.win)].append(row.item)
-        search = _search(dict(patterns), id_type)
+        # about block_windows rows: the hash spreads different windows evenly
+        rows = numbered.filter(F.pmod(F.xxhash64("win"), F.lit(n_blocks)) == block).collect()
+        search = _search({bytes(r.win): r.number for r in rows})
         if n_blocks == 1:
-            return texts.mapInArrow(search, shape)
-        marked = texts.withColumn("text_hash", F.xxhash64("text"))
-        parts.append(marked.select("text_hash", F.struct("doc_id", "text").alias("d")).select("text_hash", "d.*").mapInArrow(
-            _with_hash(search), shape + ", text_hash long"))
-    # a document is known by its id and text; equal rows are counted and given back
-    grouped = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "text_hash", "n_words").agg(
-        F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.count("*").alias("n"))
-    rows = grouped.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / n_blocks).cast("int"))))
-    return rows.select("doc_id", "n_words", "spans", "items").mapInArrow(_united, shape)
-
-
-def _with_hash(search):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for out in search(iter([batch])):
-                yield pa.RecordBatch.from_arrays(out.columns + [batch.column("text_hash")], out.schema.names + ["text_hash"])
-
-    return run
+            parts.append(texts.mapInArrow(search, shape))
+            break
+        marked = texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(search, shape + ", text_hash long")
+        # equal rows are one before blocks meet, and are given back below
+        parts.append(marked.groupBy("doc_id", "text_hash").agg(
+            F.first("n_words").alias("n_words"), F.first("spans").alias("spans"), F.first("found").alias("found"), F.count("*").alias("n")))
+    hits = parts[0]
+    if n_blocks > 1:
+        # a row of each block for a document
+        grouped = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "text_hash").agg(
+            F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("found")).alias("found"),
+            F.max("n").alias("n"))
+        copies = grouped.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+        hits = copies.select("doc_id", "n_words", "spans", "found").mapInArrow(_united, shape)
+    hits = written(spark, hits.withColumn("row", F.monotonically_increasing_id()), "hits")
+    # the items of the windows that were found; of a document each item once
+    named = wins.join(numbered, "win").select("number", "item")
+    items = hits.select("row", F.explode("found").alias("number")).join(named, "number").groupBy("row").agg(
+        F.array_sort(F.collect_set("item")).alias("items"))
+    return hits.join(items, "row", "left").select(
+        "doc_id", "n_words", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def contaminated(hits: DataFrame) -> DataFrame:

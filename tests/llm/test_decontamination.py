@@ -12,16 +12,23 @@ def slow_words(text):
 
 
 def slow_hits(docs, items, size=13):
+    listed = []
+    for item, passage in items:
+        p = slow_words(passage)
+        listed.append((item, {tuple(p[i:i + size]) for i in range(max(1, len(p) - size + 1)) if p}))
+    lengths = {len(win) for _, wins in listed for win in wins}
     for doc, text in docs:
         w = slow_words(text)
+        places = {}
+        for n in lengths:
+            for i in range(len(w) - n + 1):
+                places.setdefault(tuple(w[i:i + n]), []).append(i)
         hit, found = set(), set()
-        for item, passage in items:
-            p = slow_words(passage)
-            for win in {tuple(p[i:i + size]) for i in range(max(1, len(p) - size + 1)) if p}:
-                for i in range(len(w) - len(win) + 1):
-                    if tuple(w[i:i + len(win)]) == win:
-                        hit.update(range(i, i + len(win)))
-                        found.add("null" if item is None else str(item))
+        for item, wins in listed:
+            for win in wins:
+                for i in places.get(win, ()):
+                    hit.update(range(i, i + len(win)))
+                    found.add("null" if item is None else str(item))
         yield doc, len(w), len(hit), sorted(found)
 
 
@@ -54,6 +61,20 @@ def test_equal_to_brute_force_in_one_block_and_in_many(spark):
     assert rows(benchmark_hits(spark, d, b, block_windows=20)) == want
 
 
+def test_a_window_of_many_items_is_sent_once(spark, monkeypatch):
+    """A third of the items hold one passage: it is a few windows, whatever their number."""
+    from corpuslens.llm import decontamination
+
+    sent = []
+    real = decontamination._search
+    monkeypatch.setattr(decontamination, "_search", lambda patterns: sent.append(len(patterns)) or real(patterns))
+    items = [(i, "a b c d e f g h i j k l m n") for i in range(300)] + [(1000 + i, f"x{i} y") for i in range(20)]
+    d = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o"), (2, "x3 y x4 y")], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert rows(benchmark_hits(spark, d, b)) == sorted((str(i), n, h, f) for i, n, h, f in slow_hits([(1, "a b c d e f g h i j k l m n o"), (2, "x3 y x4 y")], items))
+    assert sent == [22]
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")

@@ -2,6 +2,7 @@
 
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpuslens.llm import secrets, toxicity
@@ -30,14 +31,10 @@ def test_run_equals_plain_stages(spark):
     ids = list(docs)
     docs = {ids[i]: docs[ids[i]] for i, c in enumerate(slow_classes(list(docs.values()))) if i == c}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    windows = {w for _, t in items for w in t.lower().split()}
-    near = [(i, t) for i, t in docs.items() if sum(x in t.lower() for x in windows) > 12]  # others cannot hold a window
-    bad = {i for i, n, hit, _ in slow_hits(near[:60], items) if hit and 20 * hit >= n}
+    bad = {i for i, n, hit, _ in slow_hits(docs.items(), items) if hit and 20 * hit >= n}
     library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SF).collect()}
-    checked = {i for i, _ in near[:60]}
-    assert bad and not bad & set(got)
-    assert set(docs) - set(got) - bad <= set(docs) - checked and set(got) <= set(docs)
+    assert bad and set(got) == set(docs) - bad
     assert any(plain(docs[i]) for i in got)
     for i, ids in got.items():
         assert ids == library.encode(redacted(docs[i]), add_eos=True)
@@ -68,6 +65,19 @@ def test_stages_on_odd_rows(spark, odd):
     assert last.count() == 7 and last.columns == ["doc_id", "ids", "n_tokens"]
 
 
+def test_columns_of_any_name_are_kept(spark, odd):
+    names = ["row", "own", "blob", "findings", "marked", "hash", "gone_id", "gone_hash", "class_id", "class_size", "h", "id", "_secret_id", "text_hash_of_row"]
+    docs = odd.filter("doc_id IN (1, 3)")
+    for n in names:
+        docs = docs.withColumn(n, F.concat_ws("-", F.lit(n), F.col("doc_id").cast("string")))
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns
+    rows = docs.collect()
+    assert len(rows) == 3 and all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in names)
+
+
 def test_empty_table(spark, odd):
     docs = odd.limit(0)
     for _, stage in corpus_pipeline.STAGES:
