@@ -476,16 +476,12 @@ def r4_off_type(spark, sf):
 
 # --- lineage graph and export -----------------------------------------------------------------
 def _analyses(spark, sf):
-    """Answers about files that were read, with the file's language; written once."""
+    """Answers about files that were read, with the file's language; a query computes only the columns it reads."""
+    known = project.detect_language(project.read_files(_files(spark, sf))).select(F.col("path").alias("file"), "language")
+    return _structured(spark, sf).join(known, "file")
 
-    def build():
-        known = project.detect_language(project.read_files(_files(spark, sf))).select(F.col("path").alias("file"), "language")
-        return _structured(spark, sf).join(known, "file")
 
-    return written(spark, ("file_analyses", sf), build, "file", redistribute=True)
-
-
-def _project_structures(spark, sf):
+def written_structures(spark, sf):
     """Structures of all projects, written once."""
     return written(
         spark, ("project_structures", sf),
@@ -496,7 +492,7 @@ def _project_structures(spark, sf):
  CASE WHEN is_json THEN concat('web ', pa.k) ELSE 'Unknown' END AS project_type,
  (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM lg WHERE has AND lg.project = pa.project) c) AS files_with_language FROM pa""")
 def r13_result(spark, sf):
-    rows = project_lineage.project_results(_project_structures(spark, sf))
+    rows = project_lineage.project_results(written_structures(spark, sf))
     n = F.aggregate(F.map_values("language_stats"), F.lit(0).cast("long"), lambda x, y: x + y)
     time = F.coalesce(F.col("project_structure.analysis_timestamp").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"), F.lit(False))
     return rows.select(
@@ -505,7 +501,7 @@ def r13_result(spark, sf):
 
 
 def _graph(spark, sf):
-    return project_lineage.graph_nodes(_project_structures(spark, sf), _analyses(spark, sf))
+    return project_lineage.graph_nodes(written_structures(spark, sf), _analyses(spark, sf))
 
 
 GN = PA + """, fl AS (SELECT path AS file, language, name FROM lg WHERE has), js AS (SELECT * FROM pa WHERE is_json),
@@ -566,7 +562,7 @@ def g10(spark, sf):
 
 @query("g11_graph_metadata", PA + f"""SELECT project, project_type, main_languages, coalesce(architecture, 'Unknown') AS architecture, summary FROM ({STRUCTURE}) s""")
 def g11(spark, sf):
-    return project_lineage.graph_metadata(_project_structures(spark, sf)).withColumn(
+    return project_lineage.graph_metadata(written_structures(spark, sf)).withColumn(
         "main_languages", F.array_join("main_languages", "|"))
 
 
@@ -583,7 +579,7 @@ EXPORT = f"""SELECT s.project, 'header' AS record, NULL AS file, s.project_type
 def _export(spark, sf):
     failed = F.when(F.col("seq") % 11 == 3, F.lit("Error during LLM analysis: timeout"))
     errors = _answers(spark, sf).select("file", failed.alias("error"))
-    return project_lineage.lineage_export(_project_structures(spark, sf), _analyses(spark, sf).join(errors, "file"))
+    return project_lineage.lineage_export(written_structures(spark, sf), _analyses(spark, sf).join(errors, "file"))
 
 
 HEADER_SHAPE = """struct<project: struct<type: string, architecture: string, summary: string>, components: array<struct<name: string>>,
@@ -636,7 +632,7 @@ def _documents(spark, sf):
     """Folder of the written documents."""
     failed = F.when(F.col("seq") % 11 == 3, F.lit("Error during LLM analysis: timeout"))
     errors = _answers(spark, sf).select("file", failed.alias("error"))
-    pieces = documents.lineage_pieces(_project_structures(spark, sf), _analyses(spark, sf).join(errors, "file"))
+    pieces = documents.lineage_pieces(written_structures(spark, sf), _analyses(spark, sf).join(errors, "file"))
     folder = run_folder(spark, "whole_documents", sf)
     documents.write_documents(spark, pieces, folder, run_folder(spark, "document_pieces", sf), lines_per_file=1000)
     return folder

@@ -24,7 +24,7 @@ def assembled(spark, folder):
 
 
 def test_documents_of_projects_have_the_nested_shape(spark, tmp_path):
-    structures, analyses = pq._project_structures(spark, SF), pq._analyses(spark, SF).withColumn(
+    structures, analyses = pq.written_structures(spark, SF), pq._analyses(spark, SF).withColumn(
         "error", F.when(F.col("seq") % 11 == 3, "timeout"))
     pieces = documents.lineage_pieces(structures, analyses)
     documents.write_documents(spark, pieces, str(tmp_path / "d"), str(tmp_path / "s"), lines_per_file=7)
