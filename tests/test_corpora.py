@@ -83,3 +83,13 @@ def test_a_long_sum_needs_no_stack(monkeypatch):
     monkeypatch.setattr(syntax, "_deep_source", lambda node: pytest.fail("rendered on a stack of its own"))
     text = "x" + " + x" * 4000
     assert syntax._source(ast.parse(text, mode="eval").body) == text
+
+
+def test_projects_and_answers_are_dealt_out_before_rendering(spark, tmp_path):
+    rows = [(k, k % 50) for k in range(200)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for build, text in ((corpora.project_files, "content"), (corpora.file_answers, "raw")):
+        made = build(spark, str(tmp_path))
+        assert made.count() == 200 and made.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        plan, n = exchanges(made)
+        assert n == 1 and "import os" not in plan[plan.index("Exchange"):] and "Loads " not in plan[plan.index("Exchange"):]
