@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.operators.project_lineage import lineage_entries, lineage_headers
+from corpuslens.sources import listing
+from corpuslens.sources.files import qualified
 
 HEAD, ENTRY, TAIL = 0, 1, 2
 NO_PROJECT = "__none__"
@@ -91,9 +93,17 @@ def _placed(files: DataFrame, path: str) -> DataFrame:
         "task", part(2).cast("int")).withColumn("count", F.coalesce(part(3).try_cast("int"), F.lit(0)))
 
 
+def _listed(spark: SparkSession, folder: str) -> DataFrame:
+    """path, size of the written files, by path relative to the folder: listed by tasks, since there is a
+    folder for each project.  A folder that cannot be listed fails the task."""
+    found = listing.listed(spark, folder, f"{folder.rstrip('/')}_listing", "part-*")
+    return found.select(F.when(F.col("error").isNull(), F.col("path")).otherwise(F.raise_error("error")).alias("path"), "size")
+
+
 def parts(spark: SparkSession, folder: str) -> DataFrame:
     """project, part, path, bytes, first_byte: the files whose contents, in the order of `part`, are a project's document."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("bytes"))
+    base = qualified(spark, folder).rstrip("/")
+    files = _listed(spark, folder).select(F.concat(F.lit(f"{base}/"), "path").alias("path"), F.col("size").alias("bytes"))
     order = W.partitionBy("project").orderBy("task", "count")
     return _placed(files, "path").select(
         "project", (F.row_number().over(order) - 1).alias("part"), "path", "bytes",
@@ -102,8 +112,10 @@ def parts(spark: SparkSession, folder: str) -> DataFrame:
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     """project, line, text of all documents; a row of work is one file, a run of lines."""
-    read = spark.read.text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    split = _placed(read, "path").select("project", "task", "count", F.split(F.regexp_replace("value", r"\n$", ""), "\n").alias("own"))
+    read = listing.read_listed(spark, folder, _listed(spark, folder))
+    whole = F.when(F.col("read_ok"), F.col("content")).otherwise(F.raise_error(F.concat_ws(": ", "path", "error")))
+    split = _placed(read.select(F.concat(F.lit("/"), "path").alias("path"), whole.alias("value")), "path").select(
+        "project", "task", "count", F.split(F.regexp_replace("value", r"\n$", ""), "\n").alias("own"))
     order = W.partitionBy("project").orderBy("task", "count")
     sizes = split.select("project", "task", "count", F.size("own").alias("n"))
     firsts = sizes.select("project", "task", "count", (F.sum("n").over(order) - F.col("n")).alias("first"))

@@ -75,3 +75,22 @@ def test_values_as_json(spark):
     got = rows.select(documents.json_elements(F.col("e")).alias("e"), documents.json_object(
         {"s": documents.json_text(F.col("s")), "n": documents.json_text(F.col("n"))}).alias("o")).first()
     assert json.loads(got.e) == ['a"b', {"x": 1}, "{not json", {"y": []}, ""] and json.loads(got.o) == {"s": 'q"\\', "n": None}
+
+
+def test_written_documents_are_listed_and_read_by_tasks(spark, tmp_path):
+    """There is a folder for each project: none of their paths goes through the driver's file index."""
+    shape = "project string, section int, seq long, file string, text string"
+    names = [f"p{i}" for i in range(30)] + ["a b/c+d%41=e"]
+    pieces = spark.createDataFrame([(p, s, i, f"f{i}", f"{p}-{s}-{i}") for p in names for s in (0, 1, 2) for i in range(3)], shape)
+    folder = str(tmp_path / "documents")
+    documents.write_documents(spark, pieces, folder, str(tmp_path / "stage"), lines_per_file=4)
+    lines, parts = documents.lines(spark, folder), documents.parts(spark, folder)
+    for rows in (lines, parts):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"\] (text|binaryFile)\b", plan)
+    got = {}
+    for r in sorted(map(tuple, lines.collect())):
+        got.setdefault(r[0], []).append(r[2])
+    assert got == {p: [f"{p}-{s}-{i}" for s in (0, 1, 2) for i in range(3)] for p in names}
+    sizes = {r.project: r.bytes for r in parts.groupBy("project").agg({"bytes": "sum"}).toDF("project", "bytes").collect()}
+    assert sizes == {p: sum(len(t) + 1 for t in ts) for p, ts in got.items()}
