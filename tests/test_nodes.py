@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.operators import entities, issues, metrics
+from corpuslens.sources import syntax
 from corpuslens.sources.syntax import syntax_nodes, write_nodes
 
 SHAPES = [
@@ -239,3 +240,41 @@ def test_written_nodes_are_parsed_once_and_grouped_without_exchange(spark):
         assert "Exchange" not in plan and "MapInArrow" not in plan
     finally:
         spark.sql("DROP TABLE nodes_of_test")
+
+
+BOOLEANS = [
+    "x = 0xfor 1", "x = 1jor 2\n", "x=1or 2\ny=1.or 3\nz=1e5or 2", "x = 1\\\n or 2\r\ny = 3 and 4\r\n", "a = b\nif a: x = b or c; y = 1\nelif d and e: pass",
+    "@(\n a or b)\ndef f(q=c and d, *, k=e or f) -> (g or h):\n  pass\n", "try:\n  pass\nexcept (A or B):\n  x = 1 and 2\n  import a\nelse:\n  y = (1\n or 2)",
+    "match a or b:\n  case C(x) if x and y:\n    w = p or q\n    z = 1", "f'{a or b}'\nlambda a=b or c: a and d", "type X[T: (a or b)] = c and d",
+    "class A(b or c, metaclass=d and e):\n  async def f(a=1 or 2):\n    async for i in j or k: pass", "for i in x: # or\n  \"\"\"and\nor\"\"\"\n  band = fork\n  pass",
+    "try: pass\nexcept* A: x = y or z", "\x0cdef f(): return a or\\\n b", "def f(a, b=[1 or 2], /, c={}, *d, e=[]): 'doc'", "while not (a\n or b):\n  break\nelse: q = 1 or 2",
+]
+
+
+@pytest.mark.parametrize("text", BOOLEANS + list(SCRIPTS.values()))
+def test_expressions_left_out_hold_no_boolean(text):
+    tree = syntax._parsed(text)
+    if tree is not None:
+        plain = lambda rows: [(*r[3:7], len(r[7]), *r[8:]) for r in rows]
+        rows = list(syntax._structure_rows("p", tree, syntax._boolean_lines(text)))
+        assert plain(rows) == plain(syntax._structure_rows("p", tree, None))
+        kinds = [r[6] for r in rows]
+        for kind in ("If", "FunctionDef", "ClassDef", "alias", "Try"):
+            assert kinds.count(kind) == sum(type(n).__name__ == kind for n in ast.walk(tree))
+        # a boolean that is itself the default of a keyword, or of a lambda, is an argument of no report
+        unseen = [d for n in ast.walk(tree) if isinstance(n, ast.arguments) for d in n.kw_defaults]
+        unseen += [d for n in ast.walk(tree) if isinstance(n, (ast.Lambda, ast.AsyncFunctionDef)) for d in n.args.defaults]
+        assert kinds.count("BoolOp") == sum(isinstance(n, ast.BoolOp) and n not in unseen for n in ast.walk(tree))
+
+
+def test_only_lines_with_booleans_are_visited():
+    class Untouched(ast.Call):
+        def __getattribute__(self, name):
+            pytest.fail(f"visited: {name}")
+
+    text = "def f(a):\n    x = g(1)\n    for i in g(2):\n        return g(3)\n    if a or b:\n        del a[1]\n"
+    tree = ast.parse(text)
+    body = tree.body[0].body
+    body[0].value, body[1].iter, body[1].body[0].value = (Untouched(ast.Name("g"), [], []) for _ in range(3))
+    rows = list(syntax._structure_rows("p", tree, syntax._boolean_lines(text)))
+    assert [r[6] for r in rows] == ["Module", "FunctionDef", "For", "If", "arg", "BoolOp"]
