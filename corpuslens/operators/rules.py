@@ -106,7 +106,8 @@ def issues(found: DataFrame, rules: DataFrame) -> DataFrame:
     measures = F.array(*[F.struct(F.lit(n).alias("measure"), F.col(f"measured.{n}").alias("value")) for n in names])
     values = found.select("path", "scope", "kind", "bfs", "lineno", "name", F.explode(measures).alias("m")).select("*", "m.measure", "m.value").drop("m")
     broken = reduce(lambda c, s: c.when(F.col("comparison") == s, COMPARISONS[s](F.col("value"), F.col("threshold"))), COMPARISONS, F.when(F.lit(False), False))
-    rows = values.join(rules, ["scope", "measure"]).filter(broken)
+    # a few scopes and measures hold all values: by them nothing can be dealt out, so the rules go to the values
+    rows = values.join(F.broadcast(rules), ["scope", "measure"]).filter(broken)
     times = F.when(F.col("per_unit"), F.greatest(F.col("value").cast("int"), F.lit(0))).otherwise(1)
     return rows.withColumn("unit", F.explode(F.array_repeat(F.lit(1), times))).select(
         "path", "rule", F.col("lineno").alias("line"), _filled(F.col("message")).alias("message"), "severity", "category",

@@ -57,6 +57,19 @@ def test_rules_are_data(spark):
     assert rules.issues(rules.facts(nodes(spark).limit(0)), rules.default_rules(spark)).count() == 0
 
 
+def test_values_are_not_dealt_out_by_rule(spark):
+    """At any size: without size checks only the hint keeps all values of a scope out of one task."""
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = rules.issues(rules.facts(nodes(spark)), rules.default_rules(spark))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(scope" not in plan and "BroadcastHashJoin" in plan and "BuildRight" in plan
+        assert plain(rows) == plain(issues.issues(nodes(spark)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+
+
 def test_roll_up_counts_a_file_once(spark):
     rows = spark.createDataFrame(
         [("a/b/x.py", "C", "LOW"), ("a/b/x.py", "C", "HIGH"), ("a/b/x.py", "D", "LOW"), ("a/y.py", "C", "LOW"), ("a/y.py", "C", "LOW"), ("z.py", "C", "LOW")],
