@@ -29,11 +29,12 @@ def _slot(key: str, tasks: int, slots: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(tasks * slots)).cast("int")
 
 
-def dealt_by_size(rows: DataFrame, key: str, size: Column, tasks: int, slots: int = SLOTS) -> DataFrame:
-    """`rows`, with the column `task`, in `tasks` partitions of about equal size.
+def dealt_by_size(rows: DataFrame, key: str, size: Column, tasks: int | None = None, slots: int = SLOTS) -> DataFrame:
+    """`rows`, with the column `task`, in `tasks` partitions of about equal size, by default as many as there are shuffle partitions.
 
     A null size counts as none.  The key should be (nearly) unique: rows of one key stay together.
     """
+    tasks = tasks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = slot_tasks(rows, key, F.coalesce(size, F.lit(0)), tasks, slots)
     # bounded by slots x tasks rows of two numbers
     return rows.withColumn("slot", _slot(key, tasks, slots)).join(F.broadcast(placed), "slot").drop("slot").repartitionById(tasks, F.col("task"))

@@ -70,7 +70,6 @@ class NodeStore:
         """
         spark, versions = self.spark, self.versions()
         version = versions[-1] + 1 if versions else 0
-        tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
         staged = f"{self.folder}/staged/{version}-{uuid.uuid4().hex[:8]}"
         files.select("path", F.sha2("content", 256).alias("blob")).write.parquet(staged)
         listing = spark.read.schema(_LISTING).parquet(staged)

@@ -66,3 +66,10 @@ def test_dealing_of_nothing_and_of_nulls(spark):
     assert dealt_by_size(rows, "path", F.col("n"), 4).count() == 4
     assert dealt_by_size(rows.limit(0), "path", F.col("n"), 4).count() == 0
     assert dealt_by_size(rows.filter("n = 0"), "path", F.col("n"), 4).count() == 1
+
+
+def test_dealing_follows_the_cluster(spark):
+    rows = spark.range(2000).select(F.concat(F.lit("p"), "id").alias("path"), F.lit(5).alias("n"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt_by_size(rows, "path", F.col("n"))
+    assert dealt.select(F.spark_partition_id()).distinct().count() == tasks
