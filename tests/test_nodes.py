@@ -278,3 +278,53 @@ def test_only_lines_with_booleans_are_visited():
     body[0].value, body[1].iter, body[1].body[0].value = (Untouched(ast.Name("g"), [], []) for _ in range(3))
     rows = list(syntax._structure_rows("p", tree, syntax._boolean_lines(text)))
     assert [r[6] for r in rows] == ["Module", "FunctionDef", "For", "If", "arg", "BoolOp"]
+
+
+PLAIN = [
+    "a = b", "a.b[0] += c(1).d", "f(a, 'x', k=None)", "return x == y", "x = f(a)(b)[1] // 2  # why", "match = type(a)", "a = 'x and y'", "x.y('')",
+]
+NOT_PLAIN = [
+    "a", "'doc'", "a = b = c", "a = b or c", "not a", "a.if = 1", "None = 1", "f() = 1", "f(a=1, b)", "a = 07", "a = 1if b else c", "a = ''''", "a = b'x'",
+    "a = (b", "a = b \\", "a: int = b", "x = y; z = 1", "print a", "a = f'{b}'", "a = 1_000", "if a: b()", "import a", "a = b)", "f(a b)", "pass", "a == b",
+    "__debug__ = 1", "a = x" + " + x" * 9, "a = '\x00'", "a = é", "except = 1", "f(*a)", "a = b.", "return", "a = 1.e5", "yield x", "a = lambda: b",
+]
+PLACES = [
+    "{0}\n", "{0}\n{0}\n{0}\n{0}\n", "def f(a):\n    {0}\n    {0}\n\n    {0}\n", "if a:\n    {0}\n    # note\n    {0}\nelse:\n  {0}\n{0}\n", "x = [\n{0}\n]\n",
+    "x = '''\n{0}\n'''\n", "def f():\n    \"\"\"\n    {0}\n    \"\"\"\n    {0}\n", "x = f'''{{\n{0}\n}}\n{0}\n'''\n", "if a: \\\n{0}\n", "y = \\\n{0}\n", "x = 1; \\\n  {0}\n",
+    "try:\n    {0}\nexcept A:\n    {0}\n    {0}\nexcept B:\n    if a:\n        {0}\n    {0}\nfinally:\n    {0}\n", "try:\n  pass\nexcept A:\n\n  {0}\n  pass\n",
+    "match a:\n    case 1:\n        {0}\n        {0}\n", "match a:\n    {0}\n", "def f():\n    {0}\n      {0}\n", "def f():\n\t{0}\n        {0}\n", "@a\n{0}\n", "for i in a:\n{0}\n",
+    "{0}\r\n{0}\r{0}\n", "class A:\n    {0}\n    def f(self): {0}\n    {0}\n{0}", "x = (\n{0}\n{0}\n", "\x0c{0}\n", "\ufeff{0}\n{0}\n", "if a:\n" + "    {0}\nelif b:\n" * 150 + "    {0}\n",
+    "try: pass\nexcept:\n  {0}\n  {0}\n  {0}\n  {0}\n  try: pass\n  except A:\n    pass\n    {0}\n  {0}\n", "{0}\n{0}\n{0}\ndef f(): pass\n{0}\n{0}\nif a: pass\n",
+    "async def f():\n  async with a:\n    {0}\n    {0}\n", "lambda: \\\n{0}\n", "x = '\\\n{0}\n'\n", "{0}\n{0}\ndef (\n", "try:\n  {0}\nexcept* A: {0}\n", "{0}\n\x00\n", "def f(\n{0}\n): pass\n",
+]
+
+
+def _rows_of(text, tree):
+    """Rows without the numbers of nodes, which only have an order."""
+    if tree is None:
+        return None
+    return [(*r[3:7], len(r[7]), *r[8:]) for r in syntax._structure_rows("p", tree, syntax._boolean_lines(text))]
+
+
+@pytest.mark.parametrize("place", PLACES)
+def test_plain_lines_need_no_parser(place):
+    for line in PLAIN + NOT_PLAIN:
+        text = place.format(line)
+        assert _rows_of(text, syntax._structure(text)) == _rows_of(text, syntax._parsed(text)), text
+    assert syntax._structure(None) is None
+
+
+def test_plain_lines_are_whole_statements():
+    assert [s for s in PLAIN if not syntax._PLAIN_RUN.fullmatch(s + "\n")] == []
+    assert [s for s in NOT_PLAIN if syntax._PLAIN_RUN.match(s + "\n")] == []
+    for line in PLAIN:
+        (statement,) = ast.parse(line).body
+        assert type(statement) in syntax._SIMPLE and not any(isinstance(n, ast.BoolOp) for n in ast.walk(statement))
+
+
+def test_only_other_lines_reach_the_parser(monkeypatch):
+    parsed, parse = [], syntax._parsed
+    monkeypatch.setattr(syntax, "_parsed", lambda text: parsed.append(text) or parse(text))
+    text = "def f(a):\n    x = g(1)\n    y = 2\n    h(x, y)\n    z = x or y\n    return z\n"
+    tree = syntax._structure(text)
+    assert parsed == ["def f(a):\n    pass\n\n    pass\n    z = x or y\n    pass\n"] and tree.body[0].end_lineno == 6
