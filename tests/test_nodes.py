@@ -328,3 +328,41 @@ def test_only_other_lines_reach_the_parser(monkeypatch):
     text = "def f(a):\n    x = g(1)\n    y = 2\n    h(x, y)\n    z = x or y\n    return z\n"
     tree = syntax._structure(text)
     assert parsed == ["def f(a):\n    pass\n\n    pass\n    z = x or y\n    pass\n"] and tree.body[0].end_lineno == 6
+
+
+KINDS = [("FunctionDef", "ClassDef", "ParseError"), ("If", "arg"), ("Module",), ("ParseError",), ()]
+
+
+@pytest.mark.parametrize("kinds", KINDS)
+def test_only_rows_of_the_kinds_that_are_read_are_made(kinds):
+    texts = [(str(i), t) for i, t in enumerate([*SCRIPTS.values(), *BOOLEANS, None])]
+    every = [r for b in syntax._structure_batches(iter(texts)) for r in b.to_pylist()]
+    some = [r for b in syntax._structure_batches(iter(texts), frozenset(kinds)) for r in b.to_pylist()]
+    assert some == [r for r in every if r["kind"] in kinds] and {"FunctionDef", "ParseError", "Module", "If"} <= {r["kind"] for r in every}
+
+
+def test_missing_docstrings_read_few_rows(spark):
+    files = spark.createDataFrame([(f"{i}.py", t) for i, t in enumerate(SCRIPTS.values())], "path string, content string")
+    few = syntax_nodes(files, entities=False, kinds=issues.REPORTED)
+    pick = lambda n: sorted(map(str, issues.missing_docstrings(n).collect()))
+    assert pick(few) == pick(syntax_nodes(files, entities=False)) != []
+    assert {r.kind for r in few.select("kind").distinct().collect()} == set(issues.REPORTED)
+
+
+def test_lists_without_booleans_are_not_visited():
+    class Untouched(ast.Call):
+        def __getattribute__(self, name):
+            pytest.fail(f"visited: {name}")
+
+    tree = ast.parse("def f(a, b=[g(1)]):\n    pass\n")
+    tree.body[0].args.defaults[0].elts[0] = Untouched(ast.Name("g"), [], [])
+    assert [r[6] for r in syntax._structure_rows("p", tree, [])] == ["Module", "FunctionDef", "arg", "arg", "List"]
+
+
+def test_large_texts_leave_in_pieces(monkeypatch):
+    monkeypatch.setattr(syntax, "_FLUSH_ROWS", 7)
+    text = "".join(f"def f{i}(a):\n    'doc'\n" for i in range(20))
+    batches = list(syntax._structure_batches(iter([("a", text), ("b", "x ="), ("c", text)])))
+    assert [b.num_rows for b in batches] == [7] * 11 + [6]
+    monkeypatch.setattr(syntax, "_FLUSH_CHARS", 3)
+    assert sum(b.num_rows for b in syntax._structure_batches(iter([("a", text), ("b", "x ="), ("c", text)]))) == 83
