@@ -20,6 +20,9 @@ TRANSFORMATION_COLUMNS = ["path", "target", "source", "operation", "details", "i
 
 
 # --- functions and variables ------------------------------------------------
+FUNCTIONS_READ = (("FunctionDef",), ("path", "kind", "name"))   # kinds and columns of nodes
+
+
 def function_names(nodes: DataFrame) -> DataFrame:
     """Distinct function names per file; async functions are not counted."""
     return nodes.filter("kind = 'FunctionDef'").select("path", "name").distinct()
