@@ -46,6 +46,7 @@ from corpuslens.llm.staging import written
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_POSTINGS = 200_000
+BLOCKS_TOGETHER = 8   # readers and writers of columns hold the rows of a row group, some MB each
 SEGMENT_POSTINGS = 2_000_000
 QUERY_TERMS = 200_000
 TASK_GROUPS = 64
@@ -106,7 +107,7 @@ def build_index(spark: SparkSession, documents: DataFrame) -> Index:
     further columns are not read; a long text is one document of one block.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = written(spark, rows.mapInArrow(_blocks, _BLOCK), "lexical-index")
+    blocks = written(spark, rows.mapInArrow(_blocks, _BLOCK), "lexical-index", BLOCKS_TOGETHER)
     total = blocks.agg(
         F.sum(F.size("doc_ids")).alias("documents"),
         F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)).alias("length")).first()
@@ -123,20 +124,22 @@ class Segment:
         self.doc_ids = np.concatenate([b["doc_ids"] for b in blocks])
         self.no_id = np.concatenate([b["no_id"] for b in blocks])
         # a posting's key holds its term and its document: the lists of all terms in one ascending array
-        keys = np.concatenate([b["term"] * self.n_docs + b["docs"] + first for b, first in zip(blocks, firsts)])
+        keys = np.concatenate([b["term"].astype(np.int64) * self.n_docs + b["docs"] + first for b, first in zip(blocks, firsts)])
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
-        term, doc = np.divmod(self.keys, max(self.n_docs, 1))
-        tf = np.concatenate([b["counts"] for b in blocks]).astype(np.int64)[order]
+        tf = np.concatenate([b["counts"] for b in blocks])[order].astype(np.int64)
+        del keys, order
+        term, doc = (x.astype(np.int32) for x in np.divmod(self.keys, max(self.n_docs, 1)))
         norm = 75 + (25 * lengths * documents) // length
         self.impact = weights[term] * ((1_000_000_000 * tf) // (1000 * tf + 12 * norm[doc]))
+        del tf
         self.size = np.bincount(term, minlength=len(weights))
         self.start = np.cumsum(self.size) - self.size
         by_impact = np.lexsort((-self.impact, term))
         self.listed = doc[by_impact]                  # documents of each list by falling impact
         self.falling = self.impact[by_impact]
-        self.place = np.empty_like(by_impact)         # place in that order of each posting
-        self.place[by_impact] = np.arange(len(by_impact))
+        self.place = np.empty(len(by_impact), np.int32)   # place in that order of each posting
+        self.place[by_impact] = np.arange(len(by_impact), dtype=np.int32)
 
     def best(self, terms: np.ndarray, times: np.ndarray, k: int, top: tuple) -> tuple:
         """The k best of `top` (scores, ids, no_ids; best first) and this segment's documents."""
@@ -193,11 +196,11 @@ def _searcher(vocabulary: list[bytes], weights: np.ndarray, queries: list[tuple[
         """A block's postings of the wanted terms, as arrays."""
         number = pc.index_in(row["terms"].values, wanted)
         sizes = row["sizes"].values.to_numpy()
-        term = np.repeat(number.fill_null(-1).to_numpy().astype(np.int64), sizes)
+        term = np.repeat(number.fill_null(-1).to_numpy().astype(np.int32), sizes)
         ours = term >= 0
         ids = row["doc_ids"].values
         return {
-            "term": term[ours], "docs": row["docs"].values.to_numpy()[ours].astype(np.int64),
+            "term": term[ours], "docs": row["docs"].values.to_numpy()[ours],
             "counts": row["counts"].values.to_numpy()[ours], "lengths": row["lengths"].values.to_numpy().astype(np.int64),
             "doc_ids": ids.fill_null(0).to_numpy(), "no_id": ids.is_null().to_numpy(zero_copy_only=False)}
 
@@ -210,9 +213,9 @@ def _searcher(vocabulary: list[bytes], weights: np.ndarray, queries: list[tuple[
 
         def answer() -> None:
             segment = Segment(held, weights, documents, length)
+            held.clear()
             for i, (terms, times) in enumerate(asked):
                 tops[i] = segment.best(terms, times, k, tops[i])
-            held.clear()
 
         for batch in batches:
             for i in range(batch.num_rows):

@@ -115,3 +115,16 @@ def test_random_segments_equal_all_scores():
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
         scores, ids, _ = segment.best(np.arange(4), times, 20, none)
         assert [(-s, i) for s, i in zip(scores.tolist(), ids.tolist())] == want
+
+
+def test_few_blocks_are_held_together(spark, monkeypatch):
+    """Readers hold a row group; one of hundreds of blocks is more than an executor has."""
+    monkeypatch.setattr(lexical, "BLOCK_POSTINGS", 40)
+    monkeypatch.setattr(lexical, "BLOCKS_TOGETHER", 2)
+    import pyarrow.parquet as pq
+
+    index = build_index(spark, given(spark, *sample())[0].coalesce(1))
+    (file,) = [f.removeprefix("file:") for f in index.blocks.inputFiles()]
+    groups = pq.ParquetFile(file).metadata
+    sizes = [groups.row_group(i).num_rows for i in range(groups.num_row_groups)]
+    assert index.blocks.count() == sum(sizes) > 10 and max(sizes) == 2
