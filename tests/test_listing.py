@@ -2,7 +2,10 @@
 
 import os
 
-from corpuslens.sources.files import scan_folder
+import pytest
+from pyspark.errors import AnalysisException
+
+from corpuslens.sources.files import read_script, scan_folder
 from corpuslens.sources.listing import listed, listed_scan, read_listed
 
 
@@ -49,3 +52,56 @@ def test_what_cannot_be_read_is_a_row(spark, tmp_path):
     assert len(gone) == 1 and gone[0].error and not gone[0].read_ok
     given = spark.createDataFrame([("big/z.py", None), ("nowhere.py", 5)], "path string, size long")
     assert sorted((r.path, r.read_ok) for r in read_listed(spark, root, given).collect()) == [("big/z.py", True), ("nowhere.py", False)]
+
+
+def by_spark(spark, path, **options):
+    raw = spark.read.format("binaryFile").options(**options).load(path)
+    return sorted((r.path.rsplit("/", 1)[-1], bytes(r.content), r.length) for r in raw.collect())
+
+
+def no_list_on_the_driver(monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader
+
+    load = DataFrameReader.load
+    monkeypatch.setattr(DataFrameReader, "load", lambda self, path=None, **more: pytest.fail(f"listed on the driver: {path}") if "*" in str(path) or os.path.isdir(
+        str(path)) and "stage" not in str(path) and "corpuslens" not in str(path) else load(self, path, **more))
+
+
+@pytest.mark.parametrize("pattern", ["*.py", "many/*/*.py", "deep/*", "*/*.py", "many/[13]/m.py", "de?p/*/and/*/c.py", "*", "sp */*", "_tmp/*", "n*/p%20.py"])
+def test_patterns_name_what_spark_reads(spark, tmp_path, monkeypatch, pattern):
+    root = str(tmp_path / "root")
+    tree(root)
+    for i in range(0, 40, 3):
+        with open(f"{root}/many/{i}/m.py", "w") as f:
+            f.write(f"x = {i}\n")
+    want = [r for r in by_spark(spark, f"{root}/{pattern}") if r[2]]
+    no_list_on_the_driver(monkeypatch)
+    found = sorted((r.path, r.content, r["size"]) for r in read_script(spark, f"{root}/{pattern}").collect())
+    assert [(r[0], r[2]) for r in found] == [(r[0], r[2]) for r in want]
+    assert {r[1] for r in found} - {None} <= {r[1].decode("utf-8", "replace") for r in want}
+
+
+def test_scans_list_nothing_on_the_driver(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "root")
+    tree(root)
+    want = by_spark(spark, root, recursiveFileLookup="true", pathGlobFilter="*.py")
+    no_list_on_the_driver(monkeypatch)
+    got = scan_folder(spark, root).collect()
+    assert sorted((r.path.rsplit("/", 1)[-1], r["size"]) for r in got) == [(r[0], r[2]) for r in want if r[2]] and len(got) == 6
+
+
+def test_what_is_not_there_or_not_known_is_left_to_spark(spark, tmp_path):
+    root = str(tmp_path / "root")
+    tree(root)
+    for read in (lambda: scan_folder(spark, f"{root}/gone"), lambda: read_script(spark, f"{root}/gone*/*.py"), lambda: read_script(spark, f"{root}/gone.py")):
+        with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+            read()
+    os.makedirs(f"{root}/parts/all/key=1")
+    with open(f"{root}/parts/all/key=1/k.py", "w") as f:
+        f.write("k = 1\n")
+    assert [r.path for r in read_script(spark, f"{root}/parts/*").collect()] == ["k.py"]
+    assert read_script(spark, f"{root}/{{a,big/z}}.py").count() == 2
+    assert {r.path for r in scan_folder(spark, root, "{a,z}.py").collect()} == {"a.py", "big/z.py"}
+    os.remove(f"{root}/a.py")
+    os.symlink(f"{root}/nowhere", f"{root}/a.py")
+    assert "a.py" not in {r.path for r in listed_scan(spark, root, str(tmp_path / "stage")).filter("read_ok").collect()}
