@@ -84,3 +84,12 @@ def test_roll_up_counts_a_file_once(spark):
 def test_folders(spark):
     rows = spark.createDataFrame([("a/b/c.py",), ("x.py",), ("/r/x",), (None,)], "path string").select(rules.folders(F.col("path")).alias("f"))
     assert [r.f for r in rows.collect()] == [["", "a", "a/b"], [""], ["", "/r"], None]
+
+
+def test_light_report_reads_its_nodes_once(spark):
+    text = "def f(a, b, c, d, e, g):\n" + "    x = 1\n" * 51
+    files = spark.createDataFrame([("a.py", text), ("b.py", "def g(a, b, c, d, e, h):\n    pass\n")], "path string, content string")
+    found = issues.light_issues(syntax_nodes(files, entities=False, kinds=issues.FACTS_READ[0], columns=issues.FACTS_READ[1]))
+    assert sorted((r.path, r.type, r.line, r.severity) for r in found.collect()) == [
+        ("a.py", "long_function", 1, "warning"), ("a.py", "too_many_args", 1, "warning"), ("b.py", "too_many_args", 1, "warning")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
